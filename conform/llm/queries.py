@@ -24,6 +24,12 @@ def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_likeness(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from conform.llm.toxicity import score_toxicity
+
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -63,7 +69,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op3_document_fingerprints, op5_token_counts, op6_bpe_round_trip, op7_warc_zip, op8_media_columns, op9_rendezvous_sharding, op10_source_mixing]
+    found = [op3_document_fingerprints, op4_toxicity, op5_token_counts, op6_bpe_round_trip, op7_warc_zip, op8_media_columns, op9_rendezvous_sharding, op10_source_mixing]
     return {f.__name__: f for f in found}
 
 
