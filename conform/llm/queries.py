@@ -18,6 +18,12 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path(TOKENIZER))
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from conform.llm.ngram_join import jaccard_join
+
+    return jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "n_links")
+
+
 def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from conform.llm.fingerprints import fingerprint_likeness
 
@@ -69,11 +75,12 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op3_document_fingerprints, op4_toxicity, op5_token_counts, op6_bpe_round_trip, op7_warc_zip, op8_media_columns, op9_rendezvous_sharding, op10_source_mixing]
+    found = [op2_ngram_jaccard_join, op3_document_fingerprints, op4_toxicity, op5_token_counts, op6_bpe_round_trip, op7_warc_zip, op8_media_columns, op9_rendezvous_sharding, op10_source_mixing]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
+    from conform.llm.ngram_join import SQL as joining
     from conform.llm.source_mixing import SQL as mixing
 
-    return {"op10_source_mixing": mixing}
+    return {"op2_ngram_jaccard_join": joining, "op10_source_mixing": mixing}
