@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from conform.llm.common import table
 
@@ -18,6 +19,13 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path(TOKENIZER))
 
 
+def op1_gru_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from conform.llm.gru_lm import held_out, score_documents
+
+    scored = score_documents(table(spark, sf_dir, "documents"), ~held_out("doc_id", 7, 2))
+    return scored.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from conform.llm.ngram_join import jaccard_join
 
@@ -75,7 +83,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op2_ngram_jaccard_join, op3_document_fingerprints, op4_toxicity, op5_token_counts, op6_bpe_round_trip, op7_warc_zip, op8_media_columns, op9_rendezvous_sharding, op10_source_mixing]
+    found = [op1_gru_lm_score, op2_ngram_jaccard_join, op3_document_fingerprints, op4_toxicity, op5_token_counts, op6_bpe_round_trip, op7_warc_zip, op8_media_columns, op9_rendezvous_sharding, op10_source_mixing]
     return {f.__name__: f for f in found}
 
 
