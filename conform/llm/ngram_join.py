@@ -31,6 +31,8 @@ from conform.llm.common import WORD, materialize, ship
 N, SIMILARITY, RECALL = 5, 0.8, 0.9998
 #: Representatives of a block: a task compares at most two blocks.
 BLOCK = 256
+#: Names of documents (two numbers each) up to which their table is broadcast.
+FEW = 500_000
 #: Standard errors by which a pair's signature may fall short of the wanted similarity.
 SLACK = 6.0
 SPLIT = regex.compile(WORD)
@@ -194,6 +196,9 @@ def verified_links(classes: DataFrame, texts: DataFrame, bands: int, rows: int,
 
     wanted = materialize(_side_by_side(dealt, "task").mapInPandas(needed, "task long, side int, band int, digest binary"), "ngram-wanted")
     keepers = wanted.select("digest").distinct().join(classes, "digest")
+    names = keepers.select("doc_id", "th")
+    if wanted.select("digest").distinct().count() <= FEW:
+        texts = texts.alias("t").join(F.broadcast(names.alias("k")), F.expr("t.doc_id <=> k.doc_id AND t.th = k.th"), "left_semi")
     full = texts.join(keepers, (texts["doc_id"].eqNullSafe(keepers["doc_id"])) & (texts["th"] == keepers["th"])).select("digest", "sig", "copies", "text").dropDuplicates(["digest"])
     full = wanted.join(full, "digest")
 
@@ -309,7 +314,8 @@ def deduplicated(docs: DataFrame, similarity: float = SIMILARITY, recall: float
     joined = jaccard_join(docs, similarity, recall, n, text, id_col)
     th = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
     gone = materialize(joined.filter(~F.col("keeper")).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct(), "ngram-gone")
-    kept = docs.withColumn("__th0", th).join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__th0") == F.col("__th")), "left_anti")
+    few = gone.count() <= FEW
+    kept = docs.withColumn("__th0", th).join(F.broadcast(gone) if few else gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__th0") == F.col("__th")), "left_anti")
     repeated = materialize(joined.filter("keeper").groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")), "ngram-repeated")
     if repeated.isEmpty():
         return kept.select(*docs.columns)
