@@ -23,7 +23,7 @@ def _small(patterns: DataFrame) -> DataFrame:
 
 def _matches(path: Column) -> Column:
     """Whether a path matches a pattern row; ``turned`` patterns begin with an odd number of ``!``."""
-    return path.rlike(F.col("regex")) != F.col("turned")
+    return F.rlike(path, F.col("regex")) != F.col("turned")
 
 
 def basename(path: Column) -> Column:

@@ -173,22 +173,38 @@ def inline_schema(format_: Column, content: Column, instance: Column) -> Column:
     return F.when(format_ == "toml", comment).when(format_ == "yaml", F.coalesce(modeline, prop)).otherwise(prop)
 
 
-def explode_nodes(docs: DataFrame, instance: str = "instance", id_col: str = "doc_id", deepest: int = 32) -> DataFrame:
-    """A row for every value of every document: ``doc_id, pointer, parent, key, pos, depth, jtype, v``.
+NODE = "pointer string, parent string, key string, pos int, depth int, jtype string, v variant"
 
-    One generate for each level, as many as the documents are deep (at most ``deepest``): no shuffle, and no driver loop over documents.
-    """
+
+def node_array(value: Column, deepest: int = 12) -> Column:
+    """All values inside a VARIANT as an array of structs: one expression, nested as deep as ``deepest``."""
     step = lambda k: F.concat(F.lit("/"), F.replace(F.replace(k, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1")))
     kind = lambda c: F.regexp_extract(F.schema_of_variant(c), r"^([A-Z]+)", 1)
-    level = docs.select(F.col(id_col).alias("doc_id"), F.lit("").alias("pointer"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("key"), F.lit(0).alias("pos"), F.lit(0).alias("depth"), kind(F.col(instance)).alias("jtype"), F.col(instance).alias("v"))
-    out = level
-    for depth in range(1, deepest + 1):
-        entries = F.when(F.col("jtype") == "OBJECT", F.transform(F.map_entries(F.try_variant_get("v", "$", "map<string,variant>")), lambda e, i: F.struct(e["key"].alias("key"), i.alias("pos"), e["value"].alias("v"))))
-        items = F.when(F.col("jtype") == "ARRAY", F.transform(F.try_variant_get("v", "$", "array<variant>"), lambda x, i: F.struct(i.cast("string").alias("key"), i.alias("pos"), x.alias("v"))))
-        children = level.filter(F.col("jtype").isin("OBJECT", "ARRAY")).select("doc_id", F.col("pointer").alias("parent"), F.explode(F.coalesce(entries, items)).alias("c"))
-        level = children.select("doc_id", F.concat("parent", step(F.col("c.key"))).alias("pointer"), "parent", F.col("c.key").alias("key"), F.col("c.pos").alias("pos"), F.lit(depth).alias("depth"), kind(F.col("c.v")).alias("jtype"), F.col("c.v").alias("v"))
-        out = out.unionByName(level)
-    return out
+
+    def children(v: Column) -> Column:
+        k = kind(v)
+        entries = F.when(k == "OBJECT", F.transform(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), lambda e, i: F.struct(e["key"].alias("key"), i.alias("pos"), e["value"].alias("v"))))
+        items = F.when(k == "ARRAY", F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x, i: F.struct(i.cast("string").alias("key"), i.alias("pos"), x.alias("v"))))
+        return F.coalesce(entries, items)
+
+    def under(v: Column, pointer: Column, parent: Column, key: Column, pos: Column, depth: int) -> Column:
+        own = F.array(F.struct(pointer.alias("pointer"), parent.alias("parent"), key.alias("key"), pos.alias("pos"), F.lit(depth).alias("depth"), kind(v).alias("jtype"), v.alias("v")))
+        if depth >= deepest:
+            return own
+        below = F.flatten(F.transform(children(v), lambda c: under(c["v"], F.concat(pointer, step(c["key"])), pointer, c["key"], c["pos"], depth + 1)))
+        return F.when(below.isNull(), own).otherwise(F.concat(own, below))
+
+    none = F.lit(None).cast("string")
+    return under(value, F.lit(""), none, none, F.lit(0), 0)
+
+
+def explode_nodes(docs: DataFrame, instance: str = "instance", id_col: str = "doc_id", deepest: int = 12) -> DataFrame:
+    """A row for every value of every document: ``doc_id, pointer, parent, key, pos, depth, jtype, v``; one scan, no shuffle.
+
+    Values deeper than ``deepest`` are left inside their ancestor's row.
+    """
+    rows = docs.filter(F.col(instance).isNotNull()).select(F.col(id_col).alias("doc_id"), F.explode(node_array(F.col(instance), deepest)).alias("n"))
+    return rows.select("doc_id", "n.*")
 
 
 def convert_documents(docs: DataFrame, to: str) -> DataFrame:
