@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from conform.functions.urls import base_of, fragment_of, url_join
-from conform.plans.stored import stored
+from conform.plans.stored import ship, stored
 from conform.sources.documents import parse_jsonc
 
 NEWEST = "https://json-schema.org/draft/2020-12/schema"
@@ -35,29 +35,33 @@ def detect_draft(schema_uri: Column) -> Column:
 
 
 def schema_nodes(store: DataFrame, deepest: int = DEEPEST) -> DataFrame:
-    """The nodes of every schema of ``uri, body``; the top-down roles are part of the same nested expression."""
-    kind = lambda c: F.regexp_extract(F.schema_of_variant(c), r"^([A-Z]+)", 1)
-    step = lambda k: F.concat(F.lit("/"), F.replace(F.replace(k, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1")))
-
-    def role_of(prole: Column, key: Column, k: Column) -> Column:
-        in_schema = F.when(key.isin(*MAPS), "map").when((key == "items") & (k == "ARRAY"), "list").when(key.isin(*LISTS), "list").when(key.isin(*SINGLE), "schema").when(key == "dependencies", "deps").otherwise("plain")
-        return F.when(prole == "schema", in_schema).when(prole.isin("map", "list"), "schema").when((prole == "deps") & (k != "ARRAY"), "schema").otherwise("plain")
-
-    def under(v: Column, pointer: Column, parent: Column, key: Column, pos: Column, role: Column, prole: Column, pkey: Column, gpkey: Column, depth: int) -> Column:
-        k = kind(v)
-        text = F.when(~k.isin("OBJECT", "ARRAY"), F.to_json(v))
-        own = F.array(F.struct(pointer.alias("id"), parent.alias("parent"), key.alias("key"), pos.cast("long").alias("pos"), F.lit(depth).alias("depth"), k.alias("jtype"), text.alias("text"), role.alias("role"), prole.alias("prole"), pkey.alias("pkey"), gpkey.alias("gpkey")))
-        if depth >= deepest:
-            return F.transform(own, lambda s: s.withField("text", F.to_json(v)))
-        entries = F.when(k == "OBJECT", F.transform(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), lambda e, i: F.struct(e["key"].alias("key"), i.alias("pos"), e["value"].alias("v"))))
-        items = F.when(k == "ARRAY", F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x, i: F.struct(i.cast("string").alias("key"), i.alias("pos"), x.alias("v"))))
-        below = F.flatten(F.transform(F.coalesce(entries, items), lambda c: under(c["v"], F.concat(pointer, step(c["key"])), pointer, c["key"], c["pos"], role_of(role, c["key"], kind(c["v"])), role, key, pkey, depth + 1)))
-        return F.when(below.isNull(), own).otherwise(F.concat(own, below))
+    """The nodes of every schema of ``uri, body``, level by level, as the role of a value follows from its parent's.
 
+    Schemas are a small part of the data; each level's table is written once. What lies deeper than ``deepest`` stays text.
+    """
+    kind = F.regexp_extract(F.schema_of_variant("v"), r"^([A-Z]+)", 1)
+    step = F.concat(F.lit("/"), F.replace(F.replace("key", F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1")))
+    key, prole = F.col("key"), F.col("prole")
+    in_schema = F.when(key.isin(*MAPS), "map").when((key == "items") & (F.col("jtype") == "ARRAY"), "list").when(key.isin(*LISTS), "list").when(key.isin(*SINGLE), "schema").when(key == "dependencies", "deps").otherwise("plain")
+    role = F.when(prole == "schema", in_schema).when(prole.isin("map", "list"), "schema").when((prole == "deps") & (F.col("jtype") != "ARRAY"), "schema").otherwise("plain")
     none = F.lit(None).cast("string")
     rows = store.select("uri", parse_jsonc(F.col("body")).alias("v")).filter("v IS NOT NULL")
-    nodes = rows.select("uri", F.explode(under(F.col("v"), F.lit(""), none, none, F.lit(0), F.lit("schema"), none, none, none, 0)).alias("n")).select("uri", "n.*")
-    return stored(nodes, "schema-nodes")
+    level = stored(rows.select("uri", F.lit("").alias("id"), none.alias("parent"), none.alias("key"), F.lit(0).cast("long").alias("pos"), kind.alias("jtype"), F.lit("schema").alias("role"), none.alias("prole"), none.alias("pkey"), none.alias("gpkey"), "v"), "schema-level")
+    out, depth = None, 0
+    while True:
+        last = depth >= deepest
+        text = F.to_json("v") if last else F.when(~F.col("jtype").isin("OBJECT", "ARRAY"), F.to_json("v"))
+        part = level.select("uri", "id", "parent", "key", "pos", F.lit(depth).alias("depth"), "jtype", text.alias("text"), "role", "prole", "pkey", "gpkey")
+        out = part if out is None else out.unionByName(part)
+        inner = level.filter(F.col("jtype").isin("OBJECT", "ARRAY"))
+        if last or inner.isEmpty():
+            return stored(out, "schema-nodes")
+        entries = F.when(F.col("jtype") == "OBJECT", F.transform(F.map_entries(F.try_variant_get("v", "$", "map<string,variant>")), lambda e, i: F.struct(e["key"].alias("key"), i.alias("pos"), e["value"].alias("v"))))
+        items = F.transform(F.try_variant_get("v", "$", "array<variant>"), lambda x, i: F.struct(i.cast("string").alias("key"), i.alias("pos"), x.alias("v")))
+        below = inner.select("uri", F.col("id").alias("parent"), F.col("role").alias("prole"), F.col("key").alias("pkey"), F.col("pkey").alias("gpkey"), F.explode(F.coalesce(entries, items)).alias("c"))
+        below = below.select("uri", "parent", "prole", "pkey", "gpkey", "c.key", F.col("c.pos").cast("long").alias("pos"), "c.v").withColumn("jtype", kind)
+        level = stored(below.select("uri", F.concat("parent", step).alias("id"), "parent", "key", "pos", "jtype", role.alias("role"), "prole", "pkey", "gpkey", "v"), "schema-level")
+        depth += 1
 
 
 def _unquoted(text: Column) -> Column:
@@ -219,6 +223,8 @@ def migrate_nodes(nodes: DataFrame) -> DataFrame:
     """All rules of a migration to 2020-12, as changes of rows; facts about siblings come from one window."""
     from conform.functions.regexes import java_regex
 
+    ship(nodes.sparkSession)
+
     @F.pandas_udf("string")
     def fixed_regex(x: pd.Series) -> pd.Series:
         import json
@@ -283,7 +289,7 @@ def migrate_nodes(nodes: DataFrame) -> DataFrame:
     moved = added(dep, F.col("id"), F.col("__to"), F.col("nkey"), F.col("pos"), F.col("jtype"), F.col("ntext"))
     boxes = dep.select("uri", "__to").distinct()
     boxes = added(boxes, F.col("__to"), F.regexp_replace("__to", r"/dependent\w+$", ""), F.regexp_extract("__to", r"/(dependent\w+)$", 1), last, F.lit("OBJECT"), none)
-    rest = kept.filter(~((F.col("prole") == "deps") & F.col("old")))
+    rest = kept.filter(~(F.col("prole").eqNullSafe("deps") & F.col("old")))
     # values that have to stand in an array or an object of their own
     bare = (F.col("prole") == "schema") & (F.col("key") == "examples") & (F.col("jtype") != "ARRAY")
     loose = (F.col("role") == "schema") & (F.col("jtype") == "ARRAY") & F.col("parent").isNotNull()

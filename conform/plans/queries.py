@@ -535,6 +535,117 @@ SELECT event_id, '' AS instance_path, 'unevaluated_properties' AS kind, 'Unevalu
 """
 
 
+# -- schemas made of rows ---------------------------------------------------
+
+
+def part_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A draft-04 schema of every part: ``uri, body``."""
+    k, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    body = F.concat(
+        F.lit('{"$schema":"http://json-schema.org/draft-04/schema#","id":"https://parts.example/'), k, F.lit('.json","title":"'), F.col("p_name"),
+        F.lit('","definitions":{"size":{"type":"integer","minimum":'), size, F.lit(',"exclusiveMinimum":true},"spare":{"type":"null"}},"properties":{"brand":{"type":"string","required":true,"enum":["'), F.col("p_brand"),
+        F.lit('","'), F.col("p_brand"), F.lit('","any"],"description":"Brand of '), F.col("p_name"), F.lit('"},"size":{"$ref":"#/definitions/size"},"tags":{"type":"array","items":[{"type":"string","maxLength":'), size,
+        F.lit('}],"additionalItems":false},"next":{"$ref":"https://parts.example/'), (F.col("p_partkey") + 7).cast("string"),
+        F.lit('.json#/definitions/size"}},"dependencies":{"brand":["size"],"size":{"required":["tags"]}}}'),
+    )
+    return t(spark, sf_dir, "part").select(F.concat(F.lit("https://parts.example/"), k, F.lit(".json")).alias("uri"), body.alias("body"))
+
+
+@query("""
+SELECT 'https://parts.example/' || p_partkey || '.json' AS uri, 'https://json-schema.org/draft/2020-12/schema' AS draft, 'https://parts.example/' || p_partkey || '.json' AS id, CAST(p_size AS BIGINT) AS low,
+ '["brand"]' AS required, '["' || p_brand || '","any"]' AS brands, '#/$defs/size' AS size_ref, '[{"maxLength":' || p_size || ',"type":"string"}]' AS prefix, 'false' AS items, '["size"]' AS needs, '{"required":["tags"]}' AS needs_schema, 'object' AS type, false AS old_keys FROM part
+""")
+def part_schema_migration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from conform.operators.schemagraph import migrate_schemas
+
+    v = F.parse_json("body")
+    at = lambda path, kind="string": F.try_variant_get(v, path, kind)
+    text = lambda path: F.to_json(F.try_variant_get(v, path, "variant"))
+    return migrate_schemas(part_schemas(spark, sf_dir)).select(
+        "uri", at('$["$schema"]').alias("draft"), at('$["$id"]').alias("id"), at('$["$defs"]["size"]["exclusiveMinimum"]', "long").alias("low"), text("$.required").alias("required"), text("$.properties.brand.enum").alias("brands"),
+        at('$.properties.size["$ref"]').alias("size_ref"), text("$.properties.tags.prefixItems").alias("prefix"), text("$.properties.tags.items").alias("items"), text("$.dependentRequired.brand").alias("needs"), text("$.dependentSchemas.size").alias("needs_schema"), at("$.type").alias("type"),
+        F.col("body").rlike('"(id|definitions|dependencies|additionalItems|minimum)":').alias("old_keys"),
+    )
+
+
+@query("""
+WITH p AS (SELECT 'https://parts.example/' || p_partkey || '.json' AS uri, * FROM part)
+SELECT uri, '' AS owner, 'brand' AS name, 'string' AS label, 'Brand of ' || p_name AS description, '"' || p_brand || '","' || p_brand || '","any"' AS enum_values FROM p
+UNION ALL SELECT uri, '', 'size', 'size', NULL, NULL FROM p UNION ALL SELECT uri, '', 'next', 'size', NULL, NULL FROM p UNION ALL SELECT uri, '', 'tags', 'array', NULL, NULL FROM p
+""")
+def schema_properties_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from conform.operators.catalog import schema_properties
+    from conform.operators.schemagraph import schema_nodes
+
+    rows = schema_properties(schema_nodes(part_schemas(spark, sf_dir)))
+    return rows.select("uri", "owner", "name", "label", "description", F.array_join("enum_values", ",").alias("enum_values"))
+
+
+@query("""
+WITH p AS (SELECT 'https://parts.example/' || p_partkey || '.json' AS uri, p_size::VARCHAR AS v FROM part)
+SELECT uri, '/definitions/size' AS owner, 'minimum' AS keyword, v AS value FROM p UNION ALL SELECT uri, '/definitions/size', 'exclusiveMinimum', 'true' FROM p UNION ALL SELECT uri, '/properties/tags/items/0', 'maxLength', v FROM p
+""")
+def schema_constraints_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from conform.operators.catalog import schema_constraints
+    from conform.operators.schemagraph import schema_nodes
+
+    return schema_constraints(schema_nodes(part_schemas(spark, sf_dir)))
+
+
+@query("""
+WITH p AS (SELECT 'https://parts.example/' || p_partkey || '.json' AS uri FROM part)
+SELECT uri, rule, CAST(n AS BIGINT) AS n FROM p, (VALUES ('id', 1), ('definitions', 1), ('items_array', 1), ('boolean_bound', 1), ('dependencies', 1), ('required_mark', 1)) r(rule, n)
+""")
+def migrate_rule_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from conform.operators.schemagraph import rule_hits, schema_nodes
+
+    return rule_hits(schema_nodes(part_schemas(spark, sf_dir)))
+
+
+@query("""
+SELECT 'https://parts.example/' || p_partkey || '.json' AS src_uri, '/properties/next' AS src_path, 'https://parts.example/' || (p_partkey + 7) || '.json#/definitions/size' AS ref FROM part WHERE p_partkey + 7 NOT IN (SELECT p_partkey FROM part)
+""")
+def schema_dangling_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from conform.operators.schemagraph import dangling_refs, ref_edges, schema_nodes
+
+    nodes = schema_nodes(part_schemas(spark, sf_dir))
+    return dangling_refs(ref_edges(nodes), nodes)
+
+
+@query("""
+SELECT 'https://parts.example/' || p_partkey || '.json' AS uri, 'size' AS name FROM part
+""")
+def schema_used_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from conform.operators.schemagraph import schema_nodes, used_definitions
+
+    return used_definitions(schema_nodes(part_schemas(spark, sf_dir)))
+
+
+@query("""
+WITH e AS (SELECT p_brand AS dir, p_partkey, trim(lower(regexp_replace(p_name, '[^A-Za-z0-9]+', '-', 'g')), '-') AS slug FROM part)
+SELECT dir || '/' || slug AS dest, count(*) AS n FROM e GROUP BY 1 HAVING count(*) > 1
+""")
+def catalog_output_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from conform.operators.catalog import output_collisions
+
+    rows = t(spark, sf_dir, "part").select(F.concat("p_brand", F.lit("/"), T.slugify(F.col("p_name"))).alias("dest"))
+    return output_collisions(rows, "dest")
+
+
+@query("""
+SELECT window_start, instance_path, kind, count(*) AS n FROM (
+SELECT date_trunc('hour', ts) AS window_start, '/value' AS instance_path, 'maximum' AS kind FROM events WHERE value > 100
+UNION ALL SELECT date_trunc('hour', ts), '/event_type', 'enum' FROM events WHERE event_type = 'error') GROUP BY ALL
+""")
+def events_windowed_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streaming operators over a bounded table: the same plan that a stream runs."""
+    from conform.streaming.checks import stream_violations, windowed_violations
+
+    schema = {"properties": {"value": {"maximum": 100}, "event_type": {"enum": ["click", "view", "signup", "purchase"]}}}
+    found = stream_violations(t(spark, sf_dir, "events"), schema, ["event_id", "ts"], ["value", "event_type"])
+    return windowed_violations(found).select("window_start", "instance_path", "kind", "n")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders_violations(spark, sf_dir)
 

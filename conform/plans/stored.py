@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_ROOT = str(Path(__file__).resolve().parents[2])
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package where the repository is on a shared path; elsewhere pass it with ``--py-files``."""
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if _ROOT not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([_ROOT, *paths])
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:

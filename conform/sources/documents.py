@@ -173,7 +173,7 @@ def inline_schema(format_: Column, content: Column, instance: Column) -> Column:
     return F.when(format_ == "toml", comment).when(format_ == "yaml", F.coalesce(modeline, prop)).otherwise(prop)
 
 
-NODE = "pointer string, parent string, key string, pos int, depth int, jtype string, v variant"
+NODE = "struct<pointer:string,parent:string,key:string,pos:int,depth:int,jtype:string,v:variant>"
 
 
 def node_array(value: Column, deepest: int = 12) -> Column:
@@ -192,7 +192,7 @@ def node_array(value: Column, deepest: int = 12) -> Column:
         if depth >= deepest:
             return own
         below = F.flatten(F.transform(children(v), lambda c: under(c["v"], F.concat(pointer, step(c["key"])), pointer, c["key"], c["pos"], depth + 1)))
-        return F.when(below.isNull(), own).otherwise(F.concat(own, below))
+        return F.concat(own, F.coalesce(below, F.array().cast(f"array<{NODE}>")))
 
     none = F.lit(None).cast("string")
     return under(value, F.lit(""), none, none, F.lit(0), 0)
