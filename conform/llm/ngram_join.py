@@ -122,21 +122,17 @@ def signatures(docs: DataFrame, bands: int, rows: int, n: int = N, text: str = "
 
 
 def candidate_pairs(sigs: np.ndarray, group: np.ndarray, side: np.ndarray, band: np.ndarray, rows: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i < j) of the same group to compare: from different sides where the group has two, agreeing first in the
+    """Pairs of the same group to compare: from different sides where the group has two, agreeing first in the
     group's band, and in at least ``least`` of the signature. ``group`` is sorted."""
     left, right = [], []
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     for s, e in zip(starts, np.r_[starts[1:], len(group)], strict=True):
         if e - s < 2:
             continue
-        two = side[s:e].any()
-        first = sigs[s:e]
-        for i in range(e - s - 1):
-            if two and side[s + i] == 1:
-                continue
-            rest = np.arange(i + 1, e - s)
-            if two:
-                rest = rest[side[s + rest] == 1]
+        first, of = sigs[s:e], side[s:e]
+        right_side = np.flatnonzero(of == 1)
+        for i in np.flatnonzero(of == 0).tolist():
+            rest = right_side if len(right_side) else np.arange(i + 1, e - s)
             if not len(rest):
                 continue
             same = first[rest] == first[i]
