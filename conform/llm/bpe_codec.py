@@ -23,12 +23,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from conform.llm.common import ship
+from conform.llm.common import ship, tidy
 
 #: Bytes that the rolling hash sees, and the mask that a border's hash must meet: a chunk has about 2 ** 9 bytes.
 WINDOW, MASK = 16, (1 << 9) - 1
 #: Bytes of chunk texts whose identifiers a worker keeps at most.
-REMEMBERED_BYTES = 48 << 20
+REMEMBERED_BYTES = 12 << 20
 SAFE = regex.compile(r"(?<=\S) ")
 _POWERS = np.array([pow(0x9E3779B1, WINDOW - 1 - i, 1 << 32) for i in range(WINDOW)], dtype=np.uint32)
 
@@ -89,8 +89,8 @@ class ChunkCodec:
         plans = [pieces(chunks(x)) for x in texts]
         fresh = list(dict.fromkeys(x for plan in plans for x in plan if x not in self.known))
         new: dict[str, np.ndarray] = {}
-        for i in range(0, len(fresh), 4096):
-            group = fresh[i : i + 4096]
+        for i in range(0, len(fresh), 512):
+            group = fresh[i : i + 512]
             new.update(zip(group, (np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(group, add_special_tokens=False)), strict=True))
         ids = [np.concatenate([new[x] if x in new else self.known[x] for x in plan]) if plan else np.zeros(0, dtype="<u4") for plan in plans]
         size = sum(len(x) for x in fresh)
@@ -110,7 +110,7 @@ def codec(path: str) -> ChunkCodec:
     return ChunkCodec(path)
 
 
-def groups_of(texts: list[str], most: int = 4 << 20) -> Iterator[list[str]]:
+def groups_of(texts: list[str], most: int = 1 << 20) -> Iterator[list[str]]:
     """Runs of texts of about ``most`` characters: what is in memory at once follows these, not the batch."""
     group, size = [], 0
     for x in texts:
@@ -154,5 +154,6 @@ def _run(docs: DataFrame, tokenizer: str, text: str, id_col: str, schema: str, f
                 columns = form(ids, [own.decode(x) for x in ids])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(group)), *columns], ["doc_id", *names])
                 at += len(group)
+        tidy()
 
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, {schema}")

@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from conform.llm.common import WORD, materialize, ship
+from conform.llm.common import materialize, ship, tidy, WORD
 
 N, SIMILARITY, RECALL = 5, 0.8, 0.9998
 #: Representatives of a block: a task compares at most two blocks.
@@ -58,7 +58,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Distinct n-gram hashes of texts; word hashes are remembered up to a bound."""
 
-    def __init__(self, n: int = N, most: int = 500_000) -> None:
+    def __init__(self, n: int = N, most: int = 200_000) -> None:
         self.n, self.most, self.known = n, most, {}
 
     def words(self, text: str) -> np.ndarray:
@@ -116,6 +116,7 @@ def signatures(docs: DataFrame, bands: int, rows: int, n: int = N, text: str = "
                 digests.append(xxhash.xxh3_128_digest(grams.tobytes()))
                 sigs.append(signature(grams, a, b).tobytes() if len(grams) else b"")
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "th", "grams", "digest", "sig"])
+        tidy()
 
     kind = source.schema["doc_id"].dataType.simpleString()
     return materialize(source.mapInArrow(run, f"doc_id {kind}, th long, grams long, digest binary, sig binary"), "ngram-signatures")
@@ -189,6 +190,7 @@ def verified_links(classes: DataFrame, texts: DataFrame, bands: int, rows: int,
             sigs = np.frombuffer(b"".join(frame["sig"]), dtype=np.uint32).reshape(len(frame), width)
             i, j = candidate_pairs(sigs, frame["task"].to_numpy(), frame["side"].to_numpy(), frame["band"].to_numpy(), rows, least)
             yield frame.iloc[np.unique(np.r_[i, j]).astype(np.int64)][["task", "side", "band", "digest"]]
+        tidy()
 
     wanted = materialize(_side_by_side(dealt, "task").mapInPandas(needed, "task long, side int, band int, digest binary"), "ngram-wanted")
     keepers = wanted.select("digest").distinct().join(classes, "digest")
@@ -220,6 +222,7 @@ def verified_links(classes: DataFrame, texts: DataFrame, bands: int, rows: int,
                 roots = forest(e - s, x, y)
                 edge = np.flatnonzero(roots != np.arange(e - s))
                 yield pd.DataFrame({"a": [*digests[s + some], *digests[s + edge]], "b": [*[None] * len(some), *digests[s + roots[edge]]], "links": [*counts[some].astype(np.int64), *[0] * len(edge)]})
+        tidy()
 
     return materialize(_side_by_side(full, "task").mapInPandas(verified, "a binary, b binary, links long"), "ngram-links")
 

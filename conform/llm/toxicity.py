@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from conform.llm.common import id_text, materialize, ship
+from conform.llm.common import id_text, materialize, ship, tidy
 
 #: Labelled documents that the fit sees at most, and terms that the lexicon holds at most.
 SAMPLE_ROWS, MOST_TERMS = 40_000, 512
@@ -34,7 +34,7 @@ STEMS = (4, 5, 6)
 #: Words on each side of a hit that make its context.
 WINDOW = 6
 #: Words whose hit a worker remembers at most.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 FEATURES = 6
 TOKEN = regex.compile(r"\w+|[\"“”«»„‘’]")
 #: Quotation marks, and words by which text reports another's words.
@@ -263,6 +263,7 @@ def _map(docs: DataFrame, columns: list[str], schema: str, make) -> DataFrame:
         for batch in batches:
             arrays = make([x or "" for x in batch.column(len(columns)).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], *arrays.values()], [*columns, *arrays])
+        tidy()
 
     kinds = ", ".join(f"{c} {source.schema[c].dataType.simpleString()}" for c in columns)
     return source.mapInArrow(run, f"{kinds}, {schema}")
@@ -324,6 +325,7 @@ def clean_documents(docs: DataFrame, scorer: Scorer, threshold: float = 0.3, tex
         for batch in batches:
             s = scorer.scores(np.array([scorer.features(x or "") for x in batch.column(at).to_pylist()]).reshape(-1, FEATURES))
             yield batch.filter(pa.array(s < threshold))
+        tidy()
 
     return docs.mapInArrow(keep, docs.schema)
 
