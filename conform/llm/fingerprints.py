@@ -31,8 +31,12 @@ def normal_form(col: Column) -> Column:
 
 
 def canonical(col: Column) -> Column:
-    """Normal form, folded case, folded white space; normalised again, as folding may leave the normal form."""
-    return F.trim(F.regexp_replace(normal_form(F.lower(F.upper(normal_form(col)))), r"[\s\p{Z}\x1C-\x1F\x85]+", " "))
+    """Normal form, folded case, folded white space; normalised again, as folding may leave the normal form.
+
+    White space is folded between upper and lower case, as Spark would take ``lower(upper(x))`` for ``lower(x)``.
+    """
+    folded = F.lower(F.regexp_replace(F.upper(normal_form(col)), r"[\s\p{Z}\x1C-\x1F\x85]+", " "))
+    return F.trim(normal_form(folded))
 
 
 def wide_hash(col: Column) -> Column:
