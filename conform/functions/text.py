@@ -82,10 +82,10 @@ def pointer_decode(segment: Column) -> Column:
 def to_schema_pointer(path: Column) -> Column:
     """A JSON pointer, JSONPath or dotted path as a schema pointer; null for a path that is none of them."""
     full = F.when(path.startswith("$"), F.substring(path, F.lit(2), F.length(path))).otherwise(F.concat(F.lit("."), path))
-    quoted = F.regexp_replace(F.regexp_replace(full, r"\['([^']*)'\]", "/properties/$1"), r'\["([^"]*)"\]', "/properties/$1")
-    steps = F.regexp_replace(F.regexp_replace(quoted, r"\[[^\]'\"]*\]", "/items"), r"\.([^.\[/]+)", "/properties/$1")
-    fine = full.rlike(r"""^(\.[^.\[]+|\[[^\]'"]*\]|\['[^']*'\]|\["[^"]*"\])*$""")
-    return F.when(path.startswith("/"), path).when(fine, steps)
+    step = r"""\.[^.\[]+|\[[^\]'"]*\]|\['[^']*'\]|\["[^"]*"\]"""
+    name = lambda s: F.regexp_replace(F.regexp_replace(s, r"""^(\.|\[['"])""", "/properties/"), r"""['"]\]$""", "")
+    steps = F.transform(F.regexp_extract_all(full, F.lit(f"({step})"), F.lit(1)), lambda s: F.when(s.rlike(r"""^\[[^'"]"""), F.lit("/items")).when(s == "[]", F.lit("/items")).otherwise(name(s)))
+    return F.when(path.startswith("/"), path).when(full.rlike(f"^({step})*$"), F.array_join(steps, ""))
 
 
 def instance_prefix(schema_pointer: Column) -> Column:

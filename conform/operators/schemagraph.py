@@ -350,11 +350,12 @@ def flatten_all_of(nodes: DataFrame) -> DataFrame:
 
     ``rank`` 0 is the root's own; the first writer of a name wins, as a left-biased merge does.
     """
-    branches = nodes.filter((F.col("gpkey").isNull()) & (F.col("pkey").isNull()) & F.col("parent").eqNullSafe(F.lit("/allOf"))).select("uri", "id", F.col("pos").alias("rank"))
+    branches = nodes.filter("parent = '/allOf'").select("uri", "id", F.col("pos").alias("rank"))
     found = lookup_pointer(nodes, branches).join(branches, ["uri", "id"]).select("uri", F.col("found").alias("owner"), (F.col("rank") + 1).alias("rank"))
     owners = found.unionByName(nodes.filter("parent IS NULL").select("uri", F.lit("").alias("owner"), F.lit(0).cast("long").alias("rank")))
-    props = nodes.join(owners, (nodes["uri"] == owners["uri"]) & (nodes["parent"] == F.concat("owner", F.lit("/properties")))).select(nodes["uri"], F.lit("property").alias("kind"), F.col("key").alias("name"), F.col("id").alias("from_id"), "rank", "pos")
-    names = nodes.join(owners, (nodes["uri"] == owners["uri"]) & (nodes["parent"] == F.concat("owner", F.lit("/required")))).select(nodes["uri"], F.lit("required").alias("kind"), _unquoted(F.col("text")).alias("name"), F.col("id").alias("from_id"), "rank", "pos")
+    owners = stored(owners.withColumnRenamed("uri", "__uri"), "branches")
+    props = nodes.join(owners, (F.col("uri") == F.col("__uri")) & (F.col("parent") == F.concat("owner", F.lit("/properties")))).select("uri", F.lit("property").alias("kind"), F.col("key").alias("name"), F.col("id").alias("from_id"), "rank", "pos")
+    names = nodes.join(owners, (F.col("uri") == F.col("__uri")) & (F.col("parent") == F.concat("owner", F.lit("/required")))).select("uri", F.lit("required").alias("kind"), _unquoted(F.col("text")).alias("name"), F.col("id").alias("from_id"), "rank", "pos")
     first = F.row_number().over(Window.partitionBy("uri", "kind", "name").orderBy("rank", "pos"))
     return props.unionByName(names).withColumn("__n", first).filter("__n = 1").select("uri", "kind", "name", "from_id", "rank")
 

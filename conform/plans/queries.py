@@ -646,6 +646,84 @@ def events_windowed_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windowed_violations(found).select("window_start", "instance_path", "kind", "n")
 
 
+# -- reports, annotation, stores --------------------------------------------
+
+
+@query(_FINDINGS + """
+SELECT 'error: ' || path || ': ' || message || CASE WHEN code = 'validation' THEN ' (at ' || ip || ')' ELSE '' END AS value FROM f
+""")
+def findings_text_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.text_report(_all_findings(spark, sf_dir))
+
+
+@query("""
+SELECT '::error file=orders/' || o_orderkey || '.json,line=2,col=3,title=/status::value is not one of: "F", "O"' AS value FROM orders WHERE o_orderstatus NOT IN ('F', 'O')
+UNION ALL SELECT '::error file=orders/' || o_orderkey || '.json,line=3,col=3,title=/price::value is greater than the maximum of 450000' FROM orders WHERE o_totalprice > 450000
+""")
+def orders_command_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places are found in the documents' text, which is joined back only to those with errors."""
+    content = F.concat(F.lit('{\n  "status": "'), "o_orderstatus", F.lit('",\n  "price": '), F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.lit("\n}"))
+    docs = t(spark, sf_dir, "orders").select(F.concat(F.lit("orders/"), F.col("o_orderkey").cast("string"), F.lit(".json")).alias("path"), content.alias("content"))
+    schema = {"properties": {"status": {"enum": ["F", "O"]}, "price": {"maximum": 450000}}}
+    found = V.validate_one(docs.withColumn("instance", S.parse_jsonc(F.col("content"))), schema, ["path"])
+    return D.command_report(D.diagnostics([("validation", D.with_places(found, docs))]))
+
+
+@query("""
+SELECT event_id, CASE WHEN event_type = 'click' THEN 'skipped' WHEN event_type = 'view' THEN 'updated' ELSE 'annotated' END AS outcome,
+ CASE WHEN event_type = 'click' THEN '{"$schema": "u", ' || substr(props, 2) ELSE '{"$schema": "https://schemas.example/props.json", ' || substr(props, 2) END AS new_content FROM events
+""")
+def events_annotate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from conform.operators.annotate import annotate, annotated
+
+    old = F.when(F.col("event_type") == "click", F.lit("u")).when(F.col("event_type") == "view", F.lit("old"))
+    uri = F.when(F.col("event_type") != "click", F.lit("https://schemas.example/props.json")).otherwise(F.lit("u"))
+    rows = t(spark, sf_dir, "events").select("event_id", F.lit("jsonc").alias("format"), F.coalesce(annotated(F.lit("jsonc"), F.col("props"), old), F.col("props")).alias("content"), old.alias("inline_uri"), uri.alias("schema_uri"))
+    return annotate(rows, update=True).select("event_id", "outcome", "new_content")
+
+
+@query("""
+SELECT url AS uri, CASE WHEN page_id % 3 = 0 THEN '{"v":2}' ELSE '{"v":1}' END AS body, page_id % 3 = 0 AS changed, page_id % 3 = 1 AS stale FROM (SELECT url, min(page_id) AS page_id FROM pages GROUP BY url)
+""")
+def pages_schema_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the stored schemas has a new body, a third is old and was not landed, a third is fresh."""
+    from conform.operators.incremental import refresh_schema_store
+
+    at = lambda x: F.to_timestamp(F.lit(x))
+    uris = t(spark, sf_dir, "pages").groupBy(F.col("url").alias("uri")).agg((F.min("page_id") % 3).alias("k"))
+    store = uris.select("uri", F.lit('{"v":1}').alias("body"), F.when(F.col("k") == 2, at("2024-01-02 09:00:00")).otherwise(at("2024-01-01 00:00:00")).alias("fetched_at"))
+    landed = uris.filter("k <> 1").select("uri", F.when(F.col("k") == 0, '{"v":2}').otherwise('{"v":3}').alias("body"), at("2024-01-02 10:00:00").alias("fetched_at"))
+    return refresh_schema_store(store, landed, at("2024-01-02 10:00:00")).select("uri", "body", "changed", "stale")
+
+
+@query("""
+WITH r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS line, turn FROM conversations)
+SELECT 'c/' || conv_id || '.jsonl' AS path, coalesce(CAST(min(line) FILTER (turn % 5 = 3) AS BIGINT), 0) AS first_bad, count(*) AS lines FROM r GROUP BY conv_id
+""")
+def conversations_rejected_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose first bad line rejects them, and the lines of all."""
+    line = F.when(F.col("turn") % 5 == 3, F.lit("{bad")).otherwise(F.concat(F.lit('{"turn": '), F.col("turn").cast("string"), F.lit("}")))
+    rows = t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("x"))
+    files = rows.select(F.col("conv_id").alias("doc_id"), F.concat(F.lit("c/"), F.col("conv_id").cast("string"), F.lit(".jsonl")).alias("path"), F.array_join(F.transform("x", lambda e: e["line"]), "\n").alias("content"))
+    lines = S.explode_jsonl(files)
+    _, bad = S.jsonl_failures(lines)
+    per = lines.groupBy("path").agg(F.count(F.lit(1)).alias("lines"))
+    return per.join(bad.select("path", F.col("line").cast("long").alias("first_bad")), "path", "left").select("path", F.coalesce("first_bad", F.lit(0)).cast("long").alias("first_bad"), "lines")
+
+
+@query("""
+SELECT p_name AS n, min('Part ' || p_type) AS d, '**/*.' || lower(replace(p_brand, '#', '')) AS f, p_brand || '/' || p_partkey || '/' AS u, CASE WHEN p_size > 10 THEN p_type END AS g FROM part GROUP BY p_name, p_brand, p_partkey, p_size, p_type
+""")
+def part_search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from conform.operators.catalog import search_index
+
+    rows = t(spark, sf_dir, "part")
+    key = F.concat("p_name", F.lit("#"), F.col("p_partkey").cast("string"))
+    entries = rows.select(key.alias("name"), F.concat(F.lit("Part "), "p_type").alias("description"), F.concat(F.lit("https://s/"), "p_brand", F.lit("/"), F.col("p_partkey").cast("string"), F.lit("/latest.json")).alias("url"), F.array(F.concat(F.lit("**/*."), F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))))).alias("file_match"))
+    members = rows.filter("p_size > 10").select(F.col("p_type").alias("group"), key.alias("name"))
+    return search_index(entries, members, "https://s/").withColumn("n", F.substring_index("n", "#", 1))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders_violations(spark, sf_dir)
 

@@ -83,8 +83,8 @@ class Compiler:
         simple: list[Column] = []
         nested: list[Column] = []
 
-        def bad(when: Column, keyword: str, kind: str, message: str, **params: Any) -> None:
-            simple.append(_violation(node.present() & when, path, f"{at}/{keyword}", kind, message, params))
+        def bad(when: Column, where: str, kind: str, message: str | Column, /, **params: Any) -> None:
+            simple.append(_violation(node.present() & when, path, f"{at}/{where}", kind, message, params))
 
         def sub(child: Any, to: Any, where: Column, step: str, deeper: int = 0) -> Column:
             return _joined(self._walk(child, to, where, f"{at}/{step}", base, root, depth + deeper))

@@ -36,8 +36,9 @@ def excluded(path: Column, patterns: Sequence[str]) -> Column:
 
 
 def scan_documents(spark: SparkSession, paths: Sequence[str] = (".",), exclude: Sequence[str] = (), known_only: bool = True) -> DataFrame:
-    """``doc_id, path, content, io_error`` of the files under the given paths, each once; ``.git`` is skipped, dotfiles are not.
+    """``doc_id, path, content, io_error`` of the files under the given paths, each once; ``.git`` is skipped.
 
+    Spark's file sources never list names that begin with a dot or an underscore; a landing job has to rename those.
     The filters are on the path, before contents are decoded. Contents that are no UTF-8 become error rows.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).load(list(paths) or ["."])

@@ -19,7 +19,7 @@ def stream_violations(events: DataFrame, schema: Any, keep: list[str], columns:
 
 def windowed_violations(violations: DataFrame, time: str = "ts", late: str = "10 minutes", window: str = "1 hour") -> DataFrame:
     """Violations by tumbling window, path and kind; a window is complete when the watermark has passed it."""
-    rows = violations.withWatermark(time, late).groupBy(F.window(time, window).alias("w"), "instance_path", "kind").agg(F.count(F.lit(1)).alias("n"))
+    rows = violations.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, window).alias("w"), "instance_path", "kind").agg(F.count(F.lit(1)).alias("n"))
     return rows.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "instance_path", "kind", "n")
 
 
