@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -161,17 +160,6 @@ def ordered_parts_match(pattern: str, text: Column) -> Column:
     return text.rlike("(?s)^" + "".join(steps) + ("" if pattern.endswith("**") else r"\z"))
 
 
-@dataclass(frozen=True)
-class Pattern:
-    """One pattern of a set, and how it can be matched."""
-
-    ordinal: int
-    pattern: str
-    strategy: str
-    key: str
-    regex: str
-
-
 _LITERAL = re.compile(r"^[^*?\[\]{}!\\]+$")
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from conform.functions.text import escape_command, forward_slashes, label, line_col, pointer_span
+from conform.plans.stored import numbered
 
 #: Titles of the codes, fixed by the report's format.
 TITLES = {"parse": "parse error", "validation": "validation error", "schema_mismatch": "schema mismatch", "io": "io error", "schema_fetch": "schema fetch error", "schema_compile": "schema compile error", "format": "format error"}
@@ -72,16 +73,10 @@ def command_report(rows: DataFrame) -> DataFrame:
 
 
 def annotations(rows: DataFrame) -> DataFrame:
-    """Annotation rows ``batch, path, start_line, end_line, annotation_level, message, title`` in batches of 50.
-
-    Ranks are counted in two steps (files, then rows of a file), so no task orders all rows.
-    """
-    per = rows.groupBy("path").agg(F.count(F.lit(1)).alias("__n"))
-    before = per.select("path", (F.sum("__n").over(Window.orderBy("path")) - F.col("__n")).alias("__before"))  # a row for each file with errors
-    at = F.row_number().over(Window.partitionBy("path").orderBy(F.coalesce("offset", F.lit(0)), "code", "message", "instance_path"))
-    ranked = rows.withColumn("__at", at).join(before, "path")
+    """Annotation rows ``batch, path, start_line, end_line, annotation_level, message, title`` in batches of 50, by path and offset."""
+    ranked = numbered(rows.withColumns({"__off": F.coalesce("offset", F.lit(0)), "__at": F.coalesce("instance_path", F.lit(""))}), ["path", "__off", "code", "message", "__at"], "__i")
     line = F.coalesce("line", F.lit(1))
-    return ranked.select(F.floor((F.col("__before") + F.col("__at") - 1) / BATCH).alias("batch"), forward_slashes(F.col("path")).alias("path"), line.alias("start_line"), line.alias("end_line"), F.lit("failure").alias("annotation_level"), "message", _title().alias("title"))
+    return ranked.select(F.floor(F.col("__i") / BATCH).alias("batch"), forward_slashes(F.col("path")).alias("path"), line.alias("start_line"), line.alias("end_line"), F.lit("failure").alias("annotation_level"), "message", _title().alias("title"))
 
 
 def markdown_summary(notes: DataFrame, files_checked: int, ms: int) -> DataFrame:

@@ -45,7 +45,6 @@ class Compiler:
 
     def compile(self, schema: Any, node: Any, base: str = "", root: Any = None) -> Column:
         """All violations of one value: ``array<struct<instance_path, schema_path, kind, message, params>>``."""
-        self._root = schema if root is None else root
         return _joined(self._walk(schema, node, F.lit(""), "", base, schema if root is None else root, 0))
 
     # -- helpers -----------------------------------------------------------
