@@ -390,6 +390,19 @@ def test_language_model(spark):
     assert lm.score_documents(df.limit(0), learn).count() == 0
 
 
+def test_every_window_reaches_the_weights():
+    class Flat:
+        net_counts, shape_counts = np.ones(lm.NET_WORDS), np.ones(lm.SHAPES)
+
+    start = lm.initial(Flat)
+    tokens = np.repeat(np.arange(1, 7), lm.WINDOW)  # a symbol of its own in each of six windows
+    trainer = lm.Trainer({k: v.copy() for k, v in start.items()}, {k: np.zeros_like(v) for k, v in start.items()})
+    trainer.run(tokens, np.array([len(tokens)]))
+    assert (trainer.p["G"][1:7] != start["G"][1:7]).any(axis=1).all()
+    assert (trainer.squares["W"][1:7] > 0).any(axis=1).all()
+    assert trainer.seen == len(tokens)
+
+
 def test_gradients_are_right():
     rng = np.random.default_rng(0)
 
