@@ -46,8 +46,15 @@ def edits_allowed(term: str) -> int:
     return 0 if len(term) < 5 else 1 if len(term) < 8 else 2
 
 
+def stem_edits(stem: str) -> int:
+    """As many as the shortest word that a stem stands for."""
+    return edits_allowed(stem + "?")
+
+
 #: States of the automaton that a worker keeps at most.
 MOST_STATES = 200_000
+#: In a state, in place of an owed letter: the stem of the node is found, whatever letters follow.
+FOUND = "*"
 #: Edits that mark "a letter of a swapped pair is still owed" in a state: (node, edits, letter).
 State = frozenset[tuple[int, int, str]]
 
@@ -56,15 +63,16 @@ State = frozenset[tuple[int, int, str]]
 class Trie:
     """Nodes as dictionaries; a terminal holds its term's number, a stem's terminal also accepts all longer words.
 
-    The Levenshtein automata of all whole terms run along the trie together: a state is the set of (node, edits) that the letters
+    The Levenshtein automata of all terms run along the trie together (a stem's accepts every word that begins within its edits): a state is the set of (node, edits) that the letters
     read so far can reach, built when first met and kept. A word that is near no term soon meets the empty state.
     """
 
     after: list[dict[str, int]] = field(default_factory=lambda: [{}])
     word: list[int] = field(default_factory=lambda: [-1])
     stem: list[int] = field(default_factory=lambda: [-1])
-    limit: list[int] = field(default_factory=lambda: [0])  # the most edits that a whole term below allows
+    limit: list[int] = field(default_factory=lambda: [0])  # the most edits that a term below allows
     terms: list[str] = field(default_factory=list)
+    edits: list[int] = field(default_factory=list)  # that each term allows
     moves: list[dict[str, int]] = field(default_factory=list)
     states: list[State] = field(default_factory=list)
     number: dict[State, int] = field(default_factory=dict)
@@ -73,7 +81,7 @@ class Trie:
         return self.__dict__ | {"moves": [], "states": [], "number": {}}
 
     def add(self, term: str, is_stem: bool) -> None:
-        edits = 0 if is_stem else edits_allowed(term)
+        edits = stem_edits(term) if is_stem else edits_allowed(term)
         at = 0
         for c in term:
             self.limit[at] = max(self.limit[at], edits)
@@ -87,6 +95,7 @@ class Trie:
         self.limit[at] = max(self.limit[at], edits)
         (self.stem if is_stem else self.word)[at] = len(self.terms)
         self.terms.append(term + "*" if is_stem else term)
+        self.edits.append(edits)
 
     def _state(self, reached: dict[tuple[int, str], int]) -> int:
         """Close a set over skipped letters of terms, and number it."""
@@ -99,6 +108,10 @@ class Trie:
                 if edits + 1 <= self.limit[child] and reached.get((child, ""), 9) > edits + 1:
                     reached[child, ""] = edits + 1
                     todo.append(((child, ""), edits + 1))
+        for (node, owed), edits in list(reached.items()):
+            k = self.stem[node]
+            if not owed and k >= 0 and edits <= self.edits[k]:
+                reached[node, FOUND] = min(edits, reached.get((node, FOUND), 9))
         state = frozenset((n, e, o) for (n, o), e in reached.items())
         if state not in self.number:
             self.number[state] = len(self.states)
@@ -115,7 +128,9 @@ class Trie:
 
         for node, edits, owed in self.states[at]:
             if owed:
-                if owed == c:
+                if owed == FOUND:
+                    reach(node, edits, FOUND)
+                elif owed == c:
                     reach(node, edits)
                 continue
             reach(node, edits + 1)  # c is one letter too many
@@ -126,7 +141,7 @@ class Trie:
         return self._state(reached)
 
     def find(self, word: str) -> tuple[int, int] | None:
-        """The nearest term and its distance: a whole term, a stem, or a term within its allowed edits."""
+        """The nearest term and its distance: a whole term, a stem, or either within its allowed edits."""
         at, stem = 0, -1
         for c in word:
             at = self.after[at].get(c, -1)
@@ -151,10 +166,12 @@ class Trie:
             if not to:
                 return None
             at = to
-        ends = [(e, self.word[n]) for n, e, owed in self.states[at] if not owed and self.word[n] >= 0 and e <= edits_allowed(self.terms[self.word[n]])]
+        ends = [(e, False, self.word[n]) for n, e, owed in self.states[at] if not owed and self.word[n] >= 0 and e <= self.edits[self.word[n]]]
+        # a word that lacks a letter of the stem and has none after it is no inflection
+        ends += [(e, True, self.stem[n]) for n, e, owed in self.states[at] if owed == FOUND and len(word) >= len(self.terms[self.stem[n]]) - 1]
         if not ends:
             return None
-        edits, k = min(ends)
+        edits, _, k = min(ends)
         return k, edits
 
 
@@ -241,7 +258,8 @@ def mine_terms(sample: DataFrame) -> list[tuple[str, bool]]:
 
 def choose_terms(found: dict[str, int]) -> list[tuple[str, bool]]:
     """From marked terms (``w`` before words, the length before stems) with their toxic documents: stems that say more than
-    any one word of theirs, as long as they can be without losing documents, then the words that no stem covers."""
+    any one word of theirs, as long as they can be without losing documents, then the words that no stem covers. The words that a
+    kept stem covers stay beside it, over and above ``MOST_TERMS``: misspellings are nearer to a word than to its stem."""
     words = {t[1:]: a for t, a in found.items() if t[0] == "w"}
     stems = {t[1:]: a for t, a in found.items() if t[0] != "w"}
     kept: list[str] = []
@@ -252,7 +270,9 @@ def choose_terms(found: dict[str, int]) -> list[tuple[str, bool]]:
         kept.append(max(longer, key=len))
     alone = [w for w in words if not any(w.startswith(s) for s in kept)]
     ranked = sorted([(w, False, words[w]) for w in alone] + [(x, True, stems[x]) for x in kept], key=lambda x: (-x[2], x[0]))
-    return [(t, s) for t, s, _ in ranked[:MOST_TERMS]]
+    top = [(t, s) for t, s, _ in ranked[:MOST_TERMS]]
+    stemmed = tuple(t for t, s in top if s)
+    return top + [(w, False) for w in sorted(words, key=lambda w: (-words[w], w)) if w.startswith(stemmed)]
 
 
 def _map(docs: DataFrame, columns: list[str], schema: str, make) -> DataFrame:
@@ -291,8 +311,8 @@ def fit_scorer(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "t
     for r in counts:
         scorer.weights[r.hit // 4, r.hit % 4] = max(0.0, math.log((r.a + 0.5) / (r.n - r.a + 0.5)) - base)
     if trie.terms:  # a misspelling that the sample lacks: as its term, less for each edit
-        for k, term in enumerate(trie.terms):
-            for d in range(1, edits_allowed(term) + 1 if not term.endswith("*") else 1):
+        for k in range(len(trie.terms)):
+            for d in range(1, trie.edits[k] + 1):
                 scorer.weights.setdefault((k, d), scorer.weights.get((k, 0), 0.0) * 0.7**d)
         rows = _map(sample, ["toxic"], "features array<double>", lambda texts: {"features": pa.array([scorer.features(x) for x in texts], pa.list_(pa.float64()))}).toPandas()
         if len(rows) and 0 < rows.toxic.sum() < len(rows):

@@ -353,6 +353,52 @@ def test_automaton_finds_what_edit_distance_finds():
     assert trie.find("loweiheit") == (3, 0)
 
 
+def test_misspelled_inflections_are_found():
+    stems = ("idio", "lowei", "schurk")
+    trie = tx.Trie()
+    for s in stems:
+        trie.add(s, True)
+
+    def beginning(w, s):
+        """The least number of edits that makes a beginning of ``w`` the stem."""
+        d = [[i + j if 0 in (i, j) else 0 for j in range(len(s) + 1)] for i in range(len(w) + 1)]
+        for i in range(1, len(w) + 1):
+            for j in range(1, len(s) + 1):
+                d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (w[i - 1] != s[j - 1]))
+                if i > 1 and j > 1 and w[i - 1] == s[j - 2] and w[i - 2] == s[j - 1]:
+                    d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+        return min(row[-1] for row in d)
+
+    rng = random.Random(5)
+    for _ in range(3000):
+        w = list(rng.choice(stems) + rng.choice(["tic", "ten", "heit", ""]))
+        for _ in range(rng.randint(0, 2)):
+            k = rng.randrange(len(w) + 1)
+            w[k : k + rng.randint(0, 1)] = rng.choice(["", "x", "i", "e"])
+        w = "".join(w)
+        best = min((beginning(w, s) for s in stems if beginning(w, s) <= 1 and len(w) >= len(s)), default=None)
+        found = trie.find(w)
+        assert (found and found[1]) == best, (w, found, best)
+    assert trie.find("idoitic") == (0, 1) and trie.find("idi") is None
+
+    terms = tx.choose_terms({"4idio": 100, "widiot": 50, "widiotic": 40, "wother": 9})
+    assert terms == [("idio", True), ("other", False), ("idiot", False), ("idiotic", False)]
+    both = tx.Trie()
+    for term in terms:
+        both.add(*term)
+    assert both.find("idoitic") == (3, 1) and both.find("idiotism") == (0, 0)
+
+
+def test_misspelled_inflections_score(spark):
+    rng = random.Random(6)
+    clean = [f"{a}{b}{c}" for a in "ka mo ri te su".split() for b in "na lo pi".split() for c in "den ras tim".split()]
+    rows = [(i, " ".join([rng.choice(clean) for _ in range(30)] + (["zqyx" + rng.choice(["abe", "cde", "efe", "ghe", "ije"])] * 3 if i % 4 == 0 else []))) for i in range(800)]
+    labels = [(i, int(i % 4 == 0)) for i, _ in rows]
+    rows += [(5000, " ".join([*clean[:20], "zqxyabe zyqxcde zqyyefe"])), (5001, " ".join(clean[:20]))]
+    got = {r.doc_id: r.predicted for r in tx.score_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert (got[5000], got[5001]) == (1, 0)
+
+
 def test_quotation_counts_apart():
     trie = tx.Trie()
     trie.add("idiot", False)
