@@ -5,8 +5,9 @@ passage that several documents share gives the same chunks wherever it stands. A
 once and keeps it in a bounded memory. A cut may fall inside a token, so the ends of a chunk cannot be trusted: a
 chunk's own identifiers are used between its first and last *safe* points (a space after a character that is no white
 space; byte-level pre-tokens never reach across one), and each join is repaired by encoding again the stretch between the
-neighbouring safe points. The stretch grows over as many chunks as it takes until both its ends are safe, where the
-encoding of the joined text and of its parts agree exactly.
+neighbouring safe points. The stretch grows over as many chunks as it takes until both its ends are safe. That the joins are right is not
+taken for granted: at each the words on both sides are encoded together, and their identifiers compared with those that the two pieces
+have there. Where they differ the pieces become one, which is encoded again, until all joins agree exactly.
 
 Defined cases: a null or empty text has 0 identifiers and decodes to the empty text; a null ``doc_id`` stays null;
 repeated rows give repeated results; no row gives no row; other columns are ignored. Texts are encoded whole.
@@ -30,6 +31,8 @@ WINDOW, MASK = 16, (1 << 9) - 1
 #: Bytes of chunk texts whose identifiers a worker keeps at most.
 REMEMBERED_BYTES = 12 << 20
 SAFE = regex.compile(r"(?<=\S) ")
+#: The same, searched from the end.
+LAST_SAFE = regex.compile(r"(?r)(?<=\S) ")
 _POWERS = np.array([pow(0x9E3779B1, WINDOW - 1 - i, 1 << 32) for i in range(WINDOW)], dtype=np.uint32)
 
 
@@ -59,9 +62,7 @@ def pieces(parts: list[str]) -> list[str]:
         if first is None:
             open_ += part
             continue
-        last = part.rfind(" ")
-        while part[last - 1].isspace():
-            last = part.rfind(" ", 0, last)
+        last = LAST_SAFE.search(part).start()
         out.append(open_ + part[: first.start()])
         if last > first.start():
             out.append(part[first.start() : last])
@@ -70,6 +71,12 @@ def pieces(parts: list[str]) -> list[str]:
     return [x for x in out if x]
 
 
+def ends_of(piece: str) -> tuple[str, str]:
+    """What stands before a piece's first inner safe point, and what after its last; the piece itself if it has none."""
+    first, last = SAFE.search(piece, 1), LAST_SAFE.search(piece, 1)
+    return (piece[: first.start()], piece[last.start() :]) if first else (piece, piece)
+
+
 class ChunkCodec:
     """Encodes with a bounded memory of chunks."""
 
@@ -85,19 +92,51 @@ class ChunkCodec:
         self.known: dict[str, np.ndarray] = {}
         self.held = 0
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        plans = [pieces(chunks(x)) for x in texts]
-        fresh = list(dict.fromkeys(x for plan in plans for x in plan if x not in self.known))
-        new: dict[str, np.ndarray] = {}
+    def _add(self, new: dict[str, np.ndarray], wanted: list[str]) -> None:
+        """Put the identifiers of all wanted strings into ``new``, encoding those that are not remembered."""
+        wanted = [x for x in dict.fromkeys(wanted) if x not in new]
+        new.update((x, self.known[x]) for x in wanted if x in self.known)
+        fresh = [x for x in wanted if x not in new]
         for i in range(0, len(fresh), 512):
             group = fresh[i : i + 512]
             new.update(zip(group, (np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(group, add_special_tokens=False)), strict=True))
-        ids = [np.concatenate([new[x] if x in new else self.known[x] for x in plan]) if plan else np.zeros(0, dtype="<u4") for plan in plans]
-        size = sum(len(x) for x in fresh)
+
+    def _agreed(self, plans: list[list[str]], new: dict[str, np.ndarray]) -> tuple[list[list[str]], bool]:
+        """Compare both sides of every join; pieces whose join does not agree become one."""
+        ends = {x: ends_of(x) for x in {x for plan in plans if len(plan) > 1 for x in plan}}
+        joins = {(ends[a][1], ends[b][0]) for plan in plans for a, b in zip(plan, plan[1:], strict=False)}
+        self._add(new, [x for pair in ends.values() for x in pair])
+        self._add(new, [a + b for a, b in joins])
+        as_bytes = lambda x: new[x].tobytes()
+        same = {(a, b): as_bytes(a + b) == as_bytes(a) + as_bytes(b) for a, b in joins}
+        begins = {x: as_bytes(x).startswith(as_bytes(head)) for x, (head, _) in ends.items()}
+        closes = {x: as_bytes(x).endswith(as_bytes(tail)) for x, (_, tail) in ends.items()}
+        out, changed = [], False
+        for plan in plans:
+            merged = plan[:1]
+            for a, b in zip(plan, plan[1:], strict=False):
+                if closes[a] and begins[b] and same[ends[a][1], ends[b][0]]:
+                    merged.append(b)
+                else:
+                    merged[-1] += b
+                    changed = True
+            out.append(merged)
+        return out, changed
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        plans = [pieces(chunks(x)) for x in texts]
+        new: dict[str, np.ndarray] = {}
+        changed = True
+        while changed:
+            self._add(new, [x for plan in plans for x in plan])
+            plans, changed = self._agreed(plans, new)
+        ids = [np.concatenate([new[x] for x in plan]) if plan else np.zeros(0, dtype="<u4") for plan in plans]
+        fresh = {x: v for x, v in new.items() if x not in self.known}
+        size = sum(map(len, fresh))
         if self.held + size > REMEMBERED_BYTES:
             self.known, self.held = {}, 0
         if size <= REMEMBERED_BYTES:
-            self.known.update(new)
+            self.known.update(fresh)
             self.held += size
         return ids
 

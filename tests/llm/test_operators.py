@@ -75,6 +75,22 @@ def test_chunks_are_shared_and_joins_repaired():
         assert codec.encode([text])[0].tolist() == codec.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_pieces_lose_nothing_at_separators():
+    for part in ("abc\x1f def", "a\x1f \n", "a b\x1c  c", "x\x1d y\x1e z", " \x1f  "):
+        assert "".join(bpe_codec.pieces([part, "tail"])) == part + "tail"
+
+
+def test_joins_that_do_not_agree_are_encoded_again(monkeypatch):
+    own = bpe_codec.ChunkCodec(tokenizer_path())
+    whole = lambda t: own.tokenizer.encode(t, add_special_tokens=False).ids
+    rng = random.Random(12)
+    texts = ["".join(rng.choice(["the", "ing", " of", "  ", "\x1f ", "\x1c", " naïve", "東京", "\n", "'ll", "12345"]) for _ in range(700)) for _ in range(6)]
+    for cut in (bpe_codec.pieces, lambda parts: parts):  # second: joins inside words
+        monkeypatch.setattr(bpe_codec, "pieces", cut)
+        own.known, own.held = {}, 0
+        assert [x.tolist() for x in own.encode(texts)] == [whole(t) for t in texts]
+
+
 def test_fingerprints(spark, docs, plain):
     got = fp.fingerprint_likeness(docs).collect()
     order = sorted(plain, key=lambda r: (r[0] is None, -(r[0] or 0)))
