@@ -19,6 +19,8 @@ import conform.llm.gru_lm as lm
 import conform.llm.ngram_join as nj
 import conform.llm.source_mixing as sm
 import conform.llm.toxicity as tx
+from public_tokenizers import PATTERN
+
 from conform.llm import bpe_codec, media_columns, rendezvous, token_counts, warc_zip
 from conform.llm.queries import tokenizer_path
 
@@ -69,10 +71,12 @@ def test_chunks_are_shared_and_joins_repaired():
     shared = " ".join(rng.choice(WORDS) for _ in range(3000))
     a, b = bpe_codec.chunks("one " + shared), bpe_codec.chunks("quite another start " + shared)
     assert len(set(a) & set(b)) > 0.8 * len(a)
-    codec = bpe_codec.codec(tokenizer_path())
+    codec = bpe_codec.codec(tokenizer_path(), PATTERN)
     for text in ["x" * 5000, "a b" * 900, "\n \n" * 700, shared, "é" * 3000, "<|endoftext|>" * 300]:
         assert "".join(bpe_codec.pieces(bpe_codec.chunks(text))) == text
-        assert codec.encode([text])[0].tolist() == codec.tokenizer.encode(text, add_special_tokens=False).ids
+        (ids,) = codec.encode([text])
+        assert np.frombuffer(ids, "<u4").tolist() == codec.tokenizer.encode(text, add_special_tokens=False).ids
+        assert codec.decode(ids) == text
 
 
 def test_pieces_lose_nothing_at_separators():
@@ -81,14 +85,22 @@ def test_pieces_lose_nothing_at_separators():
 
 
 def test_joins_that_do_not_agree_are_encoded_again(monkeypatch):
-    own = bpe_codec.ChunkCodec(tokenizer_path())
+    own = bpe_codec.ChunkCodec(tokenizer_path(), PATTERN)
     whole = lambda t: own.tokenizer.encode(t, add_special_tokens=False).ids
     rng = random.Random(12)
     texts = ["".join(rng.choice(["the", "ing", " of", "  ", "\x1f ", "\x1c", " naïve", "東京", "\n", "'ll", "12345"]) for _ in range(700)) for _ in range(6)]
     for cut in (bpe_codec.pieces, lambda parts: parts):  # second: joins inside words
         monkeypatch.setattr(bpe_codec, "pieces", cut)
-        own.known, own.held = {}, 0
-        assert [x.tolist() for x in own.encode(texts)] == [whole(t) for t in texts]
+        own.pieces = bpe_codec.Memory(20_000)  # so small that both generations are forgotten many times
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [whole(t) for t in texts]
+
+
+def test_memory_forgets_what_is_not_used():
+    memory = bpe_codec.Memory(40)
+    for i in range(100):
+        memory.put(f"{i:04}", b"x")
+        assert memory.get("0000") == b"x"
+    assert memory.get("0050") is None and len(memory.young) + len(memory.old) <= 11
 
 
 def test_fingerprints(spark, docs, plain):
