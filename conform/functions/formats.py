@@ -12,6 +12,12 @@ _LABEL = r"[A-Za-z0-9]([A-Za-z0-9-]{0,61}[A-Za-z0-9])?"
 _TIME = r"([01]\d|2[0-3]):[0-5]\d:([0-5]\d|60)(\.\d+)?([Zz]|[+-]([01]\d|2[0-3]):[0-5]\d)"
 
 
+_URI_CHAR = r"[!#$&-;=?-Z\[\]_a-z~]"
+_IRI_CHAR = r"[!#$&-;=?-Z\[\]_a-z~\x{A0}-\x{10FFFD}]"
+_IDN_LABEL = r"[\p{L}\p{M}\p{N}](?:[\p{L}\p{M}\p{N}\u00B7-]{0,61}[\p{L}\p{M}\p{N}])?"
+_VARIABLE = r"(?:[A-Za-z0-9_.]|%[0-9A-Fa-f]{2})++(?:\*|:[1-9][0-9]{0,3})?"
+
+
 def _matches(pattern: str) -> Callable[[Column], Column]:
     return lambda c: c.rlike(pattern)
 
@@ -36,8 +42,14 @@ FORMATS: dict[str, Callable[[Column], Column]] = {
     "hostname": lambda c: c.rlike(rf"^{_LABEL}(\.{_LABEL})*\.?$") & (F.length(c) <= 253),
     "ipv4": _matches(rf"^{_OCTET}(\.{_OCTET}){{3}}$"),
     "ipv6": _ipv6,
-    "uri": _matches(r"^[A-Za-z][A-Za-z0-9+.-]*:([^\s<>\"{}|\\^`%]|%[0-9A-Fa-f]{2})*$"),
-    "uri-reference": _matches(r"^([^\s<>\"{}|\\^`%]|%[0-9A-Fa-f]{2})*$"),
+    "uri": _matches(rf"^[A-Za-z][A-Za-z0-9+.-]*+:(?:{_URI_CHAR}|%[0-9A-Fa-f]{{2}})*+$"),
+    "uri-reference": _matches(rf"^(?:{_URI_CHAR}|%[0-9A-Fa-f]{{2}})*+$"),
+    "iri": _matches(rf"^[A-Za-z][A-Za-z0-9+.-]*+:(?:{_IRI_CHAR}|%[0-9A-Fa-f]{{2}})*+$"),
+    "iri-reference": _matches(rf"^(?:{_IRI_CHAR}|%[0-9A-Fa-f]{{2}})*+$"),
+    "uri-template": _matches(rf"^(?:{_IRI_CHAR}|%[0-9A-Fa-f]{{2}}|\{{[+#./;?&=,!@|]?{_VARIABLE}(?:,{_VARIABLE})*+\}})*+$"),
+    "idn-email": _matches(rf"^[^\s@\"(),:;<>\[\\\]]++@{_IDN_LABEL}(?:[.\u3002]{_IDN_LABEL})*+$"),
+    "idn-hostname": lambda c: c.rlike(rf"^{_IDN_LABEL}(?:[.\u3002]{_IDN_LABEL})*+\.?$") & (F.length(c) <= 253),
+    "regex": lambda c: F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), c).isNotNull(),
     "uuid": _matches(r"^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$"),
     "json-pointer": _matches(r"^(/([^~/]|~[01])*)*$"),
     "relative-json-pointer": _matches(r"^(0|[1-9]\d*)(#|(/([^~/]|~[01])*)*)$"),

@@ -1,4 +1,7 @@
-"""ECMA regular expressions in Java's dialect. Patterns belong to schemas, so this runs when a query is built, never per row."""
+"""ECMA regular expressions: repaired as text (what a migration writes into schemas), and put into Java's dialect (what values are matched with).
+
+Patterns belong to schemas, so both run when a query is built, or once for each distinct pattern; never per row.
+"""
 
 from __future__ import annotations
 
@@ -62,3 +65,42 @@ def java_regex(pattern: str) -> str:
 def _closes(pattern: str, i: int) -> bool:
     start = pattern.rfind("{", 0, i)
     return start >= 0 and bool(m := _QUANTIFIER.match(pattern, start)) and m.end() == i + 1 and (start == 0 or pattern[start - 1] != "\\")
+
+
+_PIECE = re.compile(r"\\[pPu]\{[^}]*\}|\\.|\[\^?\]?|.", re.DOTALL)
+
+
+def repaired_regex(pattern: str) -> str:
+    """An ECMA pattern that stricter dialects take as well and that means the same; repairing twice changes nothing more.
+
+    Braces that quantify nothing are escaped; ``\\A`` and ``\\Z`` become ``^`` and ``$``; inside a class ``\\d`` becomes ``0-9``, a hyphen after another
+    shorthand (unless the class ends there) and an opening bracket are escaped.
+    """
+    closing: set[int] = set()
+    pieces = [(m.start(), m.group()) for m in _PIECE.finditer(pattern)]
+    out, in_class, shorthand = [], False, False
+    for n, (at, piece) in enumerate(pieces):
+        after_shorthand, shorthand = shorthand, False
+        if in_class:
+            if piece[0] == "[":  # an opening bracket, and what the pattern of pieces took with it
+                ends = piece.endswith("]")
+                in_class = not ends
+                piece = "\\[" + piece[1:]
+            elif piece == "]":
+                in_class = False
+            elif piece == "\\d":
+                piece = "0-9"
+            elif piece in ("\\w", "\\s", "\\W", "\\D", "\\S"):
+                shorthand = True
+            elif piece == "-" and after_shorthand and n + 1 < len(pieces) and pieces[n + 1][1] != "]":
+                piece = "\\-"
+        elif piece[0] == "[":
+            in_class = True
+        elif piece in ("\\A", "\\Z"):
+            piece = "^" if piece == "\\A" else "$"
+        elif piece == "{" and (m := _QUANTIFIER.match(pattern, at)):
+            closing.add(m.end() - 1)
+        elif piece in "{}" and at not in closing:
+            piece = "\\" + piece
+        out.append(piece)
+    return "".join(out)

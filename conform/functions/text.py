@@ -44,7 +44,7 @@ def line_col_offset(content: Column, line: Column, col: Column) -> Column:
 
 def first_content_offset(content: Column) -> Column:
     """The byte offset of the first line that is neither blank nor a comment; 0 if there is none."""
-    lead = F.regexp_extract(content, r"^((?:[^\S\n]*(?:#[^\n]*|//[^\n]*)?\n)*[^\S\n]*)(?=[^\s])(?!#|//)", 1)
+    lead = F.regexp_extract(content, r"^((?:[^\S\n]*+(?:#[^\n]*+|//[^\n]*+)?+\n)*+[^\S\n]*+)(?=\S)(?!#|//)", 1)
     return F.octet_length(lead)
 
 

@@ -36,10 +36,8 @@ class VariantNode:
             return k == "BOOLEAN"
         if name == "string":
             return k.isin("STRING", "DATE", "TIMESTAMP", "TIMESTAMP_NTZ", "BINARY")
-        if name == "array":
-            return k.startswith("ARRAY")
-        if name == "object":
-            return k.startswith("OBJECT")
+        if name in ("array", "object"):  # one level is looked at; the kind's text names all below
+            return F.try_variant_get(self.value, "$", "array<variant>" if name == "array" else "map<string,variant>").isNotNull()
         number = k.isin("BIGINT", "DOUBLE", "FLOAT") | k.startswith("DECIMAL")
         if name == "number":
             return number
@@ -65,16 +63,16 @@ class VariantNode:
         step = quoted_step(key)
         if step is None:
             return VariantNode(F.try_element_at(self.entries_map(), F.lit(key)))
-        return VariantNode(F.when(self.is_type("object"), F.try_variant_get(self.value, step, "variant")))
+        return VariantNode(F.try_variant_get(self.value, step, "variant"))
 
     def entries_map(self) -> Column:
-        return F.when(self.is_type("object"), F.try_variant_get(self.value, "$", "map<string,variant>"))
+        return F.try_variant_get(self.value, "$", "map<string,variant>")
 
     def keys(self) -> Column:
         return F.map_keys(self.entries_map())
 
     def items(self) -> Column:
-        return F.when(self.is_type("array"), F.try_variant_get(self.value, "$", "array<variant>"))
+        return F.try_variant_get(self.value, "$", "array<variant>")
 
     def over_items(self, form: Callable[[VariantNode, Column], Column], start: int = 0) -> Column:
         """``form(item, position)`` of every item from ``start``, as an array."""
@@ -170,3 +168,12 @@ def json_type(dtype: T.DataType) -> str:
     if isinstance(dtype, T.NumericType):
         return "number"
     return "string"
+
+
+def value_at(value: Column, pointer: Column) -> Column:
+    """The value at a JSON pointer inside a VARIANT; null if there is none."""
+    key = lambda s: F.replace(F.replace(s, F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~"))
+    member = lambda v, s: F.try_element_at(F.try_variant_get(v, "$", "map<string,variant>"), key(s))
+    item = lambda v, s: F.get(F.try_variant_get(v, "$", "array<variant>"), s.try_cast("int"))
+    steps = F.slice(F.split(pointer, "/"), F.lit(2), F.greatest(F.size(F.split(pointer, "/")) - 1, F.lit(0)))
+    return F.aggregate(steps, value, lambda v, s: F.coalesce(member(v, s), item(v, s)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_PROPERTY = r'"\$schema"\s*:\s*"(?:[^"\\]|\\.)*"'
+_PROPERTY = r'"\$schema"\s*:\s*"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 _MODELINE = r"(?m)^[^\S\n]*#\s*yaml-language-server:\s*\$schema=[^\n]*\n?"
 _COMMENT = r"(?m)^[^\S\n]*#\s*(?::schema|\$schema:)[^\n]*\n?"
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from conform.functions.text import first_line, ref_name, version_key
 from conform.functions.urls import filename_of, schema_page_url
-from conform.operators.schemagraph import LISTS, _unquoted
+from conform.operators.schemagraph import LISTS, _unquoted, lookup_pointer
+from conform.plans.stored import numbered, stored
 from conform.sources.documents import FORMATS
 
 LARGEST = 10 * 1024 * 1024
@@ -49,11 +50,24 @@ def unique_slugs(rows: DataFrame, folder: str, slug: str, order: str) -> DataFra
 
 
 def unique_filenames(rows: DataFrame, folder: str, url: str, order: str) -> DataFrame:
-    """Add ``file``: the URL's file name, with a number before its extension where it would come again."""
-    named = rows.withColumn("__file", filename_of(F.col(url)))
-    n = F.row_number().over(Window.partitionBy(folder, "__file").orderBy(order))
-    again = F.regexp_replace("__file", r"(\.[^.]*)$", F.concat(F.lit("-"), F.col("__n").cast("string"), F.lit("$1")))
-    return named.withColumn("__n", n).withColumn("file", F.when(F.col("__n") == 1, F.col("__file")).otherwise(again)).drop("__n", "__file")
+    """Add ``file``: the URL's file name, with a number before its extension where it would come again. A number that gives a name which is
+    taken is passed over: names that are equal after a first numbering are numbered once more, until none is.
+    """
+    own = filename_of(F.col(url))
+    w = Window.partitionBy(folder, "__stem").orderBy(order)
+    numbered = lambda k: F.when(k == 1, F.col("__stem")).otherwise(F.regexp_replace("__stem", r"(\.[^.]*)$", F.concat(F.lit("-"), k.cast("string"), F.lit("$1"))))
+    out = rows.withColumns({"__own": own, "__stem": own})
+    out = stored(out.withColumn("__k", F.row_number().over(w)).withColumn("file", numbered(F.col("__k"))), "file-names")
+    while True:
+        # of rows with the same name, one whose own name it is keeps it, else the first; the others count on
+        rank = F.row_number().over(Window.partitionBy(folder, "file").orderBy((F.col("file") != F.col("__own")).cast("int"), order))
+        clash = stored(out.withColumn("__r", rank), "file-names")
+        if clash.filter("__r > 1").isEmpty():
+            return clash.drop("__own", "__stem", "__k", "__r")
+        last = F.max("__k").over(Window.partitionBy(folder, "__stem"))
+        later = F.row_number().over(Window.partitionBy(folder, "__stem", (F.col("__r") > 1)).orderBy(order))
+        k = F.when(F.col("__r") > 1, F.col("__last") + F.col("__later")).otherwise(F.col("__k"))
+        out = clash.withColumns({"__last": last, "__later": later}).withColumn("__k", k).withColumn("file", F.when(F.col("__r") > 1, numbered(F.col("__k"))).otherwise(F.col("file"))).drop("__last", "__later", "__r")
 
 
 def output_collisions(rows: DataFrame, dest: str) -> DataFrame:
@@ -107,9 +121,21 @@ def parsers_of(globs: Column) -> Column:
     return F.array_sort(F.array_distinct(F.array_compact(mapped)))
 
 
+#: Messages of a compiler that do not make a schema invalid, since they come of what it cannot fetch.
+TOLERATED = ("does not exist", "is not of type", "is not valid under any of the schemas listed in the", "does not match")
+
+
+def tolerated(message: Column) -> Column:
+    """Whether a message leaves a schema valid."""
+    out = F.lit(False)
+    for part in TOLERATED:
+        out = out | message.contains(part)
+    return out
+
+
 def with_provenance(entries: DataFrame, errors: DataFrame) -> DataFrame:
     """Add ``provenance``: source, digest, whether the schema is invalid, globs, parsers, description."""
-    bad = errors.select(F.col("uri").alias("url")).distinct().withColumn("__bad", F.lit(True))
+    bad = errors.filter(~tolerated(F.col("message"))).select(F.col("uri").alias("url")).distinct().withColumn("__bad", F.lit(True))
     rows = entries.join(bad, "url", "left")
     return rows.withColumn("provenance", F.struct(F.col("source_url").alias("source"), F.sha2("body", 256).alias("source_sha256"), F.coalesce("__bad", F.lit(False)).alias("invalid"), F.col("file_match"), parsers_of(F.col("file_match")).alias("parsers"), F.col("description").alias("catalog_description"))).drop("__bad")
 
@@ -126,6 +152,19 @@ def root_key_order(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("pos", F.when(F.col("parent") == "", F.when(known > 0, known).otherwise(100 + F.col("pos"))).otherwise(F.col("pos")))
 
 
+def united_entries(parts: Sequence[DataFrame]) -> DataFrame:
+    """The entries of groups and sources as one table, in their order, the first of each URL; ``entry_ord`` is counted on."""
+    out = None
+    for i, part in enumerate(parts):
+        part = part.withColumn("__part", F.lit(i))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("no entries")
+    first = F.row_number().over(Window.partitionBy("url").orderBy("__part", "entry_ord"))
+    kept = out.withColumn("__n", first).filter("__n = 1").drop("__n")
+    return numbered(kept.withColumnRenamed("entry_ord", "__ord"), ["__part", "__ord", "url"], "entry_ord").drop("__part", "__ord")
+
+
 def groups_of(entries: DataFrame, membership: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members and sizes of each group (same-named ones together), and entries in none."""
     members = membership.groupBy("group").agg(F.array_sort(F.collect_list("name")).alias("schemas"), F.count(F.lit(1)).alias("n"))
@@ -159,7 +198,7 @@ def _facts(nodes: DataFrame) -> DataFrame:
     """One row for each schema position with its plain keywords beside each other: ``uri, owner, ...``."""
     text = lambda k: F.max(F.when(F.col("key") == k, F.coalesce("text", F.lit("")))).alias(k.strip("$") + "_text")
     kids = nodes.filter("prole = 'schema'").groupBy("uri", F.col("parent").alias("owner"))
-    return kids.agg(text("type"), text("description"), text("default"), text("const"), text("title"), text("$ref"), F.max((F.col("key") == "enum")).alias("has_enum"), F.max(F.col("key") == "oneOf").alias("has_one"), F.max(F.col("key") == "anyOf").alias("has_any"))
+    return kids.agg(text("type"), text("description"), text("markdownDescription"), text("default"), text("const"), text("title"), text("$ref"), F.max((F.col("key") == "enum")).alias("has_enum"), F.max(F.col("key") == "oneOf").alias("has_one"), F.max(F.col("key") == "anyOf").alias("has_any"))
 
 
 def _list_of(nodes: DataFrame, key: str, name: str) -> DataFrame:
@@ -170,29 +209,47 @@ def _list_of(nodes: DataFrame, key: str, name: str) -> DataFrame:
 
 
 def type_labels(nodes: DataFrame) -> DataFrame:
-    """``uri, owner, label`` of every schema position: type (``x[]`` for typed items, unions with ``|``), else the reference's name, the branches, ``const: v``, ``enum``."""
+    """``uri, owner, label`` of every schema position: type (``x[]`` where items have a label, unions with ``|``), else the reference's name, the branches, ``const: v``, ``enum``.
+
+    Labels of items and branches are worked out from the innermost outwards, a round for each level of them.
+    """
     facts = _facts(nodes).join(_list_of(nodes, "type", "types"), ["uri", "owner"], "left")
     own = F.when(F.col("types").isNotNull(), F.array_join(F.transform("types", lambda x: F.replace(x, F.lit('"'), F.lit(""))), " | ")).when(F.col("type_text") != "", F.replace("type_text", F.lit('"'), F.lit("")))
-    base = facts.withColumn("own", own).withColumn("ref", F.when(F.col("ref_text") != "", ref_name(_unquoted(F.col("ref_text")))))
-    simple = base.withColumn("plain", F.coalesce("own", "ref", F.when(F.col("const_text") != "", F.concat(F.lit("const: "), "const_text")), F.when(F.col("has_enum"), F.lit("enum"))))
-    items = simple.filter(F.col("owner").endswith("/items")).select("uri", F.regexp_replace("owner", "/items$", "").alias("owner"), F.col("plain").alias("item"))
-    cell = F.struct(F.regexp_extract("owner", r"/(\d+)$", 1).cast("int").alias("i"), F.col("plain").alias("t"))
-    branches = simple.filter(F.col("owner").rlike(r"/(oneOf|anyOf)/\d+$") & F.col("plain").isNotNull()).groupBy("uri", F.regexp_replace("owner", r"/(oneOf|anyOf)/\d+$", "").alias("owner")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(cell)), lambda c: c["t"]), " | ").alias("joined"))
-    rows = simple.join(items, ["uri", "owner"], "left").join(branches, ["uri", "owner"], "left")
-    label = F.when((F.col("own") == "array") & F.col("item").isNotNull(), F.concat("item", F.lit("[]"))).otherwise(F.coalesce("own", "ref", "joined", "plain"))
-    return rows.select("uri", "owner", label.alias("label"))
+    ref = F.when(F.col("ref_text") != "", ref_name(_unquoted(F.col("ref_text"))))
+    last = F.coalesce(F.when(F.col("const_text") != "", F.concat(F.lit("const: "), "const_text")), F.when(F.col("has_enum"), F.lit("enum")))
+    rows = stored(facts.select("uri", "owner", own.alias("own"), ref.alias("ref"), last.alias("last")).withColumn("label", F.coalesce("own", "ref", "last")), "labels")
+    step = r"/(items|(?:oneOf|anyOf)/\d+)$"
+    while True:
+        inner = rows.filter(F.col("label").isNotNull() & F.col("owner").rlike(step)).select("uri", F.regexp_replace("owner", step, "").alias("owner"), F.regexp_extract("owner", step, 1).alias("at"), "label")
+        cell = F.struct(F.regexp_extract("at", r"(\d+)$", 1).cast("int").alias("i"), F.col("label").alias("t"))
+        several = lambda word: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("at").startswith(word), cell))), lambda c: c["t"]), " | ")
+        below = inner.groupBy("uri", "owner").agg(F.max(F.when(F.col("at") == "items", F.col("label"))).alias("item"), several("oneOf").alias("one"), several("anyOf").alias("any"))
+        branches = F.coalesce(F.when(F.col("one") != "", F.col("one")), F.when(F.col("any") != "", F.col("any")))
+        label = F.when((F.col("own") == "array") & F.col("item").isNotNull(), F.concat("item", F.lit("[]"))).otherwise(F.coalesce("own", "ref", branches, "last"))
+        after = stored(rows.join(below, ["uri", "owner"], "left").select("uri", "owner", "own", "ref", "last", label.alias("label"), (~F.col("label").eqNullSafe(label)).alias("moved")), "labels")
+        rows = after.drop("moved")
+        if after.filter("moved").isEmpty():
+            return rows.select("uri", "owner", "label")
 
 
 def schema_properties(nodes: DataFrame, depth: int = 3) -> DataFrame:
-    """``uri, owner, name, depth, label, required, description, default_value, const_value, enum_values, ord``: required ones first among equals of an owner."""
+    """``uri, owner, name, depth, label, required, description, default_value, const_value, enum_values, examples, ord``: required ones first among equals of an owner.
+
+    A property that is a reference within its schema is described by what it refers to, however many references lead there; one that leads
+    elsewhere has the reference's name as its label.
+    """
     props = nodes.filter((F.col("prole") == "map") & (F.col("pkey") == "properties"))
     props = props.select("uri", F.col("id"), F.regexp_replace("parent", "/properties$", "").alias("owner"), F.col("key").alias("name"), F.col("pos").alias("ord"))
     level = (F.length("id") - F.length(F.replace("id", F.lit("/properties/"), F.lit("")))) / len("/properties/")
     props = props.withColumn("depth", level.cast("int")).filter(F.col("depth") <= depth)
     names = nodes.filter((F.col("pkey") == "required") & (F.col("jtype") == "STRING")).select("uri", F.regexp_replace("parent", "/required$", "").alias("owner"), _unquoted(F.col("text")).alias("name")).distinct().withColumn("required", F.lit(True))
-    facts = _facts(nodes).withColumnRenamed("owner", "id")
-    rows = props.join(names, ["uri", "owner", "name"], "left").join(facts, ["uri", "id"], "left").join(type_labels(nodes).withColumnRenamed("owner", "id"), ["uri", "id"], "left").join(_list_of(nodes, "enum", "enum_values").withColumnRenamed("owner", "id"), ["uri", "id"], "left")
-    return rows.select("uri", "owner", "name", "depth", "label", F.coalesce("required", F.lit(False)).alias("required"), _unquoted(F.col("description_text")).alias("description"), F.col("default_text").alias("default_value"), F.col("const_text").alias("const_value"), "enum_values", "ord")
+    props = stored(props, "schema-properties")
+    props = props.join(lookup_pointer(nodes, props.select("uri", "id").distinct()), ["uri", "id"], "left").withColumn("at", F.coalesce("found", "id"))
+    at = lambda df: df.withColumnRenamed("owner", "at")
+    rows = props.join(names, ["uri", "owner", "name"], "left").join(at(_facts(nodes)), ["uri", "at"], "left").join(at(type_labels(nodes)), ["uri", "at"], "left")
+    rows = rows.join(at(_list_of(nodes, "enum", "enum_values")), ["uri", "at"], "left").join(at(_list_of(nodes, "examples", "examples")), ["uri", "at"], "left")
+    description = F.coalesce(_unquoted(F.col("markdownDescription_text")), _unquoted(F.col("description_text")))
+    return rows.select("uri", "owner", "name", "depth", "label", F.coalesce("required", F.lit(False)).alias("required"), description.alias("description"), F.col("default_text").alias("default_value"), F.col("const_text").alias("const_value"), "enum_values", "examples", "ord")
 
 
 def in_reading_order(properties: DataFrame) -> DataFrame:
@@ -228,13 +285,15 @@ def additional_and_items(nodes: DataFrame) -> DataFrame:
     return rows.join(type_labels(nodes).withColumnRenamed("owner", "id"), ["uri", "id"], "left").select("uri", F.col("parent").alias("owner"), F.col("key").alias("keyword"), "label")
 
 
-def explain(nodes: DataFrame, violations: DataFrame, pointer: str) -> DataFrame:
-    """Properties at a schema pointer with the violations under each: ``uri, name, label, required, errors``."""
-    from conform.functions.text import instance_prefix
+def explain(nodes: DataFrame, violations: DataFrame, pointer: str, schema: str = "schema_uri") -> DataFrame:
+    """Properties at a schema pointer with the violations under each: ``uri, name, label, required, errors``. Violations name their schema in the column ``schema``.
+
+    Violations are counted by schema and by the step below the pointer first, so two small tables are joined by equality.
+    """
+    from conform.functions.text import instance_prefix, pointer_decode
 
     rows = schema_properties(nodes).filter(F.col("owner") == pointer)
-    path = F.concat(instance_prefix(F.lit(pointer)), F.lit("/"), F.col("name"))
-    near = violations.select(F.col("instance_path"), F.col("message"))
-    hit = (F.col("instance_path") == path) | F.startswith(F.col("instance_path"), F.concat(path, F.lit("/")))
-    found = F.broadcast(rows).join(near, hit, "left")  # properties of one schema
-    return found.groupBy("uri", "name", "label", "required").agg(F.count("message").alias("errors"))
+    above = F.concat(instance_prefix(F.lit(pointer)), F.lit("/"))
+    near = violations.filter(F.startswith(F.col("instance_path"), above)).select(F.col(schema).alias("uri"), pointer_decode(F.substring_index(F.substring("instance_path", F.length(above) + 1, F.length("instance_path")), "/", 1)).alias("name"))
+    counts = near.groupBy("uri", "name").agg(F.count(F.lit(1)).alias("errors"))
+    return rows.join(counts, ["uri", "name"], "left").select("uri", "name", "label", "required", F.coalesce("errors", F.lit(0)).alias("errors"))

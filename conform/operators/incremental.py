@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VERSION = "1"
@@ -17,7 +17,8 @@ def cache_key(content: Column, schema_hash: Column, formats: Column, version: st
 
 
 def split_by_cache(docs: DataFrame, results: DataFrame, key: str = "cache_key") -> tuple[DataFrame, DataFrame]:
-    """Documents with a stored result (and that result), and one document of each key without."""
+    """Documents with a stored result (and that result), and the documents without. A key that is stored twice counts once."""
+    results = results.dropDuplicates([key])
     hits = docs.join(results, key)
     misses = docs.join(results.select(key), key, "left_anti")
     return hits, misses
@@ -34,10 +35,18 @@ def incremental_validate(docs: DataFrame, results: DataFrame, check: Callable[[D
     return done, fresh
 
 
-def store_results(fresh: DataFrame, path: str, key: str = "cache_key") -> None:
-    """Write new results by key prefix; a run that is repeated replaces what it wrote."""
+def store_results(fresh: DataFrame, path: str, run: str, key: str = "cache_key") -> None:
+    """Write a run's new results by key prefix, under the run's own name: a run that is repeated replaces what it wrote, other runs stay."""
     rows = fresh.withColumn("prefix", F.substring(key, 1, 2))
-    rows.repartition("prefix").write.mode("append").partitionBy("prefix").parquet(path)
+    rows.repartition("prefix").write.mode("overwrite").partitionBy("prefix").parquet(f"{path.rstrip('/')}/run={run}")
+
+
+def load_results(spark: SparkSession, path: str, key: str = "cache_key") -> DataFrame:
+    """The stored results of all runs, one for each key: the last run's, by the order of their names."""
+    rows = spark.read.parquet(path)
+    others = [c for c in rows.columns if c not in (key, "run", "prefix")]
+    best = rows.groupBy(key).agg(F.max_by(F.struct(*others), F.col("run").cast("string")).alias("__best"))
+    return best.select(key, *[F.col("__best")[c].alias(c) for c in others])
 
 
 def status_counts(done: DataFrame) -> DataFrame:

@@ -106,17 +106,17 @@ def identify(docs: DataFrame, inline: Column, mappings: DataFrame | None = None,
 def format_checks(docs: DataFrame, file_rules: Sequence[tuple[int, Sequence[str], Sequence[str], bool | None]], original: str = "original_uri", uri: str = "schema_uri", path: str = "path") -> DataFrame:
     """Add ``validate_formats``: the first rule with a matching file or schema pattern *and* a value decides, true without one.
 
-    Schemas are matched as first found and as rewritten. The rules belong to the settings, so they are part of the expression.
+    Schemas are matched as first found and as rewritten, paths without a leading ``./``. The rules belong to the settings, so they are part of the expression.
     """
     from conform.functions.globs import glob_match
 
-    value = F.lit(True)
+    value, bare = F.lit(True), F.regexp_replace(path, r"^\./", "")
     for _, files, schemas, checks in sorted(file_rules, key=lambda r: -r[0]):
         if checks is None:
             continue
         hit = F.lit(False)
         for p in files:
-            hit = hit | glob_match(F.col(path), p)
+            hit = hit | glob_match(bare, p)
         for p in schemas:
             hit = hit | F.coalesce(glob_match(F.col(original), p), F.lit(False)) | F.coalesce(glob_match(F.col(uri), p), F.lit(False))
         value = F.when(hit, F.lit(checks)).otherwise(value)
@@ -129,21 +129,25 @@ def group_format_checks(docs: DataFrame, uri: str = "schema_uri") -> DataFrame:
     return docs.join(flags, F.col(uri).eqNullSafe(F.col("__uri")), "left").drop("__uri")
 
 
-def prefix_join(rows: DataFrame, keys: DataFrame, text: str, key: str, longest: int = 256) -> DataFrame:
-    """All keys that are prefixes of a text, by equality on the prefixes that have a key's length: one hash join, no comparison of all with all.
+def prefix_join(rows: DataFrame, keys: DataFrame, text: str, key: str) -> DataFrame:
+    """All keys that are prefixes of a text, by equality on the text's prefixes of the lengths that keys have: one hash join, no comparison of all with all.
 
-    ``longest`` bounds the prefixes built; it is the greatest key length, read from the keys if they are longer.
+    The lengths that occur are read first, at most as many numbers as the longest key has characters; a row gives a prefix for each of them.
     """
-    top = keys.agg(F.max(F.length(key))).first()[0] or 0
-    n = F.least(F.length(text), F.lit(max(int(top), 0)))
-    each = rows.withColumn("__p", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(F.col(text), F.lit(1), i))))
-    return each.join(keys, F.col("__p") == F.col(key)).drop("__p")
+    sizes = sorted(r[0] for r in keys.select(F.length(key)).filter(F.col(key).isNotNull()).distinct().collect())
+    prefixes = F.array(*[F.when(F.length(text) >= n, F.left(F.col(text), F.lit(n))) for n in sizes]) if sizes else F.array().cast("array<string>")
+    return rows.withColumn("__p", F.explode(F.array_compact(prefixes))).join(keys, F.col("__p") == F.col(key)).drop("__p")
+
+
+def matching_any(docs: DataFrame, patterns: DataFrame, path: str = "path") -> DataFrame:
+    """The documents whose path matches at least one row of a pattern table, each once."""
+    return docs.join(_small(patterns), _matches(F.col(path)), "left_semi")
 
 
 def suggest(unexpected: DataFrame, declared: DataFrame, on: Sequence[str], name: str = "property", known: str = "known", order: str = "ord") -> DataFrame:
     """Add ``suggestion``: the nearest declared name within three edits that are at most half of the longer name's bytes; the first of equals."""
-    d = F.levenshtein(F.lower(name), F.lower(known))
-    near = (d <= 3) & (d * 2 <= F.greatest(F.octet_length(name), F.octet_length(known)))
+    d = F.levenshtein(F.lower(name), F.lower(known), 3)  # -1 beyond three edits
+    near = (d >= 0) & (d * 2 <= F.greatest(F.octet_length(name), F.octet_length(known)))
     pairs = unexpected.join(declared, list(on)).withColumn("__d", d).filter(near)
     best = pairs.groupBy(*on, name).agg(F.min_by(known, F.struct("__d", order)).alias("suggestion"))
     return unexpected.join(best, [*on, name], "left")

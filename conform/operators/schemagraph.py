@@ -7,11 +7,14 @@ gpkey``. The role says whether the value stands where a schema stands (``schema`
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from conform.functions.urls import base_of, fragment_of, url_join
+from conform.functions.values import value_at
 from conform.plans.stored import ship, stored
 from conform.sources.documents import parse_jsonc
 
@@ -23,7 +26,12 @@ LISTS = ("allOf", "anyOf", "oneOf", "prefixItems")
 #: Keywords by which an object without a type is taken for a schema of objects.
 INDICATORS = ("$ref", "$id", "$schema", "$defs", "definitions", "allOf", "oneOf", "anyOf", "not", "if", "then", "else", "required", "additionalProperties", "patternProperties", "items", "prefixItems", "enum", "const", "dependentSchemas", "dependentRequired", "dependencies")
 LIKE_SCHEMA = (*INDICATORS, "type", "properties")
-DEEPEST = 14
+#: Keywords that make an object a schema and no namespace of definitions.
+SCHEMA_KEYWORDS = ("type", "properties", "$ref", "allOf", "oneOf", "anyOf", "items", "required", "enum", "not", "if", "then", "else", "patternProperties", "additionalProperties")
+#: Keywords whose value is a boolean that holds if either of two schemas says so.
+FLAGS = ("deprecated", "readOnly", "writeOnly", "uniqueItems")
+#: Keywords that a branch of ``allOf`` does not hand on.
+OWN = ("allOf", "anyOf", "oneOf", "$schema", "$id", "title", "description", "markdownDescription")
 
 
 def detect_draft(schema_uri: Column) -> Column:
@@ -34,10 +42,11 @@ def detect_draft(schema_uri: Column) -> Column:
     return out
 
 
-def schema_nodes(store: DataFrame, deepest: int = DEEPEST) -> DataFrame:
+def schema_nodes(store: DataFrame, deepest: int | None = None) -> DataFrame:
     """The nodes of every schema of ``uri, body``, level by level, as the role of a value follows from its parent's.
 
-    Schemas are a small part of the data; each level's table is written once. What lies deeper than ``deepest`` stays text.
+    Schemas are a small part of the data; each level's table is written once, and there are as many as the deepest schema has. With ``deepest``,
+    what lies deeper stays text.
     """
     kind = F.regexp_extract(F.schema_of_variant("v"), r"^([A-Z]+)", 1)
     step = F.concat(F.lit("/"), F.replace(F.replace("key", F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1")))
@@ -49,7 +58,7 @@ def schema_nodes(store: DataFrame, deepest: int = DEEPEST) -> DataFrame:
     level = stored(rows.select("uri", F.lit("").alias("id"), none.alias("parent"), none.alias("key"), F.lit(0).cast("long").alias("pos"), kind.alias("jtype"), F.lit("schema").alias("role"), none.alias("prole"), none.alias("pkey"), none.alias("gpkey"), "v"), "schema-level")
     out, depth = None, 0
     while True:
-        last = depth >= deepest
+        last = deepest is not None and depth >= deepest
         text = F.to_json("v") if last else F.when(~F.col("jtype").isin("OBJECT", "ARRAY"), F.to_json("v"))
         part = level.select("uri", "id", "parent", "key", "pos", F.lit(depth).alias("depth"), "jtype", text.alias("text"), "role", "prole", "pkey", "gpkey")
         out = part if out is None else out.unionByName(part)
@@ -68,6 +77,11 @@ def _unquoted(text: Column) -> Column:
     return F.try_variant_get(F.try_parse_json(text), "$", "string")
 
 
+def _quoted(text: Column) -> Column:
+    """A text as JSON."""
+    return F.regexp_replace(F.to_json(F.to_variant_object(F.array(text))), r"^\[(.*)\]$", "$1")
+
+
 # -- references -------------------------------------------------------------
 
 
@@ -164,25 +178,41 @@ def shape_errors(nodes: DataFrame) -> DataFrame:
 
 def schema_errors(nodes: DataFrame) -> DataFrame:
     """Dangling references and wrong shapes of every schema; a schema without a row compiles."""
-    lost = dangling_refs(ref_edges(nodes), nodes).select(F.col("src_uri").alias("uri"), F.col("src_path").alias("path"), F.concat(F.lit("unresolved reference "), "ref").alias("message"))
+    lost = dangling_refs(ref_edges(nodes), nodes).select(F.col("src_uri").alias("uri"), F.col("src_path").alias("path"), F.concat(F.lit("unresolved reference "), "ref", F.when(F.col("ref").startswith("#"), F.lit("")).otherwise(F.lit(": it does not exist"))).alias("message"))
     return lost.unionByName(shape_errors(nodes))
 
 
-def lookup_pointer(nodes: DataFrame, wanted: DataFrame, most: int = 16) -> DataFrame:
-    """Follow local references from ``uri, id`` to the node that holds the value: ``uri, id, found``; cycles end without a row."""
+def lookup_pointer(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Follow local references from ``uri, id`` to the node that holds the value, however many there are: ``uri, id, found``; cycles end without a row."""
     refs = nodes.filter((F.col("key") == "$ref") & F.col("text").startswith('"#')).select("uri", F.col("parent").alias("at"), F.url_decode(F.substring(_unquoted(F.col("text")), F.lit(2), F.length("text"))).alias("to"))
-    open_ = wanted.select("uri", "id", F.col("id").alias("at"))
+    open_ = wanted.select("uri", "id", F.col("id").alias("at"), F.array("id").alias("passed"))
     done = None
-    for _ in range(most):
+    while True:
         stepped = open_.join(refs, ["uri", "at"], "left")
         part = stepped.filter("to IS NULL").select("uri", "id", "at")
         done = part if done is None else done.unionByName(part)
-        open_ = stored(stepped.filter("to IS NOT NULL").select("uri", "id", F.col("to").alias("at")), "pointer-steps")
+        onward = stepped.filter(F.col("to").isNotNull() & ~F.array_contains("passed", F.col("to")))
+        open_ = stored(onward.select("uri", "id", F.col("to").alias("at"), F.concat("passed", F.array("to")).alias("passed")), "pointer-steps")
         if open_.isEmpty():
             break
     return done.join(nodes.select("uri", F.col("id").alias("at")), ["uri", "at"]).select("uri", "id", F.col("at").alias("found"))
 
 
+def property_names_at(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The properties that a schema declares at ``uri, id``, through references and ``allOf``: ``uri, id, name``. The frontier of places is written each round; a place is visited once."""
+    props = nodes.filter((F.col("prole") == "map") & (F.col("pkey") == "properties")).select("uri", F.regexp_replace("parent", "/properties$", "").alias("at"), F.col("key").alias("name"))
+    branches = nodes.filter((F.col("prole") == "list") & (F.col("pkey") == "allOf")).select("uri", F.regexp_replace("parent", "/allOf$", "").alias("at"), F.col("id").alias("to"))
+    seen = None
+    front = stored(wanted.select("uri", "id", F.col("id").alias("at")).distinct(), "property-places")
+    while not front.isEmpty():
+        found = lookup_pointer(nodes, front.select("uri", F.col("at").alias("id")).distinct()).withColumnRenamed("id", "at")
+        found = front.join(found, ["uri", "at"]).select("uri", "id", F.col("found").alias("at")).distinct()
+        found = stored(found if seen is None else found.join(seen, ["uri", "id", "at"], "left_anti"), "property-owners")
+        seen = found if seen is None else seen.unionByName(found)
+        front = stored(found.join(branches, ["uri", "at"]).select("uri", "id", F.col("to").alias("at")).distinct(), "property-places")
+    return nodes.select("uri").limit(0).selectExpr("uri", "uri AS id", "uri AS name") if seen is None else seen.join(props, ["uri", "at"]).select("uri", "id", "name").distinct()
+
+
 # -- trees ------------------------------------------------------------------
 
 
@@ -221,15 +251,13 @@ def patch_root(nodes: DataFrame, key: str, values: DataFrame) -> DataFrame:
 
 def migrate_nodes(nodes: DataFrame) -> DataFrame:
     """All rules of a migration to 2020-12, as changes of rows; facts about siblings come from one window."""
-    from conform.functions.regexes import java_regex
+    from conform.functions.regexes import repaired_regex
 
     ship(nodes.sparkSession)
 
     @F.pandas_udf("string")
-    def fixed_regex(x: pd.Series) -> pd.Series:
-        import json
-
-        return x.map(lambda s: None if s is None else json.dumps(java_regex(json.loads(s)), ensure_ascii=False) if s.startswith('"') else java_regex(s))
+    def repaired(x: pd.Series) -> pd.Series:
+        return x.map(repaired_regex)
 
     w = Window.partitionBy("uri", "parent")
     key, kind, text = F.col("key"), F.col("jtype"), F.col("text")
@@ -271,11 +299,15 @@ def migrate_nodes(nodes: DataFrame) -> DataFrame:
         F.when(inside & old & key.isin("$id", "id", "$ref") & is_text, F.replace(text, F.lit("/definitions/"), F.lit("/$defs/")))
         .when(inside & (key == "deprecated") & is_text, F.lit("true"))
         .when(inside & key.isin("additionalProperties", "unevaluatedProperties", "unevaluatedItems") & text.isin('"true"', '"false"'), F.replace(text, F.lit('"'), F.lit("")))
-        .when(inside & (key == "pattern") & is_text, fixed_regex(F.when(inside & (key == "pattern") & is_text, text)))
         .otherwise(text)
     )
-    pattern_key = (F.col("prole") == "map") & (F.col("pkey") == "patternProperties")
-    marked = stored(rows.withColumns({"drop": F.coalesce(drop, F.lit(False)), "nkey": F.when(pattern_key, fixed_regex(F.when(pattern_key, key))).otherwise(new_key), "ntext": new_text}), "migrate-marked")
+    # patterns are repaired once for each distinct one, then joined back
+    pattern_key, pattern_text = (F.col("prole") == "map") & (F.col("pkey") == "patternProperties"), inside & (key == "pattern") & is_text
+    rows = rows.withColumns({"drop": F.coalesce(drop, F.lit(False)), "nkey": new_key, "ntext": new_text, "__pat": F.when(pattern_text, _unquoted(text)).when(pattern_key, key)})
+    fixed = rows.filter("__pat IS NOT NULL").select("__pat").distinct().withColumn("__fixed", repaired("__pat"))
+    rows = rows.join(fixed, "__pat", "left")
+    rows = rows.withColumns({"nkey": F.when(pattern_key, F.col("__fixed")).otherwise(F.col("nkey")), "ntext": F.when(pattern_text, _quoted(F.col("__fixed"))).otherwise(F.col("ntext"))})
+    marked = stored(rows.drop("__pat", "__fixed"), "migrate-marked")
 
     def added(df: DataFrame, id_: Column, parent: Column, k: Column, pos: Column, jtype: Column, t: Column) -> DataFrame:
         return df.select("uri", id_.alias("id"), parent.alias("parent"), k.alias("key"), pos.cast("long").alias("pos"), jtype.alias("jtype"), t.cast("string").alias("text"))
@@ -325,9 +357,43 @@ def migrate_nodes(nodes: DataFrame) -> DataFrame:
     return stored(out, "migrated")
 
 
+def namespaces(nodes: DataFrame) -> DataFrame:
+    """Definitions that are no schemas but hold some: ``uri, id, parent, key``. An object of at least two members, all objects or booleans, none of them a schema's keyword."""
+    inside = nodes.filter(F.col("parent").isNotNull()).groupBy("uri", F.col("parent").alias("id"))
+    facts = inside.agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("jtype").isin("OBJECT", "BOOLEAN")).alias("plain"), F.bool_or(F.col("key").isin(*SCHEMA_KEYWORDS)).alias("told"))
+    boxes = nodes.filter((F.col("prole") == "map") & F.col("pkey").isin("$defs", "definitions") & (F.col("jtype") == "OBJECT")).select("uri", "id", "parent", "key")
+    return boxes.join(facts.filter("n >= 2 AND plain AND NOT told").select("uri", "id"), ["uri", "id"])
+
+
+def without_namespaces(nodes: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Nodes with the members of ``boxes`` (see :func:`namespaces`) moved up among the definitions, where a name that is taken stays as it was, and references to them rewritten."""
+    up = boxes.select("uri", F.col("id").alias("parent"), F.col("parent").alias("__up"), F.col("key").alias("__box"))
+    moved = nodes.join(F.broadcast(up) if up.count() <= 100_000 else up, ["uri", "parent"], "left")
+    taken = nodes.join(boxes.select("uri", "id"), ["uri", "id"], "left_anti").select("uri", F.col("parent").alias("__up"), "key")
+    members = moved.filter("__up IS NOT NULL").join(taken, ["uri", "__up", "key"], "left_anti").withColumn("__n", F.row_number().over(Window.partitionBy("uri", "__up", "key").orderBy("__box"))).filter("__n = 1")
+    rest = moved.filter("__up IS NULL").join(boxes.select("uri", "id"), ["uri", "id"], "left_anti")
+    cells = ["uri", "id", "key", "pos", "jtype", "text"]
+    out = rest.select(*cells, "parent").unionByName(members.select(*cells, F.col("__up").alias("parent")))
+    # '#/$defs/box/name...' means '#/$defs/name...' now
+    where = r'^("[^#"]*#/(?:\$defs|definitions))/([^/"]+)(/[^"]*")$'
+    is_ref = (F.col("key") == "$ref") & (F.col("jtype") == "STRING")
+    out = out.withColumn("__k", F.when(is_ref, F.regexp_extract("text", where, 2))).join(boxes.select("uri", F.col("key").alias("__k"), F.lit(True).alias("__hit")).distinct(), ["uri", "__k"], "left")
+    return out.withColumn("text", F.when(F.col("__hit"), F.regexp_replace("text", where, "$1$3")).otherwise(F.col("text"))).drop("__k", "__hit")
+
+
+def flat_definitions(nodes: DataFrame) -> DataFrame:
+    """Nodes of the same schemas without namespaces among their definitions; only schemas that have one are built anew, a round for each level of them."""
+    while True:
+        boxes = stored(namespaces(nodes), "namespaces")
+        if boxes.isEmpty():
+            return nodes
+        mine = nodes.join(boxes.select("uri").distinct(), "uri", "left_semi")
+        nodes = nodes.join(boxes.select("uri").distinct(), "uri", "left_anti").unionByName(schema_nodes(rebuild(without_namespaces(mine, boxes))))
+
+
 def migrate_schemas(store: DataFrame) -> DataFrame:
     """``uri, body`` of every schema as a 2020-12 schema; doing it twice changes nothing more."""
-    return rebuild(migrate_nodes(schema_nodes(store)))
+    return rebuild(migrate_nodes(flat_definitions(schema_nodes(store))))
 
 
 def rule_hits(nodes: DataFrame) -> DataFrame:
@@ -345,7 +411,7 @@ def rule_hits(nodes: DataFrame) -> DataFrame:
 # -- merging ----------------------------------------------------------------
 
 
-def flatten_all_of(nodes: DataFrame) -> DataFrame:
+def all_of_names(nodes: DataFrame) -> DataFrame:
     """Add to every root the properties and required names of its ``allOf`` branches (through local references), nearest first: ``uri, kind, name, from_id, rank``.
 
     ``rank`` 0 is the root's own; the first writer of a name wins, as a left-biased merge does.
@@ -370,32 +436,107 @@ def used_definitions(nodes: DataFrame) -> DataFrame:
     return reached.distinct()
 
 
-def merge_bodies(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Two schemas of each ``uri`` as one, the left one's keywords first: maps and ``required`` are united, booleans hold if either does."""
-    parsed = lambda df, n: df.select("uri", F.try_variant_get(parse_jsonc(F.col("body")), "$", "map<string,variant>").alias(n))
-    both = parsed(left, "a").join(parsed(right, "b"), "uri")
+def prune_definitions(nodes: DataFrame) -> DataFrame:
+    """The nodes without definitions of the root that nothing outside of themselves reaches; a box left empty goes as well."""
+    name = F.regexp_extract("id", r"^/(?:\$defs|definitions)/([^/]+)", 1)
+    used = used_definitions(nodes).withColumnRenamed("name", "__name")
+    rows = nodes.withColumn("__name", F.when(name != "", name))
+    kept = rows.filter("__name IS NULL").unionByName(rows.join(used, ["uri", "__name"], "left_semi").select(*rows.columns)).drop("__name")
+    full = kept.filter(F.col("parent").isin("/$defs", "/definitions")).select("uri", F.col("parent").alias("id")).distinct()
+    boxes = F.col("id").isin("/$defs", "/definitions")
+    return kept.filter(~boxes).unionByName(kept.filter(boxes).join(full, ["uri", "id"], "left_semi").select(*kept.columns))
+
+
+def _as_map(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "map<string,variant>")
+
+
+def _object(keys: Column, text: Callable[[Column], Column]) -> Column:
+    """A JSON object of keys and the texts of their values."""
+    return F.concat(F.lit("{"), F.array_join(F.transform(keys, lambda k: F.concat(_quoted(k), F.lit(":"), text(k))), ","), F.lit("}"))
+
+
+def merged(a: Column, b: Column) -> Column:
+    """The JSON text of two schemas, given as maps, in one: the left one's keywords first, maps of schemas and ``required`` united, flags true if either is."""
 
     def one(k: Column) -> Column:
-        a, b = F.try_element_at(F.col("a"), k), F.try_element_at(F.col("b"), k)
-        as_map = lambda v: F.try_variant_get(v, "$", "map<string,variant>")
-        as_list = lambda v: F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: F.to_json(x))
-        pairs = lambda m: F.transform(F.map_entries(m), lambda e: F.concat(F.to_json(F.to_variant_object(F.array(e["key"]))), F.lit(":"), F.to_json(e["value"])))
-        extra = F.map_filter(as_map(b), lambda x, _: ~F.array_contains(F.map_keys(as_map(a)), x))
-        cells = F.transform(F.concat(pairs(as_map(a)), pairs(extra)), lambda s: F.regexp_replace(s, r'^\[(".*?[^\\]"|"")\]:', "$1:"))
-        united = F.concat(F.lit("["), F.array_join(F.array_union(as_list(a), as_list(b)), ","), F.lit("]"))
-        merged = F.concat(F.lit("{"), F.array_join(cells, ","), F.lit("}"))
-        either = F.when(F.schema_of_variant(a) == "BOOLEAN", (F.to_json(a) == "true") | (F.to_json(b) == "true")).cast("string")
-        return F.when(b.isNull(), F.to_json(a)).when(a.isNull(), F.to_json(b)).when(k == "required", united).when(k.isin(*MAPS), merged).otherwise(F.coalesce(F.when(F.schema_of_variant(b) == "BOOLEAN", either), F.to_json(a)))
-
-    keys = F.array_union(F.map_keys("a"), F.map_keys("b"))
-    cells = F.transform(keys, lambda k: F.concat(F.regexp_replace(F.to_json(F.to_variant_object(F.array(k))), r"^\[(.*)\]$", "$1"), F.lit(":"), one(k)))
-    return both.select("uri", F.concat(F.lit("{"), F.array_join(cells, ","), F.lit("}")).alias("body"))
+        x, y = F.try_element_at(a, k), F.try_element_at(b, k)
+        lists = lambda v: F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda i: F.to_json(i))
+        maps = _object(F.array_union(F.map_keys(_as_map(x)), F.map_keys(_as_map(y))), lambda e: F.to_json(F.coalesce(F.try_element_at(_as_map(x), e), F.try_element_at(_as_map(y), e))))
+        united = F.concat(F.lit("["), F.array_join(F.array_union(lists(x), lists(y)), ","), F.lit("]"))
+        either = ((F.to_json(x) == "true") | (F.to_json(y) == "true")).cast("string")
+        both = F.when(k == "required", united).when(k.isin(*MAPS), maps).when(k.isin(*FLAGS), either)
+        return F.when(y.isNull(), F.to_json(x)).when(x.isNull(), F.to_json(y)).otherwise(F.coalesce(both, F.to_json(x)))
 
+    return _object(F.array_union(F.map_keys(a), F.map_keys(b)), one)
 
-def bundle_schemas(store: DataFrame, rounds: int = 2) -> DataFrame:
-    """What each root schema takes into its definitions: ``root, uri, name, rank``; external schemas reached in ``rounds`` steps, first writer of a name wins. The name is the title, else the URL's last part."""
+
+def merge_bodies(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Two schemas of each ``uri`` as one (see :func:`merged`)."""
+    parsed = lambda df, n: df.select("uri", _as_map(parse_jsonc(F.col("body"))).alias(n))
+    return parsed(left, "a").join(parsed(right, "b"), "uri").select("uri", merged(F.col("a"), F.col("b")).alias("body"))
+
+
+def flatten_all_of(store: DataFrame) -> DataFrame:
+    """``uri, body``: every schema with what its ``allOf`` branches say merged into its root, through local references, in the branches' order.
+
+    ``allOf`` stays as it was; branches hand on neither combinators nor titles and identities; definitions that nothing reaches any more go.
+    """
     nodes = schema_nodes(store)
-    reach = ref_closure(external_refs(ref_edges(nodes))).filter(F.col("hops") <= rounds)
-    titles = nodes.filter("parent = '' AND key = 'title' AND jtype = 'STRING'").select("uri", _unquoted(F.col("text")).alias("title"))
-    named = reach.join(titles, "uri", "left").withColumn("name", F.coalesce("title", F.regexp_replace(F.substring_index("uri", "/", -1), r"\.json$", "")))
-    return named.withColumn("rank", F.row_number().over(Window.partitionBy("root", "name").orderBy("hops", "uri"))).select("root", "uri", "name", "rank")
+    branches = nodes.filter("parent = '/allOf'").select("uri", "id", "pos")
+    found = lookup_pointer(nodes, branches.select("uri", "id")).join(branches, ["uri", "id"]).select(F.col("uri").alias("root"), F.col("found").alias("at"), "pos")
+    parsed = store.select("uri", parse_jsonc(F.col("body")).alias("v")).filter(_as_map(F.col("v")).isNotNull())
+    places = found.join(parsed, F.col("root") == F.col("uri")).select("uri", "pos", _as_map(value_at(F.col("v"), F.col("at"))).alias("m")).filter("m IS NOT NULL")
+    lists = places.groupBy("uri").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.to_json("m").alias("j")))), lambda x: x["j"]).alias("parts"))  # the branches of one schema
+    clean = lambda j: F.map_filter(_as_map(F.parse_json(j)), lambda k, _: ~k.isin(*OWN))
+    body = F.aggregate(F.coalesce("parts", F.array().cast("array<string>")), F.to_json("v"), lambda done, j: merged(_as_map(F.parse_json(done)), clean(j)))
+    flat = stored(parsed.join(lists, "uri", "left").select("uri", body.alias("body")), "flat-schemas")
+    return rebuild(prune_definitions(schema_nodes(flat)))
+
+
+def bundle_names(nodes: DataFrame, rounds: int = 2) -> DataFrame:
+    """What each schema takes into its definitions: ``root, uri, name, hops``; external schemas within ``rounds`` steps. The name is the title, else the URL's last part."""
+    edges = ref_edges(nodes).filter("base <> ''")
+    edges = edges.withColumn("base", F.when(F.col("base").rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.col("base")).otherwise(url_join(F.col("src_uri"), F.col("base"))))
+    reach = ref_closure(edges.filter("base <> src_uri")).filter((F.col("hops") <= rounds) & (F.col("uri") != F.col("root")))
+    titles = nodes.filter("parent = '' AND key = 'title' AND jtype = 'STRING' AND text <> '\"\"'").select("uri", _unquoted(F.col("text")).alias("title"))
+    held = nodes.filter("parent IS NULL").select("uri")
+    return reach.join(held, "uri", "left_semi").join(titles, "uri", "left").select("root", "uri", F.coalesce("title", F.substring_index("uri", "/", -1)).alias("name"), "hops")
+
+
+def bundle_schemas(store: DataFrame, rounds: int = 2) -> DataFrame:
+    """``uri, body``: every schema with the external schemas that it reaches among its own definitions, and references to them rewritten.
+
+    Definitions of a taken schema are taken as well, as its local references mean them. The first writer of a name wins: the schema itself, then by
+    steps, definitions before whole schemas, then by URL. A taken schema says where it came from (``x-source``). References to what the store lacks stay.
+    """
+    nodes = stored(schema_nodes(store), "bundle-nodes")
+    names = stored(bundle_names(nodes, rounds), "bundle-names")
+    tops = nodes.filter("parent = '/$defs'").select("uri", F.col("key").alias("name"), F.col("id").alias("from_id"))
+    whole = names.select("root", "uri", "name", F.lit("").alias("from_id"), "hops", F.lit(1).alias("kind"))
+    inner = names.select("root", "uri", "hops").join(tops, "uri").select("root", "uri", "name", "from_id", "hops", F.lit(0).alias("kind"))
+    own = tops.select(F.col("uri").alias("root"), "name")
+    first = F.row_number().over(Window.partitionBy("root", "name").orderBy("hops", "kind", "uri"))
+    taken = whole.unionByName(inner).join(own, ["root", "name"], "left_anti").withColumn("__n", first).filter("__n = 1").drop("__n")
+    cells = ["id", "parent", "key", "pos", "jtype", "text"]
+    home = F.concat(F.lit("/$defs/"), F.replace(F.replace("name", F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1")))
+    under = (F.col("id") == F.col("from_id")) | F.startswith(F.col("id"), F.concat("from_id", F.lit("/")))
+    moved = lambda c: F.concat(home, F.substring(c, F.length("from_id") + 1, F.length(c)))
+    copies = taken.join(nodes, "uri").filter(under).withColumn("__top", F.col("id") == F.col("from_id"))
+    parts = copies.select(
+        F.col("root").alias("uri"), moved(F.col("id")).alias("id"), F.when(F.col("__top"), F.lit("/$defs")).otherwise(moved(F.col("parent"))).alias("parent"), F.when(F.col("__top"), F.col("name")).otherwise(F.col("key")).alias("key"),
+        F.when(F.col("__top"), F.lit(1_000_000)).otherwise(F.col("pos")).cast("long").alias("pos"), "jtype", "text",
+    )
+    line = lambda df, id_, parent, k, pos, jtype, text: df.select("uri", id_.alias("id"), parent.alias("parent"), k.alias("key"), F.lit(pos).cast("long").alias("pos"), F.lit(jtype).alias("jtype"), text.cast("string").alias("text"))
+    marks = copies.filter(F.col("__top") & (F.col("kind") == 1) & (F.col("jtype") == "OBJECT")).select(F.col("root").alias("uri"), home.alias("h"), _quoted(F.col("uri")).alias("t"))
+    parts = parts.unionByName(line(marks, F.concat("h", F.lit("/x-source")), F.col("h"), F.lit("x-source"), 1_000_000, "STRING", F.col("t")))
+    missing = taken.select(F.col("root").alias("uri")).distinct().join(nodes.filter("id = '/$defs'").select("uri"), "uri", "left_anti")
+    box = line(missing, F.lit("/$defs"), F.lit(""), F.lit("$defs"), 1_000_000, "OBJECT", F.lit(None))
+    out = nodes.select("uri", *cells).unionByName(parts).unionByName(box)
+    is_ref = (F.col("key") == "$ref") & (F.col("jtype") == "STRING")
+    ref = _unquoted(F.col("text"))
+    full = F.when(base_of(ref).rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), base_of(ref)).when(base_of(ref) != "", url_join(F.col("uri"), base_of(ref)))
+    out = out.withColumn("__to", F.when(is_ref, full)).join(names.select(F.col("root").alias("uri"), F.col("uri").alias("__to"), F.col("name").alias("__name")), ["uri", "__to"], "left")
+    rest = F.coalesce(fragment_of(ref), F.lit(""))
+    new = _quoted(F.concat(F.lit("#/$defs/"), "__name", F.when(rest.startswith("/"), rest).otherwise(F.lit(""))))
+    return rebuild(out.withColumn("text", F.when(F.col("__name").isNotNull(), new).otherwise(F.col("text"))).select("uri", *cells))

@@ -7,6 +7,7 @@ groups of ``TOGETHER`` schemas so that no projection becomes larger than the com
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from typing import Any
 
@@ -14,8 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from conform.functions.values import TypedNode, VariantNode
+from conform.functions.values import TypedNode, VariantNode, value_at
+from conform.operators.schemagraph import ref_closure, ref_edges, schema_nodes
 from conform.plans.rules import VIOLATION, Compiler, UnresolvedReference
+from conform.plans.stored import stored
 
 TOGETHER = 20
 
@@ -39,9 +42,34 @@ def validate_table(df: DataFrame, schema: Any, keep: Sequence[str], columns: Seq
     return _exploded(df.select(*keep, violation_array(schema, row_node(df, columns), formats=formats).alias("__violations")), keep)
 
 
-def validate_one(docs: DataFrame, schema: Any, keep: Sequence[str] = ("doc_id",), instance: str = "instance", store: Mapping[str, Any] | None = None, base: str = "", formats: bool = True) -> DataFrame:
-    """Violations of VARIANT documents under one schema."""
-    return _exploded(docs.select(*keep, violation_array(schema, VariantNode(F.col(instance)), store, base, formats).alias("__violations")), keep)
+def validate_one(docs: DataFrame, schema: Any, keep: Sequence[str] = ("doc_id",), instance: str = "instance", store: Mapping[str, Any] | None = None, base: str = "", formats: bool = True, max_depth: int = 6) -> DataFrame:
+    """Violations of VARIANT documents under one schema.
+
+    Where recursive references lead deeper than one expression follows them, the values that lie there are written and checked in
+    further rounds, each against the schema that its reference names, until none is left. A stream has only the first round.
+    """
+    compiler = Compiler(store or {}, formats, max_depth)
+    found = compiler.compile(schema, VariantNode(F.col(instance)), base)
+    if not compiler.open or docs.isStreaming:
+        return _exploded(docs.select(*keep, found.alias("__violations")), keep)
+    rows = docs.select(*keep, F.col(instance).alias("__value"), F.lit("").alias("__path"), F.lit("").alias("__at"), found.alias("__violations"))
+    out = None
+    while True:
+        each = rows.select(*keep, "__value", "__path", "__at", F.explode("__violations").alias("__v"))
+        deep = F.col("__v.kind") == "reference_depth"
+        part = each.filter(~deep).select(*keep, F.concat("__path", "__v.instance_path").alias("instance_path"), F.concat("__at", "__v.schema_path").alias("schema_path"), "__v.kind", "__v.message", "__v.params")
+        out = part if out is None else out.unionByName(part)
+        left = each.filter(deep).select(
+            *keep, value_at(F.col("__value"), F.col("__v.instance_path")).alias("__value"), F.concat("__path", "__v.instance_path").alias("__path"), F.concat("__at", "__v.schema_path").alias("__at"), F.col("__v.params")["ref"].alias("__ref"),
+        )
+        left = stored(left, "deep-values")
+        if left.isEmpty():
+            return out
+        again = F.when(F.lit(False), F.array().cast(f"array<{VIOLATION}>"))
+        for name in [r["__ref"] for r in left.select("__ref").distinct().collect()]:  # places in one schema, a handful
+            target, new_base, root = compiler.open[name]
+            again = again.when(F.col("__ref") == name, compiler.compile(target, VariantNode(F.col("__value")), new_base, root))
+        rows = left.withColumn("__violations", again)
 
 
 def validate(docs: DataFrame, schemas: Mapping[str, Any], keep: Sequence[str] = ("doc_id", "path"), uri: str = "schema_uri", instance: str = "instance", formats: Mapping[str, bool] | None = None) -> DataFrame:
@@ -60,6 +88,26 @@ def validate(docs: DataFrame, schemas: Mapping[str, Any], keep: Sequence[str] =
     return out
 
 
+def schemas_of(docs: DataFrame, store: DataFrame, uri: str = "schema_uri", most: int = 10_000) -> dict[str, Any]:
+    """The schemas that documents name, and all that they refer to, from a store table ``uri, body``, parsed for :func:`validate`.
+
+    Only schemas that some document reaches come to the driver; more than ``most`` are an error, since each becomes part of a plan.
+    """
+    import json
+
+    edges = ref_edges(schema_nodes(store)).filter("base <> ''").select("src_uri", "base")
+    named = docs.filter(F.col(uri).isNotNull()).select(F.col(uri).alias("uri")).distinct()
+    reached = ref_closure(edges).join(named.withColumnRenamed("uri", "root"), "root", "left_semi").select("uri")
+    rows = store.join(named.union(reached).distinct(), "uri", "left_semi").select("uri", "body").take(most + 1)
+    if len(rows) > most:
+        raise ValueError(f"documents name more than {most} schemas")
+    return {r.uri: json.loads(r.body) for r in rows}
+
+
+#: What a reference may look like.
+_REFERENCE = re.compile(r"(?:[!#$&-;=?-Z\[\]_a-z~\u00a0-\U0010fffd]|%[0-9A-Fa-f]{2})*")
+
+
 def compile_error(schemas: Mapping[str, Any], uri: str) -> str | None:
     """Why a schema cannot be compiled, or None. Nothing runs for it: references are followed in the schemas alone."""
     seen: set[tuple[str, str]] = set()
@@ -69,6 +117,8 @@ def compile_error(schemas: Mapping[str, Any], uri: str) -> str | None:
             ref = value.get("$ref")
             if isinstance(ref, str) and (base, ref) not in seen:
                 seen.add((base, ref))
+                if not _REFERENCE.fullmatch(ref):
+                    return f'"{ref}" is not a "uri-reference"'
                 try:
                     target, new_base, new_root = compiler._resolve(ref, base, root)
                 except UnresolvedReference:
@@ -84,10 +134,13 @@ def compile_error(schemas: Mapping[str, Any], uri: str) -> str | None:
     return walk(schemas[uri], uri, schemas[uri])
 
 
-def schema_findings(docs: DataFrame, schemas: Mapping[str, Any], uri: str = "schema_uri") -> DataFrame:
-    """A diagnostic for every document whose schema is missing (``schema_fetch``) or does not compile (``schema_compile``)."""
+def schema_findings(docs: DataFrame, schemas: Mapping[str, Any], uri: str = "schema_uri", formats: Mapping[str, bool] | None = None) -> DataFrame:
+    """A diagnostic for every document whose schema is missing (``schema_fetch``) or does not compile (``schema_compile``).
+
+    A reference that is no URI reference is passed over where ``formats`` turns the schema's formats off.
+    """
     known = list(schemas)
-    broken = {u: e for u in known if (e := compile_error(schemas, u)) is not None}
+    broken = {u: e for u in known if (e := compile_error(schemas, u)) is not None and not ("uri-reference" in e and not (formats or {}).get(u, True))}
     missing = docs.filter(F.col(uri).isNotNull() & ~F.col(uri).isin(*known)) if known else docs.filter(F.col(uri).isNotNull())
     out = missing.select("path", F.lit("schema_fetch").alias("code"), F.concat(F.lit("no schema at "), F.col(uri)).alias("message"))
     if broken:

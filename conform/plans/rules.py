@@ -2,8 +2,10 @@
 
 A schema is small and known when the query is built; the documents are not. So the schema is walked here once, and what is left
 for the executors are column expressions over the documents' values: conditions, higher-order functions over
-items and properties, and counts of branch errors for combinators. References are followed as they are met; recursive ones
-as deep as ``max_depth``, beyond which values are not looked at.
+items and properties, and counts of branch errors for combinators. References are followed as they are met, without a limit where they do
+not come again. Recursive ones are unrolled ``max_depth`` times; a value that lies deeper gives a row ``reference_depth`` that names the
+reference, from which :func:`conform.operators.validate.validate_one` goes on in another round. A branch (``anyOf``, ``oneOf``, ``not``, ``if``)
+that would have to look deeper gives a row ``undecided``.
 """
 
 from __future__ import annotations
@@ -31,6 +33,10 @@ def register_rule(name: str, check: Callable[[Any, Any], Column], message: str)
     CUSTOM[name] = (check, message)
 
 
+#: References on the way to a value: (the schema that each leads to, how deep in the document it was met).
+Trail = tuple[tuple[int, int], ...]
+
+
 class UnresolvedReference(ValueError):
     """A reference that leads nowhere."""
 
@@ -42,10 +48,13 @@ class Compiler:
     store: Mapping[str, Any] = field(default_factory=dict)
     formats: bool = True
     max_depth: int = 6
+    #: What the rows ``reference_depth`` name: reference -> (schema, base, root).
+    open: dict[str, tuple[Any, str, Any]] = field(default_factory=dict)
+    stops: int = 0
 
     def compile(self, schema: Any, node: Any, base: str = "", root: Any = None) -> Column:
         """All violations of one value: ``array<struct<instance_path, schema_path, kind, message, params>>``."""
-        return _joined(self._walk(schema, node, F.lit(""), "", base, schema if root is None else root, 0))
+        return _joined(self._walk(schema, node, F.lit(""), "", base, schema if root is None else root))
 
     # -- helpers -----------------------------------------------------------
 
@@ -69,7 +78,7 @@ class Compiler:
                 raise UnresolvedReference(ref)
         return at, target_base, target_root
 
-    def _walk(self, schema: Any, node: Any, path: Column, at: str, base: str, root: Any, depth: int) -> list[Column]:
+    def _walk(self, schema: Any, node: Any, path: Column, at: str, base: str, root: Any, trail: Trail = (), level: int = 0) -> list[Column]:
         """Arrays of violations. Every one is empty or null where the value is absent."""
         if schema is True or schema == {}:
             return []
@@ -85,13 +94,12 @@ class Compiler:
         def bad(when: Column, where: str, kind: str, message: str | Column, /, **params: Any) -> None:
             simple.append(_violation(node.present() & when, path, f"{at}/{where}", kind, message, params))
 
-        def sub(child: Any, to: Any, where: Column, step: str, deeper: int = 0) -> Column:
-            return _joined(self._walk(child, to, where, f"{at}/{step}", base, root, depth + deeper))
+        def sub(child: Any, to: Any, where: Column, step: str) -> Column:
+            return _joined(self._walk(child, to, where, f"{at}/{step}", base, root, trail, level + (to is not node)))
 
         ref = schema.get("$ref", schema.get("$dynamicRef"))
-        if isinstance(ref, str) and depth < self.max_depth:
-            target, new_base, new_root = self._resolve(ref, base, root)
-            nested += self._walk(target, node, path, f"{at}/$ref", new_base, new_root, depth + 1)
+        if isinstance(ref, str):
+            nested += self._reference(ref, node, path, at, base, root, trail, level)
         self._any_type(schema, node, bad)
         if not node.never("string"):
             self._strings(schema, node, bad)
@@ -100,16 +108,37 @@ class Compiler:
         if not node.never("array"):
             self._arrays(schema, node, path, bad, sub, nested)
         if not node.never("object"):
-            self._objects(schema, node, path, at, bad, sub, nested, simple)
+            self._objects(schema, node, path, at, base, root, bad, sub, nested, simple)
         self._combinators(schema, node, path, bad, sub, nested)
-        self._unevaluated(schema, node, path, at, base, root, bad, sub)
+        self._unevaluated(schema, node, path, at, base, root, bad, sub, trail, level)
         for name, (check, message) in CUSTOM.items():
             if name in schema:
                 bad(~check(node, schema[name]), name, "custom", message, keyword=name)
         return ([F.array_compact(F.array(*simple))] if simple else []) + nested
 
-    def ok(self, child: Any, node: Any, base: str, root: Any, depth: int) -> Column:
-        return F.size(_joined(self._walk(child, node, F.lit(""), "", base, root, depth))) == 0
+    def _reference(self, ref: str, node: Any, path: Column, at: str, base: str, root: Any, trail: Trail, level: int) -> list[Column]:
+        target, new_base, new_root = self._resolve(ref, base, root)
+        met = [depth for known, depth in trail if known == id(target)]
+        if level in met:
+            return []  # met again on the same value: it says nothing new
+        if met and len(trail) - len({known for known, _ in trail}) >= self.max_depth:
+            name = urljoin(new_base, ref) if ref.startswith("#") else urljoin(base, ref)
+            self.open[name] = (target, new_base, new_root)
+            self.stops += 1
+            return [F.array(_violation(node.present(), path, f"{at}/$ref", "reference_depth", "value lies deeper than recursive references are followed", {"ref": name}))]
+        return self._walk(target, node, path, f"{at}/$ref", new_base, new_root, (*trail, (id(target), level)), level)
+
+    def property_names(self, schema: Any, base: str, root: Any, seen: tuple[int, ...] = ()) -> list[str]:
+        """The properties that a schema declares, through its reference and ``allOf``."""
+        if isinstance(schema, dict) and isinstance(schema.get("$ref"), str):
+            schema, base, root = self._resolve(schema["$ref"], base, root)
+        if not isinstance(schema, dict) or id(schema) in seen:
+            return []
+        own = list(schema["properties"]) if isinstance(schema.get("properties"), dict) else []
+        return own + [name for child in schema.get("allOf", []) for name in self.property_names(child, base, root, (*seen, id(schema)))]
+
+    def ok(self, child: Any, node: Any, base: str, root: Any, trail: Trail, level: int) -> Column:
+        return F.size(_joined(self._walk(child, node, F.lit(""), "", base, root, trail, level))) == 0
 
     # -- keywords ----------------------------------------------------------
 
@@ -193,7 +222,7 @@ class Compiler:
         elif rest is not None and rest is not True:
             nested.append(F.flatten(node.over_items(lambda x, i: sub(rest, x, F.concat(path, F.lit("/"), i.cast("string")), word), len(prefix))))
 
-    def _objects(self, schema: dict, node: Any, path: Column, at: str, bad: Callable, sub: Callable, nested: list[Column], simple: list[Column]) -> None:
+    def _objects(self, schema: dict, node: Any, path: Column, at: str, base: str, root: Any, bad: Callable, sub: Callable, nested: list[Column], simple: list[Column]) -> None:
         wanted = {"properties", "patternProperties", "additionalProperties", "required", "propertyNames", "minProperties", "maxProperties", "dependentRequired", "dependentSchemas", "dependencies"}
         if not wanted & set(schema):
             return
@@ -229,14 +258,26 @@ class Compiler:
         if extra is not None and extra is not True and extra != {}:
             other = lambda k: ~_listed(k, list(declared), list(patterns))
             if extra is False:
-                nested.append(F.array_compact(F.transform(F.filter(node.keys(), other), lambda k: _violation(F.lit(True), F.concat(path, F.lit("/"), k), f"{at}/additionalProperties", "additional_property", None, {"property": k}, F.concat(F.lit("Additional properties are not allowed ('"), k, F.lit("' was unexpected)"))))))
+                known = list(dict.fromkeys(self.property_names(schema, base, root)))
+                said = lambda k: F.concat(F.lit("Additional properties are not allowed ('"), k, F.lit("' was unexpected)"), _hint(k, known))
+                nested.append(F.array_compact(F.transform(F.filter(node.keys(), other), lambda k: _violation(F.lit(True), step(k), f"{at}/additionalProperties", "additional_property", None, {"property": k}, said(k)))))
             else:
                 nested.append(F.flatten(F.array_compact(node.over_entries(lambda k, v: F.when(other(k), sub(extra, v, step(k), "additionalProperties"))))))
 
     def _combinators(self, schema: dict, node: Any, path: Column, bad: Callable, sub: Callable, nested: list[Column]) -> None:
         for i, child in enumerate(schema.get("allOf", [])):
             nested.append(sub(child, node, path, f"allOf/{i}"))
-        fits = lambda word: sum((F.when(F.size(sub(c, node, F.lit(""), word)) == 0, 1).otherwise(0) for c in schema[word]), F.lit(0))
+
+
+        def branch(child: Any, word: str) -> Column:
+            """Whether a value fits a branch; where that lies too deep, a row says so."""
+            stops = self.stops
+            found = sub(child, node, F.lit(""), word)
+            if self.stops > stops:
+                bad(F.exists(found, lambda x: x["kind"].isin("reference_depth", "undecided")), word, "undecided", f"'{word}' cannot be decided: the value lies deeper than recursive references are followed")
+            return F.size(found) == 0
+
+        fits = lambda word: sum((F.when(branch(c, word), 1).otherwise(0) for c in schema[word]), F.lit(0))
         if schema.get("anyOf"):
             bad(fits("anyOf") == 0, "anyOf", "any_of", "not valid under any of the schemas listed in the 'anyOf' keyword")
         if schema.get("oneOf"):
@@ -244,19 +285,20 @@ class Compiler:
             bad(n == 0, "oneOf", "one_of_not_valid", "not valid under any of the schemas listed in the 'oneOf' keyword")
             bad(n > 1, "oneOf", "one_of_multiple_valid", "valid under more than one of the schemas listed in the 'oneOf' keyword")
         if "not" in schema:
-            bad(F.size(sub(schema["not"], node, F.lit(""), "not")) == 0, "not", "not", "value should not be valid under the given schema")
+            bad(branch(schema["not"], "not"), "not", "not", "value should not be valid under the given schema")
         if "if" in schema and ("then" in schema or "else" in schema):
-            holds = F.size(sub(schema["if"], node, F.lit(""), "if")) == 0
+            holds = branch(schema["if"], "if")
             for word, when in (("then", holds), ("else", ~holds)):
                 if word in schema:
                     nested.append(F.when(when, sub(schema[word], node, path, word)))
 
     # -- unevaluated -------------------------------------------------------
 
-    def _seen(self, schema: Any, node: Any, base: str, root: Any, depth: int, items: bool, when: Column | None = None) -> list[tuple[Column | None, Any]]:
+    def _seen(self, schema: Any, node: Any, base: str, root: Any, trail: Trail, level: int, items: bool, when: Column | None = None, above: tuple[int, ...] = ()) -> list[tuple[Column | None, Any]]:
         """What a schema and its branches evaluate: (condition, names and patterns or a count of items; None for all)."""
-        if not isinstance(schema, dict) or depth > self.max_depth:
+        if not isinstance(schema, dict) or id(schema) in above:
             return []
+        depth, above = len(above), (*above, id(schema))
         out: list[tuple[Column | None, Any]] = []
         if items:
             prefix = schema.get("prefixItems") or (schema["items"] if isinstance(schema.get("items"), list) else [])
@@ -271,27 +313,28 @@ class Compiler:
             if "additionalProperties" in schema or "unevaluatedProperties" in schema and depth:
                 out.append((when, None))
         both = lambda c: c if when is None else when & c
-        again = lambda child, cond: self._seen(child, node, base, root, depth + 1, items, cond)
+        again = lambda child, cond: self._seen(child, node, base, root, trail, level, items, cond, above)
+        ok = lambda child: self.ok(child, node, base, root, trail, level)
         if isinstance(schema.get("$ref"), str):
             target, new_base, new_root = self._resolve(schema["$ref"], base, root)
-            out += self._seen(target, node, new_base, new_root, depth + 1, items, when)
+            out += self._seen(target, node, new_base, new_root, trail, level, items, when, above)
         for child in schema.get("allOf", []):
             out += again(child, when)
         for word in ("anyOf", "oneOf"):
             for child in schema.get(word, []):
-                out += again(child, both(self.ok(child, node, base, root, depth + 1)))
+                out += again(child, both(ok(child)))
         if "if" in schema:
-            holds = self.ok(schema["if"], node, base, root, depth + 1)
+            holds = ok(schema["if"])
             out += again(schema["if"], both(holds)) + again(schema.get("then"), both(holds)) + again(schema.get("else"), both(~holds))
         for key, child in schema.get("dependentSchemas", {}).items():
             if (value := node.get(key)) is not None:
                 out += again(child, both(value.present()))
         return out
 
-    def _unevaluated(self, schema: dict, node: Any, path: Column, at: str, base: str, root: Any, bad: Callable, sub: Callable) -> None:
+    def _unevaluated(self, schema: dict, node: Any, path: Column, at: str, base: str, root: Any, bad: Callable, sub: Callable, trail: Trail, level: int) -> None:
         some = lambda c: F.lit(True) if c is None else F.coalesce(c, F.lit(False))
         if "unevaluatedProperties" in schema and schema["unevaluatedProperties"] is not True and not node.never("object"):
-            seen = self._seen(schema, node, base, root, 0, False)
+            seen = self._seen(schema, node, base, root, trail, level, False)
 
             def left(k: Column) -> Column:
                 known = F.lit(False)
@@ -306,7 +349,7 @@ class Compiler:
                 keys = F.array_compact(node.over_entries(lambda k, v: F.when(left(k) & (F.size(sub(child, v, F.lit(""), "unevaluatedProperties")) > 0), k)))
             self._unexpected(node.is_type("object"), keys, path, at, "Unevaluated properties", "unevaluatedProperties", "unevaluated_properties", bad)
         if "unevaluatedItems" in schema and schema["unevaluatedItems"] is not True and not node.never("array"):
-            seen = self._seen(schema, node, base, root, 0, True)
+            seen = self._seen(schema, node, base, root, trail, level, True)
             done = F.lit(0)
             for when, what in seen:
                 done = F.greatest(done, F.when(some(when), F.lit(1 << 30 if what is None else what)).otherwise(0))
@@ -346,6 +389,16 @@ def _violation(when: Column, path: Column, at: str, kind: str, message: str | Co
     return F.when(when, row)
 
 
+def _hint(key: Column, known: list[str]) -> Column:
+    """``; did you mean 'x'?`` with the nearest of the known names within three edits that are at most half of the longer name's bytes; the first of equals."""
+    if not known:
+        return F.lit("")
+    low = F.lower(key)
+    near = [F.struct(F.levenshtein(low, F.lit(n.lower()), 3).alias("d"), F.lit(i).alias("i"), F.lit(n).alias("name")) for i, n in enumerate(known)]
+    fits = F.filter(F.array(*near), lambda x: (x["d"] >= 0) & (x["d"] * 2 <= F.greatest(F.octet_length(key), F.octet_length(x["name"]))))
+    return F.coalesce(F.concat(F.lit("; did you mean '"), F.array_min(fits)["name"], F.lit("'?")), F.lit(""))
+
+
 def _listed(key: Column, names: list[str], patterns: list[str]) -> Column:
     known = key.isin(*names) if names else F.lit(False)
     for p in patterns:

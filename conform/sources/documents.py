@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from conform.functions.globs import glob_to_regex
+from conform.plans.stored import stored
 
 #: Extensions and the formats that they mean.
 FORMATS = {"json": "jsonc", "jsonc": "jsonc", "json5": "json5", "jsonl": "jsonl", "ndjson": "jsonl", "yaml": "yaml", "yml": "yaml", "toml": "toml", "md": "markdown", "mdx": "markdown"}
@@ -55,10 +57,14 @@ def table_documents(rows: DataFrame, id_col: str, name: str) -> DataFrame:
     return rows.select(F.col(id_col).alias("doc_id"), F.concat(F.lit(f"{name}/"), F.col(id_col).cast("string"), F.lit(".json")).alias("path"), F.to_json(F.struct(*rows.columns)).alias("content"))
 
 
-def strip_jsonc(content: Column) -> Column:
+#: A string in quotes. Possessive and unrolled: Java walks it in a loop, however long it is, and never goes back into it.
+DOUBLE, SINGLE = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', r"'[^'\\]*+(?:\\.[^'\\]*+)*+'"
+
+
+def strip_jsonc(content: Column, strings: str = DOUBLE) -> Column:
     """Comments and trailing commas taken out, strings left alone."""
-    bare = F.regexp_replace(content, r'(?s)("(?:[^"\\]|\\.)*")|//[^\n]*|/\*.*?\*/', "$1")
-    return F.regexp_replace(bare, r'(?s)("(?:[^"\\]|\\.)*")|,(?=\s*[}\]])', "$1")
+    bare = F.regexp_replace(content, rf"(?s)({strings})|//[^\n]*+|/\*.*?\*/", "$1")
+    return F.regexp_replace(bare, rf"(?s)({strings})|,(?=\s*+[}}\]])", "$1")
 
 
 def parse_jsonc(content: Column) -> Column:
@@ -69,14 +75,38 @@ def parse_jsonc(content: Column) -> Column:
 
 def parse_json5(content: Column) -> Column:
     """JSON5, as far as Spark's parser goes: comments, trailing commas, plain keys, single quotes, escapes, not-a-numbers."""
-    wrapped = F.concat(F.lit('{"v":'), strip_jsonc(F.regexp_replace(content, "^﻿", "")), F.lit("}"))
+    wrapped = F.concat(F.lit('{"v":'), strip_jsonc(F.regexp_replace(content, "^﻿", ""), f"{DOUBLE}|{SINGLE}"), F.lit("}"))
     return F.coalesce(F.try_parse_json(content), F.try_variant_get(F.from_json(wrapped, "v variant", JSON5)["v"], "$", "variant"))
 
 
-def _batched_parse(rows: DataFrame, column: str) -> DataFrame:
-    """Add ``__json, __offset, __message``: YAML and TOML texts as JSON text, in Arrow batches; the libraries' own grammars."""
+PARSED = "struct<json:string,message:string,offset:int,kind:string>"
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _library_parser() -> Callable[[Column, Column], Column]:
+    """``(kind, text) -> struct<json, message, offset, kind>`` for YAML and TOML, in Arrow batches; the libraries' own grammars. Only these two columns travel.
+
+    Of the kind ``any``, YAML and TOML are tried; a text that YAML takes for one plain string, as it does with many, is left to the later formats.
+    """
+
+    def one(kind: str | None, text: str | None, yaml: Any, tomllib: Any, json: Any) -> tuple[str | None, str | None, int | None, str | None]:
+        if text is None or kind not in ("yaml", "toml", "any"):
+            return None, None, None, kind
+        if kind == "any":
+            found = one("yaml", text, yaml, tomllib, json)
+            return found if found[0] is not None and not found[0].startswith('"') else one("toml", text, yaml, tomllib, json)
+        try:
+            if kind == "toml":
+                return json.dumps(tomllib.loads(text), default=str), None, None, kind
+            if yaml is None:
+                return None, "no YAML parser", 0, kind
+            loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
+            return json.dumps(yaml.load(text.replace("\ufeff", ""), loader), default=str), None, None, kind
+        except Exception as e:  # a parser's error is a row
+            mark = getattr(e, "problem_mark", None)
+            return None, (str(e).splitlines() or [""])[0], len(text[: mark.index].encode("utf-8")) if mark is not None else 0, kind
+
+    @F.pandas_udf(PARSED)
+    def parse(kinds: pd.Series, texts: pd.Series) -> pd.DataFrame:
         import json
         import tomllib
 
@@ -84,29 +114,10 @@ def _batched_parse(rows: DataFrame, column: str) -> DataFrame:
             import yaml
         except ImportError:  # gated: the parser may be missing on a cluster
             yaml = None
+        found = [one(k, x, yaml, tomllib, json) for k, x in zip(kinds, texts, strict=True)]
+        return pd.DataFrame({"json": [x[0] for x in found], "message": [x[1] for x in found], "offset": pd.array([x[2] for x in found], dtype="Int32"), "kind": [x[3] for x in found]})
 
-        def parse(kind: str | None, text: str | None) -> tuple[str | None, int | None, str | None]:
-            if text is None or kind not in ("yaml", "toml"):
-                return None, None, None
-            try:
-                if kind == "toml":
-                    return json.dumps(tomllib.loads(text), default=str), None, None
-                if yaml is None:
-                    return None, 0, "no YAML parser"
-                loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
-                return json.dumps(yaml.load(text.replace("﻿", ""), loader), default=str), None, None
-            except Exception as e:  # a parser's error is a row
-                mark = getattr(e, "problem_mark", None)
-                return None, len(text[: mark.index].encode("utf-8")) if mark is not None else 0, str(e).splitlines()[0]
-
-        for frame in frames:
-            found = [parse(k, t) for k, t in zip(frame["__kind"], frame[column], strict=True)]
-            frame["__json"], frame["__message"] = [x[0] for x in found], [x[2] for x in found]
-            frame["__offset"] = pd.array([x[1] for x in found], dtype="Int32")
-            yield frame
-
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInPandas(run, f"{ddl}, __json string, __message string, __offset int")
+    return parse
 
 
 def frontmatter(content: Column) -> Column:
@@ -119,7 +130,8 @@ def frontmatter(content: Column) -> Column:
 
 
 def normalize_documents(docs: DataFrame, any_format: Column | None = None) -> DataFrame:
-    """Add ``format, instance VARIANT, parse_error``. A document whose extension means nothing is skipped unless ``any_format`` holds; then all formats are tried in order.
+    """Add ``format, instance VARIANT, parse_error``. A document whose extension means nothing is skipped unless ``any_format`` holds; then JSON with
+    comments, YAML, TOML, JSON5 and Markdown are tried in this order, and ``format`` says which it was; one that is none of them is left out.
 
     JSON stays native; only rows of YAML, TOML and Markdown pass through the batched parsers.
     """
@@ -130,16 +142,34 @@ def normalize_documents(docs: DataFrame, any_format: Column | None = None) -> Da
     instance = F.when(F.col("format") == "json5", parse_json5(F.col("content"))).otherwise(parse_jsonc(F.col("content")))
     json_rows = json_rows.withColumn("instance", instance)
     json_rows = json_rows.withColumn("parse_error", F.when(F.col("instance").isNull(), F.struct(F.lit(None).cast("int").alias("offset"), F.lit("malformed JSON").alias("message"))).cast(ERROR))
-    other = rows.filter(F.col("format").isin("yaml", "toml", "markdown", "any"))
-    block = frontmatter(F.col("content"))
-    guess = F.when(parse_jsonc(F.col("content")).isNotNull(), "json").otherwise("yaml")
-    other = other.withColumn("__front", F.when(F.col("format") == "markdown", block))
-    other = other.withColumn("__kind", F.when(F.col("format") == "markdown", F.col("__front.kind")).when(F.col("format") == "any", guess).otherwise(F.col("format")))
-    other = other.withColumn("__body", F.when(F.col("format") == "markdown", F.col("__front.body")).otherwise(F.col("content"))).drop("__front")
-    parsed = _batched_parse(other, "__body")
-    value = F.when(F.col("__kind") == "json", parse_jsonc(F.col("content"))).when(F.col("__kind").isNull(), F.parse_json(F.lit("null"))).otherwise(F.try_parse_json("__json"))
-    parsed = parsed.withColumn("instance", value).withColumn("parse_error", F.when(F.col("__message").isNotNull(), F.struct(F.col("__offset").alias("offset"), F.col("__message").alias("message"))).cast(ERROR))
-    return json_rows.unionByName(parsed.drop("__kind", "__body", "__json", "__message", "__offset"))
+    parse = _library_parser()
+    other = rows.filter(F.col("format").isin("yaml", "toml", "markdown")).withColumn("__front", F.when(F.col("format") == "markdown", frontmatter(F.col("content"))))
+    kind = F.when(F.col("format") == "markdown", F.col("__front.kind")).otherwise(F.col("format"))
+    body = F.when(F.col("format") == "markdown", F.col("__front.body")).otherwise(F.col("content"))
+    other = other.withColumn("__kind", kind).withColumn("__p", parse(F.col("__kind"), body))
+    other = other.withColumn("instance", F.when(F.col("__kind").isNull(), F.parse_json(F.lit("null"))).otherwise(F.try_parse_json("__p.json")))
+    other = other.withColumn("parse_error", F.when(F.col("__p.message").isNotNull(), F.struct(F.col("__p.offset").alias("offset"), F.col("__p.message").alias("message"))).cast(ERROR)).drop("__front", "__kind", "__p")
+    out = json_rows.unionByName(other)
+    if any_format is None:
+        return out
+    unknown = rows.filter("format = 'any'").withColumn("__json", parse_jsonc(F.col("content"))).withColumn("__front", F.when(F.col("__json").isNull(), frontmatter(F.col("content"))))
+    unknown = unknown.withColumns({"__p": parse(F.when(F.col("__json").isNull(), F.lit("any")), F.col("content")), "__q": parse(F.col("__front.kind"), F.col("__front.body"))})
+    tried = [(F.lit("jsonc"), F.col("__json")), (F.col("__p.kind"), F.try_parse_json("__p.json")), (F.lit("json5"), parse_json5(F.col("content"))), (F.lit("markdown"), F.try_parse_json("__q.json"))]
+    unknown = unknown.withColumn("__found", F.coalesce(*[F.when(v.isNotNull(), F.struct(name.alias("format"), v.alias("instance"))) for name, v in tried])).filter("__found IS NOT NULL")
+    unknown = unknown.withColumns({"format": F.col("__found.format"), "instance": F.col("__found.instance"), "parse_error": F.lit(None).cast(ERROR)})
+    return out.unionByName(unknown.select(*out.columns))
+
+
+def checkable(docs: DataFrame, uri: str = "schema_uri", instance: str = "instance") -> tuple[DataFrame, DataFrame]:
+    """Documents that are checked, and ``reason, n`` of those that are not: null instances (Markdown without front matter) and documents without a schema."""
+    reason = F.when(F.col(instance).isNull(), "unparsed").when(F.is_variant_null(instance), "null").when(F.col(uri).isNull(), "no schema")
+    marked = docs.withColumn("__reason", reason)
+    return marked.filter("__reason IS NULL").drop("__reason"), marked.filter("__reason IS NOT NULL").groupBy(F.col("__reason").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def group_sizes(docs: DataFrame, uri: str = "schema_uri") -> DataFrame:
+    """``uri, documents``: how many documents each schema has; counted before the shuffle."""
+    return docs.filter(F.col(uri).isNotNull()).groupBy(uri).agg(F.count(F.lit(1)).alias("documents"))
 
 
 def explode_jsonl(docs: DataFrame) -> DataFrame:
@@ -169,43 +199,56 @@ def jsonl_schema_mismatches(lines: DataFrame) -> DataFrame:
 def inline_schema(format_: Column, content: Column, instance: Column) -> Column:
     """The schema that a document names itself: the ``$schema`` property, a YAML modeline in the leading comments, or a TOML comment."""
     prop = F.try_variant_get(instance, '$["$schema"]', "string")
-    modeline = F.nullif(F.trim(F.regexp_extract(content, r"^\x{FEFF}?(?:\s*(?:#[^\n]*)?\n)*\s*#\s*yaml-language-server:\s*\$schema=(\S[^\n]*)", 1)), F.lit(""))
-    comment = F.nullif(F.trim(F.regexp_extract(content, r"^\x{FEFF}?(?:\s*(?:#[^\n]*)?\n)*\s*#\s*(?::schema|\$schema:)\s+(\S[^\n]*)", 1)), F.lit(""))
+    mark = lambda m: F.nullif(F.trim(F.regexp_extract(content, rf"^\x{{FEFF}}?(?:(?!\h*#\s*{m})\h*+(?:#[^\n]*+)?+\n)*+\h*#\s*{m}(\S[^\n]*)", 1)), F.lit(""))
+    modeline, comment = mark(r"yaml-language-server:\s*\$schema="), mark(r"(?::schema|\$schema:)\s+")
     return F.when(format_ == "toml", comment).when(format_ == "yaml", F.coalesce(modeline, prop)).otherwise(prop)
 
 
 NODE = "struct<pointer:string,parent:string,key:string,pos:int,depth:int,jtype:string,v:variant>"
 
 
-def node_array(value: Column, deepest: int = 12) -> Column:
-    """All values inside a VARIANT as an array of structs: one expression, nested as deep as ``deepest``."""
+def _jtype(v: Column) -> Column:
+    return F.regexp_extract(F.schema_of_variant(v), r"^([A-Z]+)", 1)
+
+
+def node_array(value: Column, deepest: int = 12, pointer: Column | None = None, base: Column | None = None) -> Column:
+    """All values inside a VARIANT as an array of structs: one expression, nested as deep as ``deepest``; pointers and depths continue those given."""
     step = lambda k: F.concat(F.lit("/"), F.replace(F.replace(k, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1")))
-    kind = lambda c: F.regexp_extract(F.schema_of_variant(c), r"^([A-Z]+)", 1)
 
     def children(v: Column) -> Column:
-        k = kind(v)
-        entries = F.when(k == "OBJECT", F.transform(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), lambda e, i: F.struct(e["key"].alias("key"), i.alias("pos"), e["value"].alias("v"))))
-        items = F.when(k == "ARRAY", F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x, i: F.struct(i.cast("string").alias("key"), i.alias("pos"), x.alias("v"))))
+        entries = F.transform(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), lambda e, i: F.struct(e["key"].alias("key"), i.alias("pos"), e["value"].alias("v")))
+        items = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x, i: F.struct(i.cast("string").alias("key"), i.alias("pos"), x.alias("v")))
         return F.coalesce(entries, items)
 
-    def under(v: Column, pointer: Column, parent: Column, key: Column, pos: Column, depth: int) -> Column:
-        own = F.array(F.struct(pointer.alias("pointer"), parent.alias("parent"), key.alias("key"), pos.alias("pos"), F.lit(depth).alias("depth"), kind(v).alias("jtype"), v.alias("v")))
+    def under(v: Column, at: Column, parent: Column, key: Column, pos: Column, depth: int) -> Column:
+        level = F.lit(depth) if base is None else base + depth
+        own = F.array(F.struct(at.alias("pointer"), parent.alias("parent"), key.alias("key"), pos.alias("pos"), level.alias("depth"), _jtype(v).alias("jtype"), v.alias("v")))
         if depth >= deepest:
             return own
-        below = F.flatten(F.transform(children(v), lambda c: under(c["v"], F.concat(pointer, step(c["key"])), pointer, c["key"], c["pos"], depth + 1)))
+        below = F.flatten(F.transform(children(v), lambda c: under(c["v"], F.concat(at, step(c["key"])), at, c["key"], c["pos"], depth + 1)))
         return F.concat(own, F.coalesce(below, F.array().cast(f"array<{NODE}>")))
 
     none = F.lit(None).cast("string")
-    return under(value, F.lit(""), none, none, F.lit(0), 0)
+    return under(value, F.lit("") if pointer is None else pointer, none, none, F.lit(0), 0)
 
 
-def explode_nodes(docs: DataFrame, instance: str = "instance", id_col: str = "doc_id", deepest: int = 12) -> DataFrame:
-    """A row for every value of every document: ``doc_id, pointer, parent, key, pos, depth, jtype, v``; one scan, no shuffle.
+def explode_nodes(docs: DataFrame, instance: str = "instance", id_col: str = "doc_id", deepest: int = 12, whole: bool = True) -> DataFrame:
+    """A row for every value of every document: ``doc_id, pointer, parent, key, pos, depth, jtype, v``; no shuffle.
 
-    Values deeper than ``deepest`` are left inside their ancestor's row.
+    One scan gives ``deepest`` levels. Containers that stand at the last level are written and opened in another round, until none is left; a stream,
+    or ``whole=False``, has only the first round, and what is deeper stays inside its ancestor's row.
     """
-    rows = docs.filter(F.col(instance).isNotNull()).select(F.col(id_col).alias("doc_id"), F.explode(node_array(F.col(instance), deepest)).alias("n"))
-    return rows.select("doc_id", "n.*")
+    rows = docs.filter(F.col(instance).isNotNull()).select(F.col(id_col).alias("doc_id"), F.explode(node_array(F.col(instance), deepest)).alias("n")).select("doc_id", "n.*")
+    if not whole or docs.isStreaming:
+        return rows
+    out, part, level = rows, rows, deepest
+    while True:
+        part = stored(part.filter((F.col("depth") == level) & F.col("jtype").isin("OBJECT", "ARRAY")).select("doc_id", "pointer", "depth", "v"), "deep-nodes")
+        if part.isEmpty():
+            return out
+        nodes = node_array(F.col("v"), deepest, F.col("pointer"), F.col("depth"))
+        part = part.select("doc_id", F.explode(F.slice(nodes, F.lit(2), F.greatest(F.size(nodes) - 1, F.lit(0)))).alias("n")).select("doc_id", "n.*")
+        out, level = out.unionByName(part), level + deepest
 
 
 def convert_documents(docs: DataFrame, to: str) -> DataFrame:

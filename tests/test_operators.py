@@ -68,7 +68,7 @@ def test_url_functions(spark):
 
 DOCS = [
     (1, "config.json", '{"name": "x"}'), (2, "config.yaml", "# yaml-language-server: $schema=https://example.com/schema.json\nname: x\n"), (3, "config.yml", "$schema: https://example.com/schema.json\nname: x"), (4, "config.toml", '# :schema https://example.com/schema.json\nname = "x"'),
-    (5, "missing.json", '{ // c\n "a": "x,]",}'), (6, "bad.json", "not json at all"), (7, "bad.yaml", "a: [1\nb"), (8, "post.md", "<!-- c -->\n---\nname: 1\n---\ntext"), (9, "plain.md", "# text"), (10, "x.json5", "{name: 'y', /* c */ }"), (11, "x.bin", "{}"), (12, "empty.json", ""), (13, "n.json", None),
+    (5, "missing.json", '{ // c\n "a": "x,]",}'), (6, "bad.json", "{oops"), (7, "bad.yaml", "a: [1\nb"), (8, "post.md", "<!-- c -->\n---\nname: 1\n---\ntext"), (9, "plain.md", "# text"), (10, "x.json5", "{name: 'y', /* c */ }"), (11, "x.bin", "{}"), (12, "empty.json", ""), (13, "n.json", None),
 ]
 
 
@@ -127,9 +127,9 @@ def test_settings(spark):
 
 
 def test_suggestions(spark):
-    known = spark.createDataFrame([("p", i, k) for i, k in enumerate(["description", "argument-hint", "version", "abc"])], "parent string, ord int, known string")
-    bad = spark.createDataFrame([("p", x) for x in ("desciption", "argument_hint", "vresion", "zzzzzz", "ab")], "parent string, property string")
-    assert {r.property: r.suggestion for r in R.suggest(bad, known, ["parent"]).collect()} == {"desciption": "description", "argument_hint": "argument-hint", "vresion": "version", "zzzzzz": None, "ab": "abc"}
+    known = spark.createDataFrame([("p", i, k) for i, k in enumerate(["quantity", "ship-date", "colour", "abc"])], "parent string, ord int, known string")
+    bad = spark.createDataFrame([("p", x) for x in ("quanttiy", "ship_date", "coulor", "zzzzzz", "ab")], "parent string, property string")
+    assert {r.property: r.suggestion for r in R.suggest(bad, known, ["parent"]).collect()} == {"quanttiy": "quantity", "ship_date": "ship-date", "coulor": "colour", "zzzzzz": None, "ab": "abc"}
 
 
 def test_reports(spark):
@@ -196,8 +196,8 @@ def test_schema_graph_and_migration(spark):
     merged = json.loads(G.merge_bodies(spark.createDataFrame([("u", '{"title":"l","required":["a"],"properties":{"p":1},"uniqueItems":false}')], "uri string, body string"), spark.createDataFrame([("u", '{"title":"r","required":["b","a"],"properties":{"p":2,"q":3},"uniqueItems":true,"type":"object"}')], "uri string, body string")).first().body)
     assert merged == {"title": "l", "required": ["a", "b"], "properties": {"p": 1, "q": 3}, "uniqueItems": True, "type": "object"}
     flat = C.schema_store(spark, {"u": {"properties": {"a": {}}, "allOf": [{"$ref": "#/$defs/d"}, {"properties": {"a": {}, "c": {}}}], "$defs": {"d": {"properties": {"b": {}}, "required": ["b"]}}}})
-    assert sorted((r.kind, r.name, r["rank"]) for r in G.flatten_all_of(G.schema_nodes(flat)).collect()) == [("property", "a", 0), ("property", "b", 1), ("property", "c", 2), ("required", "b", 1)]
-    assert {(r.root[-6:], r["name"]) for r in G.bundle_schemas(store).collect()} == {("b.json", "A")}
+    assert sorted((r.kind, r.name, r["rank"]) for r in G.all_of_names(G.schema_nodes(flat)).collect()) == [("property", "a", 0), ("property", "b", 1), ("property", "c", 2), ("required", "b", 1)]
+    assert {(r.root[-6:], r["name"]) for r in G.bundle_names(nodes).collect()} == {("b.json", "A"), ("a.json", "b.json")}
 
 
 def test_descriptions_and_catalog(spark):
