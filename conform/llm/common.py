@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 #: A word: anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-SPACE = r"[\x20\x09-\x0D]+"
 #: Rows in an Arrow batch at most.
 BATCH_ROWS = 4096
 _ROOT = str(Path(__file__).resolve().parents[2])

@@ -1,12 +1,14 @@
 """A gated recurrent language model in numpy, trained and applied by Spark.
 
-*Words.* ASCII capitals are lower-cased; a text is its words and then one end. Counts of all words of all training texts are a Spark
-aggregation. Words with the highest counts (at most ``HEAD_WORDS``, 64 bytes each) are broadcast; all other words are joined.
+*Words.* ASCII capitals are lower-cased; a text is its words and then one end. Words of all training texts are counted in each task first (at most
+``COUNTED`` at a time), then by a Spark aggregation. Words with the highest counts (at most ``HEAD_WORDS``, 64 bytes each) are broadcast; all other
+words are joined, where adaptive execution splits a word that fills a partition.
 
 *Model.* A GRU reads the words; its output softmax is factored: a class from the state, then a word from the class.
 The ``NET_WORDS`` most frequent words have classes of their own by frequency, with a second softmax from the state.
-All others belong to a class by their last two bytes and share that class's probability by their discounted counts; what the discount
-leaves is the share of words never seen, so known words and "unknown" make one distribution.
+All others belong to a class by their last two bytes before closing punctuation, which tell the language well, and share that class's probability by
+their discounted counts. What the discount leaves is the share of the class's words never seen. It is spread evenly over as many words as the class is
+expected to hold unseen (Chao's estimate from its words seen once and twice, at least one), so no unknown word gets more than its part.
 
 *Training.* Truncated backpropagation: a task runs many documents side by side, carries each state from window to window, and
 backpropagates within a window. Every partition trains its own copy on its share of all training documents; after each of
@@ -24,6 +26,7 @@ import hashlib
 import heapq
 import math
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
@@ -34,9 +37,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from conform.llm.common import id_text, materialize, ship, SPACE, tidy
+from conform.llm.common import id_text, materialize, ship, tidy
 
-HEAD_WORDS, NET_WORDS, CLASS_WORDS, SHAPES = 1 << 18, 1024, 64, 32
+HEAD_WORDS, NET_WORDS, CLASS_WORDS, SHAPES = 1 << 18, 1024, 64, 192
+#: Distinct words that a task counts before it hands its counts on.
+COUNTED = 300_000
+#: Punctuation that may follow a word.
+CLOSING = b".,;:!?)]\"'"
 HIDDEN, WINDOW, LANES, ROUNDS, RATE = 16, 24, 256, 2, 0.08
 #: Bytes of a word beyond which its digest stands for it.
 LONG_WORD = 64
@@ -59,16 +66,31 @@ def key_of(word: bytes) -> bytes:
 
 
 def shape_of(word: bytes) -> int:
-    return zlib.crc32(word[-2:]) % SHAPES
+    return zlib.crc32(word.rstrip(CLOSING)[-2:]) % SHAPES
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """``word, c, shape`` of all words of a column ``text``: raw words are counted first, then put to lower case."""
-    raw = texts.select(F.explode(F.split("text", SPACE)).alias("raw")).filter("raw <> ''").groupBy("raw").agg(F.count(F.lit(1)).alias("c"))
-    lower = F.translate("raw", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    shape = F.crc32(F.substring(F.encode("low", "UTF-8"), -2, 2)) % SHAPES
-    keyed = raw.select(lower.alias("low"), "c").select(F.when(F.octet_length("low") <= LONG_WORD, F.col("low")).otherwise(F.concat(F.lit(" "), F.sha2("low", 256))).alias("word"), shape.cast("int").alias("shape"), "c")
-    return materialize(keyed.groupBy("word").agg(F.sum("c").alias("c"), F.min("shape").alias("shape")), "lm-counts")
+    """``word, c, shape`` of all words of a column ``text``: a task adds up its own words before they are shuffled."""
+    ship(texts.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> pa.RecordBatch:
+            words = list(found)
+            columns = [pa.array([key_of(w).decode("utf-8") for w in words], pa.string()), pa.array(found.values(), pa.int64()), pa.array(map(shape_of, words), pa.int32())]
+            return pa.RecordBatch.from_arrays(columns, ["word", "c", "shape"])
+
+        found: Counter[bytes] = Counter()
+        for batch in batches:
+            for text in batch.column(0):
+                found.update(words_of(text.as_py()))
+                if len(found) >= COUNTED:
+                    yield rows()
+                    found.clear()
+        yield rows()
+        tidy()
+
+    each = texts.select("text").mapInArrow(run, "word string, c long, shape int")
+    return materialize(each.groupBy("word").agg(F.sum("c").alias("c"), F.min("shape").alias("shape")), "lm-counts")
 
 
 @dataclass
@@ -86,12 +108,17 @@ class Lexicon:
     least_head: int  # words with a lower count are not in the index
     discount: float
     shape_types: np.ndarray
+    shape_unseen: np.ndarray  # words of each shape class that are expected to exist beside those seen
 
     def unseen(self) -> np.ndarray:
-        """Log probability of a word never seen within each shape class."""
-        with np.errstate(divide="ignore", invalid="ignore"):
-            p = np.where(self.shape_counts > 0, self.discount * self.shape_types / np.maximum(self.shape_counts, 1), 1.0)
-        return np.log(p)
+        """Log probability of one word never seen within each shape class."""
+        share = np.where(self.shape_counts > 0, self.discount * self.shape_types / np.maximum(self.shape_counts, 1), 1.0)
+        return np.log(np.maximum(share, 1e-30)) - np.log(self.shape_unseen)
+
+
+def expected_unseen(once: np.ndarray, twice: np.ndarray) -> np.ndarray:
+    """Chao's estimate of the number of kinds not seen, from those seen once and twice; at least 1."""
+    return np.maximum(1.0, once * (once - 1.0) / (2.0 * (twice + 1.0)))
 
 
 def build_lexicon(counts: DataFrame, texts: int) -> Lexicon:
@@ -112,8 +139,9 @@ def build_lexicon(counts: DataFrame, texts: int) -> Lexicon:
     count = np.array([texts, *(c for c, _, _ in head)], dtype=np.int64)
     shapes = np.zeros(SHAPES, dtype=np.int64)
     types = np.zeros(SHAPES, dtype=np.int64)
-    for r in counts.groupBy("shape").agg(F.sum("c").alias("s"), F.count(F.lit(1)).alias("n")).collect():
-        shapes[r["shape"]], types[r["shape"]] = r.s, r.n
+    once, twice = np.zeros(SHAPES), np.zeros(SHAPES)
+    for r in counts.groupBy("shape").agg(F.sum("c").alias("s"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).collect():
+        shapes[r["shape"]], types[r["shape"]], once[r["shape"]], twice[r["shape"]] = r.s, r.n, r.n1, r.n2
     for c, _, shape in net:
         shapes[shape] -= c
         types[shape] -= 1
@@ -123,7 +151,7 @@ def build_lexicon(counts: DataFrame, texts: int) -> Lexicon:
     within[tail] = np.log(np.maximum(count[tail] - discount, 1e-9) / np.maximum(shapes[token[tail] - NET_WORDS], 1))
     net_counts = np.zeros(NET_WORDS)
     net_counts[: min(NET_WORDS, len(count))] = count[:NET_WORDS]
-    return Lexicon(index, token, count, within, net_counts, shapes, total, distinct, least, discount, types)
+    return Lexicon(index, token, count, within, net_counts, shapes, total, distinct, least, discount, types, expected_unseen(once, twice))
 
 
 CLASSES = NET_WORDS // CLASS_WORDS + SHAPES
@@ -154,9 +182,11 @@ def unflat(x: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def side_by_side(lengths: np.ndarray, lanes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Deal documents to lanes of about equal length. Gives ``place`` (steps x lanes, positions in the joined tokens or -1), ``first``
-    (a document begins), and for each step the number of lanes that still run; lanes are in falling length."""
+def side_by_side(lengths: np.ndarray, lanes: int, steps: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Deal documents to lanes of about equal length and walk all lanes at once, ``steps`` at a time: ``place`` (steps x running lanes, positions
+    in the joined tokens or -1) and ``first`` (a document begins). Lanes are in falling length, so those that still run are the first ones. Memory is a
+    number for each token and a window, however long a document is.
+    """
     lanes = max(1, min(lanes, len(lengths)))
     heap = [(0, i) for i in range(lanes)]
     of: list[list[int]] = [[] for _ in range(lanes)]
@@ -166,17 +196,20 @@ def side_by_side(lengths: np.ndarray, lanes: int) -> tuple[np.ndarray, np.ndarra
         heapq.heappush(heap, (n + int(lengths[d]), i))
     size = np.array([lengths[x].sum() for x in of])
     order = np.argsort(-size, kind="stable")
+    size, dealt = size[order], np.array([d for i in order.tolist() for d in of[i]], dtype=np.int64)
     starts = np.r_[0, np.cumsum(lengths)[:-1]]
-    place = np.full((int(size.max()), lanes), -1, dtype=np.int64)
-    first = np.zeros(place.shape, dtype=bool)
-    for j, i in enumerate(order.tolist()):
-        at = 0
-        for d in of[i]:
-            n = int(lengths[d])
-            place[at : at + n, j] = np.arange(starts[d], starts[d] + n)
-            first[at, j] = True
-            at += n
-    return place, first, (place >= 0).sum(axis=1), order
+    n = lengths[dealt]
+    begins = np.r_[0, np.cumsum(n)[:-1]]  # where each document begins among the lanes' tokens, one lane after the other
+    position = np.arange(int(n.sum()), dtype=np.int64) + np.repeat(starts[dealt] - begins, n)
+    new = np.zeros(len(position), dtype=bool)
+    new[begins] = True
+    lane = np.r_[0, np.cumsum(size)[:-1]]
+    for a in range(0, int(size[0]), steps):
+        m, b = int((size > a).sum()), min(a + steps, int(size[0]))
+        at = np.arange(a, b)[:, None]
+        real = at < size[:m]
+        safe = np.where(real, at + lane[:m], 0)
+        yield np.where(real, position[safe], -1), new[safe] & real
 
 
 def gate(x: np.ndarray) -> np.ndarray:
@@ -242,13 +275,9 @@ class Trainer:
         self.p, self.squares, self.seen = p, squares, 0
 
     def run(self, tokens: np.ndarray, lengths: np.ndarray) -> None:
-        place, first, running, _ = side_by_side(lengths, LANES)
-        state = np.zeros((place.shape[1], HIDDEN), dtype=f32)
-        for a in range(0, len(place), WINDOW):
-            b = min(a + WINDOW, len(place))
-            m = int(running[a])  # lanes that still run; others have ended
-            at = place[a:b, :m]
-            state = self.window(np.where(at >= 0, tokens[at], -1), first[a:b, :m], state[:m])
+        state = np.zeros((LANES, HIDDEN), dtype=f32)
+        for at, first in side_by_side(lengths, LANES, WINDOW):
+            state = self.window(np.where(at >= 0, tokens[at], -1), first, state[: at.shape[1]])
         self.seen += len(tokens)
 
     def window(self, x: np.ndarray, first: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -329,13 +358,10 @@ def states(p: dict[str, np.ndarray], x: np.ndarray, first: np.ndarray, h: np.nda
 def score_tokens(p: dict[str, np.ndarray], tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Log probability of every symbol; states run from the first word of a document to its end."""
     out = np.zeros(len(tokens))
-    place, first, running, _ = side_by_side(lengths, SCORE_LANES)
-    h = np.zeros((place.shape[1], HIDDEN), f32)
-    for a in range(0, len(place), SCORE_STEPS):
-        b, m = min(a + SCORE_STEPS, len(place)), int(running[a])
-        at = place[a:b, :m]
+    h = np.zeros((SCORE_LANES, HIDDEN), f32)
+    for at, first in side_by_side(lengths, SCORE_LANES, SCORE_STEPS):
         x = tokens[np.maximum(at, 0)]
-        hs, h = states(p, x, first[a:b, :m], h[:m])
+        hs, h = states(p, x, first, h[: at.shape[1]])
         real = at.ravel() >= 0
         out[at.ravel()[real]] = output_scores(p, hs.reshape(-1, HIDDEN)[real], x.ravel()[real])[0]
     return out

@@ -519,3 +519,62 @@ def test_gradients_are_right():
             numeric = (loss(up) - loss(down)) / 2e-5
             own = dg[rows == at[0]][:, at[1]].sum() if name == "G" else g[name][at]
             assert abs(numeric - own) < 1e-2 * max(1, abs(numeric)), (name, at, numeric, own)
+
+
+def brute_log_probability(p, symbols):
+    """Log probability of every symbol of one document, a step at a time, from the model's definition."""
+    heads, h, out = lm.NET_WORDS // lm.CLASS_WORDS, np.zeros(lm.HIDDEN), []
+    k = lm.HIDDEN
+    softmax = lambda z: np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    for y in symbols:
+        cls = y // lm.CLASS_WORDS if y < lm.NET_WORDS else y - lm.NET_WORDS + heads
+        log = np.log(softmax(h @ p["C"] + p["c"])[cls])
+        if y < lm.NET_WORDS:
+            rows = slice(cls * lm.CLASS_WORDS, (cls + 1) * lm.CLASS_WORDS)
+            log += np.log(softmax(p["W"][rows] @ h + p["w"][rows])[y - cls * lm.CLASS_WORDS])
+        out.append(log)
+        g, u = p["G"][y].astype(float), h @ p["U"]
+        z, r = (1 / (1 + np.exp(g[a : a + k] + u[a : a + k])) for a in (0, k))
+        n = np.tanh(g[2 * k :] + r * u[2 * k :])
+        h = n + z * (h - n)
+    return np.array(out)
+
+
+def test_language_model_equals_a_plain_forward_pass():
+    class Flat:
+        net_counts, shape_counts = np.arange(lm.NET_WORDS, 0, -1), np.ones(lm.SHAPES)
+
+    rng = np.random.default_rng(8)
+    p = {name: v + rng.normal(0, 0.3, v.shape).astype(np.float32) for name, v in lm.initial(Flat).items()}
+    docs = [rng.integers(0, lm.NET_WORDS + lm.SHAPES, n) for n in (1, 2, 700, 23, 24, 25, 0 + 48, 3)]
+    lengths = np.array([len(d) for d in docs])
+    got = lm.score_tokens(p, np.concatenate(docs).astype(np.int32), lengths)
+    want = np.concatenate([brute_log_probability(p, d) for d in docs])
+    assert np.abs(got - want).max() < 1e-3
+    # from any state, the symbols' probabilities make one
+    every = np.arange(lm.NET_WORDS + lm.SHAPES, dtype=np.int32)
+    state = np.repeat(rng.normal(0, 0.5, (1, lm.HIDDEN)).astype(np.float32), len(every), axis=0)
+    assert abs(np.exp(lm.output_scores(p, state, every)[0]).sum() - 1) < 1e-3
+
+
+def test_lanes_hold_every_token_once_and_need_no_more_memory_than_a_window():
+    lengths = np.array([1_000_000, 3, 1, 40, 700, 700, 2])
+    seen, firsts, biggest = [], 0, 0
+    for at, first in lm.side_by_side(lengths, 4, 24):
+        seen.append(at[at >= 0])
+        firsts += int(first.sum())
+        biggest = max(biggest, at.size)
+    seen = np.concatenate(seen)
+    assert len(seen) == lengths.sum() == len(np.unique(seen)) and firsts == len(lengths) and biggest <= 96
+
+
+def test_seen_and_unseen_words_share_one_mass(spark):
+    words = [f"w{i % 50}{'abcdefgh'[i % 8]}e" for i in range(400)] + [f"x{i}e" for i in range(3000)] + [f"y{i}e" for i in range(1500)] * 2
+    texts = spark.createDataFrame([(" ".join(words[i::7]),) for i in range(7)], "text string")
+    counts = lm.word_counts(texts)
+    assert {r.word: r.c for r in counts.collect()} == Counter(words)
+    own = lm.build_lexicon(counts, 7)
+    for shape in np.flatnonzero(own.shape_counts > 0):
+        seen = np.exp(own.within[(own.token == lm.NET_WORDS + shape)]).sum()
+        assert abs(seen + np.exp(own.unseen()[shape]) * own.shape_unseen[shape] - 1) < 1e-6
+    assert lm.shape_of(b"keit,") == lm.shape_of(b"heit") and own.shape_unseen[lm.shape_of(b"x1e")] > 1
