@@ -231,21 +231,29 @@ def exponentials(x: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray]:
     return x, x @ np.ones(x.shape[1], dtype=f32)
 
 
+def softmax_gradients(every: np.ndarray, total: np.ndarray, hit: np.ndarray, h: np.ndarray, w: np.ndarray, into: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Add a softmax's gradients for the outcomes ``hit`` to its weights and biases, return the states'; ``every`` are exponentials, undivided, and are used up."""
+    share = (1 / total)[:, None]
+    every[np.arange(len(hit)), hit] -= total
+    found = (h * share).T @ every
+    into += found[:-1]
+    bias += found[-1]
+    return (every @ w.T) * share
+
+
 def output_scores(p: dict[str, np.ndarray], h: np.ndarray, y: np.ndarray, grads: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Log probability of symbols ``y`` from states ``h``; with ``grads`` also adds the output layer's and returns the states' gradients."""
     n = np.arange(len(y))
+    h = np.concatenate([h, np.ones((len(h), 1), f32)], axis=1)  # biases are the last row of the weights
     heads = NET_WORDS // CLASS_WORDS
     cls = np.where(y < NET_WORDS, y // CLASS_WORDS, y - NET_WORDS + heads)
     bound = float((np.abs(p["C"]).sum(axis=0) + np.abs(p["c"])).max())
-    every, total = exponentials(h @ p["C"] + p["c"], bound)
+    weights = np.concatenate([p["C"], p["c"][None]])
+    every, total = exponentials(h @ weights, bound)
     score = np.log(every[n, cls] / total + f32(1e-30))
     back = None
     if grads is not None:
-        every *= (1 / total)[:, None]
-        every[n, cls] -= 1
-        grads["C"] += h.T @ every
-        grads["c"] += every.sum(axis=0)
-        back = every @ p["C"].T
+        back = softmax_gradients(every, total, cls, h, weights[:-1], grads["C"], grads["c"])
     order = np.argsort(cls.astype(np.int16), kind="stable")
     edges = np.searchsorted(cls[order], np.arange(heads + 1))
     bound = float((np.abs(p["W"]).sum(axis=1) + np.abs(p["w"])).max())
@@ -256,15 +264,11 @@ def output_scores(p: dict[str, np.ndarray], h: np.ndarray, y: np.ndarray, grads:
             continue
         rows = slice(k * CLASS_WORDS, (k + 1) * CLASS_WORDS)
         at, hk, w = order[a:b], sorted_h[a:b], p["W"][rows]
-        every, total = exponentials(hk @ w.T + p["w"][rows], bound)
+        every, total = exponentials(hk @ np.concatenate([w, p["w"][rows, None]], axis=1).T, bound)
         m, pick = n[: b - a], sorted_y[a:b] - k * CLASS_WORDS
         score[at] += np.log(every[m, pick] / total + f32(1e-30))
         if grads is not None:
-            every *= (1 / total)[:, None]
-            every[m, pick] -= 1
-            grads["W"][rows] += every.T @ hk
-            grads["w"][rows] += every.sum(axis=0)
-            back[at] += every @ w
+            back[at] += softmax_gradients(every, total, pick, hk, w.T, grads["W"][rows].T, grads["w"][rows])
     return score, back
 
 
