@@ -241,7 +241,7 @@ def rebuild(nodes: DataFrame) -> DataFrame:
 
 def patch_root(nodes: DataFrame, key: str, values: DataFrame) -> DataFrame:
     """Set a keyword of every root to the JSON texts of ``uri, text``."""
-    rest = nodes.filter(~((F.col("parent") == "") & (F.col("key") == key)))
+    rest = nodes.filter(~(F.col("parent").eqNullSafe("") & F.col("key").eqNullSafe(F.lit(key))))
     fresh = values.select("uri", F.lit(f"/{key}").alias("id"), F.lit("").alias("parent"), F.lit(key).alias("key"), F.lit(-1).cast("long").alias("pos"), F.lit(1).alias("depth"), F.lit("STRING").alias("jtype"), "text", F.lit("plain").alias("role"), F.lit("schema").alias("prole"), F.lit(None).cast("string").alias("pkey"), F.lit(None).cast("string").alias("gpkey"))
     return rest.unionByName(fresh)
 

@@ -21,14 +21,21 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([_ROOT, *paths])
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Write a table to the folder that ``spark.checkpoint.dir`` names (a temporary one only where it is unset) and read it back."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the folder that ``spark.checkpoint.dir`` names. Only a local master may do without that setting; it gets a temporary folder."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """Write a table to the shared folder and read it back."""
+    spark = df.sparkSession
+    path = shared_path(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
