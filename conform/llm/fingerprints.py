@@ -19,6 +19,8 @@ from conform.llm.common import materialize, text_of
 
 #: Rows of a range of the order by id, about, and the most ranges.
 RANGE_ROWS, MOST_RANGES = 2048, 1 << 17
+#: Bytes of texts of a task of the order, about.
+TASK_BYTES = 32 << 20
 #: First cuts of the order, from quantiles of the ids.
 CUTS = 64
 #: Groups of equal hashes up to which their table is broadcast (16 bytes each).
@@ -110,8 +112,9 @@ def next_texts(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> D
     holds all that its rows need: one shuffle of the texts, no range in one task with another.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text).alias("text"), *[c for c in ("fingerprint",) if c in docs.columns]).withColumn("__th", F.xxhash64("text"))
-    ids = docs.select(F.col(id_col).cast("double").alias("d"))
-    n, cuts = ids.agg(F.count(F.lit(1)), F.percentile_approx("d", [i / CUTS for i in range(CUTS + 1)], 2000)).first()
+    ids = docs.select(F.col(id_col).cast("double").alias("d"), F.octet_length(text_of(text)).cast("long").alias("b"))
+    n, total, cuts = ids.agg(F.count(F.lit(1)), F.sum("b"), F.percentile_approx("d", [i / CUTS for i in range(CUTS + 1)], 2000)).first()
+    tasks = max(1, min(n // RANGE_ROWS + 1, -(-(total or 0) // TASK_BYTES)))
     cuts = sorted(set(cuts or [])) or [0.0]
     cuts = [*cuts, cuts[0] + 1.0] if len(cuts) == 1 else cuts
     parts = max(1, min(MOST_RANGES, -(-n // RANGE_ROWS)) // (len(cuts) - 1))
@@ -124,6 +127,7 @@ def next_texts(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> D
     places = F.when(F.col("__to").isNull(), F.array(F.struct(F.col("__bucket").alias("b"), F.lit(0).alias("g")))).otherwise(F.array(F.struct(F.col("__bucket").alias("b"), F.lit(0).alias("g")), F.struct(F.col("__to").alias("b"), F.lit(1).alias("g"))))
     kept = [c for c in ("fingerprint",) if c in rows.columns]
     dealt = rows.withColumn("__p", F.explode(places)).select("doc_id", "text", "__th", F.col("__p.b").alias("__b"), F.col("__p.g").alias("__g"), *kept)
+    dealt = dealt.repartition(tasks, "__b")  # the number follows the data, so a task's share does not
     order = Window.partitionBy("__b").orderBy(F.col("__g"), F.col("doc_id").desc_nulls_last(), F.col("__th").desc())
     extra = [F.lead("fingerprint").over(order).alias("next_fingerprint")] if "fingerprint" in dealt.columns else []
     return dealt.select("*", F.lead("text").over(order).alias("next_text"), *extra).filter("__g = 0").drop("__b", "__g", "__th")

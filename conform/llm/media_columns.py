@@ -2,8 +2,9 @@
 
 Every text becomes a payload of 8-bit samples, stored without loss as a grey PNG of 576 samples a row. A task writes its payloads as
 members of tar shards in the shared folder; members are named by the digest of the payload, and equal payloads of
-a shard are stored once. Rows carry the shard, the digest, the offset and the length of their member. A second job
-reads only the members' headers for the metadata columns, or the whole members for digests and features.
+a shard are stored once. Of members that several tasks stored, the index keeps one, so rows with equal payloads carry the same shard, digest,
+offset and length. Range reads of the members' headers fill the metadata columns; whole members are read for digests and features, each once,
+in the order of the shards, in as many tasks as their bytes ask for.
 
 Shards are written under a name of their own for each attempt and listed in a table that Spark commits, so a lost or
 repeated task leaves at most an unlisted file. Defined cases: a null or empty text becomes one row of bytes 255; a null
@@ -24,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
-
+from pyspark.sql import functions as F
 
 from conform.llm.common import materialize, new_path, ship
 
@@ -33,6 +34,8 @@ SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Bytes of a shard after which the next one is begun.
 SHARD_BYTES = 256 << 20
 HEADER_BYTES = 33
+#: Bytes of members that a task reads back, about.
+TASK_BYTES = 16 << 20
 
 
 def payload_of(text: str | None) -> tuple[bytes, int]:
@@ -160,8 +163,21 @@ class Ranges:
         return got
 
 
-def read_headers(index: DataFrame, folder: str) -> DataFrame:
-    """The index with ``width, height, bits``, from the first HEADER_BYTES bytes of each member."""
+def members_of(index: DataFrame) -> DataFrame:
+    """One member for each digest, ``digest, shard, offset, length``, dealt out in the order of the shards."""
+    one = F.min(F.struct("shard", "offset", "length"))
+    members = materialize(index.groupBy("digest").agg(one.alias("m")).select("digest", "m.shard", "m.offset", "m.length"), "media-members")
+    tasks = max(1, -(-(members.agg(F.sum("length")).first()[0] or 0) // TASK_BYTES))
+    return members.repartitionByRange(tasks, "shard", "offset").sortWithinPartitions("shard", "offset")
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
+def read_headers(members: DataFrame, folder: str) -> DataFrame:
+    """The members with ``width, height, bits``, from the first HEADER_BYTES bytes of each."""
+    ship(members.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranges = Ranges(folder)
@@ -170,38 +186,35 @@ def read_headers(index: DataFrame, folder: str) -> DataFrame:
             extra = [pa.array([x[i] for x in found], pa.int32()) for i in range(3)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, "width", "height", "bits"])
 
-    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in index.schema.fields)
-    return index.mapInArrow(run, f"{ddl}, width int, height int, bits int")
+    return members.mapInArrow(run, f"{_ddl(members)}, width int, height int, bits int")
 
 
-def read_media(index: DataFrame, folder: str) -> DataFrame:
-    """Whole members read back: digests, checksums and features of payload and stored form; a member that does not match its digest is an error."""
+def read_media(members: DataFrame, folder: str) -> DataFrame:
+    """Whole members read back: the members with digests, checksums and features of payload and stored form; a member that does not match its digest is an error."""
+    ship(members.sparkSession)
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranges, last, found = Ranges(folder), None, None
+        ranges = Ranges(folder)
         for batch in batches:
             rows = []
             for shard, digest, offset, length in zip(*(batch[c].to_pylist() for c in ("shard", "digest", "offset", "length")), strict=True):
-                if (shard, offset) != last:
-                    stored = ranges.read(shard, offset, length)
-                    payload = from_png(stored)
-                    if hashlib.sha256(payload).hexdigest() != digest:
-                        raise OSError(f"{shard}: the member at {offset} is not {digest}")
-                    last, found = (shard, offset), (len(payload), digest, zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature_of(payload), *png_header(stored))
-                rows.append(found)
-            columns = list(zip(*rows, strict=True)) or [[]] * 9
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["n_bytes"], *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True)), batch["shard"], batch["offset"]],
-                ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bits", "shard", "offset"],
-            )
-
-    kind = index.schema["doc_id"].dataType.simpleString()
-    return index.mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int, bits int, shard string, offset long")
+                stored = ranges.read(shard, offset, length)
+                payload = from_png(stored)
+                if hashlib.sha256(payload).hexdigest() != digest:
+                    raise OSError(f"{shard}: the member at {offset} is not {digest}")
+                rows.append((len(payload), digest, zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature_of(payload)))
+            columns = list(zip(*rows, strict=True)) or [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], [*batch.schema.names, *names])
+
+    return members.mapInArrow(run, f"{_ddl(members)}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def media_columns(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Write the shards to the shared folder, then read every member back."""
+    """Write the shards to the shared folder, read headers and then whole members back, and join what was found to the rows by digest."""
     folder = new_path(docs.sparkSession, "media-shards")
     folder = folder if "://" in folder or folder.startswith("/") else os.path.abspath(folder)
-    return read_media(write_shards(docs, folder, text, id_col), folder)
+    index = write_shards(docs, folder, text, id_col)
+    media = materialize(read_media(read_headers(members_of(index), folder), folder), "media-columns")
+    return index.select("doc_id", "n_bytes", "digest").join(media, "digest")

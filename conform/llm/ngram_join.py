@@ -3,7 +3,8 @@
 1. Every text becomes its set of ``n`` consecutive lower-case words (64-bit hashes) and a MinHash signature. Documents with
    equal sets form a *class* that is represented once from here on, however many copies it has.
 2. Signatures are cut into bands; bands and rows come from the similarity and the target recall. Representatives that share a band hash meet
-   in a bucket. A bucket is dealt out in blocks, and pairs of blocks are tasks of bounded size, so no bucket is ever in one task.
+   in a bucket. A bucket is dealt out in blocks, bounded in members and in n-grams, and pairs of blocks are tasks of bounded size, so no bucket is ever
+   in one task, and a text travels once for each block of its buckets.
 3. A pair belongs to the first band that it shares, so each is looked at once. Pairs whose signatures agree far less than
    they would at the wanted similarity go; for what is left the texts are fetched and the sets are compared exactly.
 4. A block pair returns a count of links for each representative and a spanning forest of its links, never its pairs, so the rows
@@ -29,8 +30,10 @@ from pyspark.sql import functions as F
 from conform.llm.common import materialize, ship, tidy, WORD
 
 N, SIMILARITY, RECALL = 5, 0.8, 0.9998
-#: Representatives of a block: a task compares at most two blocks.
-BLOCK = 256
+#: Representatives of a block, and n-grams of all of them, about: a task compares at most two blocks.
+BLOCK, BLOCK_GRAMS = 2048, 1 << 20
+#: Members of a bucket, and neighbours of a node, beyond which it is joined through a broadcast table of its own kind instead of a shuffle.
+HOT_BUCKET, HUB = 4096, 512
 #: Names of documents (two numbers each) up to which their table is broadcast.
 FEW = 500_000
 #: Standard errors by which a pair's signature may fall short of the wanted similarity.
@@ -162,24 +165,34 @@ def _groups(frames: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
         yield held
 
 
+def split_join(rows: DataFrame, facts: DataFrame, on: list[str], several: int) -> DataFrame:
+    """Join facts (one row for each key, with a column ``hot``) to rows. The ``several`` facts of hot keys are broadcast, if they are not too many, and
+    their rows stay where they are instead of filling a task; a key is hot only if it has many rows, so there are far fewer of them than rows."""
+    if not 0 < several <= FEW:
+        return rows.join(facts.drop("hot"), on)
+    hot = facts.filter("hot").drop("hot")
+    return rows.join(F.broadcast(hot), on).unionByName(rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(facts.filter("NOT hot").drop("hot"), on))
+
+
 def _side_by_side(rows: DataFrame, key: str) -> DataFrame:
     return rows.repartition(key).sortWithinPartitions(key)
 
 
 def verified_links(classes: DataFrame, texts: DataFrame, bands: int, rows: int, similarity: float = SIMILARITY, n: int = N) -> DataFrame:
-    """From ``classes`` (``digest, sig, copies, doc_id, th``) and ``texts`` (``doc_id, th, text``): ``a, b, links, forest``.
+    """From ``classes`` (``digest, sig, copies, grams, doc_id, th``) and ``texts`` (``doc_id, th, text``): ``a, b, links, forest``.
 
     A row with ``b`` null says that ``a`` has ``links`` linked documents outside its class in one task; others are forest edges.
     """
     width = bands * rows
     least = max(0.0, similarity - SLACK * math.sqrt(similarity * (1 - similarity) / width))
     step = 4 * rows
-    members = classes.filter(F.octet_length("sig") > 0).select("digest", "sig", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * step + 1, F.lit(step))))).alias("band", "bucket"))
-    members = materialize(members.select("digest", "band", "bucket"), "ngram-bands")
-    sizes = materialize(members.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "ngram-buckets")
-    met = members.join(sizes, ["band", "bucket"])
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    met = met.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("digest", "band"), F.col("blocks")).cast("int"))
+    members = classes.filter(F.octet_length("sig") > 0).select("digest", "grams", "sig", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * step + 1, F.lit(step))))).alias("band", "bucket"))
+    members = materialize(members.select("digest", "grams", "band", "bucket"), "ngram-bands")
+    blocks = F.least(F.col("m"), F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("g") / BLOCK_GRAMS))).cast("int")
+    sizes = members.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("m"), F.sum("grams").alias("g")).filter("m > 1")
+    sizes = materialize(sizes.select("band", "bucket", (F.col("m") > HOT_BUCKET).alias("hot"), blocks.alias("blocks")), "ngram-buckets")
+    met = split_join(members, sizes, ["band", "bucket"], sizes.filter("hot").count())
+    met = met.withColumn("block", F.pmod(F.xxhash64("digest", "band"), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("block", "other"), F.greatest("block", "other")
     met = met.select("digest", "band", F.xxhash64("band", "bucket", low, high).alias("task"), ((low != high) & (F.col("block") == high)).cast("int").alias("side"))
@@ -271,9 +284,14 @@ def components(edges: DataFrame) -> DataFrame:
     """``node, label``: the least node of the component of every node of ``edges`` (``a, b``). Each round takes the least label
     of all neighbours, then the label's own label; rounds grow with the logarithm of the longest path."""
     both = materialize(edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other"))).distinct(), "component-edges")
-    labels = materialize(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")), "component-labels")
+    first = both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label"), (F.count(F.lit(1)) > HUB).alias("hot"))
+    first = materialize(first, "component-labels")
+    hubs, labels = materialize(first.filter("hot").select("node"), "component-hubs"), first.select("node", "label")
+    several = hubs.count()
     while True:
-        near = both.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("near"))
+        facts = labels.join(F.broadcast(hubs.withColumn("hot", F.lit(True))), "node", "left") if 0 < several <= FEW else labels.withColumn("hot", F.lit(None).cast("boolean"))
+        facts = facts.select(F.col("node").alias("other"), "label", F.coalesce("hot", F.lit(False)).alias("hot"))
+        near = split_join(both, facts, ["other"], several).groupBy("node").agg(F.min("label").alias("near"))
         lower = labels.join(near, "node", "left").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
         new = materialize(lower.join(jump, "label", "left").select("node", "old", F.least("label", "next").alias("label")), "component-labels")
@@ -291,8 +309,8 @@ def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, recall: float
     bands, rows = choose_bands(similarity, recall)
     signed = signatures(docs, bands, rows, n, text, id_col)
     name = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")
-    classes = signed.filter("grams > 0").groupBy("digest").agg(F.min(name).alias("least"), F.count(F.lit(1)).alias("copies"), F.min("sig").alias("sig"))
-    classes = materialize(classes.select("digest", "sig", "copies", "least", F.col("least.doc_id").alias("doc_id"), F.col("least.th").alias("th")), "ngram-classes")
+    classes = signed.filter("grams > 0").groupBy("digest").agg(F.min(name).alias("least"), F.count(F.lit(1)).alias("copies"), F.min("sig").alias("sig"), F.min("grams").alias("grams"))
+    classes = materialize(classes.select("digest", "sig", "copies", "grams", "least", F.col("least.doc_id").alias("doc_id"), F.col("least.th").alias("th")), "ngram-classes")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("th"), F.col(text).cast("string").alias("text"))
     links = verified_links(classes, texts, bands, rows, similarity, n)
     counts = links.filter(F.col("b").isNull()).groupBy(F.col("a").alias("digest")).agg(F.sum("links").alias("links"))

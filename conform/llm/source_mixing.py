@@ -1,7 +1,7 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
 Documents get hash-random keys; each source is cut into key ranges of about ``RANGE_ROWS`` documents, so the hottest source is spread like
-any other. Ranges are summed, the sums are added up along a source, and rows add up within their range: a distributed
+any other. Rows alike in source, key, id and size are counted as one row first, so repeated rows and rows without an id do not fill a range. Ranges are summed, the sums are added up along a source, and rows add up within their range: a distributed
 prefix sum of words in key order. A source's budget takes whole epochs first and then the documents up to the exact
 word at which the prefix sum meets the rest of the budget.
 
@@ -28,6 +28,8 @@ RANGE_ROWS = 2048
 DIGITS = 13
 #: Sources up to which their table is broadcast.
 FEW_SOURCES = 50_000
+#: Copies of a row that a task makes in one go.
+COPIES = 100_000
 
 
 def word_count(text: str) -> Column:
@@ -61,14 +63,23 @@ def mix_sources(docs: DataFrame, most: int = 3, seed: str = "", text: str = "tex
         F.col("source").alias("__source"), "source_size", "target", F.ceil(F.col("source_rows") / RANGE_ROWS).alias("__ranges"),
         F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long").alias("epochs"), budget.alias("__budget"),
     )
-    rows = sized.join(F.broadcast(plan) if few else plan, F.col("source").eqNullSafe(F.col("__source")))
+    alike = materialize(sized.groupBy("source", "mix_key", "doc_id", "size").agg(F.count(F.lit(1)).alias("__n")), "mix-alike")
+    rows = alike.join(F.broadcast(plan) if few else plan, F.col("source").eqNullSafe(F.col("__source")))
     rows = rows.withColumn("__range", F.floor(F.col("mix_key") / float(16**DIGITS) * F.col("__ranges")))
-    sums = rows.groupBy("__source", "__range").agg(F.sum("size").alias("__sum"))
+    sums = rows.groupBy("__source", "__range").agg(F.sum(F.col("size") * F.col("__n")).alias("__sum"))
     before = sums.select(F.col("__source").alias("__s"), F.col("__range").alias("__r"), F.coalesce(F.sum("__sum").over(Window.partitionBy("__source").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     within = Window.partitionBy("__source", "__range").orderBy("mix_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("__within", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    rows = rows.withColumn("__within", F.coalesce(F.sum(F.col("size") * F.col("__n")).over(within), F.lit(0)))
     rows = rows.join(before, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__range") == F.col("__r")))
-    rest = F.col("__budget") - F.col("epochs") * F.col("source_size") - F.col("__before") - F.col("__within")
+    # copies again: blocks of a bounded number of them first, so that many copies are made by many tasks
+    several = alike.agg(F.max("__n")).first()[0]
+    if several and several > COPIES:
+        rows = rows.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / COPIES)))).repartition("__source", "__range", "__block")
+    else:
+        rows = rows.withColumn("__block", F.lit(0).cast("long"))
+    last = F.least(F.col("__n"), (F.col("__block") + 1) * COPIES) - 1
+    rows = rows.withColumn("__i", F.explode(F.sequence(F.col("__block") * COPIES, last)))
+    rest = F.col("__budget") - F.col("epochs") * F.col("source_size") - F.col("__before") - F.col("__within") - F.col("__i") * F.col("size")
     part = F.greatest(F.lit(0), F.least(rest, F.col("size"))).cast("long")
     out = rows.withColumn("part", part)
     return out.select("doc_id", "source", "size", "mix_key", "source_size", "target", "epochs", "part", (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"))
@@ -77,7 +88,7 @@ def mix_sources(docs: DataFrame, most: int = 3, seed: str = "", text: str = "tex
 def mixed_documents(docs: DataFrame, most: int = 3, seed: str = "", text: str = "text", id_col: str = "doc_id", source: str = "source") -> DataFrame:
     """The mix as documents: every row as often as its epochs say, once more up to its source's cut. Texts are not shuffled.
 
-    A document across which the cut goes is taken whole if at least half of it lies before the cut. A document without words
+    Rows alike in source, id and size stay together at the cut. A document across which the cut goes is taken whole if at least half of it lies before the cut. A document without words
     follows its key like any other.
     """
     mix = mix_sources(docs, most, seed, text, id_col, source)

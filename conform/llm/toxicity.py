@@ -5,11 +5,16 @@ documents than clean ones. They make a trie. A word is held against it by runnin
 misspelled terms are found without listing misspellings; the automaton is a row of edit distances that dies as soon as
 none is within the limit. Every hit is weighed by how its term and distance behave in the labelled documents: a
 misspelling that is really a common word gets no weight. A window of words around each hit is searched for quotation marks
-and reporting words; hits there count apart, and a logistic model over the document's features learns what both mean.
+and for words that report another's words; these are learned as well: words that stand beside hits in many more clean documents than toxic ones.
+Quoted and reported hits count apart, and a logistic model over the document's features learns what both mean.
+
+What counts as "many more" is asked of chance: of as many words as there are, fewer than ``CHANCE`` in all would lean to one kind as much as a term
+does if they did not care (Chernoff's bound). So the rule is the same at every size of the sample.
 
 Labels are read only from rows that ``learn`` admits, at most ``SAMPLE_ROWS`` of them by hash of the id (the fit is the only bounded step); every
 document is scored whole. Defined cases: a null or empty text has the score of a text without hits; a null ``doc_id`` stays
-null; repeated rows give repeated results; without labels of both kinds every score is 0; no row gives no row; other columns are ignored.
+null; repeated rows give repeated results; without labels of both kinds every score is 0; where no term tells the kinds apart, scores follow
+the share of exclamation marks; no row gives no row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,18 +33,19 @@ from conform.llm.common import id_text, materialize, ship, tidy
 
 #: Labelled documents that the fit sees at most, and terms that the lexicon holds at most.
 SAMPLE_ROWS, MOST_TERMS = 40_000, 512
-#: Toxic documents that a term must stand in, and the least ratio of its rates in toxic and clean documents.
-LEAST_DOCS, LEAST_RATIO = 7, 20.0
+#: Terms that may be taken by mere chance, in all; and the least ratio of a term's rates in toxic and clean documents.
+CHANCE, LEAST_RATIO = 0.5, 20.0
+#: The least ratio of a reporting word's rates beside hits, in clean over toxic documents, and how many such words there may be.
+LEAST_REPORT_RATIO, MOST_REPORTS = 3.0, 64
 STEMS = (4, 5, 6)
 #: Words on each side of a hit that make its context.
 WINDOW = 6
 #: Words whose hit a worker remembers at most.
 REMEMBERED = 200_000
-FEATURES = 6
+FEATURES = 7
 TOKEN = regex.compile(r"\w+|[\"“”«»„‘’]")
-#: Quotation marks, and words by which text reports another's words.
+#: Quotation marks.
 QUOTES = frozenset('"“”«»„‘’')
-REPORTS = frozenset("said says quote quoted quotes wrote writes called reported allegedly according".split())
 
 
 def edits_allowed(term: str) -> int:
@@ -185,6 +191,7 @@ class Scorer:
     spread: np.ndarray = field(default_factory=lambda: np.ones(FEATURES))
     slope: np.ndarray | None = None
     bias: float = 0.0
+    reports: frozenset[str] = frozenset()
     known: dict[str, tuple[int, int] | None] = field(default_factory=dict)
 
     def __getstate__(self) -> dict:
@@ -208,15 +215,21 @@ class Scorer:
             if h is not None:
                 near = words[max(0, i - WINDOW) : i + WINDOW + 1]
                 marks = sum(x in QUOTES for x in words[max(0, i - WINDOW) : i]), sum(x in QUOTES for x in words[i + 1 : i + WINDOW + 1])
-                found.append((*h, min(marks) > 0 or not REPORTS.isdisjoint(near)))
+                found.append((*h, min(marks) > 0 or not self.reports.isdisjoint(near)))
         return found, len(words)
 
+    def beside(self, text: str) -> list[str]:
+        """The distinct words in the windows of a text's hits that are no hits themselves."""
+        words = TOKEN.findall(text.lower())
+        at = [i for i, w in enumerate(words) if self.hit(w) is not None]
+        return sorted({w for i in at for w in words[max(0, i - WINDOW) : i + WINDOW + 1] if w not in QUOTES and self.hit(w) is None})
+
     def features(self, text: str) -> list[float]:
         found, n = self.hits(text)
         abuse = [self.weights.get((k, d), 0.0) for k, d, quoted in found if not quoted]
         quoted = [self.weights.get((k, d), 0.0) for k, d, q in found if q]
         total = sum(abuse)
-        return [math.log1p(total), max(abuse, default=0.0), math.log1p(len({k for k, _, q in found if not q and self.weights.get((k, _), 0.0) > 0})), total / (n + 20), math.log1p(sum(quoted)), max(quoted, default=0.0)]
+        return [math.log1p(total), max(abuse, default=0.0), math.log1p(len({k for k, _, q in found if not q and self.weights.get((k, _), 0.0) > 0})), total / (n + 20), math.log1p(sum(quoted)), max(quoted, default=0.0), text.count("!") / (n + 20)]
 
     def scores(self, features: np.ndarray) -> np.ndarray:
         if self.slope is None:
@@ -239,6 +252,33 @@ class Scorer:
         self.slope, self.bias = w[:-1], float(w[-1])
 
 
+def evidence(a: str, b: str, share: float) -> Column:
+    """Minus the logarithm of Chernoff's bound of the chance that ``a`` of ``a + b`` documents are of a kind that has this share; 0 if they are not more than that."""
+    n = F.col(a) + F.col(b)
+    part = lambda k, p: F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) / n / p)).otherwise(0.0)
+    return F.when(F.col(a) > n * share, part(a, share) + part(b, 1 - share)).otherwise(0.0)
+
+
+def leaning(terms: DataFrame, of_a: int, of_b: int, ratio: float) -> DataFrame:
+    """Rows of ``a, b`` that lean to the first kind beyond chance, with at least this ratio of smoothed rates."""
+    least = math.log(max(1, terms.count()) / CHANCE)
+    rates = (F.col("a") / of_a) / ((F.col("b") + 0.5) / of_b)
+    return terms.filter((evidence("a", "b", of_a / (of_a + of_b)) >= least) & (rates >= ratio))
+
+
+def learn_reports(sample: DataFrame, scorer: Scorer) -> frozenset[str]:
+    """Words that stand beside hits in many more clean documents than toxic ones, of those that have hits."""
+    rows = _map(sample, ["toxic"], "words array<string>", lambda texts: {"words": pa.array([scorer.beside(x) for x in texts], pa.list_(pa.string()))}).filter(F.size("words") > 0)
+    rows = materialize(rows, "toxicity-windows")
+    n, toxic = rows.agg(F.count(F.lit(1)), F.sum("toxic")).first()
+    clean = n - (toxic or 0)
+    if not toxic or not clean:
+        return frozenset()
+    words = rows.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum(1 - F.col("toxic")).alias("a"), F.sum("toxic").alias("b"))
+    found = leaning(materialize(words, "toxicity-beside"), clean, toxic, LEAST_REPORT_RATIO)
+    return frozenset(r.word for r in found.orderBy(F.desc("a"), "word").limit(MOST_REPORTS).collect())
+
+
 def mine_terms(sample: DataFrame) -> list[tuple[str, bool]]:
     """Words and stems of ``(text, toxic)`` that tell toxic documents; each document counts once for a term."""
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.col("text")), F.lit(r"(?U)\w+"), F.lit(0)))
@@ -251,8 +291,7 @@ def mine_terms(sample: DataFrame) -> list[tuple[str, bool]]:
     forms += [F.transform(F.filter("words", lambda w, n=n: F.length(w) > n), lambda w, n=n: F.concat(F.lit(f"{n}"), F.substring(w, 1, n))) for n in STEMS]
     terms = rows.select("y", F.explode(F.array_distinct(F.concat(*forms))).alias("term")).groupBy("term").agg(F.sum("y").alias("a"), F.count(F.lit(1)).alias("n"))
     terms = terms.filter(F.length("term") > 3).withColumn("b", F.col("n") - F.col("a"))
-    ratio = (F.col("a") / toxic) / ((F.col("b") + 0.5) / clean)
-    found = terms.filter((F.col("a") >= LEAST_DOCS) & (ratio >= LEAST_RATIO)).orderBy(F.desc("a"), "term").limit(MOST_TERMS * 8).select("term", "a").collect()
+    found = leaning(materialize(terms, "toxicity-terms"), toxic, clean, LEAST_RATIO).orderBy(F.desc("a"), "term").limit(MOST_TERMS * 8).select("term", "a").collect()
     return choose_terms({r.term: r.a for r in found})
 
 
@@ -309,8 +348,12 @@ def fit_scorer(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "t
     total, toxic = sample.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     base = math.log(((toxic or 0) + 1) / (total - (toxic or 0) + 1))
     for r in counts:
-        scorer.weights[r.hit // 4, r.hit % 4] = max(0.0, math.log((r.a + 0.5) / (r.n - r.a + 0.5)) - base)
-    if trie.terms:  # a misspelling that the sample lacks: as its term, less for each edit
+        spread = math.sqrt(1 / (r.a + 0.5) + 1 / (r.n - r.a + 0.5))  # what few documents say counts for less
+        scorer.weights[r.hit // 4, r.hit % 4] = max(0.0, math.log((r.a + 0.5) / (r.n - r.a + 0.5)) - base - spread)
+    if 0 < (toxic or 0) < total:
+        if trie.terms:
+            scorer.reports = learn_reports(sample, scorer)
+        # a misspelling that the sample lacks: as its term, less for each edit
         for k in range(len(trie.terms)):
             for d in range(1, trie.edits[k] + 1):
                 scorer.weights.setdefault((k, d), scorer.weights.get((k, 0), 0.0) * 0.7**d)

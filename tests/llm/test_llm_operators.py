@@ -207,8 +207,12 @@ def test_media_headers_come_from_short_reads(spark, docs):
 
     folder = new_path(spark, "media-test")
     index = media_columns.write_shards(docs, folder)
-    heads = media_columns.read_headers(index, folder).collect()
-    assert all((r.width, r.bits) == (576, 8) and r.height == max(1, -(-r.n_bytes // 576)) for r in heads)
+    heads = media_columns.read_headers(media_columns.members_of(index), folder)
+    sizes = index.select("digest", "n_bytes").distinct().join(heads, "digest").collect()
+    assert all((r.width, r.bits) == (576, 8) and r.height == max(1, -(-r.n_bytes // 576)) for r in sizes) and len(sizes) == index.select("digest").distinct().count()
+    rows = media_columns.media_columns(docs).collect()
+    assert all((r.width, r.bits, r.height) == (576, 8, r.payload_bytes // 576) and r.length == r.media_bytes for r in rows)
+    assert len({(r.digest, r.shard, r.offset) for r in rows}) == len({r.digest for r in rows})
 
 
 def test_warc(spark, docs, plain):
@@ -321,6 +325,34 @@ def test_ngram_blocks_lose_no_link(spark, monkeypatch):
     assert {r.doc_id: r.n_links for r in got} == want
 
 
+def test_large_family_at_the_real_block_size(spark):
+    """5,000 near copies and a crowd of unlike texts; whether two copies are linked depends on where their words were replaced."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(60)]
+    changed = lambda k, word: " ".join(base[:k] + [word] + base[k + 1 :])
+    places = [rng.randrange(60) for _ in range(5000)]
+    rows = [(i, changed(k, f"q{i}")) for i, k in enumerate(places)] + [(10_000 + i, " ".join(f"u{rng.randrange(900)}" for _ in range(40))) for i in range(300)]
+    a, b = [grams(changed(k, "qa")) for k in range(60)], [grams(changed(k, "qb")) for k in range(60)]
+    alike = [[len(x & y) >= 0.8 * len(x | y) - 1e-9 for y in b] for x in a]
+    often = Counter(places)
+    want = {i: sum(n for p, n in often.items() if alike[k][p]) - alike[k][k] for i, k in enumerate(places)}
+    got = {r.doc_id: (r.n_links, r.class_id, r.class_size) for r in nj.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    lost = [want[i] - got[i][0] for i in want]  # banding has a recall, pairs at the very threshold may miss each other
+    assert min(lost) >= 0 and sum(lost) <= 2 * (1 - nj.RECALL) * sum(want.values()) and all(got[i][1:] == (0, 5000) for i in want if want[i])
+    assert all(got[i] == (0, i, 1) for i in got if i >= 10_000)
+
+
+def test_hubs_and_hot_keys_join_like_others(spark, monkeypatch):
+    monkeypatch.setattr(nj, "HUB", 5)
+    edges = [(0, i) for i in range(1, 60)] + [(100 + i, 101 + i) for i in range(40)] + [(59, 200)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    got = {r.node: r.label for r in nj.components(df).collect()}
+    assert got == {i: 0 for i in [*range(60), 200]} | {i: 100 for i in range(100, 141)}
+    rows = spark.createDataFrame([(i % 3, i) for i in range(30)], "k long, v long")
+    facts = spark.createDataFrame([(0, "x", True), (1, "y", False)], "k long, f string, hot boolean")
+    assert sorted(nj.split_join(rows, facts, ["k"], 1).collect()) == sorted(rows.join(facts.drop("hot"), "k").collect())
+
+
 def test_bands_reach_their_recall():
     for s in (0.7, 0.8, 0.9):
         bands, rows = nj.choose_bands(s, 0.999)
@@ -430,7 +462,7 @@ def test_misspelled_inflections_score(spark):
 def test_quotation_counts_apart():
     trie = tx.Trie()
     trie.add("idiot", False)
-    scorer = tx.Scorer(trie, {(0, 0): 5.0})
+    scorer = tx.Scorer(trie, {(0, 0): 5.0}, reports=frozenset({"said"}))
     abuse, quoted = scorer.features("you are an idiot my friend"), scorer.features('she said "idiot" to him')
     assert abuse[0] > 0 == abuse[4] and quoted[4] > 0 == quoted[0]
 
