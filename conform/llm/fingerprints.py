@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from conform.llm.common import materialize, text_of
 
 #: Rows of a range of the order by id, about, and the most ranges.
-RANGE_ROWS, MOST_RANGES = 2048, 1 << 17
+RANGE_ROWS, MOST_RANGES = 512, 1 << 17
 #: Bytes of texts of a task of the order, about.
 TASK_BYTES = 32 << 20
 #: First cuts of the order, from quantiles of the ids.
