@@ -4,10 +4,10 @@
 ``COUNTED`` at a time), then by a Spark aggregation. Words with the highest counts (at most ``HEAD_WORDS``, 64 bytes each) are broadcast; all other
 words are joined, where adaptive execution splits a word that fills a partition.
 
-*Model.* A GRU reads the words; its output softmax is factored: a class from the state, then a word from the class.
-The ``NET_WORDS`` most frequent words have classes of their own by frequency, with a second softmax from the state.
-All others belong to a class by their last two bytes before closing punctuation, which tell the language well, and share that class's probability by
-their discounted counts. What the discount leaves is the share of the class's words never seen. It is spread evenly over as many words as the class is
+*Model.* A GRU reads symbols; its output softmax is factored: a class of ``CLASS_WORDS`` symbols from the state, then, again from the state, a
+symbol of the class. The ``NET_WORDS`` most frequent words are symbols by falling count.
+Another ``SHAPES`` symbols stand for all other words: a word's shape is found from its last two bytes before closing punctuation, which tell the
+language well, and the words of a shape share its probability by their discounted counts. What the discount leaves is the share of the shape's words never seen. It is spread evenly over as many words as the class is
 expected to hold unseen (Chao's estimate from its words seen once and twice, at least one), so no unknown word gets more than its part.
 
 *Training.* Truncated backpropagation: a task runs many documents side by side, carries each state from window to window, and
@@ -44,7 +44,9 @@ HEAD_WORDS, NET_WORDS, CLASS_WORDS, SHAPES = 1 << 18, 1024, 64, 192
 COUNTED = 300_000
 #: Punctuation that may follow a word.
 CLOSING = b".,;:!?)]\"'"
-HIDDEN, WINDOW, LANES, ROUNDS, RATE = 16, 24, 256, 2, 0.08
+HIDDEN, WINDOW, LANES, ROUNDS, RATE = 16, 24, 256, 2, 0.15
+#: Where Adagrad's sums of squared gradients begin.
+FIRST_SQUARE = 1e-3
 #: Bytes of a word beyond which its digest stands for it.
 LONG_WORD = 64
 #: Numbers of a block of parameters; a row of the averaging.
@@ -154,19 +156,19 @@ def build_lexicon(counts: DataFrame, texts: int) -> Lexicon:
     return Lexicon(index, token, count, within, net_counts, shapes, total, distinct, least, discount, types, expected_unseen(once, twice))
 
 
-CLASSES = NET_WORDS // CLASS_WORDS + SHAPES
-SIZES = {"G": (NET_WORDS + SHAPES, 3 * HIDDEN), "U": (HIDDEN, 3 * HIDDEN), "C": (HIDDEN, CLASSES), "c": (CLASSES,), "W": (NET_WORDS, HIDDEN), "w": (NET_WORDS,)}
+SYMBOLS = NET_WORDS + SHAPES
+CLASSES = SYMBOLS // CLASS_WORDS
+SIZES = {"G": (SYMBOLS, 3 * HIDDEN), "U": (HIDDEN, 3 * HIDDEN), "C": (HIDDEN, CLASSES), "c": (CLASSES,), "W": (SYMBOLS, HIDDEN), "w": (SYMBOLS,)}
 
 
 def initial(lexicon: Lexicon) -> dict[str, np.ndarray]:
     """Small random weights; the biases give the counts' own distribution."""
     rng = np.random.default_rng(7)
     p = {k: (rng.standard_normal(s) * 0.15).astype(f32) for k, s in SIZES.items()}
-    words = lexicon.net_counts + 0.5
-    groups = words.reshape(-1, CLASS_WORDS).sum(axis=1)
-    every = np.r_[groups, lexicon.shape_counts + 0.5]
-    p["c"] = np.log(every / every.sum()).astype(f32)
-    p["w"] = np.log(words / np.repeat(groups, CLASS_WORDS)).astype(f32)
+    counts = np.r_[lexicon.net_counts, lexicon.shape_counts] + 0.5
+    classes = counts.reshape(-1, CLASS_WORDS).sum(axis=1)
+    p["c"] = np.log(classes / classes.sum()).astype(f32)
+    p["w"] = np.log(counts / np.repeat(classes, CLASS_WORDS)).astype(f32)
     return p
 
 
@@ -245,8 +247,7 @@ def output_scores(p: dict[str, np.ndarray], h: np.ndarray, y: np.ndarray, grads:
     """Log probability of symbols ``y`` from states ``h``; with ``grads`` also adds the output layer's and returns the states' gradients."""
     n = np.arange(len(y))
     h = np.concatenate([h, np.ones((len(h), 1), f32)], axis=1)  # biases are the last row of the weights
-    heads = NET_WORDS // CLASS_WORDS
-    cls = np.where(y < NET_WORDS, y // CLASS_WORDS, y - NET_WORDS + heads)
+    cls = y // CLASS_WORDS
     bound = float((np.abs(p["C"]).sum(axis=0) + np.abs(p["c"])).max())
     weights = np.concatenate([p["C"], p["c"][None]])
     every, total = exponentials(h @ weights, bound)
@@ -255,20 +256,21 @@ def output_scores(p: dict[str, np.ndarray], h: np.ndarray, y: np.ndarray, grads:
     if grads is not None:
         back = softmax_gradients(every, total, cls, h, weights[:-1], grads["C"], grads["c"])
     order = np.argsort(cls.astype(np.int16), kind="stable")
-    edges = np.searchsorted(cls[order], np.arange(heads + 1))
-    bound = float((np.abs(p["W"]).sum(axis=1) + np.abs(p["w"])).max())
-    sorted_h, sorted_y = h[order[: edges[-1]]], y[order[: edges[-1]]]
-    for k in range(heads):
-        a, b = int(edges[k]), int(edges[k + 1])
-        if a == b:
-            continue
-        rows = slice(k * CLASS_WORDS, (k + 1) * CLASS_WORDS)
-        at, hk, w = order[a:b], sorted_h[a:b], p["W"][rows]
-        every, total = exponentials(hk @ np.concatenate([w, p["w"][rows, None]], axis=1).T, bound)
-        m, pick = n[: b - a], sorted_y[a:b] - k * CLASS_WORDS
-        score[at] += np.log(every[m, pick] / total + f32(1e-30))
+    edges = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+    weights = np.concatenate([p["W"], p["w"][:, None]], axis=1)
+    bound = float(np.abs(weights).sum(axis=1).max())
+    h, y = h[order], y[order]
+    inner, inner_back = np.empty_like(score), np.empty((len(y), HIDDEN), h.dtype) if grads is not None else None
+    for k in np.flatnonzero(np.diff(edges)):
+        at, rows = slice(edges[k], edges[k + 1]), slice(k * CLASS_WORDS, (k + 1) * CLASS_WORDS)
+        every, total = exponentials(h[at] @ weights[rows].T, bound)
+        pick = y[at] - k * CLASS_WORDS
+        inner[at] = np.log(every[n[: len(pick)], pick] / total + f32(1e-30))
         if grads is not None:
-            back[at] += softmax_gradients(every, total, pick, hk, w.T, grads["W"][rows].T, grads["w"][rows])
+            inner_back[at] = softmax_gradients(every, total, pick, h[at], p["W"][rows].T, grads["W"][rows].T, grads["w"][rows])
+    score[order] += inner
+    if grads is not None:
+        back[order] += inner_back
     return score, back
 
 
@@ -419,7 +421,7 @@ def train(packed: DataFrame, first: Lexicon, rounds: int = ROUNDS) -> dict[str,
     """Train on ``(symbols, slice)``, slice by slice. The driver holds one set of parameters."""
     spark = packed.sparkSession
     start = flat(initial(first))
-    weights = np.r_[start, np.full(len(start), 1e-2, f32)]
+    weights = np.r_[start, np.full(len(start), FIRST_SQUARE, f32)]
     for turn in range(rounds):
         sent = spark.sparkContext.broadcast(weights)
 

@@ -542,8 +542,6 @@ def test_gradients_are_right():
     for name in ("U", "C", "c", "W", "w", "G"):
         for _ in range(6):
             at = (int(rng.choice(x.ravel())) if name in "GWw" and name != "U" else int(rng.integers(wide[name].shape[0])),)
-            if name in ("W", "w") and at[0] >= lm.NET_WORDS:
-                continue
             at += tuple(int(rng.integers(s)) for s in wide[name].shape[1:])
             up, down = ({k: v.copy() for k, v in wide.items()} for _ in range(2))
             up[name][at] += 1e-5
@@ -555,15 +553,13 @@ def test_gradients_are_right():
 
 def brute_log_probability(p, symbols):
     """Log probability of every symbol of one document, a step at a time, from the model's definition."""
-    heads, h, out = lm.NET_WORDS // lm.CLASS_WORDS, np.zeros(lm.HIDDEN), []
+    h, out = np.zeros(lm.HIDDEN), []
     k = lm.HIDDEN
     softmax = lambda z: np.exp(z - z.max()) / np.exp(z - z.max()).sum()
     for y in symbols:
-        cls = y // lm.CLASS_WORDS if y < lm.NET_WORDS else y - lm.NET_WORDS + heads
-        log = np.log(softmax(h @ p["C"] + p["c"])[cls])
-        if y < lm.NET_WORDS:
-            rows = slice(cls * lm.CLASS_WORDS, (cls + 1) * lm.CLASS_WORDS)
-            log += np.log(softmax(p["W"][rows] @ h + p["w"][rows])[y - cls * lm.CLASS_WORDS])
+        cls = y // lm.CLASS_WORDS
+        rows = slice(cls * lm.CLASS_WORDS, (cls + 1) * lm.CLASS_WORDS)
+        log = np.log(softmax(h @ p["C"] + p["c"])[cls]) + np.log(softmax(p["W"][rows] @ h + p["w"][rows])[y - cls * lm.CLASS_WORDS])
         out.append(log)
         g, u = p["G"][y].astype(float), h @ p["U"]
         z, r = (1 / (1 + np.exp(g[a : a + k] + u[a : a + k])) for a in (0, k))
