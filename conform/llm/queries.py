@@ -89,6 +89,8 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     from conform.llm.ngram_join import SQL as joining
+    from conform.llm.rendezvous import sql as sharding
     from conform.llm.source_mixing import SQL as mixing
+    from conform.llm.warc_zip import SQL as archiving
 
-    return {"op2_ngram_jaccard_join": joining, "op10_source_mixing": mixing}
+    return {"op2_ngram_jaccard_join": joining, "op7_warc_zip": archiving, "op9_rendezvous_sharding": sharding(), "op10_source_mixing": mixing}

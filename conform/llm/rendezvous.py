@@ -3,7 +3,7 @@
 Every (key, shard) pair has a hash-random number u in (0, 1); a key goes to the shard with the largest
 ``weight / -ln(u)``. A shard that is added takes records only into itself, one that is removed only gives its own away, and nothing but
 key, weights and the shards' names decides. Slots number a shard's records without gaps: records are dealt into
-narrow ranges of a second hash, ranges are counted, and a record's slot is its rank in its range plus the counts of
+narrow ranges of a second hash (md5, as every engine has it), ranges are counted, and a record's slot is its rank in its range plus the counts of
 the ranges before it, so no shard is ever sorted in one task.
 
 Defined cases: a null key counts as the empty text, so all such records share one shard (the law is that the key
@@ -44,8 +44,8 @@ def with_slots(rows: DataFrame, shard: str, order: Sequence[str], slot: str = "s
     n = max(1, rows.count())
     shards = max(1, rows.select(shard).distinct().count())
     ranges = max(1, min(1 << 17, -(-n // (RANGE_ROWS * shards))))
-    at = F.xxhash64(*order)
-    dealt = rows.withColumns({"__at": at, "__range": F.floor((at.cast("double") / float(1 << 63) + 1.0) / 2.0 * F.lit(ranges - 1e-6)).cast("int")})
+    at = uniform(F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in order]))
+    dealt = rows.withColumns({"__at": at, "__range": F.floor(at * F.lit(ranges - 1e-6)).cast("int")})
     counts = dealt.groupBy(shard, "__range").agg(F.count(F.lit(1)).alias("__n"))
     before = counts.select(shard, "__range", F.coalesce(F.sum("__n").over(Window.partitionBy(shard).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     rank = F.row_number().over(Window.partitionBy(shard, "__range").orderBy("__at", *order))
@@ -65,3 +65,21 @@ def shard_documents(docs: DataFrame, weights: Sequence[float] = (1.0,) * 8, grow
     )
     rows = materialize(rows.select("doc_id", (F.col("__bytes") + 1).alias("size"), "text_crc32", F.lit("key").alias("law"), "shard", "grown_shard"), "shards")
     return with_slots(rows, "shard", ["doc_id", "text_crc32", "size"]).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def sql(shards: int = 8) -> str:
+    """The rows of :func:`shard_documents` with equal weights, for DuckDB; the checksum goes byte by byte through a table made from its polynomial."""
+    u = f"(('0x' || substr(md5({{}}), 1, {DIGITS}))::BIGINT + 0.5::DOUBLE) / {16**DIGITS}::DOUBLE"
+    score = "list_transform(range(0, {}), lambda i: 1.0::DOUBLE / -ln(" + u.format("key || ':' || i") + "))"
+    first = "list_position({0}, list_max({0}))::INTEGER - 1"
+    return f"""
+WITH steps AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(0, 256) AS r(i)),
+read AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS key, encode(coalesce(text, '')) AS raw FROM documents),
+sized AS (
+  SELECT doc_id, key, (octet_length(raw) + 1)::BIGINT AS size,
+    xor(list_reduce([4294967295::BIGINT] || list_transform(regexp_extract_all(hex(raw), '..'), lambda h: ('0x' || h)::BIGINT), lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295)::BIGINT AS text_crc32
+  FROM read, steps),
+dealt AS (SELECT *, {first.format(score.format(shards))} AS shard, {first.format(score.format(shards + 1))} AS grown_shard FROM sized),
+ranked AS (SELECT *, {u.format("key || ':' || text_crc32 || ':' || size")} AS place FROM dealt)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY place, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard FROM ranked
+"""

@@ -280,3 +280,17 @@ def archive_pages(pages: DataFrame, least: int = 0, payload: str = "html", id_co
     folder = new_path(pages.sparkSession, "warc")
     archives = write_archives(with_responses(pages, least, payload, id_col, url), folder)
     return read_archives(archives, folder, pages.schema[id_col].dataType.simpleString())
+
+
+#: The rows of :func:`archive_pages` from the pages alone, for DuckDB. Five hexadecimal digits make four of base 32.
+SQL = """
+WITH read AS (SELECT page_id, url, coalesce(html, '') AS payload FROM pages),
+hashed AS (SELECT page_id, url, octet_length(encode(payload))::BIGINT AS payload_bytes, sha1(payload) AS hex FROM read),
+kept AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS keeper FROM hashed)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(list_transform(range(0, 8), lambda i: ('0x' || substr(hex, (5 * i + 1)::BIGINT, 5))::BIGINT), lambda v:
+    array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> s) & 31) + 1, 1)), '')), '') AS payload_digest,
+  CASE WHEN keeper IS NOT NULL AND page_id IS DISTINCT FROM keeper THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN keeper IS NOT NULL AND page_id IS DISTINCT FROM keeper THEN keeper END AS refers_to, url
+FROM kept
+"""

@@ -606,3 +606,19 @@ def test_seen_and_unseen_words_share_one_mass(spark):
         seen = np.exp(own.within[(own.token == lm.NET_WORDS + shape)]).sum()
         assert abs(seen + np.exp(own.unseen()[shape]) * own.shape_unseen[shape] - 1) < 1e-6
     assert lm.shape_of(b"keit,") == lm.shape_of(b"heit") and own.shape_unseen[lm.shape_of(b"x1e")] > 1
+
+
+def test_sql_of_sharding_and_archives(spark, docs):
+    import duckdb
+
+    odd = [(7, "copy"), (7, "copy"), (3, "copy"), (None, "copy"), (None, None), (None, None), (9, ""), (11, "é  ß" * 50)]
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame(odd, docs.select("doc_id", "text").schema))
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.when(F.col("doc_id") > 3, F.concat(F.lit("http://a/"), F.col("doc_id"))).alias("url"), F.col("text").alias("html"))
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    con.register("pages", pages.toArrow())
+    for got, sql in ((rendezvous.shard_documents(docs), rendezvous.sql()), (warc_zip.archive_pages(pages), warc_zip.SQL)):
+        found = con.execute(sql)
+        names = [c[0] for c in found.description]
+        assert sorted(names) == sorted(got.columns)
+        assert key(tuple(r) for r in got.select(*names).collect()) == key(found.fetchall())
