@@ -82,15 +82,34 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from conform.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from conform.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from conform.llm.merkle import dataset_manifest
+
+    return dataset_manifest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    found = [op1_gru_lm_score, op2_ngram_jaccard_join, op3_document_fingerprints, op4_toxicity, op5_token_counts, op6_bpe_round_trip, op7_warc_zip, op8_media_columns, op9_rendezvous_sharding, op10_source_mixing]
+    found = [op1_gru_lm_score, op2_ngram_jaccard_join, op3_document_fingerprints, op4_toxicity, op5_token_counts, op6_bpe_round_trip, op7_warc_zip, op8_media_columns, op9_rendezvous_sharding, op10_source_mixing, op11_suffix_dedup, op12_embedding_whitening, op13_merkle_manifest]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
+    from conform.llm.merkle import sql as hashing
     from conform.llm.ngram_join import SQL as joining
     from conform.llm.rendezvous import sql as sharding
     from conform.llm.source_mixing import SQL as mixing
     from conform.llm.warc_zip import SQL as archiving
 
-    return {"op2_ngram_jaccard_join": joining, "op7_warc_zip": archiving, "op9_rendezvous_sharding": sharding(), "op10_source_mixing": mixing}
+    return {"op2_ngram_jaccard_join": joining, "op7_warc_zip": archiving, "op9_rendezvous_sharding": sharding(), "op10_source_mixing": mixing, "op13_merkle_manifest": hashing()}
