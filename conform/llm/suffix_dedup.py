@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -303,7 +303,7 @@ def index_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # -- results ---------------------------------------------------------------
 
 
-def covered(marks: Sequence[int], n: int) -> tuple[np.ndarray, np.ndarray]:
+def covered(marks: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
     """Runs of bytes that strings from first to last places cover, merged where they touch: begins and ends."""
     spans = np.array(marks, np.int64).reshape(-1, 2)
     spans = spans[np.argsort(spans[:, 0], kind="stable")]
@@ -312,29 +312,27 @@ def covered(marks: Sequence[int], n: int) -> tuple[np.ndarray, np.ndarray]:
     return begin[new], np.append(end[:-1][new[1:]], end[-1])
 
 
-def _results(id_type: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for value, marks in zip(batch.column("data"), batch.column("marks").to_pylist()):
-                text = memoryview(value.as_buffer())
-                kept, removed, spans, at = hashlib.sha256(), 0, 0, 0
-                if marks:
-                    for a, b in zip(*(x.tolist() for x in covered(marks, len(text)))):
-                        kept.update(text[at:a])
-                        removed, spans, at = removed + b - a, spans + 1, b
-                kept.update(text[at:])
-                rows.append((len(text), removed, spans, kept.hexdigest()))
-            columns = list(zip(*rows)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in columns[:3]], pa.array(columns[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    return run
+def write_kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``doc_id, data, marks`` to results."""
+    for batch in batches:
+        rows = []
+        for value, marks in zip(batch.column("data"), batch.column("marks").to_pylist()):
+            text = memoryview(value.as_buffer())
+            kept, removed, spans, at = hashlib.sha256(), 0, 0, 0
+            if marks:
+                for a, b in zip(*(x.tolist() for x in covered(marks))):
+                    kept.update(text[at:a])
+                    removed, spans, at = removed + b - a, spans + 1, b
+            kept.update(text[at:])
+            rows.append((len(text), removed, spans, kept.hexdigest()))
+        columns = list(zip(*rows)) or [[], [], [], []]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in columns[:3]], pa.array(columns[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _of_texts(texts: DataFrame, pieces: DataFrame, parts: int, columns: Sequence[str], name: str, value: F.Column | None = None, how: str = "inner") -> DataFrame:
+def _of_texts(texts: DataFrame, pieces: DataFrame, parts: int, columns: Sequence[str], name: str) -> DataFrame:
     """Texts with what belongs to each: the texts lie in buckets of their row, so only the small side is shuffled."""
     small = pieces.repartition(parts, "rid").groupBy("rid").agg(F.collect_list(F.struct(*columns)).alias(name))
-    return texts.join(small.hint("shuffle_hash"), "rid", how)
+    return texts.join(small.hint("shuffle_hash"), "rid")
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -355,7 +353,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
         spans = _spans_of(pieces, marks)
         both = texts.join(spans.repartition(parts, "rid").groupBy("rid").agg(F.flatten(F.collect_list("spans")).alias("marks")).hint("shuffle_hash"), "rid", "left")
         schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
-        return materialize(both.select("doc_id", "data", "marks").mapInArrow(_results(None), schema), "repeat-results")
+        return materialize(both.select("doc_id", "data", "marks").mapInArrow(write_kept, schema), "repeat-results")
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
 
