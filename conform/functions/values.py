@@ -12,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from conform.functions import numbers as N
+
 
 def quoted_step(key: str) -> str | None:
     """A JSONPath for one key; None where the path grammar has no way to write it."""
@@ -49,15 +51,27 @@ class VariantNode:
     def number(self) -> Column:
         return F.try_variant_get(self.value, "$", "double")
 
-    def decimal(self) -> Column:
-        return F.try_variant_get(self.value, "$", "decimal(38,10)")
-
     def text(self) -> Column:
         return F.try_variant_get(self.value, "$", "string")
 
+    def compared(self, operator: str, limit: object) -> Column:
+        """``value operator limit`` as the literals say it; whole numbers are compared as longs."""
+        exact = N.against_form(self.text(), operator, limit)
+        whole = F.try_variant_get(self.value, "$", "bigint")
+        return F.when(self.kind == "BIGINT", N.against_long(whole, operator, limit) if operator != "=" else _is_long(whole, limit)).otherwise(exact)
+
+    def multiple_of(self, step: object) -> Column:
+        exact = N.is_multiple(self.text(), step)
+        d = N.exact(step)
+        if d == int(d) and d < N.LONG:
+            return F.when(self.kind == "BIGINT", F.try_variant_get(self.value, "$", "bigint") % F.lit(int(d)).cast("bigint") == 0).otherwise(exact)
+        return exact
+
     def canonical(self) -> Column:
-        """JSON text in which equal values are equal: keys in order, 1.0 as 1, strings in quotes."""
-        return F.to_json(self.value)
+        """JSON text in which equal values are equal: keys in order, 1.0 and 1e0 as 1, strings in quotes. Inside of arrays and objects an exponent below -3 or above 6 stays."""
+        text = F.to_json(self.value)
+        plain = F.when(text.rlike(r"\d\.0(?![\dE])"), F.regexp_replace(text, r'("[^"\\]*+(?:\\.[^"\\]*+)*+")|(?<=\d)\.0(?![\dE])', "$1")).otherwise(text)
+        return F.when(self.kind == "DOUBLE", _plain_double(self.number())).when(self.kind.startswith("ARRAY") | self.kind.startswith("OBJECT"), plain).otherwise(text)
 
     def get(self, key: str) -> VariantNode:
         step = quoted_step(key)
@@ -108,8 +122,27 @@ class TypedNode:
     def number(self) -> Column:
         return self.value.cast("double")
 
+    def compared(self, operator: str, limit: object) -> Column:
+        """``value operator limit`` as the literals say it."""
+        if isinstance(self.dtype, T.IntegralType):
+            return N.against_long(self.value.cast("bigint"), operator, limit) if operator != "=" else _is_long(self.value.cast("bigint"), limit)
+        if isinstance(self.dtype, (T.DoubleType, T.FloatType)) and N.same_as_double(limit):
+            x, at = self.number() if isinstance(self.dtype, T.DoubleType) else self.value.cast("string").cast("double"), F.lit(float(limit))
+            return {"<": x < at, "<=": x <= at, ">": x > at, ">=": x >= at, "=": x == at}[operator]
+        return N.against_form(self.value.cast("string"), operator, limit)
+
+    def multiple_of(self, step: object) -> Column:
+        exact, d = N.is_multiple(self.value.cast("string"), step), N.exact(step)
+        if isinstance(self.dtype, T.IntegralType) and d == int(d) and d < N.LONG:
+            return self.value.cast("bigint") % F.lit(int(d)).cast("bigint") == 0
+        if d.as_tuple().exponent >= -10 and d < 10**17:  # few digits: the rest of a decimal, where that holds the whole number
+            few = self.decimal()
+            holds = (few.cast("double") == self.number()) & (F.abs(self.number()) < 1e17) if not isinstance(self.dtype, T.DecimalType) else F.lit(self.dtype.scale <= 10) & (F.abs(self.number()) < 1e17)
+            return F.when(holds, F.try_mod(few, F.lit(str(d)).cast("decimal(38,10)")) == 0).otherwise(exact)
+        return exact
+
     def decimal(self) -> Column:
-        return self.value.cast("decimal(38,10)")
+        return self.value.cast("decimal(38,10)") if isinstance(self.dtype, (T.IntegralType, T.DecimalType)) else self.value.try_cast("decimal(38,10)")
 
     def text(self) -> Column:
         if isinstance(self.dtype, (T.TimestampType, T.TimestampNTZType)):
@@ -123,7 +156,11 @@ class TypedNode:
             return F.concat(F.lit('"'), F.replace(F.replace(self.text(), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
         if self.json_type == "boolean":
             return self.value.cast("string")
-        return F.regexp_replace(F.regexp_replace(self.decimal().cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+        if isinstance(self.dtype, T.IntegralType):
+            return self.value.cast("string")
+        if isinstance(self.dtype, T.DecimalType):
+            return _stripped(self.value.cast("string"))
+        return _plain_double(self.number())
 
     def get(self, key: str) -> TypedNode | None:
         for f in getattr(self.dtype, "fields", []):
@@ -155,6 +192,22 @@ class TypedNode:
         return F.array(*[F.when(self.value[f.name].isNotNull(), form(F.lit(f.name), TypedNode(self.value[f.name], f.dataType))) for f in self.dtype.fields])
 
 
+def _is_long(value: Column, limit: object) -> Column:
+    d = N.exact(limit)
+    return value == F.lit(int(d)).cast("bigint") if d == int(d) and -N.LONG <= int(d) < N.LONG else F.lit(False)
+
+
+def _stripped(text: Column) -> Column:
+    """A decimal's text without zeros at its end."""
+    return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+
+
+def _plain_double(x: Column) -> Column:
+    """A double's text as a whole number or decimal would have it, where 20 digits before and 18 after the point hold it."""
+    plain = x.try_cast("decimal(38,18)")
+    return F.when(plain.cast("double") == x, _stripped(plain.cast("string"))).otherwise(x.cast("string"))
+
+
 def json_type(dtype: T.DataType) -> str:
     """The JSON type of a Spark type."""
     if isinstance(dtype, (T.StructType, T.MapType)):

@@ -132,18 +132,38 @@ def absolute_refs(nodes: DataFrame) -> DataFrame:
     return rows.withColumn("text", F.when(local, F.concat(F.lit('"'), base_of(F.col("__id")), F.substring("text", F.lit(2), F.length("text")))).otherwise(F.col("text"))).select(*nodes.columns)
 
 
-def ref_closure(edges: DataFrame, src: str = "src_uri", dst: str = "base") -> DataFrame:
-    """``root, uri, hops``: all that every schema reaches. The frontier is joined with the edges and what was visited is taken out, so cycles end; each round's table is written, since executors may go."""
+def ref_closure(edges: DataFrame, src: str = "src_uri", dst: str = "base", rounds: int | None = None, roots: DataFrame | None = None) -> DataFrame:
+    """``root, uri, hops``: all that every schema reaches, or that those of ``roots`` (``uri``) do, within ``rounds`` steps.
+
+    The frontier is joined with the edges and what was visited is taken out, so cycles end; each round writes its frontier alone, since executors may go.
+    """
     steps = stored(edges.select(F.col(src).alias("__src"), F.col(dst).alias("__dst")).distinct(), "ref-edges")
-    seen = steps.select(F.col("__src").alias("root"), F.col("__dst").alias("uri"), F.lit(1).alias("hops"))
-    frontier, hops = seen, 1
-    while True:
+    first = steps if roots is None else steps.join(roots.select(F.col("uri").alias("__src")).distinct(), "__src", "left_semi")
+    seen = frontier = first.select(F.col("__src").alias("root"), F.col("__dst").alias("uri"), F.lit(1).alias("hops"))
+    hops = 1
+    while rounds is None or hops < rounds:
         hops += 1
         near = frontier.join(steps, F.col("uri") == F.col("__src")).select("root", F.col("__dst").alias("uri")).distinct()
         frontier = stored(near.join(seen, ["root", "uri"], "left_anti").withColumn("hops", F.lit(hops)), "ref-frontier")
         if frontier.isEmpty():
-            return seen
-        seen = stored(seen.unionByName(frontier), "ref-seen")
+            break
+        seen = seen.unionByName(frontier)
+    return seen
+
+
+def ref_reach(edges: DataFrame, roots: DataFrame, src: str = "src_uri", dst: str = "base", rounds: int | None = None) -> DataFrame:
+    """``uri``: all that the given roots (``uri``) reach together, themselves included. Each node is visited once, so a chain of n costs n rows, not n²; each round writes its frontier alone."""
+    steps = stored(edges.select(F.col(src).alias("__src"), F.col(dst).alias("uri")).distinct(), "ref-edges")
+    seen = frontier = stored(roots.select("uri").distinct(), "ref-roots")
+    hops = 0
+    while rounds is None or hops < rounds:
+        hops += 1
+        near = frontier.withColumnRenamed("uri", "__src").join(steps, "__src").select("uri").distinct()
+        frontier = stored(near.join(seen, "uri", "left_anti"), "ref-frontier")
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    return seen
 
 
 def refs_to_fetch(edges: DataFrame, known: DataFrame) -> DataFrame:
@@ -426,22 +446,35 @@ def all_of_names(nodes: DataFrame) -> DataFrame:
     return props.unionByName(names).withColumn("__n", first).filter("__n = 1").select("uri", "kind", "name", "from_id", "rank")
 
 
+def _definition(pointer: Column) -> Column:
+    """The pointer of the root's definition in which a pointer lies; empty outside of them."""
+    return F.regexp_extract(pointer, r"^(/(?:\$defs|definitions)/[^/]+)", 1)
+
+
 def used_definitions(nodes: DataFrame) -> DataFrame:
-    """Definitions that something outside of themselves reaches: ``uri, name``; the others can be pruned."""
-    edges = ref_edges(nodes).filter("base = ''")
-    target = F.regexp_extract("fragment", r"^/(?:\$defs|definitions)/([^/]+)", 1)
-    source = F.regexp_extract("src_path", r"^/(?:\$defs|definitions)/([^/]+)", 1)
-    steps = edges.select(F.concat("src_uri", F.lit("#"), source).alias("src_uri"), F.concat("src_uri", F.lit("#"), target).alias("base")).filter(~F.col("base").endswith("#"))
-    reached = ref_closure(steps).filter(F.col("root").endswith("#")).select(F.split_part("uri", F.lit("#"), F.lit(1)).alias("uri"), F.split_part("uri", F.lit("#"), F.lit(-1)).alias("name"))
-    return reached.distinct()
+    """Definitions of the root that something outside of all definitions reaches, through others too: ``uri, name, id`` (the definition's pointer).
+
+    References count as ``#`` with a pointer (percent-encoded or not), by ``$anchor`` or ``$dynamicAnchor``, and by the schema's own ``$id``.
+    """
+    own = nodes.filter((F.col("parent") == "") & F.col("key").isin("$id", "id") & (F.col("jtype") == "STRING")).groupBy(F.col("uri").alias("src_uri")).agg(F.min(base_of(_unquoted(F.col("text")))).alias("own"))
+    edges = ref_edges(nodes).join(own, "src_uri", "left").filter((F.col("base") == "") | (F.col("base") == F.col("own")) | (F.col("base") == F.col("src_uri")))
+    edges = edges.select(F.col("src_uri").alias("uri"), "src_path", F.coalesce(F.try_url_decode("fragment"), F.col("fragment"), F.lit("")).alias("to"))
+    anchors = nodes.filter(F.col("key").isin("$anchor", "$dynamicAnchor") & (F.col("jtype") == "STRING")).select("uri", _unquoted(F.col("text")).alias("to"), F.col("parent").alias("__at")).distinct()
+    named = edges.filter((F.col("to") != "") & ~F.col("to").startswith("/")).join(anchors, ["uri", "to"]).select("uri", "src_path", F.col("__at").alias("to"))
+    steps = edges.filter(F.col("to").startswith("/")).unionByName(named)
+    place = lambda pointer: F.concat("uri", F.lit("\u0000"), pointer)
+    steps = steps.select(place(_definition(F.col("src_path"))).alias("src_uri"), place(_definition(F.col("to"))).alias("base")).filter(~F.col("base").endswith("\u0000"))
+    roots = nodes.select(F.concat("uri", F.lit("\u0000")).alias("uri")).distinct()
+    reached = ref_reach(steps, roots).filter(~F.col("uri").endswith("\u0000"))
+    found = reached.select(F.split_part("uri", F.lit("\u0000"), F.lit(1)).alias("uri"), F.split_part("uri", F.lit("\u0000"), F.lit(-1)).alias("id"))
+    return found.select("uri", F.replace(F.replace(F.substring_index("id", "/", -1), F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~")).alias("name"), "id")
 
 
 def prune_definitions(nodes: DataFrame) -> DataFrame:
-    """The nodes without definitions of the root that nothing outside of themselves reaches; a box left empty goes as well."""
-    name = F.regexp_extract("id", r"^/(?:\$defs|definitions)/([^/]+)", 1)
-    used = used_definitions(nodes).withColumnRenamed("name", "__name")
-    rows = nodes.withColumn("__name", F.when(name != "", name))
-    kept = rows.filter("__name IS NULL").unionByName(rows.join(used, ["uri", "__name"], "left_semi").select(*rows.columns)).drop("__name")
+    """The nodes without definitions of the root that nothing outside of themselves reaches; a box left empty goes as well. References inside of ``allOf`` count like all others."""
+    rows = nodes.withColumn("__def", _definition(F.col("id")))
+    used = used_definitions(nodes).select("uri", F.col("id").alias("__def"))
+    kept = rows.filter("__def = ''").unionByName(rows.filter("__def <> ''").join(used, ["uri", "__def"], "left_semi").select(*rows.columns)).drop("__def")
     full = kept.filter(F.col("parent").isin("/$defs", "/definitions")).select("uri", F.col("parent").alias("id")).distinct()
     boxes = F.col("id").isin("/$defs", "/definitions")
     return kept.filter(~boxes).unionByName(kept.filter(boxes).join(full, ["uri", "id"], "left_semi").select(*kept.columns))
@@ -498,7 +531,7 @@ def bundle_names(nodes: DataFrame, rounds: int = 2) -> DataFrame:
     """What each schema takes into its definitions: ``root, uri, name, hops``; external schemas within ``rounds`` steps. The name is the title, else the URL's last part."""
     edges = ref_edges(nodes).filter("base <> ''")
     edges = edges.withColumn("base", F.when(F.col("base").rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.col("base")).otherwise(url_join(F.col("src_uri"), F.col("base"))))
-    reach = ref_closure(edges.filter("base <> src_uri")).filter((F.col("hops") <= rounds) & (F.col("uri") != F.col("root")))
+    reach = ref_closure(edges.filter("base <> src_uri"), rounds=rounds).filter(F.col("uri") != F.col("root"))
     titles = nodes.filter("parent = '' AND key = 'title' AND jtype = 'STRING' AND text <> '\"\"'").select("uri", _unquoted(F.col("text")).alias("title"))
     held = nodes.filter("parent IS NULL").select("uri")
     return reach.join(held, "uri", "left_semi").join(titles, "uri", "left").select("root", "uri", F.coalesce("title", F.substring_index("uri", "/", -1)).alias("name"), "hops")

@@ -9,22 +9,25 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from conform.functions.values import TypedNode, VariantNode, value_at
-from conform.operators.schemagraph import ref_closure, ref_edges, schema_nodes
-from conform.plans.rules import VIOLATION, Compiler, UnresolvedReference
-from conform.plans.stored import stored
+from conform.functions.values import TypedNode
+from conform.operators.fixpoint import violations
+from conform.operators.schemagraph import ref_edges, ref_reach, schema_nodes
+from conform.plans.rules import VIOLATION, Compiler, UnresolvedReference, effective
+from conform.plans.stored import shared_path
 
 TOGETHER = 20
 
 
-def violation_array(schema: Any, node: Any, store: Mapping[str, Any] | None = None, base: str = "", formats: bool = True, max_depth: int = 6) -> Column:
-    return Compiler(store or {}, formats, max_depth).compile(schema, node, base)
+def violation_array(schema: Any, node: Any, store: Mapping[str, Any] | None = None, base: str = "", formats: bool = True) -> Column:
+    """All violations of one value as an array, as far as one expression reaches; :func:`validate_one` goes on where it stops."""
+    return Compiler(store or {}, formats).compile(schema, node, base)
 
 
 def row_node(df: DataFrame, columns: Sequence[str] | None = None) -> TypedNode:
@@ -38,54 +41,48 @@ def _exploded(rows: DataFrame, keep: Sequence[str]) -> DataFrame:
 
 
 def validate_table(df: DataFrame, schema: Any, keep: Sequence[str], columns: Sequence[str] | None = None, formats: bool = True) -> DataFrame:
-    """Violations of a table's rows, typed columns used as they are: ``keep..., instance_path, schema_path, kind, message, params``."""
-    return _exploded(df.select(*keep, violation_array(schema, row_node(df, columns), formats=formats).alias("__violations")), keep)
+    """Violations of a table's rows, typed columns used as they are: ``keep..., instance_path, schema_path, kind, message, params``.
+
+    Where all rules are plain conditions on columns, rows that none of them finds fault with are left out before any violation is built. Types end, so recursive schemas do too.
+    """
+    compiler = Compiler(formats=formats)
+    found = compiler.compile(schema, row_node(df, columns))
+    if compiler.plain is not None:
+        faulty = F.lit(False)
+        for condition in compiler.plain:
+            faulty = faulty | F.coalesce(condition, F.lit(False))
+        df = df.filter(faulty)
+    return _exploded(df.select(*keep, found.alias("__violations")), keep)
 
 
-def validate_one(docs: DataFrame, schema: Any, keep: Sequence[str] = ("doc_id",), instance: str = "instance", store: Mapping[str, Any] | None = None, base: str = "", formats: bool = True, max_depth: int = 6) -> DataFrame:
-    """Violations of VARIANT documents under one schema.
+def validate_one(docs: DataFrame, schema: Any, keep: Sequence[str] = ("doc_id",), instance: str = "instance", store: Mapping[str, Any] | None = None, base: str = "", formats: bool = True) -> DataFrame:
+    """Violations of VARIANT documents under one schema, however deep recursive references lead (see :mod:`conform.operators.fixpoint`).
 
-    Where recursive references lead deeper than one expression follows them, the values that lie there are written and checked in
-    further rounds, each against the schema that its reference names, until none is left. A stream has only the first round.
+    A stream has no further rounds here; :func:`conform.streaming.checks.validate_stream` has them in every batch.
     """
-    compiler = Compiler(store or {}, formats, max_depth)
-    found = compiler.compile(schema, VariantNode(F.col(instance)), base)
-    if not compiler.open or docs.isStreaming:
-        return _exploded(docs.select(*keep, found.alias("__violations")), keep)
-    rows = docs.select(*keep, F.col(instance).alias("__value"), F.lit("").alias("__path"), F.lit("").alias("__at"), found.alias("__violations"))
-    out = None
-    while True:
-        each = rows.select(*keep, "__value", "__path", "__at", F.explode("__violations").alias("__v"))
-        deep = F.col("__v.kind") == "reference_depth"
-        part = each.filter(~deep).select(*keep, F.concat("__path", "__v.instance_path").alias("instance_path"), F.concat("__at", "__v.schema_path").alias("schema_path"), "__v.kind", "__v.message", "__v.params")
-        out = part if out is None else out.unionByName(part)
-        left = each.filter(deep).select(
-            *keep, value_at(F.col("__value"), F.col("__v.instance_path")).alias("__value"), F.concat("__path", "__v.instance_path").alias("__path"), F.concat("__at", "__v.schema_path").alias("__at"), F.col("__v.params")["ref"].alias("__ref"),
-        )
-        left = stored(left, "deep-values")
-        if left.isEmpty():
-            return out
-        again = F.when(F.lit(False), F.array().cast(f"array<{VIOLATION}>"))
-        for name in [r["__ref"] for r in left.select("__ref").distinct().collect()]:  # places in one schema, a handful
-            target, new_base, root = compiler.open[name]
-            again = again.when(F.col("__ref") == name, compiler.compile(target, VariantNode(F.col("__value")), new_base, root))
-        rows = left.withColumn("__violations", again)
+    return violations(docs, {"": (schema, base, schema, Compiler(store or {}, formats))}, keep, instance, F.lit(""))
 
 
 def validate(docs: DataFrame, schemas: Mapping[str, Any], keep: Sequence[str] = ("doc_id", "path"), uri: str = "schema_uri", instance: str = "instance", formats: Mapping[str, bool] | None = None) -> DataFrame:
-    """Violations of documents under the schemas that their ``schema_uri`` names; those whose schema is not in the store have none here (see :func:`schema_findings`)."""
-    out = None
+    """Violations of documents under the schemas that their ``schema_uri`` names; those whose schema is not in the store have none here (see :func:`schema_findings`).
+
+    More schemas than one projection takes are dealt into groups: documents are scanned once, written by group, and every group reads its own part only.
+    """
+    kept = list(dict.fromkeys([*keep, uri]))
     uris = [u for u in schemas if compile_error(schemas, u) is None]
-    for i in range(0, len(uris), TOGETHER):
-        group = uris[i : i + TOGETHER]
-        found = F.when(F.lit(False), F.array().cast(f"array<{VIOLATION}>"))
-        for u in group:
-            found = found.when(F.col(uri) == u, violation_array(schemas[u], VariantNode(F.col(instance)), schemas, u, (formats or {}).get(u, True)))
-        part = _exploded(docs.filter(F.col(uri).isin(*group)).select(*dict.fromkeys([*keep, uri]), found.alias("__violations")), list(dict.fromkeys([*keep, uri])))
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return _exploded(docs.select(*dict.fromkeys([*keep, uri]), F.array().cast(f"array<{VIOLATION}>").alias("__violations")), list(dict.fromkeys([*keep, uri])))
-    return out
+    groups = [uris[i : i + TOGETHER] for i in range(0, len(uris), TOGETHER)]
+    roots = lambda group: {u: (schemas[u], u, schemas[u], Compiler(schemas, (formats or {}).get(u, True))) for u in group}
+    if not groups:
+        return _exploded(docs.select(*kept, F.array().cast(f"array<{VIOLATION}>").alias("__violations")), kept)
+    if len(groups) == 1 or docs.isStreaming:
+        parts = [violations(docs.filter(F.col(uri).isin(*g)), roots(g), kept, instance, F.col(uri)) for g in groups]
+        return reduce(DataFrame.unionByName, parts)
+    number = docs.sparkSession.createDataFrame([(u, i) for i, g in enumerate(groups) for u in g], "__uri string, __group int")
+    dealt = docs.select(*kept, F.col(instance).alias("__instance")).join(F.broadcast(number), F.col(uri) == F.col("__uri")).drop("__uri")  # one row for each schema
+    path = shared_path(docs.sparkSession, "documents-by-schema")
+    dealt.write.partitionBy("__group").parquet(path)
+    written = docs.sparkSession.read.schema(dealt.schema).parquet(path)
+    return reduce(DataFrame.unionByName, [violations(written.filter(F.col("__group") == i), roots(g), kept, "__instance", F.col(uri)) for i, g in enumerate(groups)])
 
 
 def schemas_of(docs: DataFrame, store: DataFrame, uri: str = "schema_uri", most: int = 10_000) -> dict[str, Any]:
@@ -97,8 +94,8 @@ def schemas_of(docs: DataFrame, store: DataFrame, uri: str = "schema_uri", most:
 
     edges = ref_edges(schema_nodes(store)).filter("base <> ''").select("src_uri", "base")
     named = docs.filter(F.col(uri).isNotNull()).select(F.col(uri).alias("uri")).distinct()
-    reached = ref_closure(edges).join(named.withColumnRenamed("uri", "root"), "root", "left_semi").select("uri")
-    rows = store.join(named.union(reached).distinct(), "uri", "left_semi").select("uri", "body").take(most + 1)
+    reached = ref_reach(edges, named).select("uri")
+    rows = store.join(reached, "uri", "left_semi").select("uri", "body").take(most + 1)
     if len(rows) > most:
         raise ValueError(f"documents name more than {most} schemas")
     return {r.uri: json.loads(r.body) for r in rows}
@@ -114,6 +111,7 @@ def compile_error(schemas: Mapping[str, Any], uri: str) -> str | None:
 
     def walk(value: Any, base: str, root: Any) -> str | None:
         if isinstance(value, dict):
+            value = effective(value, root)
             ref = value.get("$ref")
             if isinstance(ref, str) and (base, ref) not in seen:
                 seen.add((base, ref))

@@ -619,7 +619,7 @@ SELECT 'https://parts.example/' || p_partkey || '.json' AS uri, 'size' AS name F
 def schema_used_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     from conform.operators.schemagraph import schema_nodes, used_definitions
 
-    return used_definitions(schema_nodes(part_schemas(spark, sf_dir)))
+    return used_definitions(schema_nodes(part_schemas(spark, sf_dir))).select("uri", "name")
 
 
 @query("""
