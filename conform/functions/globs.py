@@ -164,7 +164,7 @@ _LITERAL = re.compile(r"^[^*?\[\]{}!\\]+$")
 
 
 def classify(pattern: str) -> tuple[str, str]:
-    """``literal`` (whole path), ``basename`` (``**/name``), ``extension`` (``**/*.ext``) with its key, else ``rest``."""
+    """``literal`` (whole path), ``basename`` (``**/name``), ``extension`` (``**/*.ext``) with its key, else ``rest`` (see :func:`required_literal`)."""
     if _LITERAL.match(pattern):
         return "literal", pattern
     if pattern.startswith("**/"):
@@ -176,6 +176,64 @@ def classify(pattern: str) -> tuple[str, str]:
     return "rest", ""
 
 
+#: Characters of a literal that serve as a key, from a path's beginning, end, or anywhere in it.
+KEY_LENGTH, INNER_LENGTH = 32, 6
+
+
+def required_literal(pattern: str) -> tuple[str, str]:
+    """A text that every path of a glob must begin with (``prefix``), end with (``suffix``) or hold (``inner``), the longest there is; ``rest`` if there is none.
+
+    Classes and braces end a literal; so does ``**``, which takes the slashes beside it along, as it may stand for no folder at all.
+    """
+    runs: list[list[str]] = [[]]
+    i, n = 0, len(pattern)
+    while i < n:
+        c = pattern[i]
+        if c == "\\" and i + 1 < n:
+            runs[-1].append(pattern[i + 1])
+            i += 2
+        elif pattern.startswith("**", i):
+            while runs[-1] and runs[-1][-1] == "/":
+                runs[-1].pop()
+            while i < n and pattern[i] in "*/":
+                i += 1
+            runs.append([])
+        elif c in "*?":
+            runs.append([])
+            i += 1
+        elif c in "[{":
+            depth, close = 0, {"[": "]", "{": "}"}[c]
+            while i < n:
+                if pattern[i] == "\\":
+                    i += 1
+                elif pattern[i] == c:
+                    depth += 1
+                elif pattern[i] == close:
+                    depth -= 1
+                    if depth == 0 or c == "[":
+                        break
+                i += 1
+            if c == "[" or i >= n:  # a class's end is not always the first bracket: nothing behind it is relied on
+                runs.append([])
+                return _longest([*runs, []])
+            runs.append([])
+            i += 1
+        else:
+            runs[-1].append(c)
+            i += 1
+    return _longest(runs)
+
+
+def _longest(runs: list[list[str]]) -> tuple[str, str]:
+    texts = ["".join(r) for r in runs]
+    found = [(len(texts[0][:KEY_LENGTH]), 2, "prefix", texts[0][:KEY_LENGTH])]
+    if len(texts) > 1:
+        found.append((len(texts[-1][-KEY_LENGTH:]), 1, "suffix", texts[-1][-KEY_LENGTH:]))
+        found += [(min(len(x), INNER_LENGTH), 0, "inner", x[:INNER_LENGTH]) for x in texts[1:-1]]
+    length, _, kind, text = max(found)
+    return (kind, text) if length else ("rest", "")
+
+
 def expand_braces(pattern: str, most: int = 64) -> list[str]:
     """The alternatives of a pattern's first-level braces, so that simple ones can be classified; too many leave it as it is."""
     m = re.search(r"(?<!\\)\{([^{}]*)\}", pattern)
@@ -193,6 +251,8 @@ def pattern_rows(spark: SparkSession, patterns: Sequence[tuple], columns: Sequen
         for p in expand_braces(row[at]):
             regex, turned = glob_to_regex(p)
             strategy, key = classify(p) if not turned else ("rest", "")
+            if strategy == "rest" and not turned:
+                strategy, key = required_literal(p)
             rows.append((*row, regex, turned, strategy, key))
     kinds = ", ".join(f"{c} {'int' if isinstance(patterns[0][i], int) else 'string'}" for i, c in enumerate(columns)) if patterns else ", ".join(f"{c} string" for c in columns)
     return spark.createDataFrame(rows, f"{kinds}, regex string, turned boolean, strategy string, key string")

@@ -7,6 +7,7 @@ size: ``1e2``, ``100`` and ``100.00`` have one form. No floating point is involv
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from decimal import Decimal
 from typing import Any
 
@@ -44,22 +45,35 @@ def form_of(value: Any) -> str:
     return f"P{SHIFT + place:07d}{digits}"
 
 
-def _read(text: Column) -> tuple[Column, Column]:
-    """Digits without zeros at the ends, and the place of the decimal point before them."""
-    whole, rest, power = (F.regexp_extract(text, LITERAL, i) for i in (1, 2, 3))
-    digits = F.concat(whole, rest)
-    short = F.ltrim(digits, F.lit("0"))
-    place = F.length(whole) - (F.length(digits) - F.length(short)) + F.coalesce(power.try_cast("int"), F.lit(0))
-    return F.rtrim(short, F.lit("0")), place
+def let(value: Column, form: Callable[[Column], Column]) -> Column:
+    """``form(value)`` with the value worked out once, however often the form names it."""
+    return F.get(F.transform(F.array(value), form), 0)
+
+
+def _read(text: Column, form: Callable[[Column, Column], Column]) -> Column:
+    """``form(digits, place)``: digits without zeros at the ends, and the place of the decimal point before them."""
+
+    def cut(x: Column) -> Column:
+        digits = F.concat(x["whole"], x["rest"])
+        short = F.ltrim(digits, F.lit("0"))
+        place = F.length(x["whole"]) - (F.length(digits) - F.length(short)) + F.coalesce(x["power"].try_cast("int"), F.lit(0))
+        return let(F.struct(F.rtrim(short, F.lit("0")).alias("digits"), place.alias("place")), lambda y: form(y["digits"], y["place"]))
+
+    return let(F.struct(*[F.regexp_extract(text, LITERAL, i).alias(n) for i, n in ((1, "whole"), (2, "rest"), (3, "power"))]), cut)
 
 
 def normal_form(text: Column) -> Column:
     """The normal form of a literal; null for a text that is none."""
-    digits, place = _read(text)
     shifted = lambda n: F.lpad(n.cast("string"), 7, "0")
-    negative = F.concat(F.lit("N"), shifted(SHIFT - place), F.translate(digits, "0123456789", "9876543210"), F.lit("~"))
-    positive = F.concat(F.lit("P"), shifted(SHIFT + place), digits)
-    return F.when(text.rlike(LITERAL), F.when(digits == "", F.lit("O")).when(text.startswith("-"), negative).otherwise(positive))
+
+    def form(t: Column) -> Column:
+        def said(digits: Column, place: Column) -> Column:
+            negative = F.concat(F.lit("N"), shifted(SHIFT - place), F.translate(digits, "0123456789", "9876543210"), F.lit("~"))
+            return F.when(digits == "", F.lit("O")).when(t.startswith("-"), negative).otherwise(F.concat(F.lit("P"), shifted(SHIFT + place), digits))
+
+        return F.when(t.rlike(LITERAL), _read(t, said))
+
+    return let(text, form)
 
 
 def is_multiple(text: Column, step: Any) -> Column:
@@ -70,11 +84,14 @@ def is_multiple(text: Column, step: Any) -> Column:
     kind = "bigint" if len(divisor) < 18 else "decimal(38,0)"
     number = lambda c: c.cast(kind)
     m = number(F.lit(divisor))
-    digits, place = _read(text)
-    zeros = (place - F.length(digits)) - (point - len(divisor))  # what the powers of ten differ by
-    rest = F.aggregate(F.split(digits, ""), number(F.lit(0)), lambda r, c: number((r * 10 + number(F.when(c == "", F.lit("0")).otherwise(c))) % m))
-    rest = F.aggregate(F.array_repeat(F.lit(0), F.greatest(zeros, F.lit(0))), rest, lambda r, _: number(r * 10 % m))
-    return (digits == "") | ((zeros >= 0) & (rest == 0))  # digits that end in no zero are no multiple of a ten
+
+    def said(digits: Column, place: Column) -> Column:
+        zeros = (place - F.length(digits)) - (point - len(divisor))  # what the powers of ten differ by
+        rest = F.aggregate(F.filter(F.split(digits, ""), lambda c: c != ""), number(F.lit(0)), lambda r, c: number((r * 10 + number(c)) % m))
+        rest = F.aggregate(F.array_repeat(F.lit(0), F.greatest(zeros, F.lit(0))), rest, lambda r, _: number(r * 10 % m))
+        return (digits == "") | F.when(zeros >= 0, rest == 0).otherwise(F.lit(False))  # digits that end in no zero are no multiple of a ten
+
+    return _read(text, said)
 
 
 def against_long(value: Column, operator: str, limit: Any) -> Column:
@@ -99,8 +116,8 @@ def _ceil(d: Decimal) -> int:
 
 def against_form(text: Column, operator: str, limit: Any) -> Column:
     """``literal operator limit``, exactly."""
-    form, at = normal_form(text), F.lit(form_of(limit))
-    return {"<": form < at, "<=": form <= at, ">": form > at, ">=": form >= at, "=": form == at}[operator]
+    at = F.lit(form_of(limit))
+    return let(normal_form(text), lambda form: {"<": form < at, "<=": form <= at, ">": form > at, ">=": form >= at}[operator])
 
 
 def same_as_double(limit: Any) -> bool:

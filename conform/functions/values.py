@@ -7,6 +7,7 @@ column is asked at run time. SQL NULL means *absent*; a JSON null is a value of
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,7 +26,10 @@ class VariantNode:
 
     def __init__(self, value: Column) -> None:
         self.value = value
-        self.kind = F.schema_of_variant(value)
+
+    @cached_property
+    def kind(self) -> Column:
+        return F.schema_of_variant(self.value)
 
     def present(self) -> Column:
         return self.value.isNotNull()
@@ -58,7 +62,12 @@ class VariantNode:
         """``value operator limit`` as the literals say it; whole numbers are compared as longs."""
         exact = N.against_form(self.text(), operator, limit)
         whole = F.try_variant_get(self.value, "$", "bigint")
-        return F.when(self.kind == "BIGINT", N.against_long(whole, operator, limit) if operator != "=" else _is_long(whole, limit)).otherwise(exact)
+        return F.when(self.kind == "BIGINT", N.against_long(whole, operator, limit)).otherwise(exact)
+
+    def among(self, numbers: list) -> Column:
+        """Whether the value is one of some numbers, whatever their literals."""
+        longs = _longs(numbers)
+        return F.when(self.kind == "BIGINT", F.try_variant_get(self.value, "$", "bigint").isin(*longs) if longs else F.lit(False)).otherwise(N.normal_form(self.text()).isin(*[N.form_of(x) for x in numbers]))
 
     def multiple_of(self, step: object) -> Column:
         exact = N.is_multiple(self.text(), step)
@@ -125,12 +134,17 @@ class TypedNode:
     def compared(self, operator: str, limit: object) -> Column:
         """``value operator limit`` as the literals say it."""
         if isinstance(self.dtype, T.IntegralType):
-            return N.against_long(self.value.cast("bigint"), operator, limit) if operator != "=" else _is_long(self.value.cast("bigint"), limit)
+            return N.against_long(self.value.cast("bigint"), operator, limit)
         if isinstance(self.dtype, (T.DoubleType, T.FloatType)) and N.same_as_double(limit):
             x, at = self.number() if isinstance(self.dtype, T.DoubleType) else self.value.cast("string").cast("double"), F.lit(float(limit))
-            return {"<": x < at, "<=": x <= at, ">": x > at, ">=": x >= at, "=": x == at}[operator]
+            return {"<": x < at, "<=": x <= at, ">": x > at, ">=": x >= at}[operator]
         return N.against_form(self.value.cast("string"), operator, limit)
 
+    def among(self, numbers: list) -> Column:
+        if isinstance(self.dtype, T.IntegralType):
+            return self.value.cast("bigint").isin(*longs) if (longs := _longs(numbers)) else F.lit(False)
+        return N.normal_form(self.value.cast("string")).isin(*[N.form_of(x) for x in numbers])
+
     def multiple_of(self, step: object) -> Column:
         exact, d = N.is_multiple(self.value.cast("string"), step), N.exact(step)
         if isinstance(self.dtype, T.IntegralType) and d == int(d) and d < N.LONG:
@@ -192,9 +206,9 @@ class TypedNode:
         return F.array(*[F.when(self.value[f.name].isNotNull(), form(F.lit(f.name), TypedNode(self.value[f.name], f.dataType))) for f in self.dtype.fields])
 
 
-def _is_long(value: Column, limit: object) -> Column:
-    d = N.exact(limit)
-    return value == F.lit(int(d)).cast("bigint") if d == int(d) and -N.LONG <= int(d) < N.LONG else F.lit(False)
+def _longs(numbers: list) -> list[int]:
+    exact = [N.exact(x) for x in numbers]
+    return [int(d) for d in exact if d == int(d) and -N.LONG <= int(d) < N.LONG]
 
 
 def _stripped(text: Column) -> Column:

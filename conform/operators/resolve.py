@@ -1,7 +1,7 @@
 """Which schema belongs to which document: inline reference, else user mapping, else catalog; then rewrites and overrides.
 
 Pattern tables are small (users' settings and catalogs); their size is checked before they are broadcast. Above it
-the equality strategies still run as shuffled hash joins and only patterns of the ``rest`` meet every path.
+the joins on keys run as shuffled ones, and only patterns without any literal meet every path.
 """
 
 from __future__ import annotations
@@ -36,13 +36,40 @@ def all_matches(docs: DataFrame, patterns: DataFrame, path: str = "path") -> Dat
 
 
 def all_matches_by_strategy(docs: DataFrame, patterns: DataFrame, path: str = "path") -> DataFrame:
-    """The same rows as :func:`all_matches`: literal paths, base names and extensions are hash joins on a key, only the rest are compared."""
+    """The same rows as :func:`all_matches`, by an index of the patterns: every join is one on a key, but for patterns without any literal.
+
+    Literal paths, base names and extensions are keys of their own. All other globs are found by a text that their paths must begin with, end with or
+    hold; prefixes, suffixes and substrings of a path are made for the lengths that occur (32, 32 and 6 at most), and the glob is compared with what they find.
+    """
     small = _small(patterns)
     rows = docs.withColumns({"__base": basename(F.col(path)), "__ext": F.when(basename(F.col(path)).contains("."), F.substring_index(F.col(path), ".", -1))})
-    out = rows.join(small.filter("strategy = 'rest'"), _matches(F.col(path)))
-    for strategy, key in (("literal", path), ("basename", "__base"), ("extension", "__ext")):
-        out = out.unionByName(rows.join(small.filter(F.col("strategy") == strategy), F.col(key) == F.col("key")))
-    return out.drop("__base", "__ext")
+    lengths: dict[str, list[int]] = {}
+    for r in patterns.select("strategy", F.length("key").alias("n")).distinct().collect():  # lengths of keys, no more than 32 for each kind that is used below
+        lengths.setdefault(r[0], []).append(r[1])
+    text = F.col(path)
+    out = None
+    for strategy, sizes in sorted(lengths.items()):
+        few = small.filter(F.col("strategy") == strategy)
+        if strategy in ("literal", "basename", "extension"):
+            key = {"literal": path, "basename": "__base", "extension": "__ext"}[strategy]
+            part = rows.join(few, F.col(key) == F.col("key"))
+        elif strategy == "rest":
+            part = rows.join(few, _matches(text))
+        else:
+            if strategy == "inner":
+                each = [F.when(F.length(text) >= n, F.array_distinct(_substrings(text, n))) for n in sizes]
+                keys = F.flatten(F.array_compact(F.array(*each)))
+            else:
+                side = F.left if strategy == "prefix" else F.right
+                keys = F.array_compact(F.array(*[F.when(F.length(text) >= n, side(text, F.lit(n))) for n in sizes]))
+            part = rows.withColumn("__key", F.explode(keys)).join(few, F.col("__key") == F.col("key")).filter(_matches(text)).drop("__key")
+        out = part if out is None else out.unionByName(part)
+    return (rows.join(small, F.lit(False)) if out is None else out).drop("__base", "__ext")
+
+
+def _substrings(text: Column, size: int) -> Column:
+    """All of a text's parts of a size."""
+    return F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substring(text, i, F.lit(size)))
 
 
 def resolve_catalog(docs: DataFrame, patterns: DataFrame, id_col: str = "doc_id", path: str = "path", by_strategy: bool = True) -> DataFrame:
@@ -54,8 +81,9 @@ def resolve_catalog(docs: DataFrame, patterns: DataFrame, id_col: str = "doc_id"
 
 def resolve_mapping(docs: DataFrame, mappings: DataFrame, id_col: str = "doc_id", path: str = "path") -> DataFrame:
     """``id, mapped``: the first mapping whose pattern matches the path or the base name."""
-    hit = _matches(F.col(path)) | _matches(basename(F.col(path)))
-    return docs.select(id_col, path).join(_small(mappings), hit).groupBy(id_col).agg(F.min_by("url", "ord").alias("mapped"))
+    rows = docs.select(id_col, path)
+    found = all_matches_by_strategy(rows, mappings, path).unionByName(all_matches_by_strategy(rows.withColumn(path, basename(F.col(path))), mappings, path))
+    return found.groupBy(id_col).agg(F.min_by("url", "ord").alias("mapped"))
 
 
 def apply_rewrites(docs: DataFrame, rules: DataFrame, uri: str = "schema_uri", out: str = "schema_uri") -> DataFrame:
@@ -140,16 +168,59 @@ def prefix_join(rows: DataFrame, keys: DataFrame, text: str, key: str) -> DataFr
 
 
 def matching_any(docs: DataFrame, patterns: DataFrame, path: str = "path") -> DataFrame:
-    """The documents whose path matches at least one row of a pattern table, each once."""
-    return docs.join(_small(patterns), _matches(F.col(path)), "left_semi")
+    """The documents whose path matches at least one row of a pattern table, each once; distinct paths are compared."""
+    hit = all_matches_by_strategy(docs.select(path).distinct(), patterns.select("regex", "turned", "strategy", "key").distinct(), path).select(path).distinct()
+    return docs.join(hit, path, "left_semi")
+
+
+#: Pieces of a name of which one must stand unchanged in another within three edits, and how far it may have moved.
+PIECES, MOVED = 4, 3
+
+
+def _pieces(n: Column) -> Column:
+    """Where a name of ``n`` characters is cut: ``array<struct<p, at, size>>``."""
+    cut = lambda p: F.floor(n * p / PIECES).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda p: F.struct(p.alias("p"), (cut(p) + 1).alias("at"), (cut(p + 1) - cut(p)).alias("size")))
+
+
+def _subsequences(name: Column) -> Column:
+    """What is left of a name of at most six characters if any of them are taken out."""
+    letters = F.filter(F.split(name, ""), lambda c: c != "")
+    return F.aggregate(letters, F.array(F.lit("")), lambda done, c: F.array_distinct(F.concat(done, F.transform(done, lambda d: F.concat(d, c)))))
+
+
+def _declared_keys(name: Column) -> Column:
+    n = F.length(name)
+    long = F.transform(_pieces(n), lambda x: F.concat_ws(":", n.cast("string"), x["p"].cast("string"), F.substring(name, x["at"], x["size"])))
+    wide = F.when(F.octet_length(name) >= 2 * n, F.array(F.lit("wide"))).otherwise(F.array().cast("array<string>"))
+    short = F.concat(F.transform(F.filter(_subsequences(name), lambda s: s != ""), lambda s: F.concat(F.lit("s:"), s)), wide, F.array(F.lit("any")))
+    return F.when(n > MOVED, long).otherwise(short)
+
+
+def _sought_keys(name: Column) -> Column:
+    n = F.length(name)
+    sizes = F.sequence(F.greatest(n - MOVED, F.lit(MOVED + 1)), F.greatest(n + MOVED, F.lit(MOVED + 1)))
+    moved = lambda m, x: F.transform(F.sequence(F.greatest(x["at"] - MOVED, F.lit(1)), x["at"] + MOVED), lambda i: F.concat_ws(":", m.cast("string"), x["p"].cast("string"), F.substring(name, i, x["size"])))
+    long = F.flatten(F.transform(sizes, lambda m: F.flatten(F.transform(_pieces(m), lambda x: moved(m, x)))))
+    wide = F.when(F.octet_length(name) >= 2 * n, F.array(F.lit("any"))).otherwise(F.array().cast("array<string>"))
+    short = F.concat(F.transform(F.filter(_subsequences(name), lambda s: s != ""), lambda s: F.concat(F.lit("s:"), s)), F.array(F.lit("wide")), wide)
+    return F.array_distinct(F.when(n <= 2 * MOVED, F.concat(long, short)).otherwise(long))
 
 
 def suggest(unexpected: DataFrame, declared: DataFrame, on: Sequence[str], name: str = "property", known: str = "known", order: str = "ord") -> DataFrame:
-    """Add ``suggestion``: the nearest declared name within three edits that are at most half of the longer name's bytes; the first of equals."""
-    d = F.levenshtein(F.lower(name), F.lower(known), 3)  # -1 beyond three edits
+    """Add ``suggestion``: the nearest declared name within three edits that are at most half of the longer name's bytes; the first of equals.
+
+    Names meet by keys, not all with all: a name of more than three characters is cut into four pieces, and within three edits one of them stands unchanged, at most
+    three places away. Shorter names meet by what is left when characters are taken out, or, if none is shared, as names of wide characters. What meets
+    is verified. Distinct names are compared, so repeated ones cost nothing; a schema with very many names is spread by its keys.
+    """
+    low = lambda c: F.lower(F.col(c))
+    sought = unexpected.select(*on, name).distinct().withColumn("__k", F.explode(_sought_keys(low(name))))
+    keyed = declared.select(*on, known, order).withColumn("__k", F.explode(F.array_distinct(_declared_keys(low(known)))))
+    pairs = sought.join(keyed, [*on, "__k"]).drop("__k").distinct()
+    d = F.levenshtein(low(name), low(known), 3)  # -1 beyond three edits
     near = (d >= 0) & (d * 2 <= F.greatest(F.octet_length(name), F.octet_length(known)))
-    pairs = unexpected.join(declared, list(on)).withColumn("__d", d).filter(near)
-    best = pairs.groupBy(*on, name).agg(F.min_by(known, F.struct("__d", order)).alias("suggestion"))
+    best = pairs.withColumn("__d", d).filter(near).groupBy(*on, name).agg(F.min_by(known, F.struct("__d", order)).alias("suggestion"))
     return unexpected.join(best, [*on, name], "left")
 
 

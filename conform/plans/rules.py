@@ -114,6 +114,8 @@ class Compiler:
         """The pairs, ``array<struct<place, path>>``, on which the violations of a value may depend; None if the expression never stops."""
         root = schema if root is None else root
         self._plan(schema, base, root, node)
+        if not self._cut and self._unroll is None:
+            return None
         self._bad, self._gathering, self._aside, self._stops = None, [], 1, 0
         parts = [*self._walk(schema, node, F.lit(""), "", base, root, ((id(schema), 0),)), *self._gathering]
         self._gathering = None
@@ -239,8 +241,10 @@ class Compiler:
                 met = [d for i, d in trail if i == id(target)]
                 if level not in met and id(target) not in cut and len(met) < unroll + 1:
                     walk(target, new_base, new_root, (*trail, (id(target), level)), level)
+            again = bool({"unevaluatedItems", "unevaluatedProperties"} & set(known))
             for child, at, same in self._parts(schema, base, root):
-                walk(child, at, root, trail, level if same else level + 1)
+                for _ in range(2 if same and again else 1):  # branches are asked once more which values they speak of
+                    walk(child, at, root, trail, level if same else level + 1)
 
         walk(schema, base, root, ((id(schema), 0),), 0)
         return count
@@ -381,6 +385,8 @@ class Compiler:
             bad(~_is_one_of(node, [schema["const"]]), "const", "constant", f"{_text(schema['const'])} was expected", expected_value=_text(schema["const"]))
 
     def _numbers(self, schema: dict, node: Any, bad: Callable) -> None:
+        if not {"minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "multipleOf"} & set(schema):
+            return
         is_number = node.is_type("number")
         for keyword, kind, operator, words in (
             ("minimum", "minimum", "<", "value is less than the minimum of"),
@@ -396,6 +402,8 @@ class Compiler:
             bad(is_number & ~node.multiple_of(step), "multipleOf", "multiple_of", f"value is not a multiple of {_text(step)}", multiple_of=_text(step))
 
     def _strings(self, schema: dict, node: Any, bad: Callable) -> None:
+        if not {"minLength", "maxLength", "pattern", "format", "contentEncoding", "contentMediaType"} & set(schema):
+            return
         text, is_text = node.text(), node.is_type("string")
         if "minLength" in schema:
             n = int(schema["minLength"])
@@ -630,6 +638,11 @@ def _joined(parts: list[Column]) -> Column:
 
 
 def _violation(when: Column, path: Column, at: str, kind: str | Column, message: str | Column | None, params: dict[str, Any], text: Column | None = None) -> Column:
+    if not isinstance(kind, Column) and isinstance(message, str) and not any(isinstance(v, Column) for v in params.values()):
+        # All but the place is known: one parsed literal instead of a column object for each of its parts, of which a plan of many schemas has very many.
+        pairs = ", ".join(f"{_quoted(k)}, {_quoted(str(v))}" for k, v in params.items())
+        known = f"named_struct('instance_path', '', 'schema_path', {_quoted(at)}, 'kind', {_quoted(kind)}, 'message', {_quoted(message)}, 'params', {f'map({pairs})' if pairs else 'CAST(map() AS map<string,string>)'})"
+        return F.when(when, F.expr(known).withField("instance_path", path))
     said = text if message is None else message if isinstance(message, Column) else F.lit(message)
     pairs = [x for k, v in params.items() for x in (F.lit(k), v if isinstance(v, Column) else F.lit(str(v)))]
     found = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
@@ -637,6 +650,11 @@ def _violation(when: Column, path: Column, at: str, kind: str | Column, message:
     return F.when(when, row)
 
 
+def _quoted(text: str) -> str:
+    """A text as a literal of SQL."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _hint(key: Column, known: list[str]) -> Column:
     """``; did you mean 'x'?`` with the nearest of the known names within three edits that are at most half of the longer name's bytes; the first of equals."""
     if not known:
@@ -671,10 +689,7 @@ def _is_one_of(node: Any, options: list[Any]) -> Column:
     if texts and not node.never("string"):
         fits = fits | (node.is_type("string") & node.text().isin(*texts))
     if numbers and not node.never("number"):
-        same = F.lit(False)
-        for x in numbers:
-            same = same | node.compared("=", x)
-        fits = fits | (node.is_type("number") & same)
+        fits = fits | (node.is_type("number") & node.among(numbers))
     if rest:
         fits = fits | F.coalesce(node.canonical().isin(*[_canonical(x) for x in rest]), F.lit(False))
     return fits

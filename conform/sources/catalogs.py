@@ -37,6 +37,39 @@ def ranked_catalogs(catalogs: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
+def parse_catalogs(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ranked catalogs given as texts (``cat_ord, path, content``; null where reading failed): the entries of all that can be read, and a warning ``cat_ord, path, code, message`` for every other.
+
+    Each catalog has a status of its own, so a broken one costs only its own entries.
+    """
+    shape = F.schema_of_variant(F.try_variant_get("__v", "$.schemas", "variant"))
+    rows = texts.withColumn("__v", F.try_parse_json("content")).withColumn("__catalog", F.from_json("content", CATALOG, {"mode": "PERMISSIVE"}))
+    said = F.when(F.col("content").isNull(), "cannot be read").when(F.col("__v").isNull(), "malformed JSON").when(F.coalesce(~shape.startswith("ARRAY"), F.lit(True)), "no list of schemas")
+    rows = rows.withColumn("__said", said)
+    entries = rows.filter("__said IS NULL").select(F.col("cat_ord").alias("__ord"), F.col("__catalog.schemas").alias("schemas"))
+    entries = entries.select("__ord", F.posexplode("schemas").alias("entry_ord", "e")).filter("e IS NOT NULL")
+    entries = entries.select(F.col("__ord").alias("cat_ord"), "entry_ord", "e.name", "e.description", "e.url", F.col("e.sourceUrl").alias("source_url"), F.coalesce("e.fileMatch", F.array().cast("array<string>")).alias("file_match"), "e.versions")
+    return entries, rows.filter("__said IS NOT NULL").select("cat_ord", "path", F.lit("catalog").alias("code"), F.concat(F.lit("catalog skipped: "), "__said").alias("message"))
+
+
+def read_catalogs(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """:func:`parse_catalogs` of files in the order of their rank; a path without a file is a warning too."""
+    ranks = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "cat_ord int, path string")
+    found = None
+    for i, p in enumerate(paths):
+        part = spark.read.option("wholetext", True).option("ignoreMissingFiles", True).text(p) if _exists(spark, p) else None
+        if part is not None:
+            part = part.select(F.lit(i).alias("cat_ord"), F.col("value").alias("content"))
+            found = part if found is None else found.unionByName(part)
+    texts = ranks.withColumn("content", F.lit(None).cast("string")) if found is None else ranks.join(found, "cat_ord", "left")
+    return parse_catalogs(texts)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def catalog_patterns(spark: SparkSession, entries: Sequence[tuple[int, str, str, Sequence[str]]], cat_ord: int = 0) -> DataFrame:
     """``cat_ord, entry_ord, pat_ord, pattern, url, name, regex, turned, strategy, key`` of entries ``(ordinal, name, url, patterns)``.
 
@@ -110,6 +143,31 @@ def settings_chain(configs: DataFrame, folders: DataFrame) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(near)).withColumn("__above", F.coalesce(roots, F.lit(0))).filter("__above = 0").select("folder", "dir", "rank", "body")
 
 
+def folded_settings(configs: DataFrame, folders: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The settings of every folder (``folder``), merged up to the nearest root as :func:`merge_settings` does, without the driver.
+
+    ``configs`` has ``dir, root``, and of ``exclude, registries`` (arrays), ``schemas, rewrite`` (maps), ``no_default_catalog`` (boolean) what there is; a missing
+    one counts as empty. The result: ``folder, exclude, registries, no_default_catalog``, lists child first, registries kept once; and the maps as rows ``folder, setting, ord, key, value``,
+    where the nearest folder's value of a key stands and rows are numbered in the order of their folders.
+    """
+    from pyspark.sql import Window
+
+    empty = {"exclude": "array<string>", "registries": "array<string>", "schemas": "map<string,string>", "rewrite": "map<string,string>", "no_default_catalog": "boolean"}
+    whole = configs.withColumns({c: F.lit(None).cast(t) for c, t in empty.items() if c not in configs.columns})
+    near = settings_chain(whole.select("dir", "root", F.struct(*empty).alias("body")), folders.select("folder").distinct())
+    lists = near.groupBy("folder").agg(F.array_sort(F.collect_list(F.struct("rank", "body.exclude", "body.registries"))).alias("c"), F.coalesce(F.bool_or("body.no_default_catalog"), F.lit(False)).alias("no_default_catalog"))
+    joined = lambda name: F.flatten(F.transform("c", lambda x: F.coalesce(x[name], F.array().cast("array<string>"))))
+    lists = lists.select("folder", joined("exclude").alias("exclude"), F.array_distinct(joined("registries")).alias("registries"), "no_default_catalog")
+    rows = None
+    for setting in ("schemas", "rewrite"):
+        part = near.select("folder", "rank", F.lit(setting).alias("setting"), F.posexplode(f"body.{setting}").alias("__pos", "key", "value"))
+        rows = part if rows is None else rows.unionByName(part)
+    first = Window.partitionBy("folder", "setting", "key").orderBy("rank", F.desc("__pos"))
+    order = Window.partitionBy("folder", "setting").orderBy("rank", "__pos")
+    rows = rows.withColumn("__n", F.row_number().over(first)).filter("__n = 1").withColumn("ord", F.row_number().over(order) - 1)
+    return lists, rows.select("folder", "setting", "ord", "key", "value")
+
+
 def schema_store(spark: SparkSession, bodies: dict[str, Any], fetched_at: str = "1970-01-01 00:00:00") -> DataFrame:
     """``uri, uri_hash, content_hash, body, fetched_at`` of parsed schemas."""
     rows = spark.createDataFrame([(u, json.dumps(b, ensure_ascii=False)) for u, b in bodies.items()], "uri string, body string")

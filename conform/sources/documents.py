@@ -79,6 +79,44 @@ def parse_json5(content: Column) -> Column:
     return F.coalesce(F.try_parse_json(content), F.try_variant_get(F.from_json(wrapped, "v variant", JSON5)["v"], "$", "variant"))
 
 
+#: A token of JSON with comments; what is none is one character.
+_TOKEN = (
+    r'(?s)"(?:[^"\\\x00-\x1f]++|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+"|-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?|true|false|null|[ \t\r\n]++|//[^\n]*+|/\*.*?\*/|.'
+)
+
+
+def syntax_error(content: Column) -> Column:
+    """The byte offset of the first token that cannot stand where it stands in JSON with comments and trailing commas, the text's length if it ends too early; null for a text without such a token.
+
+    A token automaton: the text is cut into tokens by one pattern, and a fold over them carries what may follow (``v`` a value, ``e`` a value or the array's
+    end, ``k`` a key or the object's end, ``c`` a colon, ``n`` a comma or an end) and the open brackets.
+    """
+    bare = F.regexp_replace(content, "^\ufeff", "")
+    start = F.octet_length(content) - F.octet_length(bare)
+    state = lambda want, stack, at, bad: F.struct(want.alias("want"), stack.alias("stack"), at.cast("int").alias("at"), bad.cast("int").alias("bad"))
+    none = F.lit(None).cast("int")
+
+    def step(s: Column, token: Column) -> Column:
+        want, stack, first = s["want"], s["stack"], F.left(token, F.lit(1))
+        blank = first.isin(" ", "\t", "\r", "\n") | token.startswith("//") | token.startswith("/*")
+        takes = want.isin("v", "e")
+        scalar = token.rlike(r'^(?:"..*|-?[0-9].*|true|false|null)$')
+        text = (first == '"') & (F.length(token) > 1)
+        top = F.left(stack, F.lit(1))
+        closes = ((token == "}") & ((want == "k") | ((want == "n") & (top == "o")))) | ((token == "]") & ((want == "e") | ((want == "n") & (top == "a"))))
+        after = (
+            F.when(blank, want).when(closes, "n").when(takes & (token == "{"), "k").when(takes & (token == "["), "e").when(takes & (scalar | text), "n")
+            .when((want == "k") & text, "c").when((want == "c") & (token == ":"), "v").when((want == "n") & (token == ",") & (top == "o"), "k").when((want == "n") & (token == ",") & (top == "a"), "e")
+        )
+        open_ = F.when(closes, F.substring(stack, F.lit(2), F.length(stack))).when(takes & (token == "{"), F.concat(F.lit("o"), stack)).when(takes & (token == "["), F.concat(F.lit("a"), stack)).otherwise(stack)
+        bad = F.coalesce(s["bad"], F.when(after.isNull(), s["at"]))
+        return state(F.coalesce(after, want), open_, s["at"] + F.octet_length(token), bad)
+
+    first = state(F.lit("v"), F.lit(""), start, none)
+    end = lambda s: F.coalesce(s["bad"], F.when((s["want"] != "n") | (s["stack"] != ""), s["at"]))
+    return F.aggregate(F.regexp_extract_all(bare, F.lit(_TOKEN), F.lit(0)), first, step, end)
+
+
 PARSED = "struct<json:string,message:string,offset:int,kind:string>"
 
 
@@ -141,7 +179,7 @@ def normalize_documents(docs: DataFrame, any_format: Column | None = None) -> Da
     json_rows = rows.filter(F.col("format").isin("jsonc", "json5"))
     instance = F.when(F.col("format") == "json5", parse_json5(F.col("content"))).otherwise(parse_jsonc(F.col("content")))
     json_rows = json_rows.withColumn("instance", instance)
-    json_rows = json_rows.withColumn("parse_error", F.when(F.col("instance").isNull(), F.struct(F.lit(None).cast("int").alias("offset"), F.lit("malformed JSON").alias("message"))).cast(ERROR))
+    json_rows = json_rows.withColumn("parse_error", F.when(F.col("instance").isNull(), F.struct(F.when(F.col("format") == "jsonc", syntax_error(F.col("content"))).alias("offset"), F.lit("malformed JSON").alias("message"))).cast(ERROR))
     parse = _library_parser()
     other = rows.filter(F.col("format").isin("yaml", "toml", "markdown")).withColumn("__front", F.when(F.col("format") == "markdown", frontmatter(F.col("content"))))
     kind = F.when(F.col("format") == "markdown", F.col("__front.kind")).otherwise(F.col("format"))
@@ -189,6 +227,13 @@ def jsonl_failures(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.filter("__bad IS NULL").drop("__bad"), marked.filter("line = __bad").drop("__bad", "instance")
 
 
+def jsonl_syntax_errors(bad: DataFrame) -> DataFrame:
+    """Where the bad lines of :func:`jsonl_failures` break: ``path, line, column`` (in characters, from 1)``, offset`` (in bytes, in the file)."""
+    at = F.coalesce(syntax_error(F.col("raw")), F.lit(0))
+    before = F.decode(F.substring(F.encode("raw", "UTF-8"), F.lit(1), F.col("__at")), "UTF-8")
+    return bad.withColumn("__at", at).select("path", "line", (F.length(before) + 1).alias("column"), (F.col("byte_offset") + F.col("__at")).alias("offset"))
+
+
 def jsonl_schema_mismatches(lines: DataFrame) -> DataFrame:
     """Lines whose ``$schema`` differs from the first that their file declares: ``path, line, expected, found``."""
     uri = F.try_variant_get("instance", '$["$schema"]', "string")
