@@ -4,12 +4,12 @@ Terms are mined from labelled documents: words, and stems (first letters of word
 documents than clean ones. They make a trie. A word is held against it by running its Levenshtein automaton down the trie, so that
 misspelled terms are found without listing misspellings; the automaton is a row of edit distances that dies as soon as
 none is within the limit. Every hit is weighed by how its term and distance behave in the labelled documents: a
-misspelling that is really a common word gets no weight. A window of words around each hit is searched for quotation marks
-and for words that report another's words; these are learned as well: words that stand beside hits in many more clean documents than toxic ones.
-Quoted and reported hits count apart, and a logistic model over the document's features learns what both mean.
+misspelling that is really a common word gets no weight. The context of each hit tells quotation from abuse: whether it stands between an opening mark and
+the mark that closes it, and whether a window of words around it holds a word that reports another's words; these are learned as well: words that stand beside
+hits in many more clean documents than toxic ones. An apostrophe inside of a word is no mark. Quoted and reported hits count apart, and a logistic model over the document's features learns what both mean.
 
 What counts as "many more" is asked of chance: of as many words as there are, fewer than ``CHANCE`` in all would lean to one kind as much as a term
-does if they did not care (Chernoff's bound). So the rule is the same at every size of the sample.
+does if they did not care (Chernoff's bound). So the rule is the same at every size of the sample, and every term that passes it is taken.
 
 Labels are read only from rows that ``learn`` admits, at most ``SAMPLE_ROWS`` of them by hash of the id (the fit is the only bounded step); every
 document is scored whole. Defined cases: a null or empty text has the score of a text without hits; a null ``doc_id`` stays
@@ -31,21 +31,25 @@ from pyspark.sql import functions as F
 
 from conform.llm.common import id_text, materialize, ship, tidy
 
-#: Labelled documents that the fit sees at most, and terms that the lexicon holds at most.
-SAMPLE_ROWS, MOST_TERMS = 40_000, 512
+#: Labelled documents that the fit sees at most.
+SAMPLE_ROWS = 40_000
 #: Terms that may be taken by mere chance, in all; and the least ratio of a term's rates in toxic and clean documents.
 CHANCE, LEAST_RATIO = 0.5, 20.0
-#: The least ratio of a reporting word's rates beside hits, in clean over toxic documents, and how many such words there may be.
-LEAST_REPORT_RATIO, MOST_REPORTS = 3.0, 64
+#: The least ratio of a reporting word's rates beside hits, in clean over toxic documents.
+LEAST_REPORT_RATIO = 3.0
 STEMS = (4, 5, 6)
 #: Words on each side of a hit that make its context.
 WINDOW = 6
 #: Words whose hit a worker remembers at most.
 REMEMBERED = 200_000
 FEATURES = 7
-TOKEN = regex.compile(r"\w+|[\"“”«»„‘’]")
-#: Quotation marks.
+#: Words, and quotation marks; between two letters the single ones are apostrophes.
+TOKEN = regex.compile(r"\w+|[\"“”«»„]|(?<!\w)[‘’]|[‘’](?!\w)")
+#: Opening quotation marks with those that close them.
+CLOSED_BY = {'"': '"', "“": "”", "„": "“”", "«": "»", "»": "«", "‘": "’"}
 QUOTES = frozenset('"“”«»„‘’')
+#: Words between two marks up to which they are taken for a pair.
+LONGEST_QUOTE = 60
 
 
 def edits_allowed(term: str) -> int:
@@ -181,6 +185,23 @@ class Trie:
         return k, edits
 
 
+def quoted_places(words: list[str]) -> set[int]:
+    """The places between an opening mark and the next mark that closes it. A mark that is not closed within ``LONGEST_QUOTE`` words opens nothing."""
+    out: set[int] = set()
+    marks = [i for i, w in enumerate(words) if w in QUOTES]
+    k = 0
+    while k < len(marks):
+        start = marks[k]
+        ends = CLOSED_BY.get(words[start], "")
+        end = next((m for m in range(k + 1, len(marks)) if words[marks[m]] in ends and marks[m] - start <= LONGEST_QUOTE + 1), None) if ends else None
+        if end is None:
+            k += 1
+        else:
+            out.update(range(start + 1, marks[end]))
+            k = end + 1
+    return out
+
+
 @dataclass
 class Scorer:
     """The trie, a weight for each (term, distance), and the logistic model."""
@@ -209,13 +230,9 @@ class Scorer:
     def hits(self, text: str) -> tuple[list[tuple[int, int, bool]], int]:
         """(term, distance, quoted) of every hit, and the number of words."""
         words = TOKEN.findall(text.lower())
-        found = []
-        for i, w in enumerate(words):
-            h = self.hit(w)
-            if h is not None:
-                near = words[max(0, i - WINDOW) : i + WINDOW + 1]
-                marks = sum(x in QUOTES for x in words[max(0, i - WINDOW) : i]), sum(x in QUOTES for x in words[i + 1 : i + WINDOW + 1])
-                found.append((*h, min(marks) > 0 or not self.reports.isdisjoint(near)))
+        at = [(i, h) for i, w in enumerate(words) if (h := self.hit(w)) is not None]
+        inside = quoted_places(words) if at else set()
+        found = [(*h, i in inside or not self.reports.isdisjoint(words[max(0, i - WINDOW) : i + WINDOW + 1])) for i, h in at]
         return found, len(words)
 
     def beside(self, text: str) -> list[str]:
@@ -276,7 +293,7 @@ def learn_reports(sample: DataFrame, scorer: Scorer) -> frozenset[str]:
         return frozenset()
     words = rows.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum(1 - F.col("toxic")).alias("a"), F.sum("toxic").alias("b"))
     found = leaning(materialize(words, "toxicity-beside"), clean, toxic, LEAST_REPORT_RATIO)
-    return frozenset(r.word for r in found.orderBy(F.desc("a"), "word").limit(MOST_REPORTS).collect())
+    return frozenset(r.word for r in found.select("word").collect())
 
 
 def mine_terms(sample: DataFrame) -> list[tuple[str, bool]]:
@@ -290,15 +307,15 @@ def mine_terms(sample: DataFrame) -> list[tuple[str, bool]]:
     forms = [F.transform("words", lambda w: F.concat(F.lit("w"), w))]
     forms += [F.transform(F.filter("words", lambda w, n=n: F.length(w) > n), lambda w, n=n: F.concat(F.lit(f"{n}"), F.substring(w, 1, n))) for n in STEMS]
     terms = rows.select("y", F.explode(F.array_distinct(F.concat(*forms))).alias("term")).groupBy("term").agg(F.sum("y").alias("a"), F.count(F.lit(1)).alias("n"))
-    terms = terms.filter(F.length("term") > 3).withColumn("b", F.col("n") - F.col("a"))
-    found = leaning(materialize(terms, "toxicity-terms"), toxic, clean, LEAST_RATIO).orderBy(F.desc("a"), "term").limit(MOST_TERMS * 8).select("term", "a").collect()
+    terms = terms.withColumn("b", F.col("n") - F.col("a"))
+    found = leaning(materialize(terms, "toxicity-terms"), toxic, clean, LEAST_RATIO).select("term", "a").collect()  # terms of a bounded sample
     return choose_terms({r.term: r.a for r in found})
 
 
 def choose_terms(found: dict[str, int]) -> list[tuple[str, bool]]:
     """From marked terms (``w`` before words, the length before stems) with their toxic documents: stems that say more than
     any one word of theirs, as long as they can be without losing documents, then the words that no stem covers. The words that a
-    kept stem covers stay beside it, over and above ``MOST_TERMS``: misspellings are nearer to a word than to its stem."""
+    kept stem covers stay beside it: misspellings are nearer to a word than to its stem."""
     words = {t[1:]: a for t, a in found.items() if t[0] == "w"}
     stems = {t[1:]: a for t, a in found.items() if t[0] != "w"}
     kept: list[str] = []
@@ -309,7 +326,7 @@ def choose_terms(found: dict[str, int]) -> list[tuple[str, bool]]:
         kept.append(max(longer, key=len))
     alone = [w for w in words if not any(w.startswith(s) for s in kept)]
     ranked = sorted([(w, False, words[w]) for w in alone] + [(x, True, stems[x]) for x in kept], key=lambda x: (-x[2], x[0]))
-    top = [(t, s) for t, s, _ in ranked[:MOST_TERMS]]
+    top = [(t, s) for t, s, _ in ranked]
     stemmed = tuple(t for t, s in top if s)
     return top + [(w, False) for w in sorted(words, key=lambda w: (-words[w], w)) if w.startswith(stemmed)]
 
