@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from conform.llm.common import materialize, ship, tidy, WORD
+from conform.llm.common import WORD, free_names, materialize, ship, tidy
 
 N, SIMILARITY, RECALL = 5, 0.8, 0.9998
 #: Representatives of a block, and n-grams of all of them, about: a task compares at most two blocks.
@@ -329,16 +329,17 @@ def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, recall: float
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, n: int = N, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The documents, all columns, one of each class: the least id stays. Rows equal in id and text to a keeper are one document."""
     joined = jaccard_join(docs, similarity, recall, n, text, id_col)
+    own, other, hashed, rank = free_names(docs, "__th0", "__id", "__th", "__n")
     th = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
-    gone = materialize(joined.filter(~F.col("keeper")).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct(), "ngram-gone")
+    gone = materialize(joined.filter(~F.col("keeper")).select(F.col("doc_id").alias(other), F.col("th").alias(hashed)).distinct(), "ngram-gone")
     few = gone.count() <= FEW
-    kept = docs.withColumn("__th0", th).join(F.broadcast(gone) if few else gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__th0") == F.col("__th")), "left_anti")
-    repeated = materialize(joined.filter("keeper").groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")), "ngram-repeated")
+    alike = F.col(id_col).eqNullSafe(F.col(other)) & (F.col(own) == F.col(hashed))
+    kept = docs.withColumn(own, th).join(F.broadcast(gone) if few else gone, alike, "left_anti")
+    repeated = materialize(joined.filter("keeper").groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias(other), F.col("th").alias(hashed)), "ngram-repeated")
     if repeated.isEmpty():
         return kept.select(*docs.columns)
-    again = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__th0") == F.col("__th"))
-    one = kept.join(repeated, again, "left_semi").withColumn("__n", F.row_number().over(Window.partitionBy(id_col, "__th0").orderBy(id_col))).filter("__n = 1")
-    return kept.join(repeated, again, "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))
+    one = kept.join(repeated, alike, "left_semi").withColumn(rank, F.row_number().over(Window.partitionBy(id_col, own).orderBy(id_col))).filter(F.col(rank) == 1)
+    return kept.join(repeated, alike, "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))
 
 
 #: The join in DuckDB's SQL, by brute force on the n-grams.

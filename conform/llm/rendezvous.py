@@ -45,11 +45,21 @@ def with_slots(rows: DataFrame, shard: str, order: Sequence[str], slot: str = "s
     shards = max(1, rows.select(shard).distinct().count())
     ranges = max(1, min(1 << 17, -(-n // (RANGE_ROWS * shards))))
     at = uniform(F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in order]))
-    dealt = rows.withColumns({"__at": at, "__range": F.floor(at * F.lit(ranges - 1e-6)).cast("int")})
-    counts = dealt.groupBy(shard, "__range").agg(F.count(F.lit(1)).alias("__n"))
+    names = rows.columns
+    alike = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("__m"))  # alike rows may have each other's places, so they are counted before the shuffle and numbered as one
+    dealt = materialize(alike.withColumns({"__at": at, "__range": F.floor(at * F.lit(ranges - 1e-6)).cast("int")}), "shard-ranges")
+    counts = dealt.groupBy(shard, "__range").agg(F.sum("__m").alias("__n"))
     before = counts.select(shard, "__range", F.coalesce(F.sum("__n").over(Window.partitionBy(shard).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    rank = F.row_number().over(Window.partitionBy(shard, "__range").orderBy("__at", *order))
-    return dealt.withColumn("__rank", rank).join(before, [shard, "__range"]).withColumn(slot, F.col("__before") + F.col("__rank") - 1).drop("__at", "__range", "__rank", "__before")
+    within = F.sum("__m").over(Window.partitionBy(shard, "__range").orderBy("__at", *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__m")
+    placed = dealt.withColumn("__within", within).join(before, [shard, "__range"]).withColumn("__first", F.col("__before") + F.col("__within"))
+    most = dealt.agg(F.max("__m")).first()[0] or 1
+    if most > RANGE_ROWS:  # blocks of alike rows first, so that many tasks write them
+        placed = placed.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__m") - 1) / RANGE_ROWS)))).repartition(shard, "__range", "__block")
+    else:
+        placed = placed.withColumn("__block", F.lit(0).cast("long"))
+    start = F.col("__block") * RANGE_ROWS
+    each = F.explode(F.sequence(start, F.least(F.col("__m"), start + RANGE_ROWS) - 1))
+    return placed.withColumn("__i", each).select(*names, (F.col("__first") + F.col("__i")).alias(slot))
 
 
 def shard_documents(docs: DataFrame, weights: Sequence[float] = (1.0,) * 8, grown: float = 1.0, text: str = "text", id_col: str = "doc_id") -> DataFrame:

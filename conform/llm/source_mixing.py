@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from conform.llm.common import WORD, id_text, materialize
+from conform.llm.common import WORD, free_names, id_text, materialize
 
 #: Documents of a key range, about.
 RANGE_ROWS = 2048
@@ -92,12 +92,12 @@ def mixed_documents(docs: DataFrame, most: int = 3, seed: str = "", text: str =
     follows its key like any other.
     """
     mix = mix_sources(docs, most, seed, text, id_col, source)
-    cuts = materialize(mix.groupBy("source").agg(F.max("epochs").alias("__epochs"), F.max(F.when((F.col("part") > 0) & (2 * F.col("part") >= F.col("size")), F.col("mix_key"))).alias("__cut")).withColumnRenamed("source", "__source"), "mix-cuts")
+    key, of, epochs, cut, times, copy = free_names(docs, "__key", "__source", "__epochs", "__cut", "__times", "__copy")
+    cuts = materialize(mix.groupBy("source").agg(F.max("epochs").alias(epochs), F.max(F.when((F.col("part") > 0) & (2 * F.col("part") >= F.col("size")), F.col("mix_key"))).alias(cut)).withColumnRenamed("source", of), "mix-cuts")
     few = cuts.count() <= FEW_SOURCES
-    names = docs.columns
-    rows = docs.withColumn("__key", mixing_key(id_col, seed)).join(F.broadcast(cuts) if few else cuts, F.col(source).eqNullSafe(F.col("__source")))
-    times = F.col("__epochs") + F.when(F.col("__key") <= F.col("__cut"), 1).otherwise(0)
-    return rows.withColumn("__times", times.cast("int")).filter("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*names)
+    rows = docs.withColumn(key, mixing_key(id_col, seed)).join(F.broadcast(cuts) if few else cuts, F.col(source).eqNullSafe(F.col(of)))
+    rows = rows.withColumn(times, (F.col(epochs) + F.when(F.col(key) <= F.col(cut), 1).otherwise(0)).cast("int")).filter(F.col(times) > 0)
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 #: The mix in DuckDB's SQL.
