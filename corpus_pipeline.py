@@ -1,4 +1,10 @@
-"""A corpus pipeline of four of the operators in ``conform.llm``: each stage reads what the one before has written."""
+"""A corpus pipeline of four of the operators in ``conform.llm``: each stage reads what the one before has written.
+
+Defined cases: documents with a null or empty text are clean (they have no hits), differ from all others but those equal in id and text, have no words to mix,
+so they follow the key of their id, and give no tokens; documents without an id are kept apart by their texts, and share one key in the mix; repeated rows are one
+document after the second stage; a source's cut takes rows of one key together; texts of any length are read whole; an empty table gives an
+empty one; other columns, whatever their names, are handed on until the last stage, which returns counts and digests.
+"""
 
 from __future__ import annotations
 
