@@ -75,12 +75,18 @@ def output_collisions(rows: DataFrame, dest: str) -> DataFrame:
     return rows.groupBy(dest).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
+#: Rules of one source that become part of a plan.
+MOST_RULES = 2_000
+
+
 def classify_entries(entries: DataFrame, rules: DataFrame, source: str) -> tuple[DataFrame, DataFrame]:
     """Add ``dir`` to entries by rules ``dir, kind (url or match), pattern``; without one it is the source's name. Entries with several folders are returned apart, with an error.
 
-    Parts between ``**`` have to stand in the text in order; rules are few, so their expressions are part of the plan.
+    Parts between ``**`` have to stand in the text in order; rules are few, so their expressions are part of the plan; more than ``MOST_RULES`` are an error.
     """
-    found = rules.collect()  # the settings' own rules, a handful
+    found = rules.take(MOST_RULES + 1)
+    if len(found) > MOST_RULES:
+        raise ValueError(f"a source has more than {MOST_RULES} rules")
     hits = [F.when((F.col("url") == r.pattern) if r.kind == "url" else _any_part(r.pattern), F.lit(r.dir)) for r in found]
     rows = entries.withColumn("__dirs", F.array_distinct(F.array_compact(F.array(*hits))) if hits else F.array().cast("array<string>"))
     fine = rows.filter(F.size("__dirs") <= 1).withColumn("dir", F.coalesce(F.get("__dirs", 0), F.lit(source))).drop("__dirs")

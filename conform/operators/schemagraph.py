@@ -517,13 +517,14 @@ def flatten_all_of(store: DataFrame) -> DataFrame:
     """
     nodes = schema_nodes(store)
     branches = nodes.filter("parent = '/allOf'").select("uri", "id", "pos")
-    found = lookup_pointer(nodes, branches.select("uri", "id")).join(branches, ["uri", "id"]).select(F.col("uri").alias("root"), F.col("found").alias("at"), "pos")
+    found = lookup_pointer(nodes, branches.select("uri", "id")).join(branches, ["uri", "id"]).groupBy("uri").agg(F.array_sort(F.collect_list(F.struct("pos", "found"))).alias("places"))  # the branches of one schema
     parsed = store.select("uri", parse_jsonc(F.col("body")).alias("v")).filter(_as_map(F.col("v")).isNotNull())
-    places = found.join(parsed, F.col("root") == F.col("uri")).select("uri", "pos", _as_map(value_at(F.col("v"), F.col("at"))).alias("m")).filter("m IS NOT NULL")
-    lists = places.groupBy("uri").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.to_json("m").alias("j")))), lambda x: x["j"]).alias("parts"))  # the branches of one schema
+    taken = F.transform("places", lambda p: value_at(F.col("v"), p["found"]))
+    parts = F.transform(F.filter(taken, lambda v: _as_map(v).isNotNull()), lambda v: F.to_json(v))
+    lists = parsed.join(found, "uri", "left").withColumn("parts", parts)
     clean = lambda j: F.map_filter(_as_map(F.parse_json(j)), lambda k, _: ~k.isin(*OWN))
     body = F.aggregate(F.coalesce("parts", F.array().cast("array<string>")), F.to_json("v"), lambda done, j: merged(_as_map(F.parse_json(done)), clean(j)))
-    flat = stored(parsed.join(lists, "uri", "left").select("uri", body.alias("body")), "flat-schemas")
+    flat = stored(lists.select("uri", body.alias("body")), "flat-schemas")
     return rebuild(prune_definitions(schema_nodes(flat)))
 
 

@@ -310,7 +310,7 @@ def events_annotation_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many texts an annotation changes, leaves, or cannot place."""
     kind = F.col("event_type")
     named = F.when(kind == "click", F.lit("https://h/a.json"))
-    content = F.when(kind == "error", F.lit("[1]")).when(kind == "click", A.annotated(F.lit("jsonc"), F.lit('{"a": 1}'), named)).otherwise(F.lit('{"a": 1}'))
+    content = F.when(kind == "error", F.lit(None).cast("string")).when(kind == "click", A.annotated(F.lit("jsonc"), F.lit('{"a": 1}'), named)).otherwise(F.lit('{"a": 1}'))
     rows = t(spark, sf_dir, "events").select("event_id", F.lit("jsonc").alias("format"), content.alias("content"), named.alias("inline_uri"), F.lit("https://h/a.json").alias("schema_uri"))
     return A.outcome_counts(A.annotate(rows)).select("outcome", "n")
 
@@ -355,3 +355,14 @@ def schema_definitions_in_use(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = t(spark, sf_dir, "part").select(F.concat(F.lit("https://parts.example/"), text("p_partkey"), F.lit(".json")).alias("uri"), body.alias("body"))
     kept = G.prune_definitions(G.schema_nodes(store))
     return kept.filter("parent = '/$defs'").select("uri", F.col("key").alias("name"))
+
+
+@query("""
+WITH RECURSIVE r AS (SELECT p_partkey AS k FROM part WHERE p_size % 10 = 0 UNION SELECT k // 2 FROM r WHERE k > 1) SELECT 'u/' || k AS uri FROM r WHERE k > 0
+""")
+def part_ref_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a tenth of the schemas reaches, each of which refers to the one of half its number: every node once, in as many rounds as the tree is deep."""
+    rows = t(spark, sf_dir, "part")
+    at = lambda k: F.concat(F.lit("u/"), k.cast("string"))
+    edges = rows.filter("p_partkey > 1").select(at(F.col("p_partkey")).alias("src_uri"), at(F.floor(F.col("p_partkey") / 2)).alias("base"))
+    return G.ref_reach(edges, rows.filter("p_size % 10 = 0").select(at(F.col("p_partkey")).alias("uri")))
