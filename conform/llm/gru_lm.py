@@ -46,7 +46,7 @@ COUNTED = 300_000
 CLOSING = b".,;:!?)]\"'"
 HIDDEN, WINDOW, LANES, ROUNDS, RATE = 16, 24, 256, 2, 0.15
 #: Where Adagrad's sums of squared gradients begin.
-FIRST_SQUARE = 1e-3
+FIRST_SQUARE = 1e-4
 #: Bytes of a word beyond which its digest stands for it.
 LONG_WORD = 64
 #: Numbers of a block of parameters; a row of the averaging.
