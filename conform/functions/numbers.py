@@ -7,6 +7,7 @@ size: ``1e2``, ``100`` and ``100.00`` have one form. No floating point is involv
 
 from __future__ import annotations
 
+import operator as op
 from collections.abc import Callable
 from decimal import Decimal
 from typing import Any
@@ -20,6 +21,7 @@ LITERAL = r"^-?(\d+)(?:\.(\d*))?(?:[eE]([+-]?\d+))?$"
 LONG = 1 << 63
 #: Digits up to which a remainder's divisor may go.
 MOST_DIGITS = 36
+COMPARE = {"<": op.lt, "<=": op.le, ">": op.gt, ">=": op.ge}
 
 
 def exact(value: Any) -> Decimal:
@@ -76,8 +78,13 @@ def normal_form(text: Column) -> Column:
     return let(text, form)
 
 
-def is_multiple(text: Column, step: Any) -> Column:
-    """Whether a literal is a whole multiple of a positive number: the remainder is taken digit by digit."""
+def literal_parts(text: Column) -> Column:
+    """``digits, place`` of a literal, as :func:`is_multiple` asks for them."""
+    return _read(text, lambda digits, place: F.struct(digits.alias("digits"), place.alias("place")))
+
+
+def is_multiple(parts: Column, step: Any) -> Column:
+    """Whether a literal, given by its parts, is a whole multiple of a positive number: the remainder is taken digit by digit."""
     _, divisor, point = parts_of(step)
     if len(divisor) > MOST_DIGITS:
         raise ValueError(f"multipleOf has more than {MOST_DIGITS} digits")
@@ -91,7 +98,7 @@ def is_multiple(text: Column, step: Any) -> Column:
         rest = F.aggregate(F.array_repeat(F.lit(0), F.greatest(zeros, F.lit(0))), rest, lambda r, _: number(r * 10 % m))
         return (digits == "") | F.when(zeros >= 0, rest == 0).otherwise(F.lit(False))  # digits that end in no zero are no multiple of a ten
 
-    return _read(text, said)
+    return let(parts, lambda y: said(y["digits"], y["place"]))
 
 
 def against_long(value: Column, operator: str, limit: Any) -> Column:
@@ -100,8 +107,7 @@ def against_long(value: Column, operator: str, limit: Any) -> Column:
     bound = {"<": _ceil(d), ">=": _ceil(d), "<=": _floor(d), ">": _floor(d)}[operator]
     if not -LONG <= bound < LONG:
         return F.lit((bound > 0) == (operator in ("<", "<=")))
-    at = F.lit(bound).cast("bigint")
-    return {"<": value < at, "<=": value <= at, ">": value > at, ">=": value >= at}[operator]
+    return COMPARE[operator](value, F.lit(bound).cast("bigint"))
 
 
 def _floor(d: Decimal) -> int:
@@ -114,10 +120,9 @@ def _ceil(d: Decimal) -> int:
     return n + 1 if d > n else n
 
 
-def against_form(text: Column, operator: str, limit: Any) -> Column:
-    """``literal operator limit``, exactly."""
-    at = F.lit(form_of(limit))
-    return let(normal_form(text), lambda form: {"<": form < at, "<=": form <= at, ">": form > at, ">=": form >= at}[operator])
+def against_form(form: Column, operator: str, limit: Any) -> Column:
+    """``literal operator limit``, exactly, from the literal's normal form."""
+    return COMPARE[operator](form, F.lit(form_of(limit)))
 
 
 def same_as_double(limit: Any) -> bool:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import cached_property
+from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,19 +23,48 @@ def quoted_step(key: str) -> str | None:
 
 
 class VariantNode:
-    """A value inside a VARIANT."""
+    """A value inside a VARIANT.
+
+    Columns made from it are kept: keywords and schemas that ask the same of one value share them, and building one takes many calls of the JVM.
+    """
 
     def __init__(self, value: Column) -> None:
         self.value = value
+        self._made: dict[Any, Any] = {}
+
+    def _once(self, name: Any, make: Callable[[], Any]) -> Any:
+        if name not in self._made:
+            self._made[name] = make()
+        return self._made[name]
 
     @cached_property
     def kind(self) -> Column:
         return F.schema_of_variant(self.value)
 
+    @cached_property
+    def is_long(self) -> Column:
+        return self.kind == "BIGINT"
+
+    @cached_property
+    def long(self) -> Column:
+        return F.try_variant_get(self.value, "$", "bigint")
+
+    @cached_property
+    def form(self) -> Column:
+        """The normal form of a number."""
+        return N.normal_form(self.text())
+
+    @cached_property
+    def parts(self) -> Column:
+        return N.literal_parts(self.text())
+
     def present(self) -> Column:
-        return self.value.isNotNull()
+        return self._once("present", self.value.isNotNull)
 
     def is_type(self, name: str) -> Column:
+        return self._once(("type", name), lambda: self._is_type(name))
+
+    def _is_type(self, name: str) -> Column:
         k = self.kind
         if name == "null":
             return k == "VOID"
@@ -49,53 +79,57 @@ class VariantNode:
             return number
         if name == "integer":
             whole = self.number()
-            return (k == "BIGINT") | (number & (whole == F.floor(whole)))
+            return self.is_long | (number & (whole == F.floor(whole)))
         return F.lit(False)
 
     def number(self) -> Column:
-        return F.try_variant_get(self.value, "$", "double")
+        return self._once("number", lambda: F.try_variant_get(self.value, "$", "double"))
 
     def text(self) -> Column:
-        return F.try_variant_get(self.value, "$", "string")
+        return self._once("text", lambda: F.try_variant_get(self.value, "$", "string"))
 
     def compared(self, operator: str, limit: object) -> Column:
         """``value operator limit`` as the literals say it; whole numbers are compared as longs."""
-        exact = N.against_form(self.text(), operator, limit)
-        whole = F.try_variant_get(self.value, "$", "bigint")
-        return F.when(self.kind == "BIGINT", N.against_long(whole, operator, limit)).otherwise(exact)
+        return F.when(self.is_long, N.against_long(self.long, operator, limit)).otherwise(N.against_form(self.form, operator, limit))
 
     def among(self, numbers: list) -> Column:
         """Whether the value is one of some numbers, whatever their literals."""
         longs = _longs(numbers)
-        return F.when(self.kind == "BIGINT", F.try_variant_get(self.value, "$", "bigint").isin(*longs) if longs else F.lit(False)).otherwise(N.normal_form(self.text()).isin(*[N.form_of(x) for x in numbers]))
+        return F.when(self.is_long, self.long.isin(*longs) if longs else F.lit(False)).otherwise(self.form.isin(*[N.form_of(x) for x in numbers]))
 
     def multiple_of(self, step: object) -> Column:
-        exact = N.is_multiple(self.text(), step)
+        exact = N.is_multiple(self.parts, step)
         d = N.exact(step)
         if d == int(d) and d < N.LONG:
-            return F.when(self.kind == "BIGINT", F.try_variant_get(self.value, "$", "bigint") % F.lit(int(d)).cast("bigint") == 0).otherwise(exact)
+            return F.when(self.is_long, self.long % F.lit(int(d)).cast("bigint") == 0).otherwise(exact)
         return exact
 
     def canonical(self) -> Column:
         """JSON text in which equal values are equal: keys in order, 1.0 and 1e0 as 1, strings in quotes. Inside of arrays and objects an exponent below -3 or above 6 stays."""
+        return self._once("canonical", self._canonical)
+
+    def _canonical(self) -> Column:
         text = F.to_json(self.value)
         plain = F.when(text.rlike(r"\d\.0(?![\dE])"), F.regexp_replace(text, r'("[^"\\]*+(?:\\.[^"\\]*+)*+")|(?<=\d)\.0(?![\dE])', "$1")).otherwise(text)
         return F.when(self.kind == "DOUBLE", _plain_double(self.number())).when(self.kind.startswith("ARRAY") | self.kind.startswith("OBJECT"), plain).otherwise(text)
 
     def get(self, key: str) -> VariantNode:
+        return self._once(("key", key), lambda: self._get(key))
+
+    def _get(self, key: str) -> VariantNode:
         step = quoted_step(key)
         if step is None:
             return VariantNode(F.try_element_at(self.entries_map(), F.lit(key)))
         return VariantNode(F.try_variant_get(self.value, step, "variant"))
 
     def entries_map(self) -> Column:
-        return F.try_variant_get(self.value, "$", "map<string,variant>")
+        return self._once("entries", lambda: F.try_variant_get(self.value, "$", "map<string,variant>"))
 
     def keys(self) -> Column:
-        return F.map_keys(self.entries_map())
+        return self._once("keys", lambda: F.map_keys(self.entries_map()))
 
     def items(self) -> Column:
-        return F.try_variant_get(self.value, "$", "array<variant>")
+        return self._once("items", lambda: F.try_variant_get(self.value, "$", "array<variant>"))
 
     def over_items(self, form: Callable[[VariantNode, Column], Column], start: int = 0) -> Column:
         """``form(item, position)`` of every item from ``start``, as an array."""
@@ -137,8 +171,8 @@ class TypedNode:
             return N.against_long(self.value.cast("bigint"), operator, limit)
         if isinstance(self.dtype, (T.DoubleType, T.FloatType)) and N.same_as_double(limit):
             x, at = self.number() if isinstance(self.dtype, T.DoubleType) else self.value.cast("string").cast("double"), F.lit(float(limit))
-            return {"<": x < at, "<=": x <= at, ">": x > at, ">=": x >= at}[operator]
-        return N.against_form(self.value.cast("string"), operator, limit)
+            return N.COMPARE[operator](x, at)
+        return N.against_form(N.normal_form(self.value.cast("string")), operator, limit)
 
     def among(self, numbers: list) -> Column:
         if isinstance(self.dtype, T.IntegralType):
@@ -146,7 +180,7 @@ class TypedNode:
         return N.normal_form(self.value.cast("string")).isin(*[N.form_of(x) for x in numbers])
 
     def multiple_of(self, step: object) -> Column:
-        exact, d = N.is_multiple(self.value.cast("string"), step), N.exact(step)
+        exact, d = N.is_multiple(N.literal_parts(self.value.cast("string")), step), N.exact(step)
         if isinstance(self.dtype, T.IntegralType) and d == int(d) and d < N.LONG:
             return self.value.cast("bigint") % F.lit(int(d)).cast("bigint") == 0
         if d.as_tuple().exponent >= -10 and d < 10**17:  # few digits: the rest of a decimal, where that holds the whole number

@@ -28,10 +28,11 @@ _PAIR = ("__doc", "__place", "__ptr")
 
 
 def _chosen(names: Sequence[str], made: Mapping[str, Column], empty: str) -> Column:
-    out = F.when(F.lit(False), F.array().cast(empty))
+    none, place = F.array().cast(empty), F.col("__place")
+    out = F.when(F.lit(False), none)
     for name in names:
-        out = out.when(F.col("__place") == name, made[name])
-    return F.coalesce(out, F.array().cast(empty))
+        out = out.when(place == name, made[name])
+    return F.coalesce(out, none)
 
 
 class _Places:
@@ -41,13 +42,15 @@ class _Places:
         self.known: dict[str, tuple[Any, str, Any, Compiler, int]] = {}
         self._needs: dict[str, Column | None] = {}
         self._found: dict[str, Column] = {}
+        self._value = VariantNode(F.col("__value"))  # one for all places, so that they share its columns
+        self._bad = F.col("__bad")
         for name, (schema, base, root, compiler) in roots.items():
             self.known[name] = (schema, base, root, compiler, 1 << 20)
 
     def needs(self, name: str) -> Column | None:
         if name not in self._needs:
             schema, base, root, compiler, _ = self.known[name]
-            self._needs[name] = compiler.needs(schema, VariantNode(F.col("__value")), base, root)
+            self._needs[name] = compiler.needs(schema, self._value, base, root)
             for inner, (s, b, r, rank) in compiler.places.items():
                 self.known.setdefault(inner, (s, b, r, compiler, rank))
         return self._needs[name]
@@ -55,11 +58,12 @@ class _Places:
     def found(self, name: str) -> Column:
         if name not in self._found:
             schema, base, root, compiler, _ = self.known[name]
-            self._found[name] = compiler.compile(schema, VariantNode(F.col("__value")), base, root, F.col("__bad"))
+            self._found[name] = compiler.compile(schema, self._value, base, root, self._bad)
         return self._found[name]
 
     def all_needs(self, names: Sequence[str]) -> Column:
-        return _chosen(names, {n: c if (c := self.needs(n)) is not None else F.array().cast(f"array<{NEED}>") for n in names}, f"array<{NEED}>")
+        made = {n: c for n in names if (c := self.needs(n)) is not None}
+        return _chosen(list(made), made, f"array<{NEED}>")
 
     def all_found(self, names: Sequence[str]) -> Column:
         return _chosen(names, {n: self.found(n) for n in names}, f"array<{VIOLATION}>")
