@@ -204,7 +204,7 @@ def events_syntax_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = F.element_at(F.array(*[F.lit(f) for f in forms]), (k % 8 + 1).cast("int"))
     content = F.replace(F.replace(content, F.lit("<kind>"), kind), F.lit("<id>"), k.cast("string"))
     docs = S.normalize_documents(t(spark, sf_dir, "events").select("event_id", F.lit("a.json").alias("path"), content.alias("content")))
-    return docs.select("event_id", F.col("parse_error.offset").alias("off"))
+    return docs.select("event_id", F.col("parse_error.offset").cast("long").alias("off"))
 
 
 @query("""
