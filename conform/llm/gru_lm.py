@@ -244,36 +244,62 @@ def softmax_gradients(every: np.ndarray, total: np.ndarray, hit: np.ndarray, h:
 
 
 def output_scores(p: dict[str, np.ndarray], h: np.ndarray, y: np.ndarray, grads: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-    """Log probability of symbols ``y`` from states ``h``; with ``grads`` also adds the output layer's and returns the states' gradients."""
+    """Log probability of symbols ``y`` from states ``h``; with ``grads`` also adds the output layer's and returns the states' gradients. Works in the order of the classes."""
     n = np.arange(len(y))
-    h = np.concatenate([h, np.ones((len(h), 1), f32)], axis=1)  # biases are the last row of the weights
-    cls = y // CLASS_WORDS
+    cls = (y // CLASS_WORDS).astype(np.int16)
+    order = np.argsort(cls, kind="stable")
+    cls, y = cls[order], y[order]
+    edges = np.searchsorted(cls, np.arange(CLASSES + 1))
+    h = np.concatenate([np.take(h, order, axis=0), np.ones((len(h), 1), f32)], axis=1)  # biases are the last row of the weights
     bound = float((np.abs(p["C"]).sum(axis=0) + np.abs(p["c"])).max())
     weights = np.concatenate([p["C"], p["c"][None]])
     every, total = exponentials(h @ weights, bound)
-    score = np.log(every[n, cls] / total + f32(1e-30))
-    back = None
+    found = np.log(every[n, cls] / total + f32(1e-30))
+    part = None
     if grads is not None:
-        back = softmax_gradients(every, total, cls, h, weights[:-1], grads["C"], grads["c"])
-    order = np.argsort(cls.astype(np.int16), kind="stable")
-    edges = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+        part = softmax_gradients(every, total, cls, h, weights[:-1], grads["C"], grads["c"])
     weights = np.concatenate([p["W"], p["w"][:, None]], axis=1)
     bound = float(np.abs(weights).sum(axis=1).max())
-    h, y = h[order], y[order]
-    inner, inner_back = np.empty_like(score), np.empty((len(y), HIDDEN), h.dtype) if grads is not None else None
     for k in np.flatnonzero(np.diff(edges)):
         at, rows = slice(edges[k], edges[k + 1]), slice(k * CLASS_WORDS, (k + 1) * CLASS_WORDS)
         every, total = exponentials(h[at] @ weights[rows].T, bound)
         pick = y[at] - k * CLASS_WORDS
-        inner[at] = np.log(every[n[: len(pick)], pick] / total + f32(1e-30))
+        found[at] += np.log(every[n[: len(pick)], pick] / total + f32(1e-30))
         if grads is not None:
-            inner_back[at] = softmax_gradients(every, total, pick, h[at], p["W"][rows].T, grads["W"][rows].T, grads["w"][rows])
-    score[order] += inner
+            part[at] += softmax_gradients(every, total, pick, h[at], p["W"][rows].T, grads["W"][rows].T, grads["w"][rows])
+    score, back = np.empty_like(found), None
+    score[order] = found
     if grads is not None:
-        back[order] += inner_back
+        back = np.empty_like(part)
+        back[order] = part
     return score, back
 
 
+def by_gate(x: np.ndarray) -> np.ndarray:
+    """The columns of the three gates as three arrays, each in one piece."""
+    return np.ascontiguousarray(x.reshape(len(x), 3, HIDDEN).transpose(1, 0, 2))
+
+
+def recur(p: dict[str, np.ndarray], x: np.ndarray, fresh: list[np.ndarray], h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The state before each symbol and after the last (steps + 1 x lanes), both gates and the new part of every step, and what the state gives to the new part. ``fresh``: lanes where a document begins."""
+    steps, lanes = x.shape
+    gates, own = np.take(by_gate(p["G"]), x, axis=1), by_gate(p["U"])
+    hs, us = np.empty((steps + 1, lanes, HIDDEN), f32), np.empty((steps, lanes, HIDDEN), f32)
+    u = np.empty((2, lanes, HIDDEN), f32)
+    hs[0] = h
+    for t in range(steps):
+        hs[t, fresh[t]] = 0
+        zr, n = gates[:2, t], gates[2, t]
+        zr += np.matmul(hs[t], own[:2], out=u)
+        gate(zr)
+        n += zr[1] * np.matmul(hs[t], own[2], out=us[t])
+        np.tanh(n, out=n)
+        after = np.subtract(hs[t], n, out=hs[t + 1])
+        after *= zr[0]
+        after += n
+    return hs, gates, us
+
+
 class Trainer:
     """Truncated backpropagation with Adagrad steps, a step for each window."""
 
@@ -291,44 +317,37 @@ class Trainer:
         steps, lanes = x.shape
         fresh = [np.flatnonzero(row) for row in first]
         safe = np.maximum(x, 0)
-        gx = p["G"][safe]
-        hs, us = np.empty((steps, lanes, k), f32), np.empty((steps, lanes, k), f32)
-        zr, ns = np.empty((steps, lanes, 2 * k), f32), np.empty((steps, lanes, k), f32)
-        for t in range(steps):
-            hs[t] = h
-            hs[t, fresh[t]] = 0
-            u = hs[t] @ p["U"]
-            us[t] = u[:, 2 * k :]
-            np.add(gx[t, :, : 2 * k], u[:, : 2 * k], out=zr[t])
-            gate(zr[t])
-            ns[t] = np.tanh(gx[t, :, 2 * k :] + zr[t, :, k:] * us[t])
-            h = ns[t] + zr[t, :, :k] * (hs[t] - ns[t])
+        every, (z, r, n), us = recur(p, safe, fresh, h)
+        hs = every[:-1]
         real = np.flatnonzero(x.ravel() >= 0)
+        all_real = len(real) == x.size
+        taken = lambda v: v if all_real else np.take(v, real, axis=0)
         g = {name: np.zeros_like(v) for name, v in p.items() if name != "G"}
-        _, part = output_scores(p, hs.reshape(-1, k)[real], x.ravel()[real], g)
-        back = np.zeros((steps * lanes, k), f32)
-        back[real] = part
+        _, back = output_scores(p, taken(hs.reshape(-1, k)), taken(x.ravel()), g)
+        if not all_real:
+            part, back = back, np.zeros((steps * lanes, k), f32)
+            back[real] = part
         back = back.reshape(steps, lanes, k)
-        dg = np.empty((steps, lanes, 3 * k), f32)
-        du = np.empty((steps, lanes, 3 * k), f32)
+        rest = 1 - z
+        to_z, to_n, to_r = (n - hs) * z * rest, rest * (1 - n * n), us * (r - 1)
+        dg, dn = np.empty((3, steps, lanes, k), f32), np.empty((steps, lanes, k), f32)
         dh = np.zeros((lanes, k), f32)
-        ut = np.ascontiguousarray(p["U"].T)
+        ut = np.ascontiguousarray(by_gate(p["U"]).transpose(0, 2, 1))
         for t in range(steps - 1, -1, -1):
-            z, r, n = zr[t, :, :k], zr[t, :, k:], ns[t]
-            rest = 1 - z
-            da = dh * rest * (1 - n * n)
-            dg[t, :, :k] = dh * (n - hs[t]) * z * rest
-            dg[t, :, k : 2 * k] = da * us[t] * r * (r - 1)
-            dg[t, :, 2 * k :] = da
-            du[t] = dg[t]
-            du[t, :, 2 * k :] *= r
-            dh = dh * z
-            dh += du[t] @ ut
+            np.multiply(dh, to_z[t], out=dg[0, t])
+            np.multiply(dh, to_n[t], out=dg[2, t])
+            np.multiply(dg[2, t], r[t], out=dn[t])
+            np.multiply(dn[t], to_r[t], out=dg[1, t])
+            dh *= z[t]
+            dh += dg[0, t] @ ut[0]
+            dh += dg[1, t] @ ut[1]
+            dh += dn[t] @ ut[2]
             dh += back[t]
             dh[fresh[t]] = 0
-        g["U"] = hs.reshape(-1, k).T @ du.reshape(-1, 3 * k)
-        self.step(g, safe.ravel()[real], dg.reshape(-1, 3 * k)[real], len(real))
-        return h
+        before = hs.reshape(-1, k).T
+        g["U"] = np.concatenate([before @ d.reshape(-1, k) for d in (dg[0], dg[1], dn)], axis=1)
+        self.step(g, taken(safe.ravel()), taken(np.concatenate(list(dg), axis=2).reshape(-1, 3 * k)), len(real))
+        return every[-1]
 
     def step(self, g: dict[str, np.ndarray], x: np.ndarray, dg: np.ndarray, n: int) -> None:
         scale = f32(1.0 / max(1, n) ** 0.5)
@@ -337,65 +356,50 @@ class Trainer:
             np.clip(v, -5, 5, out=v)
             self.squares[name] += v * v
             self.p[name] -= f32(RATE) * v / (np.sqrt(self.squares[name]) + f32(1e-3))
-        order = np.argsort(x, kind="stable")
-        starts = np.flatnonzero(np.r_[True, np.diff(x[order]) != 0])
-        rows = x[order][starts]
-        v = np.clip(np.add.reduceat(dg[order], starts, axis=0) * scale, -5, 5)
+        order = np.argsort(x.astype(np.int16), kind="stable")  # symbols are few; numbers of 16 bits are sorted by radix
+        x = x[order]
+        starts = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+        rows = x[starts]
+        v = np.clip(np.add.reduceat(np.take(dg, order, axis=0), starts, axis=0) * scale, -5, 5)
         s = self.squares["G"][rows] + v * v
         self.squares["G"][rows] = s
         self.p["G"][rows] -= f32(RATE) * v / (np.sqrt(s) + f32(1e-3))
 
 
-def states(p: dict[str, np.ndarray], x: np.ndarray, first: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The state before each symbol (steps x lanes), and the one after the last."""
-    k = HIDDEN
-    hs = np.empty((*x.shape, k), f32)
-    gx = p["G"][x]
-    for t in range(len(x)):
-        hs[t] = h
-        hs[t, np.flatnonzero(first[t])] = 0
-        u = hs[t] @ p["U"]
-        zr = gate(gx[t, :, : 2 * k] + u[:, : 2 * k])
-        n = np.tanh(gx[t, :, 2 * k :] + zr[:, k:] * u[:, 2 * k :])
-        h = n + zr[:, :k] * (hs[t] - n)
-    return hs, h
-
-
 def score_tokens(p: dict[str, np.ndarray], tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Log probability of every symbol; states run from the first word of a document to its end."""
     out = np.zeros(len(tokens))
     h = np.zeros((SCORE_LANES, HIDDEN), f32)
     for at, first in side_by_side(lengths, SCORE_LANES, SCORE_STEPS):
         x = tokens[np.maximum(at, 0)]
-        hs, h = states(p, x, first, h[: at.shape[1]])
-        real = at.ravel() >= 0
-        out[at.ravel()[real]] = output_scores(p, hs.reshape(-1, HIDDEN)[real], x.ravel()[real])[0]
+        hs = recur(p, x, [np.flatnonzero(row) for row in first], h[: at.shape[1]])[0]
+        h = hs[-1]
+        real = np.flatnonzero(at.ravel() >= 0)
+        out[at.ravel()[real]] = output_scores(p, np.take(hs.reshape(-1, HIDDEN), real, axis=0), x.ravel()[real])[0]
     return out
 
 
 def indexed(lexicon: Lexicon, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray]:
     """Entries (-1: not in the head) of all words and ends of texts, their symbols, lengths, and the words outside the head with their place."""
-    get, entries, lengths, outside, places = lexicon.index.get, [], [], [], []
+    get, entries, lengths, outside, places, at = lexicon.index.get, [], [], [], [], 0
     for text in texts:
         words = words_of(text)
-        found = list(map(get, words, repeat(-1)))
-        if -1 in found:
-            for i, e in enumerate(found):
-                if e < 0:
-                    w = words[i]
-                    if len(w) > LONG_WORD:
-                        found[i] = e = get(key_of(w), -1)
-                    if e < 0:
-                        outside.append(w)
-                        places.append(len(entries) + i)
-        entries += found
-        entries.append(0)
-        lengths.append(len(found) + 1)
-    e = np.array(entries, dtype=np.int64)
+        found = np.zeros(len(words) + 1, np.int64)  # the last one is the end
+        found[:-1] = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
+        for i in np.flatnonzero(found < 0).tolist():
+            w = words[i]
+            if len(w) > LONG_WORD:
+                found[i] = get(key_of(w), -1)
+            if found[i] < 0:
+                outside.append(w)
+                places.append(at + i)
+        entries.append(found)
+        lengths.append(len(found))
+        at += len(found)
+    e = np.concatenate(entries)
     symbols = lexicon.token[np.maximum(e, 0)]
     places = np.array(places, dtype=np.int64)
     if len(places):
-        symbols = symbols.copy()
         symbols[places] = [NET_WORDS + shape_of(w) for w in outside]
     return e, symbols, np.array(lengths, dtype=np.int64), outside, places
 
@@ -488,11 +492,11 @@ def score_documents(docs: DataFrame, learn: Column, text: str = "text", id_col:
                 per = lambda v, ends=ends: np.add.reduceat(v, ends[:-1])
                 base = per(np.where(known, logs[safe], 0.0)) - lengths * base_all
                 cut = np.searchsorted(places, ends)
-                spans = list(zip(cut, cut[1:], strict=False))
+                lists = lambda v, cut=cut: pa.ListArray.from_arrays(pa.array(cut, pa.int32()), v)
                 packed = symbols.astype("<u2").tobytes()
                 columns = [
                     pa.array(lengths, pa.int64()), pa.array(per((known & (lex.count[safe] > 0)).astype(np.int64)), pa.int64()), pa.array(base, pa.float64()), pa.array(per(np.where(known, lex.within[safe], 0.0)), pa.float64()),
-                    pa.array([[key_of(w).decode("utf-8") for w in outside[a:b]] for a, b in spans], pa.list_(pa.string())), pa.array([[shape_of(w) for w in outside[a:b]] for a, b in spans], pa.list_(pa.int32())),
+                    lists(pa.array([key_of(w).decode("utf-8") for w in outside], pa.string())), lists(pa.array(symbols[places] - NET_WORDS, pa.int32())),
                     pa.array([packed[2 * a : 2 * b] for a, b in zip(ends, ends[1:], strict=False)], pa.binary()),
                 ]
                 yield pa.RecordBatch.from_arrays([*(c.slice(at, len(group)) for c in batch.columns[1:]), *columns], ["doc_id", "learned", "slice", "n_tokens", "known", "base", "within", "tail", "shapes", "symbols"])

@@ -496,6 +496,37 @@ def test_language_model(spark):
     assert lm.score_documents(df.limit(0), learn).count() == 0
 
 
+def test_gates_lie_in_one_piece_and_states_are_right():
+    rng = np.random.default_rng(4)
+    p = {"G": rng.normal(0, 1, (9, 3 * lm.HIDDEN)).astype(np.float32), "U": rng.normal(0, 1, (lm.HIDDEN, 3 * lm.HIDDEN)).astype(np.float32)}
+    x, first, k = rng.integers(0, 9, (7, 5)), np.zeros((7, 5), bool), lm.HIDDEN
+    first[0, :3] = first[4, 1] = True
+    start = rng.normal(0, 1, (5, k)).astype(np.float32)
+    hs, gates, us = lm.recur(p, x, [np.flatnonzero(row) for row in first], start)
+    assert all(part.flags.c_contiguous for part in [*gates, us, *lm.by_gate(p["U"])])  # columns of a wider array cost several times the seconds
+    h = start.astype(np.float64)
+    for t in range(7):
+        h = h * ~first[t][:, None]
+        u, g = h @ p["U"], p["G"][x[t]]
+        z, r = (1 / (1 + np.exp(g[:, a : a + k] + u[:, a : a + k])) for a in (0, k))
+        n = np.tanh(g[:, 2 * k :] + r * u[:, 2 * k :])
+        assert np.abs(hs[t] - h).max() < 1e-5 and all(np.abs(a - b).max() < 1e-5 for a, b in zip(gates[:, t], (z, r, n)))
+        h = n + z * (h - n)
+    assert np.abs(hs[7] - h).max() < 1e-5
+
+
+def test_words_outside_the_head_are_found_in_place(monkeypatch):
+    asked = []
+    monkeypatch.setattr(lm, "shape_of", lambda w, f=lm.shape_of: asked.append(w) or f(w))
+
+    class Two:
+        index, token = {b"": 0, b"a": 1, lm.key_of(b"l" * 90): 2}, np.array([0, 1, lm.NET_WORDS + 5], np.int32)
+
+    e, symbols, lengths, outside, places = lm.indexed(Two, ["a B a", None, "", "L" * 90 + " c", "a"])
+    assert e.tolist() == [1, -1, 1, 0, 0, 0, 2, -1, 0, 1, 0] and lengths.tolist() == [4, 1, 1, 3, 2]
+    assert outside == asked == [b"b", b"c"] and places.tolist() == [1, 7] and symbols[7] == lm.NET_WORDS + lm.shape_of(b"c") and symbols[6] == lm.NET_WORDS + 5
+
+
 def test_every_window_reaches_the_weights():
     class Flat:
         net_counts, shape_counts = np.ones(lm.NET_WORDS), np.ones(lm.SHAPES)
