@@ -58,7 +58,7 @@ def _read(text: Column, form: Callable[[Column, Column], Column]) -> Column:
     def cut(x: Column) -> Column:
         digits = F.concat(x["whole"], x["rest"])
         short = F.ltrim(digits, F.lit("0"))
-        place = F.length(x["whole"]) - (F.length(digits) - F.length(short)) + F.coalesce(x["power"].try_cast("int"), F.lit(0))
+        place = F.length(x["whole"]) - (F.length(digits) - F.length(short)) + F.coalesce(F.when(x["power"] != "", x["power"]).try_cast("int"), F.lit(0))
         return let(F.struct(F.rtrim(short, F.lit("0")).alias("digits"), place.alias("place")), lambda y: form(y["digits"], y["place"]))
 
     return let(F.struct(*[F.regexp_extract(text, LITERAL, i).alias(n) for i, n in ((1, "whole"), (2, "rest"), (3, "power"))]), cut)
@@ -84,17 +84,20 @@ def literal_parts(text: Column) -> Column:
 
 
 def is_multiple(parts: Column, step: Any) -> Column:
-    """Whether a literal, given by its parts, is a whole multiple of a positive number: the remainder is taken digit by digit."""
+    """Whether a literal, given by its parts, is a whole multiple of a positive number: the remainder is taken piece by piece, of as many digits as the type holds."""
     _, divisor, point = parts_of(step)
     if len(divisor) > MOST_DIGITS:
         raise ValueError(f"multipleOf has more than {MOST_DIGITS} digits")
     kind = "bigint" if len(divisor) < 18 else "decimal(38,0)"
     number = lambda c: c.cast(kind)
     m = number(F.lit(divisor))
+    most = 18 - len(divisor) if kind == "bigint" else 1
+    tens = F.array(*[F.lit(10**n) for n in range(1, most + 1)])
 
     def said(digits: Column, place: Column) -> Column:
         zeros = (place - F.length(digits)) - (point - len(divisor))  # what the powers of ten differ by
-        rest = F.aggregate(F.filter(F.split(digits, ""), lambda c: c != ""), number(F.lit(0)), lambda r, c: number((r * 10 + number(c)) % m))
+        pieces = F.regexp_extract_all(digits, F.lit(f".{{1,{most}}}"), F.lit(0))
+        rest = F.aggregate(pieces, number(F.lit(0)), lambda r, c: number((r * (F.get(tens, F.length(c) - 1) if most > 1 else 10) + number(c)) % m))
         rest = F.aggregate(F.array_repeat(F.lit(0), F.greatest(zeros, F.lit(0))), rest, lambda r, _: number(r * 10 % m))
         return (digits == "") | F.when(zeros >= 0, rest == 0).otherwise(F.lit(False))  # digits that end in no zero are no multiple of a ten
 

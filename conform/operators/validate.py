@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from conform.functions.values import TypedNode
-from conform.operators.fixpoint import violations
+from conform.operators.fixpoint import exploded, violations
 from conform.operators.schemagraph import ref_edges, ref_reach, schema_nodes
 from conform.plans.rules import VIOLATION, Compiler, UnresolvedReference, effective
 from conform.plans.stored import shared_path
@@ -36,10 +36,6 @@ def row_node(df: DataFrame, columns: Sequence[str] | None = None) -> TypedNode:
     return TypedNode(F.struct(*names), T.StructType([df.schema[c] for c in names]))
 
 
-def _exploded(rows: DataFrame, keep: Sequence[str]) -> DataFrame:
-    return rows.select(*keep, F.explode("__violations").alias("__v")).select(*keep, "__v.*")
-
-
 def validate_table(df: DataFrame, schema: Any, keep: Sequence[str], columns: Sequence[str] | None = None, formats: bool = True) -> DataFrame:
     """Violations of a table's rows, typed columns used as they are: ``keep..., instance_path, schema_path, kind, message, params``.
 
@@ -52,7 +48,7 @@ def validate_table(df: DataFrame, schema: Any, keep: Sequence[str], columns: Seq
         for condition in compiler.plain:
             faulty = faulty | F.coalesce(condition, F.lit(False))
         df = df.filter(faulty)
-    return _exploded(df.select(*keep, found.alias("__violations")), keep)
+    return exploded(df, keep, found)
 
 
 def validate_one(docs: DataFrame, schema: Any, keep: Sequence[str] = ("doc_id",), instance: str = "instance", store: Mapping[str, Any] | None = None, base: str = "", formats: bool = True) -> DataFrame:
@@ -73,7 +69,7 @@ def validate(docs: DataFrame, schemas: Mapping[str, Any], keep: Sequence[str] =
     groups = [uris[i : i + TOGETHER] for i in range(0, len(uris), TOGETHER)]
     roots = lambda group: {u: (schemas[u], u, schemas[u], Compiler(schemas, (formats or {}).get(u, True))) for u in group}
     if not groups:
-        return _exploded(docs.select(*kept, F.array().cast(f"array<{VIOLATION}>").alias("__violations")), kept)
+        return exploded(docs, kept, F.array().cast(f"array<{VIOLATION}>"))
     if len(groups) == 1 or docs.isStreaming:
         parts = [violations(docs.filter(F.col(uri).isin(*g)), roots(g), kept, instance, F.col(uri)) for g in groups]
         return reduce(DataFrame.unionByName, parts)

@@ -17,7 +17,7 @@ from conform.operators import stats
 from conform.operators import validate as V
 from conform.plans.queries import query, t
 from conform.plans.schema_queries import filled, text
-from conform.plans.stored import numbered, shared_path
+from conform.plans.stored import numbered, shared_path, spread
 from conform.sources import catalogs as C
 from conform.sources import documents as S
 
@@ -94,7 +94,7 @@ def numbers_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = json.loads(
         '{"properties": {"least": {"minimum": 9007199254740993}, "less": {"exclusiveMaximum": 100000000000000000000000001000}, "tiny": {"multipleOf": 3e-12}, "even": {"multipleOf": 2}, "cents": {"multipleOf": 0.25}, "some": {"enum": [100, 2.5]}, "whole": {"type": "integer"}}}'
     )
-    docs = t(spark, sf_dir, "orders").select("o_orderkey", F.parse_json(content).alias("instance"))
+    docs = spread(t(spark, sf_dir, "orders").select("o_orderkey")).select("o_orderkey", F.parse_json(content).alias("instance"))
     return V.validate_one(docs, schema, ["o_orderkey"]).select("o_orderkey", "instance_path", "kind")
 
 

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _ROOT = str(Path(__file__).resolve().parents[2])
@@ -40,6 +40,26 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def worked_out(rows: DataFrame, **made: Column) -> DataFrame:
+    """Add columns that are worked out once for each row, before anything that follows: filters on them stay above, so neither they nor what they are made of is written out anew for every mention."""
+    cells = F.struct(*[c.alias(n) for n, c in made.items()])
+    return rows.select("*", F.explode(F.array(cells)).alias("__made")).select(*rows.columns, *[F.col("__made")[n].alias(n) for n in made])
+
+
+#: Bytes of files that Spark reads in one task, and tasks for each core where work is dealt out.
+SPLIT, TASKS = 128 << 20, 3
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows that each mean much work, dealt over all cores where their files are too small to be read in as many tasks; others are left where they are read."""
+    if rows.isStreaming:
+        return rows
+    leaves = rows._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.length()))
+    tasks = TASKS * rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(tasks) if size < tasks * SPLIT else rows
+
+
 def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     """Number all rows from 0 in an order, without sorting them in one task: rows are dealt out by ranges of the order and written, ranges are
     counted, and a row's number is its rank in its range plus the counts of the ranges before. Only the counts, one for each range, meet in a task."""
