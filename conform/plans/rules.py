@@ -24,7 +24,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from conform.functions.formats import check_format
-from conform.functions.numbers import exact
+from conform.functions.numbers import exact, let
 from conform.functions.regexes import java_regex
 from conform.functions.values import TypedNode, VariantNode
 
@@ -313,7 +313,7 @@ class Compiler:
         if not node.never("object"):
             self._objects(schema, node, path, at, base, root, bad, sub, nested, simple)
         self._combinators(schema, node, path, at, bad, sub, nested)
-        self._unevaluated(schema, node, path, at, base, root, bad, sub, trail, level)
+        self._unevaluated(schema, node, path, at, base, root, sub, trail, level, nested)
         for name, (check, message) in CUSTOM.items():
             if name in schema:
                 bad(~check(node, schema[name]), name, "custom", message, keyword=name)
@@ -482,7 +482,14 @@ class Compiler:
         for key, child in declared.items():
             value = node.get(key)
             if value is not None:
-                nested.append(F.when(value.present(), sub(child, value, F.concat(path, F.lit(f"/{_escape(key)}")), f"properties/{_escape(key)}")) if child not in (True, {}) else self._none())
+                at_key = lambda v, k=key, c=child: F.when(v.present(), sub(c, v, F.concat(path, F.lit(f"/{_escape(k)}")), f"properties/{_escape(k)}"))
+                if child in (True, {}):
+                    nested.append(self._none())
+                elif isinstance(value, VariantNode):
+                    with self._within(False):  # taken out of the object once, however many rules ask for it
+                        nested.append(let(value.value, lambda x: at_key(VariantNode(x))))
+                else:
+                    nested.append(at_key(value))
         step = lambda k: F.concat(path, F.lit("/"), F.replace(F.replace(k, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1")))
         patterns = schema.get("patternProperties", {}) if isinstance(schema.get("patternProperties"), dict) else {}
         for pattern, child in patterns.items():
@@ -580,27 +587,33 @@ class Compiler:
                 out += again(child, both(value.present()))
         return out
 
-    def _unevaluated(self, schema: dict, node: Any, path: Column, at: str, base: str, root: Any, bad: Callable, sub: Callable, trail: Trail, level: int) -> None:
+    def _unevaluated(self, schema: dict, node: Any, path: Column, at: str, base: str, root: Any, sub: Callable, trail: Trail, level: int, nested: list[Column]) -> None:
         some = lambda c: F.lit(True) if c is None else F.coalesce(c, F.lit(False))
         if "unevaluatedProperties" in schema and schema["unevaluatedProperties"] is not True and not node.never("object"):
             seen = self._seen(schema, node, path, base, root, trail, level, False)
+            child = schema["unevaluatedProperties"]
+            inside = lambda k, v: sub(child, v, F.concat(path, F.lit("/"), F.replace(F.replace(k, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))), "unevaluatedProperties")
+            if self._gathering is not None and child is not False:
+                with self._within(True):
+                    self._gathering.append(F.flatten(node.over_entries(inside)))
 
-            def left(k: Column) -> Column:
-                known = F.lit(False)
-                for when, what in seen:
-                    known = known | (some(when) if what is None else some(when) & _listed(k, *what))
-                return ~known
+            def left_over(holds: Column) -> Column:
+                """The keys that no branch speaks of; whether each branch holds is worked out once for all keys."""
 
-            child = schema["unevaluatedProperties"]
-            if child is False:
-                keys = F.filter(node.keys(), left)
-            else:
+                def left(k: Column) -> Column:
+                    known = F.lit(False)
+                    for i, (_, what) in enumerate(seen):
+                        known = known | (holds[i] if what is None else holds[i] & _listed(k, *what))
+                    return ~known
+
+                if child is False:
+                    return F.filter(node.keys(), left)
+                return F.array_compact(node.over_entries(lambda k, v: F.when(left(k) & (F.size(inside(k, v)) > 0), k)))
+
+            if self._gathering is None:
                 with self._within(True):
-                    inside = lambda k, v: sub(child, v, F.concat(path, F.lit("/"), F.replace(F.replace(k, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))), "unevaluatedProperties")
-                    if self._gathering is not None:
-                        self._gathering.append(F.flatten(node.over_entries(inside)))
-                    keys = F.array_compact(node.over_entries(lambda k, v: F.when(left(k) & (F.size(inside(k, v)) > 0), k)))
-            self._unexpected(node.is_type("object"), keys, path, at, "Unevaluated properties", "unevaluatedProperties", "unevaluated_properties", bad)
+                    keys = let(F.array(*[some(when) for when, _ in seen]), left_over)
+                nested.append(self._unexpected(node, node.is_type("object"), keys, path, at, "Unevaluated properties", "unevaluatedProperties", "unevaluated_properties"))
         if "unevaluatedItems" in schema and schema["unevaluatedItems"] is not True and not node.never("array"):
             seen = self._seen(schema, node, path, base, root, trail, level, True)
             done = F.lit(0)
@@ -611,14 +624,21 @@ class Compiler:
                 inside = lambda x, i, inner, word: sub(inner, x, F.concat(path, F.lit("/"), i.cast("string")), word)
                 if self._gathering is not None and child is not False:
                     self._gathering.append(F.flatten(node.over_items(lambda x, i: inside(x, i, child, "unevaluatedItems"))))
-                wrong = lambda x, i: (i >= done) & (F.size(inside(x, i, contains, "contains")) > 0 if contains is not None else F.lit(True)) & (F.lit(True) if child is False else F.size(inside(x, i, child, "unevaluatedItems")) > 0)
-                texts = F.array_compact(node.over_items(lambda x, i: F.when(wrong(x, i), x.canonical())))
-            self._unexpected(node.is_type("array"), texts, path, at, "Unevaluated items", "unevaluatedItems", "unevaluated_items", bad)
-
-    @staticmethod
-    def _unexpected(applies: Column, left: Column, path: Column, at: str, words: str, keyword: str, kind: str, bad: Callable) -> None:
-        message = F.concat(F.lit(f"{words} are not allowed ('"), F.array_join(left, "', '"), F.when(F.size(left) == 1, F.lit("' was unexpected)")).otherwise(F.lit("' were unexpected)")))
-        bad(applies & (F.size(left) > 0), keyword, kind, message, unexpected=F.array_join(left, ", "))
+                if self._gathering is None:
+                    wrong = lambda x, i, n: (i >= n) & (F.size(inside(x, i, contains, "contains")) > 0 if contains is not None else F.lit(True)) & (F.lit(True) if child is False else F.size(inside(x, i, child, "unevaluatedItems")) > 0)
+                    texts = let(done, lambda n: F.array_compact(node.over_items(lambda x, i: F.when(wrong(x, i, n), x.canonical()))))
+            if self._gathering is None:
+                nested.append(self._unexpected(node, node.is_type("array"), texts, path, at, "Unevaluated items", "unevaluatedItems", "unevaluated_items"))
+
+    def _unexpected(self, node: Any, applies: Column, left: Column, path: Column, at: str, words: str, keyword: str, kind: str) -> Column:
+        if self.plain is not None and not self._aside:
+            self.plain.append(node.present() & applies & (F.size(left) > 0))
+
+        def said(x: Column) -> Column:  # what is left stands once in the expression, however often it is looked at
+            message = F.concat(F.lit(f"{words} are not allowed ('"), F.array_join(x, "', '"), F.when(F.size(x) == 1, F.lit("' was unexpected)")).otherwise(F.lit("' were unexpected)")))
+            return _violation(node.present() & applies & (F.size(x) > 0), path, f"{at}/{keyword}", kind, message, {"unexpected": F.array_join(x, ", ")})
+
+        return F.array_compact(F.transform(F.array(left), said))
 
 
 class _KeyNode(TypedNode):

@@ -14,7 +14,7 @@ from conform.operators import resolve as R
 from conform.operators import schemagraph as G
 from conform.operators import validate as V
 from conform.plans.queries import part_schemas, query, t
-from conform.plans.stored import shared_path
+from conform.plans.stored import shared_path, spread
 from conform.sources import catalogs as C
 from conform.sources import documents as S
 
@@ -64,7 +64,8 @@ def events_object_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, CASE WHEN value > 50 THEN 2 ELSE 1 END AS left_over FROM events")
 def events_unevaluated_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = {"prefixItems": [{"type": "string"}], "anyOf": [{"prefixItems": [True, {"type": "number", "maximum": 50}]}, {"type": "array"}], "unevaluatedItems": {"type": "boolean"}}
-    docs = t(spark, sf_dir, "events").select("event_id", S.parse_jsonc(filled('["<kind>", <value>, <user>]', kind=F.col("event_type"), value=text("value"), user=text("user_id"))).alias("instance"))
+    rows = spread(t(spark, sf_dir, "events").select("event_id", "event_type", "value", "user_id"))
+    docs = rows.select("event_id", S.parse_jsonc(filled('["<kind>", <value>, <user>]', kind=F.col("event_type"), value=text("value"), user=text("user_id"))).alias("instance"))
     found = V.validate_one(docs, schema, ["event_id"]).filter("kind = 'unevaluated_items'")
     return found.select("event_id", F.size(F.split(F.col("params")["unexpected"], ", ")).alias("left_over"))
 
