@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from conform.functions.text import first_line, ref_name, version_key
 from conform.functions.urls import filename_of, schema_page_url
 from conform.operators.schemagraph import LISTS, _unquoted, lookup_pointer
-from conform.plans.stored import numbered, stored
+from conform.plans.stored import meet, numbered, stored
 from conform.sources.documents import FORMATS
 
 LARGEST = 10 * 1024 * 1024
@@ -219,7 +219,7 @@ def type_labels(nodes: DataFrame) -> DataFrame:
 
     Labels of items and branches are worked out from the innermost outwards, a round for each level of them.
     """
-    facts = _facts(nodes).join(_list_of(nodes, "type", "types"), ["uri", "owner"], "left")
+    facts = meet(_facts(nodes), _list_of(nodes, "type", "types"), ["uri", "owner"], "left")
     own = F.when(F.col("types").isNotNull(), F.array_join(F.transform("types", lambda x: F.replace(x, F.lit('"'), F.lit(""))), " | ")).when(F.col("type_text") != "", F.replace("type_text", F.lit('"'), F.lit("")))
     ref = F.when(F.col("ref_text") != "", ref_name(_unquoted(F.col("ref_text"))))
     last = F.coalesce(F.when(F.col("const_text") != "", F.concat(F.lit("const: "), "const_text")), F.when(F.col("has_enum"), F.lit("enum")))
@@ -232,17 +232,21 @@ def type_labels(nodes: DataFrame) -> DataFrame:
         below = inner.groupBy("uri", "owner").agg(F.max(F.when(F.col("at") == "items", F.col("label"))).alias("item"), several("oneOf").alias("one"), several("anyOf").alias("any"))
         branches = F.coalesce(F.when(F.col("one") != "", F.col("one")), F.when(F.col("any") != "", F.col("any")))
         label = F.when((F.col("own") == "array") & F.col("item").isNotNull(), F.concat("item", F.lit("[]"))).otherwise(F.coalesce("own", "ref", branches, "last"))
-        after = stored(rows.join(below, ["uri", "owner"], "left").select("uri", "owner", "own", "ref", "last", label.alias("label"), (~F.col("label").eqNullSafe(label)).alias("moved")), "labels")
+        after = stored(meet(rows, below, ["uri", "owner"], "left").select("uri", "owner", "own", "ref", "last", label.alias("label"), (~F.col("label").eqNullSafe(label)).alias("moved")), "labels")
         rows = after.drop("moved")
         if after.filter("moved").isEmpty():
             return rows.select("uri", "owner", "label")
 
 
-def schema_properties(nodes: DataFrame, depth: int = 3) -> DataFrame:
+def _labels(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
+    return type_labels(nodes) if labels is None else labels
+
+
+def schema_properties(nodes: DataFrame, depth: int = 3, labels: DataFrame | None = None) -> DataFrame:
     """``uri, owner, name, depth, label, required, description, default_value, const_value, enum_values, examples, ord``: required ones first among equals of an owner.
 
     A property that is a reference within its schema is described by what it refers to, however many references lead there; one that leads
-    elsewhere has the reference's name as its label.
+    elsewhere has the reference's name as its label. ``labels`` are those of :func:`type_labels`, where they are known already.
     """
     props = nodes.filter((F.col("prole") == "map") & (F.col("pkey") == "properties"))
     props = props.select("uri", F.col("id"), F.regexp_replace("parent", "/properties$", "").alias("owner"), F.col("key").alias("name"), F.col("pos").alias("ord"))
@@ -250,10 +254,11 @@ def schema_properties(nodes: DataFrame, depth: int = 3) -> DataFrame:
     props = props.withColumn("depth", level.cast("int")).filter(F.col("depth") <= depth)
     names = nodes.filter((F.col("pkey") == "required") & (F.col("jtype") == "STRING")).select("uri", F.regexp_replace("parent", "/required$", "").alias("owner"), _unquoted(F.col("text")).alias("name")).distinct().withColumn("required", F.lit(True))
     props = stored(props, "schema-properties")
-    props = props.join(lookup_pointer(nodes, props.select("uri", "id").distinct()), ["uri", "id"], "left").withColumn("at", F.coalesce("found", "id"))
+    props = meet(props, lookup_pointer(nodes, props.select("uri", "id").distinct()), ["uri", "id"], "left").withColumn("at", F.coalesce("found", "id"))
     at = lambda df: df.withColumnRenamed("owner", "at")
-    rows = props.join(names, ["uri", "owner", "name"], "left").join(at(_facts(nodes)), ["uri", "at"], "left").join(at(type_labels(nodes)), ["uri", "at"], "left")
-    rows = rows.join(at(_list_of(nodes, "enum", "enum_values")), ["uri", "at"], "left").join(at(_list_of(nodes, "examples", "examples")), ["uri", "at"], "left")
+    rows = meet(props, names, ["uri", "owner", "name"], "left")
+    for more in (_facts(nodes), _labels(nodes, labels), _list_of(nodes, "enum", "enum_values"), _list_of(nodes, "examples", "examples")):
+        rows = meet(rows, at(more), ["uri", "at"], "left")
     description = F.coalesce(_unquoted(F.col("markdownDescription_text")), _unquoted(F.col("description_text")))
     return rows.select("uri", "owner", "name", "depth", "label", F.coalesce("required", F.lit(False)).alias("required"), description.alias("description"), F.col("default_text").alias("default_value"), F.col("const_text").alias("const_value"), "enum_values", "examples", "ord")
 
@@ -268,27 +273,28 @@ def schema_constraints(nodes: DataFrame) -> DataFrame:
     return nodes.filter((F.col("prole") == "schema") & F.col("key").isin(*CONSTRAINTS) & F.col("text").isNotNull()).select("uri", F.col("parent").alias("owner"), F.col("key").alias("keyword"), F.col("text").alias("value"))
 
 
-def schema_variants(nodes: DataFrame) -> DataFrame:
+def schema_variants(nodes: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """``uri, owner, keyword, ord, label`` of every branch: its title, else its reference's name, its type, or ``variant``."""
     rows = nodes.filter((F.col("prole") == "list") & F.col("pkey").isin(*LISTS[:3]))
     facts = _facts(nodes).select("uri", F.col("owner").alias("id"), "title_text", "ref_text")
-    rows = rows.join(facts, ["uri", "id"], "left").join(type_labels(nodes).withColumnRenamed("owner", "id"), ["uri", "id"], "left")
+    rows = meet(meet(rows, facts, ["uri", "id"], "left"), _labels(nodes, labels).withColumnRenamed("owner", "id"), ["uri", "id"], "left")
     name = F.coalesce(F.when(F.col("title_text") != "", _unquoted(F.col("title_text"))), F.when(F.col("ref_text") != "", ref_name(_unquoted(F.col("ref_text")))), "label", F.lit("variant"))
     return rows.select("uri", F.regexp_replace("parent", r"/(allOf|anyOf|oneOf)$", "").alias("owner"), F.col("pkey").alias("keyword"), F.col("pos").alias("ord"), name.alias("label"), F.col("ref_text").isNotNull().alias("by_reference"))
 
 
-def schema_definitions(nodes: DataFrame) -> DataFrame:
-    return nodes.filter((F.col("prole") == "map") & F.col("pkey").isin("$defs", "definitions")).join(type_labels(nodes).withColumnRenamed("owner", "id"), ["uri", "id"], "left").select("uri", F.col("key").alias("name"), "label")
+def schema_definitions(nodes: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    rows = nodes.filter((F.col("prole") == "map") & F.col("pkey").isin("$defs", "definitions"))
+    return meet(rows, _labels(nodes, labels).withColumnRenamed("owner", "id"), ["uri", "id"], "left").select("uri", F.col("key").alias("name"), "label")
 
 
 def schema_examples(nodes: DataFrame) -> DataFrame:
     return nodes.filter((F.col("pkey") == "examples") & F.col("text").isNotNull()).select("uri", F.regexp_replace("parent", "/examples$", "").alias("owner"), F.col("pos").alias("ord"), F.col("text").alias("value"))
 
 
-def additional_and_items(nodes: DataFrame) -> DataFrame:
+def additional_and_items(nodes: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """Where items or additional properties have a schema of their own: ``uri, owner, keyword, label``."""
     rows = nodes.filter((F.col("prole") == "schema") & F.col("key").isin("additionalProperties", "items") & (F.col("jtype") == "OBJECT"))
-    return rows.join(type_labels(nodes).withColumnRenamed("owner", "id"), ["uri", "id"], "left").select("uri", F.col("parent").alias("owner"), F.col("key").alias("keyword"), "label")
+    return meet(rows, _labels(nodes, labels).withColumnRenamed("owner", "id"), ["uri", "id"], "left").select("uri", F.col("parent").alias("owner"), F.col("key").alias("keyword"), "label")
 
 
 def explain(nodes: DataFrame, violations: DataFrame, pointer: str, schema: str = "schema_uri") -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from conform.functions.urls import base_of, fragment_of, url_join
 from conform.functions.values import value_at
-from conform.plans.stored import ship, stored
+from conform.plans.stored import meet, ship, spread, stored, worked_out
 from conform.sources.documents import parse_jsonc
 
 NEWEST = "https://json-schema.org/draft/2020-12/schema"
@@ -48,13 +48,15 @@ def schema_nodes(store: DataFrame, deepest: int | None = None) -> DataFrame:
     Schemas are a small part of the data; each level's table is written once, and there are as many as the deepest schema has. With ``deepest``,
     what lies deeper stays text.
     """
-    kind = F.regexp_extract(F.schema_of_variant("v"), r"^([A-Z]+)", 1)
+    held = lambda t: F.try_variant_get("v", "$", t).isNotNull()
+    # one level is looked at; the kind's text would name all below
+    kind = F.when(held("map<string,variant>"), "OBJECT").when(held("array<variant>"), "ARRAY").otherwise(F.regexp_extract(F.schema_of_variant("v"), r"^([A-Z]+)", 1))
     step = F.concat(F.lit("/"), F.replace(F.replace("key", F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1")))
     key, prole = F.col("key"), F.col("prole")
     in_schema = F.when(key.isin(*MAPS), "map").when((key == "items") & (F.col("jtype") == "ARRAY"), "list").when(key.isin(*LISTS), "list").when(key.isin(*SINGLE), "schema").when(key == "dependencies", "deps").otherwise("plain")
     role = F.when(prole == "schema", in_schema).when(prole.isin("map", "list"), "schema").when((prole == "deps") & (F.col("jtype") != "ARRAY"), "schema").otherwise("plain")
     none = F.lit(None).cast("string")
-    rows = store.select("uri", parse_jsonc(F.col("body")).alias("v")).filter("v IS NOT NULL")
+    rows = worked_out(spread(store.select("uri", "body")), v=parse_jsonc(F.col("body"))).select("uri", "v").filter("v IS NOT NULL")
     level = stored(rows.select("uri", F.lit("").alias("id"), none.alias("parent"), none.alias("key"), F.lit(0).cast("long").alias("pos"), kind.alias("jtype"), F.lit("schema").alias("role"), none.alias("prole"), none.alias("pkey"), none.alias("gpkey"), "v"), "schema-level")
     out, depth = None, 0
     while True:
@@ -208,14 +210,14 @@ def lookup_pointer(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     open_ = wanted.select("uri", "id", F.col("id").alias("at"), F.array("id").alias("passed"))
     done = None
     while True:
-        stepped = open_.join(refs, ["uri", "at"], "left")
+        stepped = stored(meet(open_, refs, ["uri", "at"], "left"), "pointer-steps")
         part = stepped.filter("to IS NULL").select("uri", "id", "at")
         done = part if done is None else done.unionByName(part)
         onward = stepped.filter(F.col("to").isNotNull() & ~F.array_contains("passed", F.col("to")))
-        open_ = stored(onward.select("uri", "id", F.col("to").alias("at"), F.concat("passed", F.array("to")).alias("passed")), "pointer-steps")
+        open_ = onward.select("uri", "id", F.col("to").alias("at"), F.concat("passed", F.array("to")).alias("passed"))
         if open_.isEmpty():
             break
-    return done.join(nodes.select("uri", F.col("id").alias("at")), ["uri", "at"]).select("uri", "id", F.col("at").alias("found"))
+    return meet(done, nodes.select("uri", F.col("id").alias("at")), ["uri", "at"]).select("uri", "id", F.col("at").alias("found"))
 
 
 def property_names_at(nodes: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -46,6 +46,11 @@ def worked_out(rows: DataFrame, **made: Column) -> DataFrame:
     return rows.select("*", F.explode(F.array(cells)).alias("__made")).select(*rows.columns, *[F.col("__made")[n].alias(n) for n in made])
 
 
+def meet(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join of tables that both grow with the schemas: neither is collected on the driver, as Spark would do by the size of their files, in which URLs and pointers take a small part of their length."""
+    return left.join(right.hint("merge"), on, how)
+
+
 #: Bytes of files that Spark reads in one task, and tasks for each core where work is dealt out.
 SPLIT, TASKS = 128 << 20, 3
 

@@ -43,3 +43,9 @@ def test_what_is_unevaluated_is_worked_out_once(spark):
     props = {"properties": {"a": True}, "anyOf": [{"properties": {"b": {"type": "integer"}}}, {"patternProperties": {"^c": True}}], "unevaluatedProperties": False}
     rows = spark.createDataFrame([(1, '{"a":1,"b":2,"c1":3,"d":4}'), (2, '{"a":1,"b":"x","c":1}'), (3, "{}"), (4, "7")], "i int, j string").select("i", F.parse_json("j").alias("instance"))
     assert {(r.i, r.params["unexpected"]) for r in V.validate_one(rows, props, ["i"]).collect()} == {(1, "d"), (2, "b")}
+
+
+@pytest.mark.parametrize("name", ["schema_properties_rows", "schema_descriptions"])
+def test_tables_of_schemas_are_not_collected(spark, name):
+    plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
