@@ -255,11 +255,12 @@ SELECT uri, what, owner, name, label FROM p, LATERAL (VALUES
  ('inner', '/properties/w', 'items', 'string[]'), ('inner', '/properties/w/items', 'items', 'string'), ('inner', '/properties/m', 'additionalProperties', 'enum')) r(what, owner, name, label)""")
 def schema_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = G.schema_nodes(_schemas(spark, sf_dir, _SHAPES))
+    labels = K.type_labels(nodes)
     row = lambda df, what, owner, name, label: df.select("uri", F.lit(what).alias("what"), owner.alias("owner"), name.alias("name"), label.alias("label"))
     c = F.col
     parts = [
-        row(K.schema_properties(nodes), "property", c("owner"), c("name"), c("label")), row(K.schema_variants(nodes), "variant", c("owner"), c("keyword"), c("label")), row(K.schema_definitions(nodes), "definition", F.lit(""), c("name"), c("label")),
-        row(K.schema_examples(nodes), "example", c("owner"), F.lit("examples"), c("value")), row(K.additional_and_items(nodes), "inner", c("owner"), c("keyword"), c("label")),
+        row(K.schema_properties(nodes, labels=labels), "property", c("owner"), c("name"), c("label")), row(K.schema_variants(nodes, labels), "variant", c("owner"), c("keyword"), c("label")), row(K.schema_definitions(nodes, labels), "definition", F.lit(""), c("name"), c("label")),
+        row(K.schema_examples(nodes), "example", c("owner"), F.lit("examples"), c("value")), row(K.additional_and_items(nodes, labels), "inner", c("owner"), c("keyword"), c("label")),
     ]
     out = parts[0]
     for part in parts[1:]:
