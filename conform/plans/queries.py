@@ -16,6 +16,7 @@ from conform.functions import urls as U
 from conform.operators import diagnostics as D
 from conform.operators import resolve as R
 from conform.operators import validate as V
+from conform.plans.stored import spread
 from conform.sources import catalogs as C
 from conform.sources import documents as S
 
@@ -501,7 +502,8 @@ def orders_formats_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(ext == "yaml", yaml)
         .otherwise(F.concat(F.lit("<!-- note -->\n---\n"), yaml, F.lit("---\n# Order\n")))
     )
-    rows = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), ext.alias("ext"), F.concat(F.lit("o/"), F.col("o_orderkey").cast("string"), F.lit("."), ext).alias("path"), content.alias("content"))
+    orders = spread(t(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority"))
+    rows = orders.select(F.col("o_orderkey").alias("doc_id"), ext.alias("ext"), F.concat(F.lit("o/"), F.col("o_orderkey").cast("string"), F.lit("."), ext).alias("path"), content.alias("content"))
     docs = S.normalize_documents(rows).filter(F.col("parse_error").isNull())
     schema = {"type": "object", "properties": {"price": {"type": "number", "maximum": 400000}, "priority": {"type": "string"}}, "required": ["price", "priority"], "additionalProperties": False}
     return V.validate_one(docs, schema, ["doc_id", "ext"]).select("doc_id", "ext", "instance_path", "kind")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from conform.functions.globs import glob_to_regex
-from conform.plans.stored import stored
+from conform.plans.stored import stored, worked_out
 
 #: Extensions and the formats that they mean.
 FORMATS = {"json": "jsonc", "jsonc": "jsonc", "json5": "json5", "jsonl": "jsonl", "ndjson": "jsonl", "yaml": "yaml", "yml": "yaml", "toml": "toml", "md": "markdown", "mdx": "markdown"}
@@ -178,14 +178,14 @@ def normalize_documents(docs: DataFrame, any_format: Column | None = None) -> Da
         rows = rows.withColumn("format", F.coalesce("format", F.when(any_format, "any")))
     json_rows = rows.filter(F.col("format").isin("jsonc", "json5"))
     instance = F.when(F.col("format") == "json5", parse_json5(F.col("content"))).otherwise(parse_jsonc(F.col("content")))
-    json_rows = json_rows.withColumn("instance", instance)
+    json_rows = worked_out(json_rows, instance=instance)
     json_rows = json_rows.withColumn("parse_error", F.when(F.col("instance").isNull(), F.struct(F.when(F.col("format") == "jsonc", syntax_error(F.col("content"))).alias("offset"), F.lit("malformed JSON").alias("message"))).cast(ERROR))
     parse = _library_parser()
     other = rows.filter(F.col("format").isin("yaml", "toml", "markdown")).withColumn("__front", F.when(F.col("format") == "markdown", frontmatter(F.col("content"))))
     kind = F.when(F.col("format") == "markdown", F.col("__front.kind")).otherwise(F.col("format"))
     body = F.when(F.col("format") == "markdown", F.col("__front.body")).otherwise(F.col("content"))
     other = other.withColumn("__kind", kind).withColumn("__p", parse(F.col("__kind"), body))
-    other = other.withColumn("instance", F.when(F.col("__kind").isNull(), F.parse_json(F.lit("null"))).otherwise(F.try_parse_json("__p.json")))
+    other = worked_out(other, instance=F.when(F.col("__kind").isNull(), F.parse_json(F.lit("null"))).otherwise(F.try_parse_json("__p.json")))
     other = other.withColumn("parse_error", F.when(F.col("__p.message").isNotNull(), F.struct(F.col("__p.offset").alias("offset"), F.col("__p.message").alias("message"))).cast(ERROR)).drop("__front", "__kind", "__p")
     out = json_rows.unionByName(other)
     if any_format is None:

@@ -45,6 +45,12 @@ def test_what_is_unevaluated_is_worked_out_once(spark):
     assert {(r.i, r.params["unexpected"]) for r in V.validate_one(rows, props, ["i"]).collect()} == {(1, "d"), (2, "b")}
 
 
+def test_formats_are_parsed_once_on_all_cores(spark):
+    spark.conf.set("spark.sql.maxPlanStringLength", "10000000")
+    plan = optimized(QUERIES["orders_formats_checked"](spark, SMALL))
+    assert plan.count("Repartition") == 2 and plan.lower().count("parsejson(") <= 4  # plain and commented JSON, the parsers' JSON, and null
+
+
 @pytest.mark.parametrize("name", ["schema_properties_rows", "schema_descriptions"])
 def test_tables_of_schemas_are_not_collected(spark, name):
     plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
