@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from conform.functions.numbers import let
 from conform.functions.urls import base_of, fragment_of, url_join
 from conform.functions.values import value_at
 from conform.plans.stored import meet, ship, spread, stored, worked_out
@@ -140,13 +141,13 @@ def ref_closure(edges: DataFrame, src: str = "src_uri", dst: str = "base", round
     The frontier is joined with the edges and what was visited is taken out, so cycles end; each round writes its frontier alone, since executors may go.
     """
     steps = stored(edges.select(F.col(src).alias("__src"), F.col(dst).alias("__dst")).distinct(), "ref-edges")
-    first = steps if roots is None else steps.join(roots.select(F.col("uri").alias("__src")).distinct(), "__src", "left_semi")
+    first = steps if roots is None else meet(steps, roots.select(F.col("uri").alias("__src")).distinct(), ["__src"], "left_semi")
     seen = frontier = first.select(F.col("__src").alias("root"), F.col("__dst").alias("uri"), F.lit(1).alias("hops"))
     hops = 1
     while rounds is None or hops < rounds:
         hops += 1
-        near = frontier.join(steps, F.col("uri") == F.col("__src")).select("root", F.col("__dst").alias("uri")).distinct()
-        frontier = stored(near.join(seen, ["root", "uri"], "left_anti").withColumn("hops", F.lit(hops)), "ref-frontier")
+        near = meet(frontier.withColumnRenamed("uri", "__src"), steps, ["__src"]).select("root", F.col("__dst").alias("uri")).distinct()
+        frontier = stored(meet(near, seen, ["root", "uri"], "left_anti").withColumn("hops", F.lit(hops)), "ref-frontier")
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
@@ -160,8 +161,8 @@ def ref_reach(edges: DataFrame, roots: DataFrame, src: str = "src_uri", dst: str
     hops = 0
     while rounds is None or hops < rounds:
         hops += 1
-        near = frontier.withColumnRenamed("uri", "__src").join(steps, "__src").select("uri").distinct()
-        frontier = stored(near.join(seen, "uri", "left_anti"), "ref-frontier")
+        near = meet(frontier.withColumnRenamed("uri", "__src"), steps, ["__src"]).select("uri").distinct()
+        frontier = stored(meet(near, seen, ["uri"], "left_anti"), "ref-frontier")
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
@@ -239,26 +240,55 @@ def property_names_at(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def rebuild(nodes: DataFrame) -> DataFrame:
-    """``uri, body``: schemas from their nodes, children before parents; the rounds are as many as the trees are deep.
+    """``uri, body``: schemas from their nodes. The nodes of one schema meet in one task, which holds one schema at a time, and are put together from the leaves up.
 
     Elements of ``enum`` and ``required`` are kept once. Nodes whose parent is gone go with it.
     """
-    cell = F.struct("pos", "key", "text")
-    quoted = lambda k: F.to_json(F.to_variant_object(F.struct(k.alias("k"))))
-    entry = lambda c: F.concat(F.regexp_replace(quoted(c["key"]), r'^\{"k":(.*)\}$', "$1"), F.lit(":"), c["text"])
-    rows = stored(nodes.select("uri", "id", "parent", "key", "pos", "jtype", "text"), "tree")
-    while True:
-        waiting = rows.filter("text IS NULL")
-        if waiting.isEmpty():
-            break
-        children = rows.filter("parent IS NOT NULL").groupBy("uri", F.col("parent").alias("id")).agg(F.array_sort(F.collect_list(cell)).alias("c"), F.count(F.lit(1)).alias("n"), F.count("text").alias("known"))
-        joined = rows.join(children, ["uri", "id"], "left")
-        ready = F.col("text").isNull() & (F.coalesce(F.col("n"), F.lit(0)) == F.coalesce(F.col("known"), F.lit(0)))
-        texts = F.transform("c", lambda c: c["text"])
-        texts = F.when(F.col("key").isin("enum", "required"), F.array_distinct(texts)).otherwise(texts)
-        made = F.when(F.col("jtype") == "ARRAY", F.concat(F.lit("["), F.coalesce(F.array_join(texts, ","), F.lit("")), F.lit("]"))).otherwise(F.concat(F.lit("{"), F.coalesce(F.array_join(F.transform("c", entry), ","), F.lit("")), F.lit("}")))
-        rows = stored(joined.withColumn("text", F.when(ready, made).otherwise(F.col("text"))).select("uri", "id", "parent", "key", "pos", "jtype", "text"), "tree")
-    return rows.filter("parent IS NULL").select("uri", F.col("text").alias("body"))
+    ship(nodes.sparkSession)
+    key = F.col("key")
+    name = F.when(key.rlike(r"^[A-Za-z0-9_$./:-]*$"), F.concat(F.lit('"'), key, F.lit('"'))).otherwise(F.regexp_replace(F.to_json(F.to_variant_object(F.struct(key.alias("k")))), r'^\{"k":(.*)\}$', "$1"))
+    shape = F.when(F.col("jtype") != "ARRAY", "object").when(key.isin("enum", "required"), "set").otherwise("list")
+    rows = nodes.select("uri", "id", "parent", "pos", "key", name.alias("name"), shape.alias("shape"), "text")
+
+    def built(batches):  # noqa: ANN001, ANN202
+        import pyarrow as pa
+
+        uri, roots, below = None, [], {}
+
+        def bodies():  # noqa: ANN202
+            for root in roots:
+                order, spans = [root], []
+                for node in order:  # grows on the way: a node's children stand side by side
+                    spans.append((len(order), len(order) + (len(below.get(node[0], ())) if node[5] is None else 0)))
+                    order += below.get(node[0], ()) if node[5] is None else ()
+                texts = [node[5] for node in order]
+                for i in range(len(order) - 1, -1, -1):
+                    if texts[i] is None:
+                        inner = sorted((order[j][1], order[j][2], texts[j], order[j][3]) for j in range(*spans[i]))
+                        if order[i][4] == "object":
+                            texts[i] = "{" + ",".join([f"{x[3]}:{x[2]}" for x in inner]) + "}"
+                        else:
+                            cells = [x[2] for x in inner]
+                            texts[i] = "[" + ",".join(dict.fromkeys(cells) if order[i][4] == "set" else cells) + "]"
+                yield texts[0]
+
+        def made(uris, found):  # noqa: ANN001, ANN202
+            return pa.RecordBatch.from_arrays([pa.array(uris, pa.string()), pa.array(found, pa.string())], names=["uri", "body"])
+
+        for batch in batches:
+            uris, found = [], []
+            for u, id_, parent, *node in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if u != uri:
+                    for body in bodies():
+                        uris.append(uri)
+                        found.append(body)
+                    uri, roots, below = u, [], {}
+                (roots if parent is None else below.setdefault(parent, [])).append((id_, *node))
+            yield made(uris, found)
+        last = list(bodies())
+        yield made([uri] * len(last), last)
+
+    return stored(rows.repartition("uri").sortWithinPartitions("uri").mapInArrow(built, "uri string, body string"), "tree")
 
 
 def patch_root(nodes: DataFrame, key: str, values: DataFrame) -> DataFrame:
@@ -286,7 +316,7 @@ def migrate_nodes(nodes: DataFrame) -> DataFrame:
     has = lambda *ks: F.coalesce(F.max(key.isin(*ks)).over(w), F.lit(False))
     holds = lambda c: F.coalesce(F.max(c).over(w), F.lit(False))
     drafts = nodes.filter((F.col("parent") == "") & (key == "$schema")).select("uri", detect_draft(_unquoted(text)).alias("draft"))
-    rows = nodes.join(drafts, "uri", "left").withColumn("old", F.coalesce(F.col("draft") != "2020-12", F.lit(True)))
+    rows = meet(nodes, drafts, ["uri"], "left").withColumn("old", F.coalesce(F.col("draft") != "2020-12", F.lit(True)))
     rows = rows.withColumns({
         "like": has(*LIKE_SCHEMA), "has_id": has("$id"), "has_defs": has("$defs"), "has_ref": has("$ref"), "list_items": holds((key == "items") & (kind == "ARRAY")),
         "min_true": holds((key == "exclusiveMinimum") & (text == "true")), "max_true": holds((key == "exclusiveMaximum") & (text == "true")),
@@ -326,8 +356,9 @@ def migrate_nodes(nodes: DataFrame) -> DataFrame:
     # patterns are repaired once for each distinct one, then joined back
     pattern_key, pattern_text = (F.col("prole") == "map") & (F.col("pkey") == "patternProperties"), inside & (key == "pattern") & is_text
     rows = rows.withColumns({"drop": F.coalesce(drop, F.lit(False)), "nkey": new_key, "ntext": new_text, "__pat": F.when(pattern_text, _unquoted(text)).when(pattern_key, key)})
-    fixed = rows.filter("__pat IS NOT NULL").select("__pat").distinct().withColumn("__fixed", repaired("__pat"))
-    rows = rows.join(fixed, "__pat", "left")
+    patterns = nodes.filter(F.coalesce(pattern_text, F.lit(False)) | F.coalesce(pattern_key, F.lit(False))).select(F.when(pattern_text, _unquoted(text)).otherwise(key).alias("__pat"))
+    fixed = patterns.filter("__pat IS NOT NULL").distinct().withColumn("__fixed", repaired("__pat"))
+    rows = meet(rows, fixed, ["__pat"], "left") if not patterns.isEmpty() else rows.withColumn("__fixed", F.lit(None).cast("string"))
     rows = rows.withColumns({"nkey": F.when(pattern_key, F.col("__fixed")).otherwise(F.col("nkey")), "ntext": F.when(pattern_text, _quoted(F.col("__fixed"))).otherwise(F.col("ntext"))})
     marked = stored(rows.drop("__pat", "__fixed"), "migrate-marked")
 
@@ -362,11 +393,11 @@ def migrate_nodes(nodes: DataFrame) -> DataFrame:
     types = added(typed, F.concat("parent", F.lit("/type")), F.col("parent"), F.lit("type"), last + 1, F.lit("STRING"), F.lit('"object"'))
     # a reference that stood in place of an enum's list
     refs = marked.filter((F.col("pkey") == "enum") & (F.col("key") == "$ref") & (F.col("jtype") == "STRING")).withColumn("__to", owner("/enum$"))
-    free = refs.join(marked.filter((F.col("prole") == "schema") & (F.col("key") == "$ref")).select("uri", F.col("parent").alias("__to")), ["uri", "__to"], "left_anti")
+    free = meet(refs, marked.filter((F.col("prole") == "schema") & (F.col("key") == "$ref")).select("uri", F.col("parent").alias("__to")), ["uri", "__to"], "left_anti")
     lifted = added(free, F.concat("__to", F.lit("/$ref")), F.col("__to"), F.lit("$ref"), last, F.lit("STRING"), F.replace("ntext", F.lit("/definitions/"), F.lit("/$defs/")))
     # annotations written among the definitions belong to the schema above
     notes = marked.filter((F.col("prole") == "map") & F.col("pkey").isin("$defs", "definitions") & F.col("key").isin("description", "title", "$comment") & (F.col("jtype") == "STRING")).withColumn("__to", owner(r"/(\$defs|definitions)$"))
-    free = notes.join(marked.filter("prole = 'schema'").select("uri", F.col("parent").alias("__to"), "key"), ["uri", "__to", "key"], "left_anti")
+    free = meet(notes, marked.filter("prole = 'schema'").select("uri", F.col("parent").alias("__to"), "key"), ["uri", "__to", "key"], "left_anti")
     promoted = added(free, F.concat("__to", F.lit("/"), "key"), F.col("__to"), F.col("key"), last, F.lit("STRING"), F.col("text"))
     roots = marked.filter("parent IS NULL AND jtype = 'OBJECT'")
     newest = added(roots, F.lit("/$schema"), F.lit(""), F.lit("$schema"), F.lit(-2), F.lit("STRING"), F.lit(f'"{NEWEST}"'))
@@ -375,7 +406,7 @@ def migrate_nodes(nodes: DataFrame) -> DataFrame:
         out = out.unionByName(part)
     held = out.select("uri", F.col("id"))
     for part in (boxes, lists):
-        out = out.unionByName(part.join(held, ["uri", "id"], "left_anti"))
+        out = out.unionByName(meet(part, held, ["uri", "id"], "left_anti"))
     return stored(out, "migrated")
 
 
@@ -384,22 +415,22 @@ def namespaces(nodes: DataFrame) -> DataFrame:
     inside = nodes.filter(F.col("parent").isNotNull()).groupBy("uri", F.col("parent").alias("id"))
     facts = inside.agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("jtype").isin("OBJECT", "BOOLEAN")).alias("plain"), F.bool_or(F.col("key").isin(*SCHEMA_KEYWORDS)).alias("told"))
     boxes = nodes.filter((F.col("prole") == "map") & F.col("pkey").isin("$defs", "definitions") & (F.col("jtype") == "OBJECT")).select("uri", "id", "parent", "key")
-    return boxes.join(facts.filter("n >= 2 AND plain AND NOT told").select("uri", "id"), ["uri", "id"])
+    return meet(boxes, facts.filter("n >= 2 AND plain AND NOT told").select("uri", "id"), ["uri", "id"])
 
 
 def without_namespaces(nodes: DataFrame, boxes: DataFrame) -> DataFrame:
     """Nodes with the members of ``boxes`` (see :func:`namespaces`) moved up among the definitions, where a name that is taken stays as it was, and references to them rewritten."""
     up = boxes.select("uri", F.col("id").alias("parent"), F.col("parent").alias("__up"), F.col("key").alias("__box"))
-    moved = nodes.join(F.broadcast(up) if up.count() <= 100_000 else up, ["uri", "parent"], "left")
-    taken = nodes.join(boxes.select("uri", "id"), ["uri", "id"], "left_anti").select("uri", F.col("parent").alias("__up"), "key")
-    members = moved.filter("__up IS NOT NULL").join(taken, ["uri", "__up", "key"], "left_anti").withColumn("__n", F.row_number().over(Window.partitionBy("uri", "__up", "key").orderBy("__box"))).filter("__n = 1")
-    rest = moved.filter("__up IS NULL").join(boxes.select("uri", "id"), ["uri", "id"], "left_anti")
+    moved = nodes.join(F.broadcast(up), ["uri", "parent"], "left") if up.count() <= 100_000 else meet(nodes, up, ["uri", "parent"], "left")
+    taken = meet(nodes, boxes.select("uri", "id"), ["uri", "id"], "left_anti").select("uri", F.col("parent").alias("__up"), "key")
+    members = meet(moved.filter("__up IS NOT NULL"), taken, ["uri", "__up", "key"], "left_anti").withColumn("__n", F.row_number().over(Window.partitionBy("uri", "__up", "key").orderBy("__box"))).filter("__n = 1")
+    rest = meet(moved.filter("__up IS NULL"), boxes.select("uri", "id"), ["uri", "id"], "left_anti")
     cells = ["uri", "id", "key", "pos", "jtype", "text"]
     out = rest.select(*cells, "parent").unionByName(members.select(*cells, F.col("__up").alias("parent")))
     # '#/$defs/box/name...' means '#/$defs/name...' now
     where = r'^("[^#"]*#/(?:\$defs|definitions))/([^/"]+)(/[^"]*")$'
     is_ref = (F.col("key") == "$ref") & (F.col("jtype") == "STRING")
-    out = out.withColumn("__k", F.when(is_ref, F.regexp_extract("text", where, 2))).join(boxes.select("uri", F.col("key").alias("__k"), F.lit(True).alias("__hit")).distinct(), ["uri", "__k"], "left")
+    out = meet(out.withColumn("__k", F.when(is_ref, F.regexp_extract("text", where, 2))), boxes.select("uri", F.col("key").alias("__k"), F.lit(True).alias("__hit")).distinct(), ["uri", "__k"], "left")
     return out.withColumn("text", F.when(F.col("__hit"), F.regexp_replace("text", where, "$1$3")).otherwise(F.col("text"))).drop("__k", "__hit")
 
 
@@ -409,8 +440,8 @@ def flat_definitions(nodes: DataFrame) -> DataFrame:
         boxes = stored(namespaces(nodes), "namespaces")
         if boxes.isEmpty():
             return nodes
-        mine = nodes.join(boxes.select("uri").distinct(), "uri", "left_semi")
-        nodes = nodes.join(boxes.select("uri").distinct(), "uri", "left_anti").unionByName(schema_nodes(rebuild(without_namespaces(mine, boxes))))
+        mine = meet(nodes, boxes.select("uri").distinct(), ["uri"], "left_semi")
+        nodes = meet(nodes, boxes.select("uri").distinct(), ["uri"], "left_anti").unionByName(schema_nodes(rebuild(without_namespaces(mine, boxes))))
 
 
 def migrate_schemas(store: DataFrame) -> DataFrame:
@@ -459,10 +490,10 @@ def used_definitions(nodes: DataFrame) -> DataFrame:
     References count as ``#`` with a pointer (percent-encoded or not), by ``$anchor`` or ``$dynamicAnchor``, and by the schema's own ``$id``.
     """
     own = nodes.filter((F.col("parent") == "") & F.col("key").isin("$id", "id") & (F.col("jtype") == "STRING")).groupBy(F.col("uri").alias("src_uri")).agg(F.min(base_of(_unquoted(F.col("text")))).alias("own"))
-    edges = ref_edges(nodes).join(own, "src_uri", "left").filter((F.col("base") == "") | (F.col("base") == F.col("own")) | (F.col("base") == F.col("src_uri")))
+    edges = meet(ref_edges(nodes), own, ["src_uri"], "left").filter((F.col("base") == "") | (F.col("base") == F.col("own")) | (F.col("base") == F.col("src_uri")))
     edges = edges.select(F.col("src_uri").alias("uri"), "src_path", F.coalesce(F.try_url_decode("fragment"), F.col("fragment"), F.lit("")).alias("to"))
     anchors = nodes.filter(F.col("key").isin("$anchor", "$dynamicAnchor") & (F.col("jtype") == "STRING")).select("uri", _unquoted(F.col("text")).alias("to"), F.col("parent").alias("__at")).distinct()
-    named = edges.filter((F.col("to") != "") & ~F.col("to").startswith("/")).join(anchors, ["uri", "to"]).select("uri", "src_path", F.col("__at").alias("to"))
+    named = edges.filter((F.col("to") != "") & ~F.col("to").startswith("/")).join(anchors.hint("merge"), ["uri", "to"]).select("uri", "src_path", F.col("__at").alias("to"))
     steps = edges.filter(F.col("to").startswith("/")).unionByName(named)
     place = lambda pointer: F.concat("uri", F.lit("\u0000"), pointer)
     steps = steps.select(place(_definition(F.col("src_path"))).alias("src_uri"), place(_definition(F.col("to"))).alias("base")).filter(~F.col("base").endswith("\u0000"))
@@ -476,10 +507,10 @@ def prune_definitions(nodes: DataFrame) -> DataFrame:
     """The nodes without definitions of the root that nothing outside of themselves reaches; a box left empty goes as well. References inside of ``allOf`` count like all others."""
     rows = nodes.withColumn("__def", _definition(F.col("id")))
     used = used_definitions(nodes).select("uri", F.col("id").alias("__def"))
-    kept = rows.filter("__def = ''").unionByName(rows.filter("__def <> ''").join(used, ["uri", "__def"], "left_semi").select(*rows.columns)).drop("__def")
+    kept = rows.filter("__def = ''").unionByName(meet(rows.filter("__def <> ''"), used, ["uri", "__def"], "left_semi").select(*rows.columns)).drop("__def")
     full = kept.filter(F.col("parent").isin("/$defs", "/definitions")).select("uri", F.col("parent").alias("id")).distinct()
     boxes = F.col("id").isin("/$defs", "/definitions")
-    return kept.filter(~boxes).unionByName(kept.filter(boxes).join(full, ["uri", "id"], "left_semi").select(*kept.columns))
+    return kept.filter(~boxes).unionByName(meet(kept.filter(boxes), full, ["uri", "id"], "left_semi").select(*kept.columns))
 
 
 def _as_map(v: Column) -> Column:
@@ -494,16 +525,18 @@ def _object(keys: Column, text: Callable[[Column], Column]) -> Column:
 def merged(a: Column, b: Column) -> Column:
     """The JSON text of two schemas, given as maps, in one: the left one's keywords first, maps of schemas and ``required`` united, flags true if either is."""
 
-    def one(k: Column) -> Column:
-        x, y = F.try_element_at(a, k), F.try_element_at(b, k)
+    def one(k: Column, x: Column, y: Column) -> Column:
         lists = lambda v: F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda i: F.to_json(i))
-        maps = _object(F.array_union(F.map_keys(_as_map(x)), F.map_keys(_as_map(y))), lambda e: F.to_json(F.coalesce(F.try_element_at(_as_map(x), e), F.try_element_at(_as_map(y), e))))
+        union = lambda m, n: _object(F.array_union(F.map_keys(m), F.map_keys(n)), lambda e: F.to_json(F.coalesce(F.try_element_at(m, e), F.try_element_at(n, e))))
+        maps = let(_as_map(x), lambda m: let(_as_map(y), lambda n: union(m, n)))
         united = F.concat(F.lit("["), F.array_join(F.array_union(lists(x), lists(y)), ","), F.lit("]"))
         either = ((F.to_json(x) == "true") | (F.to_json(y) == "true")).cast("string")
         both = F.when(k == "required", united).when(k.isin(*MAPS), maps).when(k.isin(*FLAGS), either)
         return F.when(y.isNull(), F.to_json(x)).when(x.isNull(), F.to_json(y)).otherwise(F.coalesce(both, F.to_json(x)))
 
-    return _object(F.array_union(F.map_keys(a), F.map_keys(b)), one)
+    # both maps, and the values of each key, are worked out once, however often the text asks for them
+    both = lambda m, n: _object(F.array_union(F.map_keys(m), F.map_keys(n)), lambda k: let(F.try_element_at(m, k), lambda x: let(F.try_element_at(n, k), lambda y: one(k, x, y))))
+    return let(a, lambda m: let(b, lambda n: both(m, n)))
 
 
 def merge_bodies(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -519,11 +552,11 @@ def flatten_all_of(store: DataFrame) -> DataFrame:
     """
     nodes = schema_nodes(store)
     branches = nodes.filter("parent = '/allOf'").select("uri", "id", "pos")
-    found = lookup_pointer(nodes, branches.select("uri", "id")).join(branches, ["uri", "id"]).groupBy("uri").agg(F.array_sort(F.collect_list(F.struct("pos", "found"))).alias("places"))  # the branches of one schema
-    parsed = store.select("uri", parse_jsonc(F.col("body")).alias("v")).filter(_as_map(F.col("v")).isNotNull())
+    found = meet(lookup_pointer(nodes, branches.select("uri", "id")), branches, ["uri", "id"]).groupBy("uri").agg(F.array_sort(F.collect_list(F.struct("pos", "found"))).alias("places"))  # the branches of one schema
+    parsed = worked_out(store.select("uri", "body"), v=parse_jsonc(F.col("body"))).select("uri", "v").filter(_as_map(F.col("v")).isNotNull())
     taken = F.transform("places", lambda p: value_at(F.col("v"), p["found"]))
     parts = F.transform(F.filter(taken, lambda v: _as_map(v).isNotNull()), lambda v: F.to_json(v))
-    lists = parsed.join(found, "uri", "left").withColumn("parts", parts)
+    lists = spread(meet(parsed, found, ["uri"], "left")).withColumn("parts", parts)
     clean = lambda j: F.map_filter(_as_map(F.parse_json(j)), lambda k, _: ~k.isin(*OWN))
     body = F.aggregate(F.coalesce("parts", F.array().cast("array<string>")), F.to_json("v"), lambda done, j: merged(_as_map(F.parse_json(done)), clean(j)))
     flat = stored(lists.select("uri", body.alias("body")), "flat-schemas")
@@ -537,7 +570,7 @@ def bundle_names(nodes: DataFrame, rounds: int = 2) -> DataFrame:
     reach = ref_closure(edges.filter("base <> src_uri"), rounds=rounds).filter(F.col("uri") != F.col("root"))
     titles = nodes.filter("parent = '' AND key = 'title' AND jtype = 'STRING' AND text <> '\"\"'").select("uri", _unquoted(F.col("text")).alias("title"))
     held = nodes.filter("parent IS NULL").select("uri")
-    return reach.join(held, "uri", "left_semi").join(titles, "uri", "left").select("root", "uri", F.coalesce("title", F.substring_index("uri", "/", -1)).alias("name"), "hops")
+    return meet(meet(reach, held, ["uri"], "left_semi"), titles, ["uri"], "left").select("root", "uri", F.coalesce("title", F.substring_index("uri", "/", -1)).alias("name"), "hops")
 
 
 def bundle_schemas(store: DataFrame, rounds: int = 2) -> DataFrame:
@@ -550,15 +583,15 @@ def bundle_schemas(store: DataFrame, rounds: int = 2) -> DataFrame:
     names = stored(bundle_names(nodes, rounds), "bundle-names")
     tops = nodes.filter("parent = '/$defs'").select("uri", F.col("key").alias("name"), F.col("id").alias("from_id"))
     whole = names.select("root", "uri", "name", F.lit("").alias("from_id"), "hops", F.lit(1).alias("kind"))
-    inner = names.select("root", "uri", "hops").join(tops, "uri").select("root", "uri", "name", "from_id", "hops", F.lit(0).alias("kind"))
+    inner = meet(names.select("root", "uri", "hops"), tops, ["uri"]).select("root", "uri", "name", "from_id", "hops", F.lit(0).alias("kind"))
     own = tops.select(F.col("uri").alias("root"), "name")
     first = F.row_number().over(Window.partitionBy("root", "name").orderBy("hops", "kind", "uri"))
-    taken = whole.unionByName(inner).join(own, ["root", "name"], "left_anti").withColumn("__n", first).filter("__n = 1").drop("__n")
+    taken = meet(whole.unionByName(inner), own, ["root", "name"], "left_anti").withColumn("__n", first).filter("__n = 1").drop("__n")
     cells = ["id", "parent", "key", "pos", "jtype", "text"]
     home = F.concat(F.lit("/$defs/"), F.replace(F.replace("name", F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1")))
     under = (F.col("id") == F.col("from_id")) | F.startswith(F.col("id"), F.concat("from_id", F.lit("/")))
     moved = lambda c: F.concat(home, F.substring(c, F.length("from_id") + 1, F.length(c)))
-    copies = taken.join(nodes, "uri").filter(under).withColumn("__top", F.col("id") == F.col("from_id"))
+    copies = meet(taken, nodes, ["uri"]).filter(under).withColumn("__top", F.col("id") == F.col("from_id"))
     parts = copies.select(
         F.col("root").alias("uri"), moved(F.col("id")).alias("id"), F.when(F.col("__top"), F.lit("/$defs")).otherwise(moved(F.col("parent"))).alias("parent"), F.when(F.col("__top"), F.col("name")).otherwise(F.col("key")).alias("key"),
         F.when(F.col("__top"), F.lit(1_000_000)).otherwise(F.col("pos")).cast("long").alias("pos"), "jtype", "text",
@@ -566,13 +599,13 @@ def bundle_schemas(store: DataFrame, rounds: int = 2) -> DataFrame:
     line = lambda df, id_, parent, k, pos, jtype, text: df.select("uri", id_.alias("id"), parent.alias("parent"), k.alias("key"), F.lit(pos).cast("long").alias("pos"), F.lit(jtype).alias("jtype"), text.cast("string").alias("text"))
     marks = copies.filter(F.col("__top") & (F.col("kind") == 1) & (F.col("jtype") == "OBJECT")).select(F.col("root").alias("uri"), home.alias("h"), _quoted(F.col("uri")).alias("t"))
     parts = parts.unionByName(line(marks, F.concat("h", F.lit("/x-source")), F.col("h"), F.lit("x-source"), 1_000_000, "STRING", F.col("t")))
-    missing = taken.select(F.col("root").alias("uri")).distinct().join(nodes.filter("id = '/$defs'").select("uri"), "uri", "left_anti")
+    missing = meet(taken.select(F.col("root").alias("uri")).distinct(), nodes.filter("id = '/$defs'").select("uri"), ["uri"], "left_anti")
     box = line(missing, F.lit("/$defs"), F.lit(""), F.lit("$defs"), 1_000_000, "OBJECT", F.lit(None))
     out = nodes.select("uri", *cells).unionByName(parts).unionByName(box)
     is_ref = (F.col("key") == "$ref") & (F.col("jtype") == "STRING")
     ref = _unquoted(F.col("text"))
     full = F.when(base_of(ref).rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), base_of(ref)).when(base_of(ref) != "", url_join(F.col("uri"), base_of(ref)))
-    out = out.withColumn("__to", F.when(is_ref, full)).join(names.select(F.col("root").alias("uri"), F.col("uri").alias("__to"), F.col("name").alias("__name")), ["uri", "__to"], "left")
+    out = meet(out.withColumn("__to", F.when(is_ref, full)), names.select(F.col("root").alias("uri"), F.col("uri").alias("__to"), F.col("name").alias("__name")), ["uri", "__to"], "left")
     rest = F.coalesce(fragment_of(ref), F.lit(""))
     new = _quoted(F.concat(F.lit("#/$defs/"), "__name", F.when(rest.startswith("/"), rest).otherwise(F.lit(""))))
     return rebuild(out.withColumn("text", F.when(F.col("__name").isNotNull(), new).otherwise(F.col("text"))).select("uri", *cells))
