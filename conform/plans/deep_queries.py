@@ -68,7 +68,7 @@ def deep_recursive_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
     depth = F.floor(k / 6 % 12).cast("int")
     leaf = F.when((uri == "left") & bad, F.lit('{"d":1}')).when(bad, F.lit('"x"')).otherwise(F.lit("7"))
     content = F.when(uri == "has", nested(F.lit("["), leaf, "]", depth)).otherwise(nested(F.lit('{"c":'), leaf, "}", depth))
-    docs = t(spark, sf_dir, "part").select("p_partkey", uri.alias("schema_uri"), F.parse_json(content).alias("instance"))
+    docs = spread(t(spark, sf_dir, "part").select("p_partkey", "p_size")).select("p_partkey", uri.alias("schema_uri"), F.parse_json(content).alias("instance"))
     return V.validate(docs, BRANCHES, ["p_partkey"]).select("p_partkey", "instance_path", "kind")
 
 

@@ -485,7 +485,7 @@ class Compiler:
                 at_key = lambda v, k=key, c=child: F.when(v.present(), sub(c, v, F.concat(path, F.lit(f"/{_escape(k)}")), f"properties/{_escape(k)}"))
                 if child in (True, {}):
                     nested.append(self._none())
-                elif isinstance(value, VariantNode):
+                elif isinstance(value, VariantNode) and self._gathering is None:  # what branches need is gathered outside, where no variable reaches
                     with self._within(False):  # taken out of the object once, however many rules ask for it
                         nested.append(let(value.value, lambda x: at_key(VariantNode(x))))
                 else:

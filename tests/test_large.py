@@ -55,3 +55,11 @@ def test_formats_are_parsed_once_on_all_cores(spark):
 def test_tables_of_schemas_are_not_collected(spark, name):
     plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_needs_inside_of_properties_are_gathered(spark):
+    node = {"anyOf": [{"type": "integer"}, {"properties": {"c": {"$ref": "#/$defs/n"}}}], "unevaluatedProperties": False}
+    rows = spark.createDataFrame([(1, '{"c":{"c":{"c":{"c":{"c":{"c":{"c":{"c":{"d":1}}}}}}}}}'), (2, '{"c":{"c":{"c":{"c":{"c":{"c":{"c":{"c":7}}}}}}}}')], "i int, j string").select("i", F.parse_json("j").alias("instance"))
+    found = V.validate_one(rows, {"$ref": "#/$defs/n", "$defs": {"n": node}}, ["i"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.i, r.instance_path, r.kind) for r in found.collect()} == {(1, "", "any_of"), (1, "", "unevaluated_properties")} and plan.lower().count("parsejson(") == 1
