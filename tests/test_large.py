@@ -63,3 +63,14 @@ def test_needs_inside_of_properties_are_gathered(spark):
     found = V.validate_one(rows, {"$ref": "#/$defs/n", "$defs": {"n": node}}, ["i"])
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert {(r.i, r.instance_path, r.kind) for r in found.collect()} == {(1, "", "any_of"), (1, "", "unevaluated_properties")} and plan.lower().count("parsejson(") == 1
+
+
+def test_trees_are_built_in_one_pass(spark, monkeypatch):
+    from conform.operators import schemagraph as G
+
+    written = []
+    monkeypatch.setattr(G, "stored", lambda df, tag, put=G.stored: written.append(tag) or put(df, tag))
+    rows = [("u", "", None, None, 0, "OBJECT", None), ("u", "/b", "", "b", 1, "ARRAY", None), ("u", "/b/0", "/b", "0", 0, "ARRAY", None), ("u", "/b/1", "/b", "1", 1, "OBJECT", None), ("u", "/a", "", 'q"é', 0, "BIGINT", "7"),
+        ("u", "/enum", "", "enum", 2, "ARRAY", None), ("u", "/enum/0", "/enum", "0", 0, "BIGINT", "2"), ("u", "/enum/1", "/enum", "1", 1, "BIGINT", "1"), ("u", "/enum/2", "/enum", "2", 2, "BIGINT", "2"), ("u", "/lost/x", "/lost", "x", 0, "BIGINT", "1"), ("v", "", None, None, 0, "BOOLEAN", "true")]
+    nodes = spark.createDataFrame(rows, "uri string, id string, parent string, key string, pos long, jtype string, text string")
+    assert {r.uri: r.body for r in G.rebuild(nodes).collect()} == {"u": '{"q\\"é":7,"b":[[],{}],"enum":[2,1]}', "v": "true"} and written == ["tree"]
